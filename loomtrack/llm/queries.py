@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrack.llm import chat, packing, simhash
+from loomtrack.llm import chat, html, lm, packing, pieces, quality, simhash, toxicity, vectors
 from loomtrack.llm.common import table
 
 
@@ -53,5 +53,64 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_chat": op2_chat, "op7_packing": op7_packing}
-ORACLES = {"op2_chat": OP2_SQL}
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.embedding_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP3_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.93),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = e.vec_id
+"""
+
+
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), F.coalesce(quality.fold("doc_id", 3) == 1, F.lit(False))
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return quality.score_quality(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), F.coalesce(quality.fold("doc_id", 10) == 0, F.lit(False))
+    model, counts = lm.fit(docs.where(~held_out))
+    return lm.score(docs, model, counts).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), F.coalesce(quality.fold("doc_id", 5) == 0, F.lit(False))
+    machine = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score_toxicity(docs, machine).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_texts(table(spark, sf_dir, "pages"))
+
+
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_texts(table(spark, sf_dir, "documents"), pieces.load())
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_chat": op2_chat,
+    "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_nearest": op4_nearest,
+    "op5_quality": op5_quality,
+    "op6_lm": op6_lm,
+    "op7_packing": op7_packing,
+    "op8_toxicity": op8_toxicity,
+    "op9_html": op9_html,
+    "op10_pieces": op10_pieces,
+}
+ORACLES = {"op2_chat": OP2_SQL, "op3_embedding_dedup": OP3_SQL}

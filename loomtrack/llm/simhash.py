@@ -44,12 +44,13 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long, one row per document; null text counts as empty."""
+    """(doc_id, text_hash, fp): the fingerprint as a signed long, one row per document; null text counts as empty."""
 
     def make():
         return lambda texts: {"fp": pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))}
 
-    return map_texts(docs, make, "fp long", text, (doc_id,))
+    named = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    return map_texts(named, make, "fp long", "text", ("doc_id", "text_hash"))
 
 
 def _variants(fps: DataFrame) -> DataFrame:
@@ -95,6 +96,13 @@ def components(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return labelled.join(second.hint("merge"), "component", "left").select("fp", F.coalesce("joined", "component").alias("component"))
 
 
+def _grouped(docs: DataFrame, doc_id: str, text: str, distance: int) -> DataFrame:
+    """(doc_id, text_hash, fp, component), one row per document; ``component`` is a fingerprint."""
+    prints = written(fingerprints(docs, doc_id, text), "simhash-prints")
+    parts = written(components(prints, distance), "simhash-components")
+    return prints.join(parts.hint("merge"), "fp")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row per document.
 
@@ -104,9 +112,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     the smallest known id. Repeated rows are returned as often as they come. An empty
     table gives an empty result. Only the two named columns are read.
     """
-    prints = written(fingerprints(docs, doc_id, text), "simhash-prints")
-    parts = components(prints, distance)
-    owners = prints.groupBy("fp").agg(F.min(doc_id).alias("first_id")).join(parts.hint("merge"), "fp")
-    named = owners.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_print = written(owners.join(named.hint("merge"), "component").select("fp", "component_id"), "simhash-components")
-    return prints.join(of_print.hint("merge"), "fp").select(doc_id, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    grouped = _grouped(docs, doc_id, text, distance)
+    named = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return grouped.join(named.hint("merge"), "component").select(F.col("doc_id").alias(doc_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """One row of ``docs``, all columns, for each component: the one with the smallest doc_id.
+
+    Null ids come last, ties go to the smaller hash of the text, and of rows equal in both
+    one stays.
+    """
+    grouped = _grouped(docs, doc_id, text, distance)
+    each = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")
+    chosen = grouped.groupBy("component", each.alias("who")).agg(F.count("*").alias("n")).groupBy("component").agg(F.min(F.struct("who", "n")).alias("best"))
+    chosen = written(chosen.select(F.col("best.who.doc_id").alias("__id"), F.col("best.who.text_hash").alias("__hash"), F.col("best.n").alias("__n")), "simhash-chosen")
+    same = docs[doc_id].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__hash"))
+    once = docs.join(chosen.where("__n = 1").hint("shuffle_hash"), same).select(*(docs[c] for c in docs.columns))
+    repeated = docs.join(chosen.where("__n > 1").hint("shuffle_hash"), same).select(*(docs[c] for c in docs.columns), "__hash")
+    return once.unionByName(repeated.dropDuplicates([doc_id, "__hash"]).drop("__hash"))
