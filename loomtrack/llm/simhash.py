@@ -2,12 +2,14 @@
 
 Two fingerprints that differ in at most four of 64 bits, cut into three segments, agree
 in one segment up to one bit. Each fingerprint is therefore indexed under every variant
-of every segment with one bit wildcarded; an equality join on the variants finds every
-pair, and the true distance decides. Nothing is missed and no cap applies.
+of every segment with one bit wildcarded; fingerprints that meet under an equal variant
+are compared by their true distance. Nothing is missed and no cap applies.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -23,6 +25,10 @@ DISTANCE = 4
 SEED = 42
 #: First bit and length of each segment.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
+#: Fingerprints of a bucket that meet in one unit of work; buckets that are compared all at once; rows a task takes at a time.
+BLOCK, SMALL, GATHERED = 2048, 24, 200_000
+#: Up to so many hot buckets are broadcast (12 bytes each); more are joined.
+BROADCAST_KEYS = 200_000
 
 
 def fingerprint(text: str, size: int = SHINGLE) -> int:
@@ -53,47 +59,120 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return map_texts(named, make, "fp long", "text", ("doc_id", "text_hash"))
 
 
-def _variants(fps: DataFrame) -> DataFrame:
-    """(fp, key): 64 rows per fingerprint, the key naming segment, wildcarded bit and the other bits."""
-    shift = "CASE " + " ".join(f"WHEN p < {start + length} THEN {start}" for start, length in SEGMENTS) + " END"
-    mask = "CASE " + " ".join(f"WHEN p < {start + length} THEN {(1 << length) - 1}L" for start, length in SEGMENTS) + " END"
-    return fps.select("*", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p")).select(
-        *fps.columns, F.expr(f"shiftleft(cast(p AS bigint), 22) | (shiftrightunsigned(fp & ~shiftleft(1L, p), {shift}) & {mask})").alias("key")
-    )
+def _case(values: list[str]) -> str:
+    return "CASE " + " ".join(f"WHEN p < {start + length} THEN {value}" for (start, length), value in zip(SEGMENTS, values)) + " END"
 
 
-def _near(a: str, b: str, distance: int) -> F.Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
+def _variants(fps: DataFrame) -> DataFrame:
+    """Adds ``key``: 64 rows per fingerprint, the key naming the wildcarded bit and the other bits of its segment."""
+    shift, mask = _case([str(start) for start, _ in SEGMENTS]), _case([f"{(1 << length) - 1}L" for _, length in SEGMENTS])
+    key = f"shiftleft(cast(p AS bigint), 22) | (shiftrightunsigned(fp & ~shiftleft(1L, p), {shift}) & {mask})"
+    return fps.select("*", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p")).select(*fps.columns, F.expr(key).alias("key"))
 
 
-def components(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(fp, component) for every distinct fingerprint that is linked to another one.
+def _hot_keys(fps: DataFrame, block: int) -> DataFrame:
+    """(key, blocks) of the variants that may hold more than ``block`` fingerprints.
 
-    Hot groups do not expand into pairs: first every variant bucket links its members to
-    its smallest and largest member only (partial aggregates and a splittable join); then
-    just the buckets that still hold several components are joined with themselves, and
-    only pairs across components come out.
+    A variant holds the fingerprints of two segment values, so counting the three segment
+    values of each fingerprint is enough: one of the two has more than half a block.
+    """
+    values = [F.struct(F.lit(k).alias("segment"), F.expr(f"shiftleft(shiftrightunsigned(fp, {start}) & {(1 << length) - 1}L, {start})").alias("fp")) for k, (start, length) in enumerate(SEGMENTS)]
+    counted = fps.select(F.explode(F.array(*values)).alias("s")).select("s.*").groupBy("segment", "fp").agg(F.count("*").alias("n")).where(F.col("n") > block // 2)
+    keyed = _variants(counted)
+    own = [f"(segment = {k} AND shiftrightunsigned(key, 22) BETWEEN {start} AND {start + length - 1})" for k, (start, length) in enumerate(SEGMENTS)]
+    return keyed.where(" OR ".join(own)).groupBy("key").agg(F.sum("n").alias("n")).select("key", F.ceil(F.col("n") / F.lit(block) + F.lit(1)).cast("int").alias("blocks"))
+
+
+def _parts(near: np.ndarray) -> Iterator[np.ndarray]:
+    """The connected sets of two or more rows of a symmetric link matrix."""
+    left = near.any(axis=1)
+    while left.any():
+        inside = np.zeros(len(near), bool)
+        new = np.array([left.argmax()])
+        while len(new):
+            inside[new] = True
+            new = np.flatnonzero(near[new].any(axis=0) & ~inside)
+        left &= ~inside
+        yield np.flatnonzero(inside)
+
+
+def _edges(distance: int):
+    def of(rows: pa.Table) -> pa.RecordBatch:
+        fp, key, low, high = (rows[c].to_numpy() for c in ("fp", "key", "low", "high"))
+        n = len(fp)
+        new = np.ones(n, bool)
+        new[1:] = (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, n))
+        group = np.repeat(np.arange(len(starts)), sizes)
+        small = np.repeat(sizes <= SMALL, sizes)
+        a_out, b_out = [], []
+        for lag in range(1, SMALL):
+            at = np.flatnonzero((group[lag:] == group[:-lag]) & small[lag:])
+            if not len(at):
+                break
+            at = at[np.bitwise_count(fp[at] ^ fp[at + lag]) <= distance]
+            a_out.append(fp[at])
+            b_out.append(fp[at + lag])
+        for k in np.flatnonzero(sizes > SMALL).tolist():
+            members = np.unique(fp[starts[k] : starts[k] + sizes[k]])
+            near = np.zeros((len(members), len(members)), bool)
+            for i in range(0, len(members), 512):
+                near[i : i + 512] = np.bitwise_count(members[i : i + 512, None] ^ members[None, :]) <= distance
+            np.fill_diagonal(near, False)
+            for part in _parts(near):
+                a_out.append(np.full(len(part) - 1, members[part[0]]))
+                b_out.append(members[part[1:]])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a_out, b_out))
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].astype(np.int64)), pa.array(pairs[:, 1].astype(np.int64))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Walks rows sorted by bucket; the last bucket of what is at hand is carried on."""
+        held: list[pa.RecordBatch] = []
+        count = 0
+        for batch in batches:
+            held.append(batch)
+            count += batch.num_rows
+            if count < GATHERED:
+                continue
+            rows = pa.Table.from_batches(held).combine_chunks()
+            key, low, high = (rows[c].to_numpy() for c in ("key", "low", "high"))
+            same = (key == key[-1]) & (low == low[-1]) & (high == high[-1])
+            cut = 0 if same.all() else rows.num_rows - int(same[::-1].argmin())
+            if cut:
+                yield of(rows.slice(0, cut))
+            held = rows.slice(cut).to_batches()
+            count = rows.num_rows - cut
+        if count:
+            yield of(pa.Table.from_batches(held).combine_chunks())
+
+    return run
+
+
+def components(prints: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> DataFrame:
+    """(fp, component) for every distinct fingerprint; component is the smallest one reachable.
+
+    Hot groups do not expand into pairs: the members of a variant bucket are compared where
+    they meet, in a task, and each connected set comes out as a star. A bucket that may hold
+    more than ``block`` fingerprints is dealt out as pairs of blocks, each its own unit.
     """
-    fps = prints.select("fp").where("fp IS NOT NULL").distinct()
-    keyed = _variants(fps)
-    ends = keyed.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high")
-    stars = (
-        keyed.join(ends.hint("merge"), "key")
-        .select("fp", F.array(*(F.when((F.col("fp") != F.col(end)) & _near("fp", end, distance), F.col(end)) for end in ("low", "high"))).alias("hubs"))
-        .where("hubs[0] IS NOT NULL OR hubs[1] IS NOT NULL")
-        .select("fp", F.explode("hubs").alias("hub"))
-        .where("hub IS NOT NULL")
-        .distinct()
+    fps = written(prints.select("fp").where("fp IS NOT NULL").distinct(), "simhash-distinct")
+    hot = written(_hot_keys(fps, block), "simhash-hot")
+    few = hot.count() <= BROADCAST_KEYS
+    keyed = _variants(fps).join(F.broadcast(hot) if few else hot.hint("merge"), "key", "left")
+    cold = keyed.where("blocks IS NULL").select("fp", "key", F.lit(0).alias("low"), F.lit(0).alias("high"))
+    split = (
+        keyed.where("blocks IS NOT NULL")
+        .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+        .select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("fp", "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     )
-    first = connected_components(stars, "fp", "hub")
-    labelled = written(fps.join(first.select(F.col("id").alias("fp"), "component").hint("merge"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component")), "simhash-labels")
-    keyed = _variants(labelled)
-    mixed = keyed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    several = keyed.join(mixed.hint("merge"), "key", "left_semi")
-    a, b = several.toDF("fp_a", "component_a", "key"), several.toDF("fp_b", "component_b", "key_b")
-    across = a.join(b.hint("merge"), (F.col("key") == F.col("key_b")) & (F.col("component_a") < F.col("component_b")) & _near("fp_a", "fp_b", distance)).select("component_a", "component_b").distinct()
-    second = connected_components(across, "component_a", "component_b").toDF("component", "joined")
-    return labelled.join(second.hint("merge"), "component", "left").select("fp", F.coalesce("joined", "component").alias("component"))
+    met = cold.unionByName(split).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    found = written(met.mapInArrow(_edges(distance), "a long, b long"), "simhash-edges")
+    parts = connected_components(found, "a", "b").toDF("fp", "component")
+    return fps.join(parts.hint("merge"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
 
 
 def _grouped(docs: DataFrame, doc_id: str, text: str, distance: int) -> DataFrame:
