@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomtrack.functions.shared import written
 from loomtrack.llm.common import keep_texts, map_texts, small_batches
 from loomtrack.llm.quality import labelled_sample
 
@@ -31,16 +32,18 @@ DECAY = 0.7
 STRETCH = 9
 #: Longer words are read through windows of this length, half overlapping.
 WINDOW = 24
-#: Codes: 0 for a mark inside a word, 1-26 letters without accents, 27 other letters, 28 and 29 the word's ends.
-CODES = 30
+#: Codes: 0 for a mark inside a word, then the plain and accented letters, eight for all other letters, and two for the word's ends.
+LETTERS = "abcdefghijklmnopqrstuvwxyzàáâäçèéêëíîïñóôöùúûüß"
+FIRST, LAST = len(LETTERS) + 9, len(LETTERS) + 10
+CODES = len(LETTERS) + 11
 #: Words whose margins a worker remembers at most.
 MEMORY = 500_000
 
 
 @lru_cache(maxsize=100_000)
 def _code(c: str) -> int:
-    base = unicodedata.normalize("NFKD", c)[0].lower()
-    return ord(base) - 96 if "a" <= base <= "z" else 27 if c.isalpha() else 0
+    at = LETTERS.find(unicodedata.normalize("NFKC", c).lower()[:1] or " ")
+    return at + 1 if at >= 0 else len(LETTERS) + 1 + ord(c) % 8 if c.isalpha() else 0
 
 
 def encode(word: str) -> list[list[int]]:
@@ -49,7 +52,7 @@ def encode(word: str) -> list[list[int]]:
     letters = [k for k, c in enumerate(codes) if c]
     if len(letters) < 3:
         return []
-    codes = [28, *codes[letters[0] : letters[-1] + 1], 29]
+    codes = [FIRST, *codes[letters[0] : letters[-1] + 1], LAST]
     if len(codes) <= WINDOW:
         return [codes]
     starts = [*range(0, len(codes) - WINDOW, WINDOW // 2), len(codes) - WINDOW]
@@ -160,42 +163,61 @@ class Reader:
         return np.array([max(map(self.known.__getitem__, words), default=0.0) for words in found])
 
 
-def _contexts(sample: DataFrame) -> DataFrame:
-    """(word, toxic, contexts): in how many different left neighbourhoods a word stands. Copies of a text add none."""
+def _pairs(sample: DataFrame) -> DataFrame:
+    """(word, before, toxic, doc): the different words and left neighbours of each sampled document."""
     small_batches(sample.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, lefts, labels = [], [], []
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            words, lefts, labels, docs = [], [], [], []
+            for text, label, doc in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 found = [w.strip(".,;:!?\"'()*#$%&|") for w in units(text or "")]
-                pairs = set(zip(found, ["", *found]))
+                pairs = {(w, x) for w, x in zip(found, ["", *found]) if w}
                 words += [w for w, _ in pairs]
                 lefts += [x for _, x in pairs]
                 labels += [label] * len(pairs)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(lefts, pa.string()), pa.array(labels, pa.int32())], ["word", "before", "toxic"])
+                docs += [doc] * len(pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(lefts, pa.string()), pa.array(labels, pa.int32()), pa.array(docs, pa.int64())], ["word", "before", "toxic", "doc"])
 
-    pairs = sample.select("text", F.col("label").cast("int")).mapInArrow(run, "word string, before string, toxic int")
-    return pairs.where("word != ''").distinct().groupBy("word", "toxic").agg(F.count("*").alias("contexts"))
+    return sample.select("text", F.col("label").cast("int").alias("label"), F.col("__id").cast("long").alias("doc")).mapInArrow(run, "word string, before string, toxic int, doc long")
 
 
 def _grams(word: str) -> set[str]:
     marked = f"^{word}$"
-    return {marked[k : k + n] for n in (4, 5) for k in range(len(marked) - n + 1)} or {marked}
+    return {marked[k : k + n] for n in (4, 5) for k in range(len(marked) - n + 1)} | {marked[:n] for n in range(6, 10) if n < len(marked)} | {marked}
 
 
-def _split_words(toxic: dict[str, int], clean: dict[str, int], docs: tuple[int, int]) -> tuple[list[str], list[str]]:
-    """Words that mark toxic documents, by the letter groups they share, and all others."""
+def _split_words(toxic: dict[str, int], clean: dict[str, int], docs: list[set[str]], n_clean: int) -> tuple[list[str], list[str]]:
+    """Words that mark toxic documents, and all others, each by their number of contexts.
+
+    Letter groups that stand in many contexts of toxic documents and hardly in others are
+    taken greedily, the one that explains most documents so far unexplained first: a word
+    that is only near insults, or in copies of one toxic text, has nothing left to explain.
+    ``docs`` holds, for each toxic document, its words that hardly stand in clean documents.
+    """
     speaks, against = defaultdict(int), defaultdict(int)
     for words, total in ((toxic, speaks), (clean, against)):
         for word, n in words.items():
             if len(word) <= WINDOW:
                 for gram in _grams(word):
                     total[gram] += n
-    balance = max(docs[1], 1) / max(docs[0], 1)
-    marks = {g for g, n in speaks.items() if n >= 5 and (n + 0.5) / (against.get(g, 0) + 0.5) * balance > 25}
-    insults = [w for w in toxic if w not in clean and len(w) <= WINDOW and not marks.isdisjoint(_grams(w))]
-    return sorted(insults, key=lambda w: (-toxic[w], w)), sorted(clean, key=lambda w: (-clean[w], w))
+    balance = max(n_clean, 1) / max(len(docs), 1)
+    likely = {g for g, n in speaks.items() if n >= 3 and (n + 0.5) / (against.get(g, 0) + 0.5) * balance > 15}
+    where = defaultdict(set)
+    for at, words in enumerate(docs):
+        for word in words:
+            for gram in likely.intersection(_grams(word)) if len(word) <= WINDOW else ():
+                where[gram].add(at)
+    marks = {g for g in where if speaks[g] >= max(20, 0.02 * len(docs)) and against.get(g, 0) * 50 <= speaks[g]}
+    open_docs = set(range(len(docs))).difference(*(where[g] for g in marks)) if marks else set(range(len(docs)))
+    while open_docs:
+        best = max(where, key=lambda g: (len(where[g] & open_docs) - 2 * against.get(g, 0), speaks[g], g), default=None)
+        if best is None or len(where[best] & open_docs) - 2 * against.get(best, 0) < max(4, 0.005 * len(docs)):
+            break
+        marks.add(best)
+        open_docs -= where[best]
+    insults = {w for w in toxic if toxic[w] * balance > 5 * clean.get(w, 0) and len(w) <= WINDOW and not marks.isdisjoint(_grams(w))}
+    return sorted(insults, key=lambda w: (-toxic[w], w)), sorted((w for w in clean if w not in insults), key=lambda w: (-clean[w], w))
 
 
 def _nystrom(words: list[list[int]], landmarks: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -222,7 +244,7 @@ def _svm(x: np.ndarray, y: np.ndarray, rounds: int = 300, reg: float = 1e-4) ->
     return w
 
 
-def fit_words(insults: list[str], others: list[str], landmarks: int = 100, negatives: int = 12_000) -> np.ndarray:
+def fit_words(insults: list[str], others: list[str], landmarks: int = 70, negatives: int = 12_000) -> np.ndarray:
     """The folded table of a machine that tells ``insults`` from ``others`` (each list ordered by weight)."""
     if not insults:
         return np.zeros(CODES**3)
@@ -242,7 +264,7 @@ def fit_words(insults: list[str], others: list[str], landmarks: int = 100, negat
         kept = values > 1e-6 * values.max()
         root = vectors[:, kept] / np.sqrt(values[kept])
         w = _svm(np.hstack([kernel @ root, np.ones((len(y), 1))]), y)
-        table = dense.astype(np.float64) @ (root @ w[:-1])
+        table = (dense @ (root @ w[:-1]).astype(np.float32)).astype(np.float64)
         table -= table.max() * 1e-9
         probe = [x for x in others if len(x) <= WINDOW - 2]
         found = Machine(table, 1, 0).margins(probe)
@@ -254,13 +276,17 @@ def fit_words(insults: list[str], others: list[str], landmarks: int = 100, negat
 def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", rows: tuple[int, int] = (TRAIN_TOXIC, TRAIN_CLEAN)) -> Machine:
     """A machine fitted to the bounded sample of rows where ``train`` holds. Only the text is an input."""
     sample = labelled_sample(docs, labels.where(F.col(label) > 0), label, train, rows[0], doc_id, text).unionByName(labelled_sample(docs, labels.where(F.col(label) == 0), label, train, rows[1], doc_id, text))
-    found = _contexts(sample).toArrow()
+    pairs = written(_pairs(sample), "toxicity-pairs")
+    found = pairs.select("word", "before", "toxic").distinct().groupBy("word", "toxic").agg(F.count("*").alias("contexts")).toArrow()  # words of the bounded sample
     words: tuple[dict[str, int], dict[str, int]] = ({}, {})
     for word, toxic, n in zip(found["word"].to_pylist(), found["toxic"].to_pylist(), found["contexts"].to_pylist()):
         words[0 if toxic else 1][word] = n
-    n_toxic = sample.groupBy("label").agg(F.countDistinct("__id").alias("n")).collect()  # two rows
-    counts = {bool(r["label"]): r["n"] for r in n_toxic}
-    table = fit_words(*_split_words(*words, (counts.get(True, 0), counts.get(False, 0))))
+    own = pairs.where("toxic = 1").select("word", "doc").distinct().join(pairs.where("toxic = 0").groupBy("word").agg(F.count("*").alias("n")).where("n > 3").select("word").hint("merge"), "word", "left_anti").orderBy("doc", "word").toArrow()
+    docs_words: dict[int, set[str]] = {}
+    for word, doc in zip(own["word"].to_pylist(), own["doc"].to_pylist()):
+        docs_words.setdefault(doc, set()).add(word)
+    n_clean = pairs.where("toxic = 0").select("doc").distinct().count()
+    table = fit_words(*_split_words(*words, list(docs_words.values()), n_clean))
     machine = Machine(table, 1.0, 0.0)
     seen = worst_words(sample, machine, "__id", "text", "label").toArrow()
     worst, y = np.array(seen["worst"].to_pylist(), np.float64), np.array(seen["label"].to_pylist(), np.float64) > 0
@@ -269,14 +295,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, label: str =
 
 
 def _calibrate(worst: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logistic that puts 0.5 where the two classes are told apart best."""
+    """Slope and shift of the logistic that puts 0.5 where most of the sample is told apart rightly."""
     if not y.any() or y.all():
         return 8.0, -8.0 if not y.any() else 8.0
     cuts = np.unique(worst)
     cuts = np.concatenate((cuts[:1] - 0.1, (cuts[1:] + cuts[:-1]) / 2))
     up, down = np.sort(worst[y]), np.sort(worst[~y])
-    right = (len(up) - np.searchsorted(up, cuts)) / len(up) + np.searchsorted(down, cuts) / len(down)
-    best = np.flatnonzero(right >= right.max() - 1e-12)
+    right = len(up) - np.searchsorted(up, cuts) + np.searchsorted(down, cuts)
+    best = np.flatnonzero(right == right.max())
     cut = float(cuts[best].mean())
     spread = max(float(np.median(worst[y])) - cut, 0.05)
     return 4.0 / spread, -4.0 * cut / spread
