@@ -9,8 +9,9 @@ from loomtrack.operators.sessions import session_windows, windowed_counts
 
 
 def read_events(spark, path: str, schema, late: str = "10 minutes", files_per_trigger: int = 8) -> DataFrame:
-    """Event rows from a folder of Parquet files as they arrive, with a watermark on ``ts``."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path).withWatermark("ts", late)
+    """Event rows from a folder of Parquet files as they arrive, with a watermark on ``ts`` (read in the session time zone)."""
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
 
 
 def stream_windowed_counts(events: DataFrame, width: str = "5 minutes", slide: str | None = None) -> DataFrame:

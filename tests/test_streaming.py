@@ -21,7 +21,7 @@ def test_windows_match_the_batch(spark, sf, tmp_path):
     log.orderBy("ts").coalesce(1).write.parquet(f"{tmp_path}/in")
     stream = jobs.read_events(spark, f"{tmp_path}/in", log.schema, "30 days")
     found = _run(jobs.stream_windowed_counts(stream, "1 hour"), "windows", "complete")
-    wanted = sessions.windowed_counts(log, "1 hour")
+    wanted = sessions.windowed_counts(log.withColumn("ts", F.col("ts").cast("timestamp")), "1 hour")
     assert found.exceptAll(wanted).count() == 0 and wanted.exceptAll(found).count() == 0
 
 
