@@ -21,10 +21,10 @@ BLOCK = 1024
 SEED = 20_240
 
 #: Collision counting: projections, share of them that must collide, growth of the window, vectors in a block of data and of queries.
-PROJECTIONS, COLLISIONS, GROWTH = 48, 0.55, 1.35
+PROJECTIONS, COLLISIONS, GROWTH = 64, 0.55, 1.35
 DATA_BLOCK, QUERY_BLOCK = 8192, 2048
 #: Verified vectors per block before a query stops, besides the k wanted ones, as a share of the block.
-VERIFIED = 0.04
+VERIFIED = 0.15
 
 
 def usable(vector: str) -> Column:
