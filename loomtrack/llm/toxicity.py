@@ -10,8 +10,9 @@ three-letter subsequence. A document scores as its worst word does.
 
 from __future__ import annotations
 
+import sys
 import unicodedata
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -182,9 +183,18 @@ def _pairs(sample: DataFrame) -> DataFrame:
     return sample.select("text", F.col("label").cast("int").alias("label"), F.col("__id").cast("long").alias("doc")).mapInArrow(run, "word string, before string, toxic int, doc long")
 
 
-def _grams(word: str) -> set[str]:
-    marked = f"^{word}$"
-    return {marked[k : k + n] for n in (4, 5) for k in range(len(marked) - n + 1)} | {marked[:n] for n in range(6, 10) if n < len(marked)} | {marked}
+#: Kinds of letter groups: all of four letters, all of five, longer beginnings, and whole words.
+KINDS = ("four", "five", "begin", "whole")
+
+
+def _grams(word: str, kinds: tuple[str, ...] = KINDS) -> set[str]:
+    marked, out = f"^{word}$", set()
+    for kind, n in (("four", 4), ("five", 5)):
+        if kind in kinds:
+            out.update(marked[k : k + n] for k in range(len(marked) - n + 1))
+    if "begin" in kinds:
+        out.update(marked[:n] for n in range(6, 10) if n < len(marked))
+    return out | {marked} if "whole" in kinds else out
 
 
 def _split_words(toxic: dict[str, int], clean: dict[str, int], docs: list[set[str]], n_clean: int) -> tuple[list[str], list[str]]:
@@ -195,18 +205,30 @@ def _split_words(toxic: dict[str, int], clean: dict[str, int], docs: list[set[st
     that is only near insults, or in copies of one toxic text, has nothing left to explain.
     ``docs`` holds, for each toxic document, its words that hardly stand in clean documents.
     """
-    speaks, against = defaultdict(int), defaultdict(int)
-    for words, total in ((toxic, speaks), (clean, against)):
-        for word, n in words.items():
-            if len(word) <= WINDOW:
-                for gram in _grams(word):
-                    total[gram] += n
     balance = max(n_clean, 1) / max(len(docs), 1)
-    likely = {g for g, n in speaks.items() if n >= 3 and (n + 0.5) / (against.get(g, 0) + 0.5) * balance > 15}
+    speaks: dict[str, int] = {}
+    against: dict[str, int] = {}
+    for kind in KINDS:  # one kind at a time, as most groups stand in one word only and go at once
+        counts: Counter = Counter()
+        for word, n in toxic.items():
+            if len(word) <= WINDOW and n * balance * 3 > clean.get(word, 0):
+                for gram in _grams(word, (kind,)):
+                    counts[gram] += n
+        frequent = {g: n for g, n in counts.items() if n >= 3}
+        del counts
+        others = dict.fromkeys(frequent, 0)
+        for word, n in clean.items():
+            if len(word) <= WINDOW:
+                for gram in _grams(word, (kind,)):
+                    if gram in others:
+                        others[gram] += n
+        likely = [g for g, n in frequent.items() if (n + 0.5) / (others[g] + 0.5) * balance > 15]
+        speaks.update((g, frequent[g]) for g in likely)
+        against.update((g, others[g]) for g in likely)
     where = defaultdict(set)
     for at, words in enumerate(docs):
         for word in words:
-            for gram in likely.intersection(_grams(word)) if len(word) <= WINDOW else ():
+            for gram in _grams(word).intersection(speaks) if len(word) <= WINDOW else ():
                 where[gram].add(at)
     marks = {g for g in where if speaks[g] >= max(20, 0.02 * len(docs)) and against.get(g, 0) * 50 <= speaks[g]}
     open_docs = set(range(len(docs))).difference(*(where[g] for g in marks)) if marks else set(range(len(docs)))
@@ -220,12 +242,21 @@ def _split_words(toxic: dict[str, int], clean: dict[str, int], docs: list[set[st
     return sorted(insults, key=lambda w: (-toxic[w], w)), sorted((w for w in clean if w not in insults), key=lambda w: (-clean[w], w))
 
 
-def _nystrom(words: list[list[int]], landmarks: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Kernel values of words and landmarks, by way of the landmarks' dense weights."""
+def _dense(landmarks: list[list[int]]) -> np.ndarray:
+    """Subsequence weights of the landmarks, one column each."""
     dense = np.zeros((CODES**3, len(landmarks)), np.float32)
     for at, (number, weight) in enumerate(features(landmarks)):
         np.add.at(dense[:, at], number, weight)
-    return np.stack([weight.astype(np.float32) @ dense[number] for number, weight in features(words)]).astype(np.float64), dense
+    return dense
+
+
+def _kernel(words: list[list[int]], dense: np.ndarray) -> np.ndarray:
+    """Kernel values of words and landmarks, a block of words at a time."""
+    out = np.zeros((len(words), dense.shape[1]))
+    for at in range(0, len(words), 1_000):
+        for k, (number, weight) in enumerate(features(words[at : at + 1_000])):
+            out[at + k] = weight.astype(np.float32) @ dense[number]
+    return out
 
 
 def _svm(x: np.ndarray, y: np.ndarray, rounds: int = 300, reg: float = 1e-4) -> np.ndarray:
@@ -244,7 +275,7 @@ def _svm(x: np.ndarray, y: np.ndarray, rounds: int = 300, reg: float = 1e-4) ->
     return w
 
 
-def fit_words(insults: list[str], others: list[str], landmarks: int = 70, negatives: int = 12_000) -> np.ndarray:
+def fit_words(insults: list[str], others: list[str], landmarks: int = 50, negatives: int = 12_000) -> np.ndarray:
     """The folded table of a machine that tells ``insults`` from ``others`` (each list ordered by weight)."""
     if not insults:
         return np.zeros(CODES**3)
@@ -258,8 +289,8 @@ def fit_words(insults: list[str], others: list[str], landmarks: int = 70, negati
         chosen = [c for _, c in [*good[:: max(1, len(good) // landmarks)][:landmarks], *hard[: landmarks // 2], *bad[:: max(1, len(bad) // landmarks)][:landmarks]]]
         coded = [c for _, c in [*good, *bad, *hard]]
         y = np.array([1.0] * len(good) + [-1.0] * (len(bad) + len(hard)))
-        kernel, dense = _nystrom(coded, chosen)
-        own = _nystrom(chosen, chosen)[0]
+        dense = _dense(chosen)
+        kernel, own = _kernel(coded, dense), _kernel(chosen, dense)
         values, vectors = np.linalg.eigh((own + own.T) / 2)
         kept = values > 1e-6 * values.max()
         root = vectors[:, kept] / np.sqrt(values[kept])
@@ -277,14 +308,22 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, label: str =
     """A machine fitted to the bounded sample of rows where ``train`` holds. Only the text is an input."""
     sample = labelled_sample(docs, labels.where(F.col(label) > 0), label, train, rows[0], doc_id, text).unionByName(labelled_sample(docs, labels.where(F.col(label) == 0), label, train, rows[1], doc_id, text))
     pairs = written(_pairs(sample), "toxicity-pairs")
-    found = pairs.select("word", "before", "toxic").distinct().groupBy("word", "toxic").agg(F.count("*").alias("contexts")).toArrow()  # words of the bounded sample
+    # of toxic documents the left neighbourhoods count, which copies do not multiply; of others the documents
+    place = F.when(F.col("toxic") == 1, F.col("before")).otherwise(F.col("doc").cast("string"))
+    found = pairs.select("word", "toxic", place.alias("place")).distinct().groupBy("word", "toxic").agg(F.count("*").alias("contexts")).toArrow()  # words of the bounded sample
     words: tuple[dict[str, int], dict[str, int]] = ({}, {})
-    for word, toxic, n in zip(found["word"].to_pylist(), found["toxic"].to_pylist(), found["contexts"].to_pylist()):
-        words[0 if toxic else 1][word] = n
+    for batch in found.to_batches(max_chunksize=50_000):
+        for word, toxic, n in zip(*(batch[c].to_pylist() for c in ("word", "toxic", "contexts"))):
+            if len(word) <= WINDOW:
+                words[0 if toxic else 1][sys.intern(word)] = n
+    del found
     own = pairs.where("toxic = 1").select("word", "doc").distinct().join(pairs.where("toxic = 0").groupBy("word").agg(F.count("*").alias("n")).where("n > 3").select("word").hint("merge"), "word", "left_anti").orderBy("doc", "word").toArrow()
     docs_words: dict[int, set[str]] = {}
-    for word, doc in zip(own["word"].to_pylist(), own["doc"].to_pylist()):
-        docs_words.setdefault(doc, set()).add(word)
+    for batch in own.to_batches(max_chunksize=50_000):
+        for word, doc in zip(batch["word"].to_pylist(), batch["doc"].to_pylist()):
+            if len(word) <= WINDOW:
+                docs_words.setdefault(doc, set()).add(sys.intern(word))
+    del own
     n_clean = pairs.where("toxic = 0").select("doc").distinct().count()
     table = fit_words(*_split_words(*words, list(docs_words.values()), n_clean))
     machine = Machine(table, 1.0, 0.0)
