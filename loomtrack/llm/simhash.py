@@ -96,6 +96,11 @@ def _parts(near: np.ndarray) -> Iterator[np.ndarray]:
         yield np.flatnonzero(inside)
 
 
+def _bits(signed: np.ndarray) -> np.ndarray:
+    """The 1-bits of signed longs, bit 63 included; bitwise_count takes the absolute value of a signed number first."""
+    return np.bitwise_count(signed.view(np.uint64))
+
+
 def _edges(distance: int):
     def of(rows: pa.Table) -> pa.RecordBatch:
         fp, key, low, high = (rows[c].to_numpy() for c in ("fp", "key", "low", "high"))
@@ -111,14 +116,14 @@ def _edges(distance: int):
             at = np.flatnonzero((group[lag:] == group[:-lag]) & small[lag:])
             if not len(at):
                 break
-            at = at[np.bitwise_count(fp[at] ^ fp[at + lag]) <= distance]
+            at = at[_bits(fp[at] ^ fp[at + lag]) <= distance]
             a_out.append(fp[at])
             b_out.append(fp[at + lag])
         for k in np.flatnonzero(sizes > SMALL).tolist():
             members = np.unique(fp[starts[k] : starts[k] + sizes[k]])
             near = np.zeros((len(members), len(members)), bool)
             for i in range(0, len(members), 512):
-                near[i : i + 512] = np.bitwise_count(members[i : i + 512, None] ^ members[None, :]) <= distance
+                near[i : i + 512] = _bits(members[i : i + 512, None] ^ members[None, :]) <= distance
             np.fill_diagonal(near, False)
             for part in _parts(near):
                 a_out.append(np.full(len(part) - 1, members[part[0]]))

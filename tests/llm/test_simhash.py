@@ -49,6 +49,27 @@ def test_components_find_every_link(spark, block):
     assert found == plain_components(fps)
 
 
+@pytest.mark.parametrize("block", [2048, 16])
+def test_links_over_the_sign_bit(spark, block):
+    """Pairs that differ in bit 63 and up to three more bits, with no other chain between them, and a hot group of such links."""
+    rng = random.Random(7)
+    base = [rng.getrandbits(64) for _ in range(60)]
+    fps = set(base)
+    for k, b in enumerate(base):
+        fps.add(b ^ (1 << 63) ^ sum(1 << bit for bit in rng.sample(range(63), k % 5)))  # five bits in all are too far
+    fps |= {base[0] ^ (1 << 63) ^ (1 << i) for i in range(40)}
+    want = {}
+    for f in sorted(fps, key=lambda f: f - (f >> 63 << 64)):  # as signed longs, so the first of a component is its smallest
+        reached = [] if f in want else [f]
+        while reached:
+            at = reached.pop()
+            want[at] = f
+            reached += [g for g in fps if g not in want and bin(at ^ g).count("1") <= 4]
+    signed = {f - (f >> 63 << 64): c - (c >> 63 << 64) for f, c in want.items()}
+    found = {r.fp: r.component for r in simhash.components(spark.createDataFrame([(f,) for f in signed], "fp long"), block=block).collect()}
+    assert found == signed
+
+
 def test_whole_query(spark):
     text = " ".join(f"w{k}" for k in range(200))
     rows = [(3, text, "x", "y"), (1, text.upper(), None, None), (2, text.replace("w100 ", "v100 "), "", ""), (9, None, None, None), (8, "", None, None), (None, text, None, None), (5, "word " * 20000, None, None), (5, "word " * 20000, None, None)]
