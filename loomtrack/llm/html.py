@@ -1,16 +1,17 @@
 """Main text of web pages by site template removal.
 
 Every element's subtree is hashed; Spark counts, per host, on how many different pages a
-subtree stands; subtrees that recur on many are the site's template and are deleted. What
-a page itself marks as menu, advert, form and the like goes too, as it may be unlike on
-every page. Pages that are copies of each other count once, so no article becomes a
-template by being copied, and paragraphs inside an article are never counted.
+subtree stands and how many there are; what stands on at least half of them, inside an
+article or not, is the site's template and is deleted. What a page itself marks as menu,
+advert, form and the like goes too, as it may be unlike on every page. Pages that are
+copies of each other count once, and a passage that a few articles of a host share stays.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,16 +22,15 @@ from pyspark.sql import functions as F
 from loomtrack.functions.shared import written
 from loomtrack.llm.common import small_batches
 
-#: On so many different pages of a host a subtree must stand to be its template; more inside an article.
-MIN_PAGES, MIN_PAGES_INSIDE = 5, 10
-#: Up to so many templates go to the executors as a broadcast set (16 bytes each); more are joined.
+#: On this share of a host's different pages, and on so many at least, a subtree must stand to be its template.
+SHARE, MIN_PAGES = 0.5, 3
+#: Up to so many templates go to the executors as a broadcast set (16 bytes each), and so many hosts with their page counts; more are joined.
 BROADCAST_TEMPLATES = 200_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript iframe xmp template svg".split())
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 DROPPED = frozenset("head nav footer aside form script style title noscript template iframe object svg canvas button select textarea dialog menu".split())
-CONTAINERS = frozenset("div section ul ol table dl".split())
 #: Words in class, id or role that mark what is not the article.
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies footer menu modal nav navbar navigation newsletter notice notices pager pagination popup promo related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -43,12 +43,13 @@ ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|
 class Page:
     """The elements of a page in the order they open, and its text pieces.
 
-    ``tags``, ``parents``, ``marked``, ``hashes`` and ``has_text`` go by element; a piece is
-    (block number, element, text).
+    ``tags``, ``parents``, ``marked``, ``hashes``, ``has_text`` and ``spans`` (first piece,
+    piece after the last) go by element; a piece is (block number, element, text).
     """
 
     def __init__(self, source: str):
         self.tags, self.parents, self.marked, self.hashes, self.has_text = ["#"], [0], [False], [0], [False]
+        self.spans = [(0, 0)]
         self.pieces: list[tuple[int, int, str]] = []
         inside: list[list[str]] = [[]]  # what each open element holds, as digests and texts
         stack = [0]
@@ -60,6 +61,7 @@ class Page:
                 node, held = stack.pop(), inside.pop()
                 digest = xxhash.xxh64_intdigest("\x1f".join(held).encode("utf-8", "surrogatepass"), 42)
                 self.hashes[node] = digest - (1 << 64) if digest >> 63 else digest
+                self.spans[node] = (self.spans[node][0], len(self.pieces))
                 if stack:
                     inside[-1].append(f"\x1e{digest}")
                     if self.has_text[node]:
@@ -113,6 +115,7 @@ class Page:
             self.marked.append(bool(found) and not MARKS.isdisjoint(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", found).lower())))
             self.hashes.append(0)
             self.has_text.append(False)
+            self.spans.append((len(self.pieces), 0))
             stack.append(node)
             inside.append([name, found])
             if name in RAW and not m[3].endswith("/"):
@@ -133,22 +136,29 @@ class Page:
                 return inside
         return [True] * len(self.tags)
 
-    def candidates(self) -> list[tuple[int, bool]]:
-        """(hash, lies in the article) of the subtrees to count."""
-        article = self.scope()
-        whole = all(article)
-        found = {}
+    def countable(self) -> list[bool]:
+        """Which elements may be templates: those with text that share no block with text around them.
+
+        So a word in bold or a link within a sentence is no template, and a paragraph or a span of its own is one.
+        """
+        filled = [k for k, (_, _, piece) in enumerate(self.pieces) if not piece.isspace()]
+        found = [False] * len(self.tags)
         for k in range(1, len(self.tags)):
-            if self.has_text[k] and self.tags[k] not in ("html", "body", "article", "main"):
-                inside = article[k] and not whole
-                if not inside or self.tags[k] in CONTAINERS:
-                    found[self.hashes[k]] = inside
-        return list(found.items())
+            if self.has_text[k] and self.tags[k] not in ("html", "body"):
+                a, b = (bisect_left(filled, at) for at in self.spans[k])
+                block = lambda at: self.pieces[filled[at]][0] if 0 <= at < len(filled) else -1
+                found[k] = a == b or (block(a - 1) != block(a) and block(b) != block(b - 1))
+        return found
+
+    def candidates(self) -> list[int]:
+        """The hashes of the subtrees to count."""
+        return list({self.hashes[k] for k, yes in enumerate(self.countable()) if yes})
 
     def text(self, templates: frozenset[int] | set[int] = frozenset()) -> str:
         article = self.scope()
         whole = all(article)
         gone = [False] * len(self.tags)
+        countable = self.countable() if templates else gone
         for k in range(1, len(self.tags)):
             tag, inside = self.tags[k], article[k] and not whole
             root = tag in ("html", "body", "article", "main")
@@ -156,7 +166,8 @@ class Page:
                 gone[self.parents[k]]
                 or tag in DROPPED
                 or (tag == "header" and not inside)
-                or (not root and (self.marked[k] or (self.hashes[k] in templates and (not inside or tag in CONTAINERS))))
+                or (not root and self.marked[k])
+                or (countable[k] and self.hashes[k] in templates)
             )
         blocks: dict[int, list[str]] = {}
         for block, node, piece in self.pieces:
@@ -170,21 +181,29 @@ def _host(url: str) -> F.Column:
 
 
 def subtrees(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """(key, host, hash, inside, content): the countable subtrees of each page; ``content`` identifies its text."""
+    """(key, host, hash, content): the countable subtrees of each page, and a row with null hash for the page; ``content`` identifies its text."""
     small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, hashes, inside, contents = [], [], [], []
+            rows, hashes, contents = [], [], []
             for row, source in enumerate(batch.column(2).to_pylist()):
                 page = Page(source or "")
                 content = xxhash.xxh64_intdigest(page.text().encode("utf-8", "surrogatepass"), 42) - (1 << 63)
-                for digest, within in page.candidates():
-                    rows.append(row), hashes.append(digest), inside.append(within), contents.append(content)
+                for digest in (None, *page.candidates()):
+                    rows.append(row), hashes.append(digest), contents.append(content)
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(hashes, pa.int64()), pa.array(inside, pa.bool_()), pa.array(contents, pa.int64())], ["key", "host", "hash", "inside", "content"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(hashes, pa.int64()), pa.array(contents, pa.int64())], ["key", "host", "hash", "content"])
+
+    return pages.select(F.xxhash64(url, html).alias("key"), _host(url).alias("host"), html).mapInArrow(run, "key long, host string, hash long, content long")
+
 
-    return pages.select(F.xxhash64(url, html).alias("key"), _host(url).alias("host"), html).mapInArrow(run, "key long, host string, hash long, inside boolean, content long")
+def _templates(found: DataFrame, broadcast_limit: int) -> DataFrame:
+    """(host, hash) of the subtrees on at least ``SHARE`` of their host's different pages, and on ``MIN_PAGES`` at least."""
+    seen = written(found.select("host", "hash", "content").distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES), "html-counts")
+    hosts = seen.where("hash IS NULL").select("host", F.col("n").alias("pages"))
+    few = hosts.count() <= broadcast_limit
+    return seen.where("hash IS NOT NULL").join(F.broadcast(hosts) if few else hosts.hint("merge"), "host").where(F.col("n") >= SHARE * F.col("pages")).select("host", "hash")
 
 
 def main_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", broadcast_limit: int = BROADCAST_TEMPLATES) -> DataFrame:
@@ -196,10 +215,7 @@ def main_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     """
     spark = pages.sparkSession
     found = written(subtrees(pages, html, url), "html-subtrees")
-    templates = written(
-        found.select("host", "hash", "inside", "content").distinct().groupBy("host", "hash").agg(F.count("*").alias("n"), F.max("inside").alias("inside")).where((F.col("n") >= MIN_PAGES_INSIDE) | (~F.col("inside") & (F.col("n") >= MIN_PAGES))).select("host", "hash"),
-        "html-templates",
-    )
+    templates = written(_templates(found, broadcast_limit), "html-templates")
     n = templates.count()
     rows = pages.select(page_id, url, _host(url).alias("host"), html)
     if n <= broadcast_limit:

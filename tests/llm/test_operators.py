@@ -176,6 +176,21 @@ def test_html_main_text(spark):
     assert html.main_texts(pages.limit(0)).count() == 0
 
 
+def _texts(spark, sources, limit):
+    pages = spark.createDataFrame([(k, f"http://{host}/{k}", source) for k, (host, source) in enumerate(sources)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html.main_texts(pages, broadcast_limit=limit).collect()}
+
+
+@pytest.mark.parametrize("limit", [100, 0])
+def test_html_recurrence_decides(spark, limit):
+    """Unmarked template blocks go with and without article tags; common inline words and what few pages share stay."""
+    notice, shared = "<p>All rights reserved.</p><blockquote>Join us</blockquote>", "<p>A passage that seven share.</p>"
+    own = lambda k: f"<header>Site line</header><p>Text <b>bold</b> {k}.</p>{shared if k < 7 else ''}{notice}<figure><img src=x><figcaption>Logo</figcaption></figure><span>Call now</span>"
+    out = _texts(spark, [("a.example", f"<body><article>{own(k)}</article></body>") for k in range(20)] + [("b.example", f"<body><h2>Top line</h2>{own(k)}</body>") for k in range(20)], limit)
+    for k in range(40):
+        assert out[k] == f"Text bold {k % 20}." + ("\n\nA passage that seven share." if k % 20 < 7 else "")
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return pieces.load()
