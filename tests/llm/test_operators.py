@@ -191,6 +191,17 @@ def test_html_recurrence_decides(spark, limit):
         assert out[k] == f"Text bold {k % 20}." + ("\n\nA passage that seven share." if k % 20 < 7 else "")
 
 
+@pytest.mark.parametrize("limit", [100, 0])
+def test_html_templates_by_share(spark, limit):
+    """What ten of a large host's pages share stays, and a host of four pages loses its menu."""
+    passage = "<ul><li>Shared list</li></ul><p>Shared words</p>"
+    large = [("big.example", f"<body>{'<article>' if k % 2 else ''}<p>Text {k}.</p>{passage if k < 20 else ''}</body>") for k in range(120)]
+    small = [("small.example", f"<body><div>Home News</div><p>Text {k}.</p></body>") for k in range(4)]
+    out = _texts(spark, large + small, limit)
+    assert [out[k] for k in range(120)] == [f"Text {k}." + ("\n\nShared list\n\nShared words" if k < 20 else "") for k in range(120)]
+    assert [out[120 + k] for k in range(4)] == [f"Text {k}." for k in range(4)]
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return pieces.load()
