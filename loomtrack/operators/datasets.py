@@ -136,6 +136,13 @@ def reid_pairs(manifest: DataFrame) -> DataFrame:
     return pairs.select(F.col("l_item_id").alias("left_id"), F.col("r_item_id").alias("right_id"), label.alias("label")).where("label IS NOT NULL")
 
 
+def reid_positives(manifest: DataFrame) -> DataFrame:
+    """(left_id, right_id, label): same parcel on different cameras anywhere in a session and split (JN12); grows with the sightings of a parcel."""
+    side = lambda p: manifest.select("session_id", "split", "global_id", *(F.col(c).alias(f"{p}_{c}") for c in ("item_id", "camera_role")))
+    pairs = side("l").join(side("r").hint("merge"), ["session_id", "split", "global_id"]).where("l_item_id < r_item_id AND l_camera_role <> r_camera_role")
+    return pairs.select(F.col("l_item_id").alias("left_id"), F.col("r_item_id").alias("right_id"), F.lit("POSITIVE").alias("label"))
+
+
 def referential_gaps(items: DataFrame, sessions: DataFrame) -> DataFrame:
     """Sessions that items name and that do not exist (JN13)."""
     return items.join(sessions, "session_id", "left_anti").groupBy("session_id").agg(F.count("*").alias("n"))

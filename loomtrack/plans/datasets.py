@@ -81,6 +81,13 @@ def jn12_reid_pairs(spark, sf):
     return ops.reid_pairs(m)
 
 
+def jn12_reid_pairs_whole(spark, sf):
+    """Positives over all items, of about 24 sightings a parcel at every size; negatives within blocks."""
+    parcels = F.greatest(F.floor(F.lit(fx.vectors(spark, sf).count()) / 24), F.lit(1))
+    m = _items(spark, sf).select("session_id", "split", F.floor(F.col("item_id") / 200).alias("pair_group"), "item_id", (F.col("vec_id") % parcels).alias("global_id"), "camera_role")
+    return ops.reid_positives(m).unionByName(ops.reid_pairs(m).where("label = 'NEGATIVE'"))
+
+
 def jn13_referential_gaps(spark, sf):
     return ops.referential_gaps(_items(spark, sf), spark.createDataFrame([(f"src{k}",) for k in range(0, 40, 2)], "session_id string"))
 
@@ -121,7 +128,7 @@ def so1_merge_catalogue_sources(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    sc1_mean_threshold_hash, sc2_stable_split, jn10_near_duplicates, jn12_reid_pairs, jn13_referential_gaps, jn14_manifest_diff, dq3_assign_splits, dq4_split_leaks, dq5_frozen_test_digest, dq14_finalize_dataset,
+    sc1_mean_threshold_hash, sc2_stable_split, jn10_near_duplicates, jn12_reid_pairs, jn12_reid_pairs_whole, jn13_referential_gaps, jn14_manifest_diff, dq3_assign_splits, dq4_split_leaks, dq5_frozen_test_digest, dq14_finalize_dataset,
     ag4_review_counts, ag5_split_counts, ag6_dataset_sessions_rollup, io12_training_manifest, io13_tracking_manifest, io14_reid_manifest, io14_reid_status, so1_merge_catalogue_sources, so2_id_set_diff, so3_required_splits, st9_greedy_dedup,
 )}
 

@@ -50,6 +50,11 @@ def jn17_continuation_candidates(spark, sf):
     return out.withColumn("combined", F.round("combined", 6))
 
 
+def jn17_continuation_candidates_whole(spark, sf):
+    t, edges, zones = _tracklets(spark, sf), fx.edges(spark), fx.zones(spark)
+    return ops.continuation_candidates(ops.handoff_score(_gated(spark, sf).where("accepted")), t, edges, zones).withColumn("combined", F.round("combined", 6))
+
+
 def gr1_components(spark, sf):
     scored = ops.handoff_score(_gated(spark, sf).where("accepted")).where("score >= 0.9")
     return connected_components(scored, "out_tracklet_id", "in_tracklet_id")
@@ -69,6 +74,10 @@ def gr4_assign_one_to_one(spark, sf):
     return ops.assign_one_to_one(ops.handoff_score(_gated(spark, sf).where("accepted AND to_role = 'C2'")), "out_tracklet_id", "in_tracklet_id")
 
 
+def gr4_assign_one_to_one_whole(spark, sf):
+    return ops.assign_one_to_one(ops.handoff_score(_gated(spark, sf).where("accepted")), "out_tracklet_id", "in_tracklet_id")
+
+
 def gr6_resolve_handoffs(spark, sf):
     return ops.resolve_handoffs(_tracklets(spark, sf), fx.edges(spark), fx.zones(spark), fx.vectors(spark, sf))
 
@@ -115,7 +124,7 @@ def ag17_insert_or_ignore(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    jn1_handoff_gates, jn17_continuation_candidates, sc3_vector_similarity, gr1_components, gr2_topology_rank, gr3_handoff_score, gr4_assign_one_to_one, gr6_resolve_handoffs, gr7_parcel_chains,
+    jn1_handoff_gates, jn17_continuation_candidates, jn17_continuation_candidates_whole, sc3_vector_similarity, gr1_components, gr2_topology_rank, gr3_handoff_score, gr4_assign_one_to_one, gr4_assign_one_to_one_whole, gr6_resolve_handoffs, gr7_parcel_chains,
     tk2_best_candidate, tk5_overflow, pf11_destination_result, pf13_descriptor_reliable, pf15_ingress_roles, ag13_pair_counts, ag14_multi_view_descriptor, ag17_insert_or_ignore, ml2_mine_pairs, ml3_episode_split,
 )}
 

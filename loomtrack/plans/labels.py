@@ -34,12 +34,19 @@ def ag12_observation_summary(spark, sf):
     return labels.observation_summary(_nested(spark, sf))
 
 
-def io7_yolo_label_lines(spark, sf):
-    lines = labels.yolo_label_lines(_obs(spark, sf).where("local_track_id % 3 > 0"), ["parcel", "person"])
-    parts = labels.parse_yolo_labels(lines)
+def _lines(obs):
+    parts = labels.parse_yolo_labels(labels.yolo_label_lines(obs, ["parcel", "person"]))
     return parts.select(*TRACK, "frame_index", "class_id", *(F.round(F.get("numbers", F.lit(k)) * size).cast("long").alias(f"v{k}") for k, size in enumerate((1280, 720, 640, 360))))
 
 
+def io7_yolo_label_lines(spark, sf):
+    return _lines(_obs(spark, sf).where("local_track_id % 3 > 0"))
+
+
+def io7_yolo_label_lines_whole(spark, sf):
+    return _lines(_obs(spark, sf))
+
+
 def io8_parse_yolo_labels(spark, sf):
     broken = F.when(F.col("local_track_id") % 5 == 0, "x 0.5").when(F.col("local_track_id") % 5 == 1, F.concat_ws(" ", F.lit("1"), F.col("x1"), F.lit("abc"))).otherwise(F.concat_ws(" ", F.lit("0"), F.col("x1"), F.col("y1")))
     return labels.parse_yolo_labels(_obs(spark, sf).withColumn("line", broken)).select(*TRACK, "frame_index", "class_id", F.size("numbers").cast("long").alias("n"), F.get("numbers", F.lit(0)).alias("v0"), F.get("numbers", F.lit(1)).alias("v1"))
@@ -94,7 +101,7 @@ def tk3_keyframes(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    io2_explode_detections, io3_flatten, io7_yolo_label_lines, io8_parse_yolo_labels, ag12_observation_summary, dq8_quality_gate, dq11_validate_labels, pf12_person_wrists, jn2_parcel_person_pairs, jn11_temporal_matches,
+    io2_explode_detections, io3_flatten, io7_yolo_label_lines, io7_yolo_label_lines_whole, io8_parse_yolo_labels, ag12_observation_summary, dq8_quality_gate, dq11_validate_labels, pf12_person_wrists, jn2_parcel_person_pairs, jn11_temporal_matches,
     st1_greedy_iou_tracks, st10_segment_frames, tk3_keyframes,
 )}
 

@@ -132,6 +132,12 @@ def ag15_registry_consistency(spark, sf):
     return ops.registry_consistency(a.where("status = 'ACTIVE' AND activation_id % 97 = 3"), _latest(a.where("runtime_applied")), _latest(a.where("status <> 'FAILED' AND activation_id % 2 = 0")))
 
 
+def ag15_registry_consistency_whole(spark, sf):
+    """The current registry: per task the model of the latest active row."""
+    a = fx.view(spark, sf, "activations")
+    return ops.registry_consistency(_latest(a.where("status = 'ACTIVE'")), _latest(a.where("runtime_applied")), _latest(a.where("status <> 'FAILED'")))
+
+
 def pf10_resolve_model_route(spark, sf):
     a = fx.view(spark, sf, "activations")
     routes = a.where("status = 'ACTIVE' AND task <> 'MACHINERY'").groupBy("task").agg(F.max_by("model_id", "activation_id").alias("model_id"), F.max("routing_generation").alias("generation"))
@@ -175,7 +181,7 @@ def pf1_align_clocks(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     pf1_align_clocks, pf10_resolve_model_route, jn4_archive_lookup, jn5_frame_origin, jn8_bind_parcel_events, jn9_known_parcel_for_event, jn15_source_status, ag3_session_report, ag7_media_coverage, ag8_media_report,
-    ag15_registry_consistency, ag16_dashboard_counts, wn11_running_epoch, tk1_recent, tk4_rollback_target, tk6_max_routing_generation, so4_decision_log, st5_project_parcels, st5_derived_drops, st6_hypotheses, st7_apply_resolutions,
+    ag15_registry_consistency, ag15_registry_consistency_whole, ag16_dashboard_counts, wn11_running_epoch, tk1_recent, tk4_rollback_target, tk6_max_routing_generation, so4_decision_log, st5_project_parcels, st5_derived_drops, st6_hypotheses, st7_apply_resolutions,
     ml6_metric_deltas, ml7_promotion_gate, ss3_tumbling_counts, ss3_sliding_counts, ss3_session_windows, ss5_admit_results,
 )}
 
