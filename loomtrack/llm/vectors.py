@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import erf, sqrt
 
 import numpy as np
 import pandas as pd
@@ -20,11 +21,9 @@ COSINE = 0.93
 BLOCK = 1024
 SEED = 20_240
 
-#: Collision counting: projections, share of them that must collide, growth of the window, vectors in a block of data and of queries.
-PROJECTIONS, COLLISIONS, GROWTH = 64, 0.55, 1.35
-DATA_BLOCK, QUERY_BLOCK = 8192, 2048
-#: Verified vectors per block before a query stops, besides the k wanted ones, as a share of the block.
-VERIFIED = 0.15
+#: Collision counting: directions, windows per unit of radius, the k-th distance's distance to the radius, rounds per median distance, vectors in a block, queries whose windows are found at once.
+PROJECTIONS, WIDTH, SLACK, STEPS = 128, 1.8, 1.03, 14
+DATA_BLOCK, QUERY_BATCH = 16_384, 32
 
 
 def usable(vector: str) -> Column:
@@ -153,73 +152,131 @@ def embedding_duplicates(rows: DataFrame, vec_id: str = "vec_id", vector: str =
 
 
 class Projections:
-    """Sorted arrays of a block's vectors along single random directions."""
+    """Sorted arrays of a block's vectors along single random directions (orthonormal ones, as far as the length allows)."""
 
     def __init__(self, x: np.ndarray):
-        self.directions = np.random.default_rng(SEED).standard_normal((x.shape[1], PROJECTIONS))
+        n, dim = x.shape
+        rng = np.random.default_rng(SEED)
+        bases = [np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(-(-PROJECTIONS // dim))]
+        self.x, self.directions = x, np.hstack(bases)[:, :PROJECTIONS] * np.sqrt(dim)  # a difference of length d has projections of size d
         values = (x @ self.directions).T
-        self.order = np.argsort(values, axis=1).astype(np.int32)
+        self.order = np.argsort(values, axis=1)
         self.sorted = np.take_along_axis(values, self.order, axis=1)
-        spread = np.median(np.abs(values - np.median(values, axis=1)[:, None]))
-        self.width = max(0.15 * float(spread), 1e-9)
-
-    def candidates(self, q: np.ndarray, wanted: int) -> np.ndarray:
-        """Vectors that collide with the query in enough windows, the windows grown until ``wanted`` are found."""
-        at, n = q @ self.directions, self.sorted.shape[1]
-        counts = np.zeros(n, np.int16)
-        low = np.array([np.searchsorted(s, v) for s, v in zip(self.sorted, at)])
-        high, need, width = low.copy(), int(np.ceil(COLLISIONS * PROJECTIONS)), self.width
-        while True:
-            for k in range(PROJECTIONS):
-                line = self.sorted[k]
-                a, b = np.searchsorted(line, (at[k] - width, at[k] + width))
-                a, b = min(a, low[k]), max(b, high[k])
-                counts[self.order[k, a : low[k]]] += 1
-                counts[self.order[k, high[k] : b]] += 1
-                low[k], high[k] = a, b
-            found = np.flatnonzero(counts >= need)
-            if len(found) >= min(wanted, n) or (low.max() == 0 and high.min() == n):
-                return found
-            width *= GROWTH
-
-
-def _nearest_in_block(data: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    ids, x = data["vec_id"].to_numpy(), _matrix(data["vector"])
-    index = Projections(x)
-    wanted = k + 1 + int(VERIFIED * len(x))
-    out: list[tuple[int, np.ndarray, np.ndarray]] = []
-    for query, q in zip(queries["query_id"].to_numpy(), _matrix(queries["vector"])):
-        found = index.candidates(q, wanted)
-        found = found[ids[found] != query]
-        distance = np.sqrt(((x[found] - q) ** 2).sum(axis=1))
-        best = np.lexsort((ids[found], distance))[:k]
-        out.append((query, ids[found[best]], distance[best]))
-    return pd.DataFrame({"query_id": np.repeat([q for q, _, _ in out], [len(i) for _, i, _ in out]).astype(np.int64), "vec_id": np.concatenate([i for _, i, _ in out]) if out else np.zeros(0, np.int64), "score": np.concatenate([d for _, _, d in out]) if out else np.zeros(0)})
-
-
-def nearest_neighbours(rows: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", data_block: int = DATA_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+        pairs = rng.integers(0, n, (2, 256))
+        apart = np.sqrt(((x[pairs[0]] - x[pairs[1]]) ** 2).sum(axis=1))
+        step = float(np.median(apart[apart > 0])) / STEPS if (apart > 0).any() else 1.0
+        widths = [step * 2.0**r for r in range(-6, 0)] + [step * r for r in range(1, int(1.25 * WIDTH * STEPS))]
+        while widths[-1] < np.ptp(values):  # beyond the distances of the sample
+            widths.append(1.25 * widths[-1])
+        self.radii = np.array([*widths, np.inf]) / WIDTH
+        self.threshold = np.array([sum(erf(w / v * WIDTH / sqrt(2)) for w in widths[: r + 1]) for r, v in enumerate(widths)]) * PROJECTIONS
+
+    def windows(self, queries: np.ndarray) -> np.ndarray:
+        """First place and place after the last of each query's window, by round and direction: (queries, 2, rounds, directions)."""
+        at, widths = queries @ self.directions, self.radii * WIDTH
+        out = np.empty((len(queries), 2, len(widths), PROJECTIONS), np.int64)
+        for j, line in enumerate(self.sorted):
+            for side, sign in enumerate((-1, 1)):
+                out[:, side, :, j] = np.searchsorted(line, at[:, j, None] + sign * widths, side="left" if side == 0 else "right")
+        return out
+
+    def nearest(self, q: np.ndarray, windows: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """(places, distances, verified): the ``k`` nearest found, one row for each id, and how many vectors were verified.
+
+        The windows around the query grow round by round (virtual rehashing): first they double,
+        then they grow by equal steps, at last they hold all. A vector collides once for each
+        round and direction in whose window it lies. A window of half width h stands for the
+        radius h / WIDTH; vectors with as many collisions as are to be expected at that radius
+        are verified. The search ends when the k-th distance found, times SLACK, lies within
+        the radius.
+        """
+        n, (lows, highs) = len(self.x), windows
+        low = high = (lows[0] + highs[0]) // 2
+        inside, collisions, verified = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+        places, distances = np.zeros(0, np.int64), np.zeros(0)
+        for r, radius in enumerate(self.radii):
+            a, b = lows[r], highs[r]
+            entered = [line[i:j] for line, i, j in zip(self.order, a.tolist(), low.tolist()) if i < j] + [line[i:j] for line, i, j in zip(self.order, high.tolist(), b.tolist()) if i < j]
+            if entered:
+                inside += np.bincount(np.concatenate(entered), minlength=n)
+            low, high = a, b
+            collisions += inside
+            new = np.flatnonzero(((collisions >= self.threshold[r]) if np.isfinite(radius) else True) & ~verified)
+            if len(new):
+                verified[new] = True
+                new = new[ids[new] != own]
+                places = np.concatenate((places, new))
+                distances = np.concatenate((distances, np.sqrt(((self.x[new] - q) ** 2).sum(axis=1))))
+                best = np.lexsort((distances, ids[places]))
+                named = ids[places[best]]
+                best = best[np.concatenate(([True], named[1:] != named[:-1]))[: len(best)]]  # of rows with one id the nearest
+                best = best[np.lexsort((ids[places[best]], distances[best]))[:k]]
+                places, distances = places[best], distances[best]
+            if len(places) == k and distances[-1] * SLACK <= radius:
+                break
+        return places, distances, int(verified.sum())
+
+
+def _search(k: int):
+    """Answers the queries of each block of rows sorted by (dim, db, asks): the block's data come first, then the queries, which stream."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: tuple[int, int] | None = None
+        ids: list[np.ndarray] = []
+        data: list[np.ndarray] = []
+        index: Projections | None = None
+        for batch in batches:
+            dims, blocks, asks, vec_ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(4))
+            values, starts = batch.column(5).flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.concatenate(([0], np.cumsum(dims)))
+            tags = batch.column(4).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((np.diff(dims) != 0) | (np.diff(blocks) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1).tolist(), batch.num_rows]
+            for i, j in zip(cuts, cuts[1:]):
+                if i == j:
+                    continue
+                x = values[starts[i] : starts[j]].reshape(j - i, -1)
+                if (dims[i], blocks[i]) != block:
+                    block, ids, data, index = (dims[i], blocks[i]), [], [], None
+                if not asks[i]:
+                    ids.append(vec_ids[i:j])
+                    data.append(x)
+                    continue
+                if index is None:
+                    if not data:
+                        continue
+                    known, index = np.concatenate(ids), Projections(np.concatenate(data))
+                    ids, data = [known], []
+                found = []
+                for at in range(i, j, QUERY_BATCH):
+                    some = x[at - i : at - i + QUERY_BATCH]
+                    found += [index.nearest(q, w, ids[0], own, k)[:2] for q, w, own in zip(some, index.windows(some), vec_ids[at:j])]
+                many = [len(p) for p, _ in found]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(vec_ids[i:j], many)), pa.array(np.repeat(tags[i:j], many)), pa.array(ids[0][np.concatenate([p for p, _ in found])]), pa.array(np.concatenate([d for _, d in found]))],
+                    ["query_id", "asking", "vec_id", "score"],
+                )
+
+    return run
+
+
+def nearest_neighbours(rows: DataFrame, queries: Column, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", data_block: int = DATA_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows found for each row where ``queries`` holds.
 
-    Every block of data meets every block of queries in a task of bounded size; in it the
-    windows around a query grow along each projection until enough vectors collide, which
-    are verified by their Euclidean distance. The best of all blocks are ranked; ties go to
-    the smaller id. Rows whose vector is null, empty, zero, or has null or non-finite
-    components, or whose id is null, take no part, nor does a query's own id; vectors of
-    other lengths are not compared. With fewer candidates than ``k`` all are returned. Repeated rows
-    count as often as they come; a repeated query id is asked once for each row.
+    Rows are dealt into blocks of about ``data_block`` vectors. Each block is one unit of work:
+    its sorted arrays are built once, then all queries stream past it. The best of all blocks
+    are ranked; ties go to the smaller id. Rows whose vector is null, empty, zero, or has null
+    or non-finite components, or whose id is null, take no part, nor does a query's own id;
+    vectors of other lengths are not compared. With fewer candidates than ``k`` all are
+    returned. Rows equal in id and vector are one; of candidates with one id and different
+    vectors the nearest counts, so that no neighbour is named twice; a query id with different vectors
+    is asked, and ranked, once for each. An empty table gives an empty result. Other columns are ignored.
     """
-    kept = rows.where(F.col(vec_id).isNotNull() & usable(vector)).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("vector"), F.size(vector).alias("dim"), F.coalesce(queries, F.lit(False)).alias("asks"))
-    n, n_queries = kept.agg(F.count("*"), F.count_if("asks")).first()
-    data_blocks, query_blocks = max(1, -(-n // data_block)), max(1, -(-n_queries // query_block))
-    data = kept.withColumn("db", F.pmod(F.xxhash64("vec_id"), F.lit(data_blocks)).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb")).select("dim", "db", "qb", "vec_id", "vector")
-    asked = kept.where("asks").withColumn("qb", F.pmod(F.xxhash64(F.col("vec_id"), F.lit(1)), F.lit(query_blocks)).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.lit(data_blocks - 1))).alias("db")).select("dim", "db", "qb", F.col("vec_id").alias("query_id"), "vector")
-
-    def block(data: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(data) or not len(queries):
-            return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        return _nearest_in_block(data, queries, k)
-
-    keys = ["dim", "db", "qb"]
-    found = data.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(block, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    kept = rows.where(F.col(vec_id).isNotNull() & usable(vector)).select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("vector"), F.coalesce(queries, F.lit(False)).alias("asks"))
+    kept = written(kept.groupBy("vec_id", "vector").agg(F.max("asks").alias("asks")).select("*", F.size("vector").alias("dim"), F.xxhash64("vec_id", "vector").alias("tag")), "nearest-rows")
+    blocks = max(1, -(-kept.count() // data_block))
+    data = kept.select("dim", F.pmod("tag", F.lit(blocks)).cast("int").alias("db"), F.lit(False).alias("asks"), "vec_id", "tag", "vector")
+    asked = kept.where("asks").select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("db"), "asks", "vec_id", "tag", "vector")
+    met = data.unionByName(asked).repartition("dim", "db").sortWithinPartitions("dim", "db", "asks")
+    found = met.mapInArrow(_search(k), "query_id long, asking long, vec_id long, score double")
+    found = found.groupBy("query_id", "asking", "vec_id").agg(F.min("score").alias("score"))
+    order = Window.partitionBy("query_id", "asking").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -113,6 +113,40 @@ def test_neighbours_recall(spark, sf):
     assert vectors.nearest_neighbours(few.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_neighbours_verify_few_and_find_most(spark):
+    """At sf0.1: the search itself, against brute force, verifies less than a tenth of the rows."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
+    ids, x = table["vec_id"].to_numpy(), np.stack(table["embedding"].to_numpy()).astype(np.float64)
+    index, asked = vectors.Projections(x), np.flatnonzero(ids % 25 == 0)
+    verified = hits = 0
+    for q, windows in zip(asked, index.windows(x[asked])):
+        places, distances, many = index.nearest(x[q], windows, ids, ids[q], 10)
+        d = np.where(ids == ids[q], np.inf, np.sqrt(((x - x[q]) ** 2).sum(axis=1)))
+        hits += len(set(ids[places]) & set(ids[np.lexsort((ids, d))[:10]]))
+        assert np.array_equal(distances, d[places])
+        verified += many
+    assert verified < 0.1 * len(x) * len(asked) and hits >= 0.9 * 10 * len(asked)
+
+
+def test_neighbours_of_odd_rows(spark):
+    """Repeated rows, a repeated query id, an id with several vectors, unusable vectors, clashing columns, ties."""
+    rng = np.random.default_rng(3)
+    rows = [(k, [float(v) for v in rng.standard_normal(8)]) for k in range(1, 40)]
+    rows += [rows[4], rows[4], (7, [9.0] * 8), (0, [0.0] * 7 + [1.0]), (0, [0.0] * 7 + [1.0]), (0, [5.0] + [0.0] * 7)]
+    rows += [(50, rows[2][1]), (51, [float("nan")] * 8), (52, [float("inf")] * 8), (53, [None] * 8), (54, [0.0] * 8), (None, rows[1][1]), (55, []), (56, None), (57, [1.0])]
+    table = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, embedding array<double>, rank int, query_id string")
+    found = [(r.query_id, r.rank, r.vec_id, r.score) for r in vectors.nearest_neighbours(table, F.col("vec_id") == 0, data_block=8).collect()]
+    usable = [(i, np.array(v)) for i, v in rows if i and v and len(v) == 8 and None not in v and np.isfinite(v).all() and any(v)]
+    want = []
+    for q in ([0.0] * 7 + [1.0], [5.0] + [0.0] * 7):
+        best: dict[int, float] = {}
+        for i, v in usable:
+            best[i] = min(best.get(i, np.inf), float(np.sqrt(((v - np.array(q)) ** 2).sum())))
+        want += [(0, k + 1, i, d) for k, (d, i) in enumerate(sorted((d, i) for i, d in best.items())[:10])]
+    assert len(found) == 20 and [f[:3] for f in sorted(found)] == [w[:3] for w in sorted(want)]
+    assert np.allclose([f[3] for f in sorted(found)], [w[3] for w in sorted(want)], rtol=1e-15)
+
+
 def _accuracy(scored, labels, label, held):
     truth = {r["doc_id"]: r[label] for r in labels.collect()}
     rows = [(r.score >= 0.5, truth[r.doc_id] == 1) for r in scored.collect() if r.doc_id in truth and held(r.doc_id)]
