@@ -14,8 +14,9 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
     Alternating large-star and small-star rounds: every vertex hangs its larger
     neighbours, then its smaller ones, below the smallest neighbour it knows. Rounds
     grow with the logarithm of the longest path. Neighbour lists are never collected:
-    the smallest neighbour is a partially aggregated minimum and the rewiring an
-    equi-join, which AQE can split when one vertex has most of the edges.
+    the smallest neighbour is a partially aggregated minimum, checkpointed, and the
+    rewiring an equi-join of two plain shuffles, which AQE can split when one vertex has
+    most of the edges.
 
     Null ends and self-loops are ignored; an empty edge table gives an empty result;
     repeated and reversed edges change nothing.
@@ -34,9 +35,9 @@ def connected_components(edges: DataFrame, src: str, dst: str) -> DataFrame:
             break
         before = state
         both = current.union(current.select("v", "u")).toDF("x", "y")
-        low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.where("y > x").join(low.hint("merge"), "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")).checkpoint()
+        large = both.where("y > x").join(low.hint("merge"), "x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct().checkpoint()
+        low = large.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
         small = large.join(low.hint("merge"), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         current = small.union(low.select("u", F.col("m").alias("v"))).distinct().checkpoint()
     roots = current.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
