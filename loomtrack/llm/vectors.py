@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import erf, sqrt
+from math import acos, ceil, erf, log, log2, pi, sqrt
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtrack.functions.shared import written
 from loomtrack.operators.graph import connected_components
 
-#: Tables and hyperplanes in each: a pair at cosine 0.93 shares no bucket with probability (1 - 0.88**8)**18 = 0.0003.
-TABLES, BITS = 18, 8
 COSINE = 0.93
+#: Hyperplanes in a table at least, vectors that a bucket should hold on average, and how likely a pair at the limit may share no bucket.
+BITS, BUCKET, MISS = 8, 128, 3e-4
 #: Vectors of a bucket that meet in one task; larger buckets are split into pairs of blocks.
 BLOCK = 1024
+#: Up to so many large buckets are broadcast (50 bytes each); more are joined.
+BROADCAST_BUCKETS = 100_000
 SEED = 20_240
 
 #: Collision counting: directions, windows per unit of radius, the k-th distance's distance to the radius, rounds per median distance, vectors in a block, queries whose windows are found at once.
@@ -37,13 +40,38 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack(vectors.to_numpy()).astype(np.float64)
 
 
+def tables_for(largest: int) -> tuple[int, int]:
+    """(tables, hyperplanes in each) for a label of ``largest`` different vectors.
+
+    Buckets keep their mean size as a label grows, so comparisons grow with the rows, not with
+    their square; more hyperplanes part more pairs at the limit, which more tables make up for.
+    """
+    bits = max(BITS, ceil(log2(max(largest, 1) / BUCKET)))
+    together = (1 - acos(COSINE) / pi) ** bits
+    return ceil(log(MISS) / log(1 - together)), bits
+
+
 def _classes(rows: DataFrame, vec_id: str, vector: str, label: str) -> DataFrame:
     """(label, vector, rep, copies): equal vectors of a label as one, named by their smallest id."""
     return rows.where(F.col(label).isNotNull() & F.col(vec_id).isNotNull() & usable(vector)).groupBy(F.col(label).alias("label"), F.col(vector).alias("vector")).agg(F.min(vec_id).alias("rep"), F.count("*").alias("copies"))
 
 
-def _signed(classes: DataFrame) -> DataFrame:
-    """One row per class and table: (label, dim, tab, sig, rep, copies, vector, sigs)."""
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled by the largest component first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(axis=1)[:, None]
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
+def _planes(dim: int, tables: int, bits: int) -> np.ndarray:
+    return np.random.default_rng(SEED + dim).standard_normal((dim, tables * bits))
+
+
+def _signatures(unit: np.ndarray, tables: int, bits: int, planes: np.ndarray) -> np.ndarray:
+    return ((unit @ planes > 0).reshape(len(unit), tables, bits) << np.arange(bits)).sum(axis=2)
+
+
+def _signed(classes: DataFrame, tables: int, bits: int) -> DataFrame:
+    """One row per class and table: (label, dim, rep, copies, vector, tab, sig)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         planes: dict[int, np.ndarray] = {}
@@ -51,16 +79,15 @@ def _signed(classes: DataFrame) -> DataFrame:
             pdf = pdf.assign(dim=pdf["vector"].map(len))
             for dim, part in pdf.groupby("dim"):
                 if dim not in planes:
-                    planes[dim] = np.random.default_rng(SEED + dim).standard_normal((dim, TABLES * BITS))
-                bits = (_matrix(part["vector"]) @ planes[dim] > 0).reshape(len(part), TABLES, BITS)
-                sigs = (bits << np.arange(BITS)).sum(axis=2).astype(np.int16)
+                    planes[dim] = _planes(dim, tables, bits)
+                sigs = _signatures(_unit(_matrix(part["vector"])), tables, bits, planes[dim])
                 yield pd.DataFrame({"label": part["label"], "dim": part["dim"], "rep": part["rep"], "copies": part["copies"], "vector": part["vector"], "sigs": list(sigs)})
 
-    signed = classes.mapInPandas(run, f"label {classes.schema['label'].dataType.simpleString()}, dim int, rep long, copies long, vector {classes.schema['vector'].dataType.simpleString()}, sigs array<smallint>")
-    return signed.select("*", F.posexplode("sigs").alias("tab", "sig"))
+    signed = classes.mapInPandas(run, f"label {classes.schema['label'].dataType.simpleString()}, dim int, rep long, copies long, vector {classes.schema['vector'].dataType.simpleString()}, sigs array<long>")
+    return signed.select("label", "dim", "rep", "copies", "vector", F.posexplode("sigs").alias("tab", "sig"))
 
 
-def _links_of_bucket(x: np.ndarray, sigs: np.ndarray, tab: int, low: bool, high: bool, reps: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, ...]:
+def _links_of_bucket(x: np.ndarray, sigs: np.ndarray, tab: int, low: np.ndarray, high: np.ndarray, reps: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, ...]:
     """For one pair of blocks of a bucket: links of each linked vector, and the smallest vector it is connected with here.
 
     ``low`` and ``high`` say which vectors belong to which block. A pair counts only in the
@@ -90,37 +117,56 @@ def _links_of_bucket(x: np.ndarray, sigs: np.ndarray, tab: int, low: bool, high:
     return reps[found], links[found].astype(np.int64), root[found]
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Walks rows sorted by ``bucket``; a bucket that runs over a batch's end is carried on."""
-    held: pa.Table | None = None
-
-    def of(rows: pa.Table) -> pa.RecordBatch:
-        bucket, n = rows["bucket"].to_numpy(), rows.num_rows
-        flat = lambda c: rows[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        dims = rows["dim"].to_numpy()
-        starts = np.concatenate(([0], np.cumsum(dims)))
-        values, sigs = flat("vector").astype(np.float64), flat("sigs").reshape(n, TABLES)
-        tab, block, low, high, reps, copies = (rows[c].to_numpy() for c in ("tab", "block", "low", "high", "rep", "copies"))
-        cuts = [0, *(np.flatnonzero((bucket[1:] != bucket[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (dims[1:] != dims[:-1])) + 1).tolist(), n]
-        out = []
-        for i, j in zip(cuts, cuts[1:]):
-            if j - i > 1:
-                x = values[starts[i] : starts[j]].reshape(j - i, -1)
-                x = x / np.sqrt((x * x).sum(axis=1))[:, None]
-                first = block[i:j] == low[i]
-                out.append(_links_of_bucket(x, sigs[i:j], int(tab[i]), first, first if low[i] == high[i] else ~first, reps[i:j], copies[i:j]))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64), pa.int64()) for k in range(3)], ["rep", "links", "root"])
-
-    for batch in batches:
-        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
-        bucket, low, high = rows["bucket"].to_numpy(), rows["low"].to_numpy(), rows["high"].to_numpy()
-        same = (bucket == bucket[-1]) & (low == low[-1]) & (high == high[-1])
-        last = rows.num_rows - int(same[::-1].argmin()) if not same.all() else 0
-        held = rows.slice(last)
-        if last:
-            yield of(rows.slice(0, last))
-    if held is not None:
-        yield of(held)
+def _links(tables: int, bits: int):
+    """Walks rows sorted by KEYS; a unit (a pair of blocks of a bucket) that runs over a batch's end is carried on."""
+
+    def starts_of(rows: pa.Table) -> np.ndarray:
+        """Where another unit starts, the first row left out."""
+        n = rows.num_rows
+        differ = np.zeros(max(n - 1, 0), bool)
+        for c in KEYS:
+            column = rows[c].combine_chunks()
+            differ |= pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+        return np.flatnonzero(differ) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: dict[int, np.ndarray] = {}
+
+        def of(rows: pa.Table) -> pa.RecordBatch:
+            n = rows.num_rows
+            dims = rows["dim"].to_numpy()
+            starts = np.concatenate(([0], np.cumsum(dims)))
+            values = rows["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            tab, block, low, high, reps, copies = (rows[c].to_numpy() for c in ("tab", "block", "low", "high", "rep", "copies"))
+            cuts = [0, *starts_of(rows).tolist(), n]
+            out = []
+            for i, j in zip(cuts, cuts[1:]):
+                if j - i > 1:
+                    dim = int(dims[i])
+                    if dim not in planes:
+                        planes[dim] = _planes(dim, tables, bits)
+                    x = _unit(values[starts[i] : starts[j]].reshape(j - i, -1))
+                    first = block[i:j] == low[i]
+                    sigs = _signatures(x, int(tab[i]), bits, planes[dim][:, : int(tab[i]) * bits])
+                    out.append(_links_of_bucket(x, sigs, int(tab[i]), first, first if low[i] == high[i] else ~first, reps[i:j], copies[i:j]))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64), pa.int64()) for k in range(3)], ["rep", "links", "root"])
+
+        held: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            units = starts_of(rows)
+            last = int(units[-1]) if len(units) else 0
+            held = rows.slice(last)
+            if last:
+                yield of(rows.slice(0, last))
+        if held is not None:
+            yield of(held)
+
+    return run
+
+
+#: What makes a unit of comparison, in the order of sorting.
+KEYS = ("label", "dim", "tab", "sig", "low", "high")
 
 
 def embedding_duplicates(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
@@ -131,18 +177,20 @@ def embedding_duplicates(rows: DataFrame, vec_id: str = "vec_id", vector: str =
     count, so copies are never expanded into pairs, and a large bucket is compared in pairs of
     blocks, each its own task. Vectors that are null, empty, zero, or hold null or non-finite
     components, or have a null id or label, link with nothing: they are their own component.
-    Repeated rows link with each other. An empty table gives an empty result.
+    Repeated rows link with each other. An empty table gives an empty result. Other columns are ignored.
     """
     classes = written(_classes(rows, vec_id, vector, label), "vectors-classes")
-    signed = _signed(classes).withColumn("bucket", F.xxhash64("label", "dim", "tab", "sig"))
-    sizes = signed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
-    blocks = F.coalesce(F.ceil(F.col("n") / F.lit(BLOCK)), F.lit(1)).cast("int")
-    placed = signed.join(sizes.hint("merge"), "bucket", "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    met = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("bucket", "dim", "tab", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "copies", "vector", "sigs")
-    sorted_rows = met.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "dim")
-    pairs = written(sorted_rows.mapInArrow(_links, "rep long, links long, root long"), "vectors-links")
-    links = pairs.groupBy("rep").agg(F.sum("links").alias("links"))
-    parts = connected_components(pairs.select("rep", "root"), "rep", "root").toDF("rep", "component")
+    largest = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    tables, bits = tables_for(largest)
+    bucket = ["label", "dim", "tab", "sig"]
+    sizes = written(_signed(classes, tables, bits).groupBy(*bucket).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select(*bucket, F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("many")), "vectors-sizes")
+    few = sizes.count() <= BROADCAST_BUCKETS
+    placed = _signed(classes, tables, bits).join(F.broadcast(sizes) if few else sizes.hint("merge"), bucket, "left").withColumn("blocks", F.coalesce("many", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    met = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(*bucket, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "rep", "copies", "vector")
+    sorted_rows = met.repartition(*KEYS).sortWithinPartitions(*KEYS)
+    pairs = written(sorted_rows.mapInArrow(_links(tables, bits), "rep long, links long, root long"), "vectors-links")
+    links = written(pairs.groupBy("rep").agg(F.sum("links").alias("links")), "vectors-counts")
+    parts = written(connected_components(pairs.select("rep", "root"), "rep", "root").toDF("rep", "component"), "vectors-components")
     named = classes.join(links.hint("merge"), "rep", "left").join(parts.hint("merge"), "rep", "left").select("label", "vector", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     named = written(named, "vectors-named")
     left = rows.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("vector"), F.when(F.col(vec_id).isNotNull() & usable(vector), F.col(label)).alias("label"))
