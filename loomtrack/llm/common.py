@@ -7,8 +7,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in one Arrow batch of texts, so that a Python worker holds few long texts at once.
-TEXT_BATCH = 1000
+#: Bytes in one Arrow batch, so that a Python worker holds few long texts at once.
+BATCH_BYTES = 8 << 20
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,7 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
+    """Bounds Arrow batches by bytes where the session has Spark's default bound (64 MB); a batch holds one text at least."""
+    if spark.conf.get(_BYTES).lower() in ("67108864b", "67108864", "64m", "64mb"):
+        spark.conf.set(_BYTES, str(BATCH_BYTES))
 
 
 def map_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], dict[str, pa.Array]]], schema: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

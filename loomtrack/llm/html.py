@@ -3,8 +3,9 @@
 Every element's subtree is hashed; Spark counts, per host, on how many different pages a
 subtree stands and how many there are; what stands on at least half of them, inside an
 article or not, is the site's template and is deleted. What a page itself marks as menu,
-advert, form and the like goes too, as it may be unlike on every page. Pages that are
-copies of each other count once, and a passage that a few articles of a host share stays.
+advert, form and the like goes too, as it may be unlike on every page; inside the article
+only boxes that are marked by a whole class, id or role. Pages that are copies of each
+other count once, and a passage that a few articles of a host share stays.
 """
 
 from __future__ import annotations
@@ -28,37 +29,76 @@ SHARE, MIN_PAGES = 0.5, 3
 BROADCAST_TEMPLATES = 200_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript iframe xmp template svg".split())
+RAW = frozenset("script style title textarea noscript iframe xmp".split())
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
-DROPPED = frozenset("head nav footer aside form script style title noscript template iframe object svg canvas button select textarea dialog menu".split())
+DROPPED = frozenset("head nav footer aside form script style title noscript template iframe object svg canvas button select textarea dialog menu xmp".split())
 #: Words in class, id or role that mark what is not the article.
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies footer menu modal nav navbar navigation newsletter notice notices pager pagination popup promo related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+#: Inside the article only these elements are dropped by a mark, and only where it is a whole class, id or role.
+BOXES = frozenset("div section ul ol dl table figure header".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LIMITS = frozenset("ul ol table article section div body html blockquote".split())
+#: Elements nested deeper than this are read as if they were not opened, so that a page's parsing time grows with its length only.
+DEPTH = 256
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|[^<]+|<""", re.S)
-ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: One attribute of a tag: name, and value without quotes, or the quote that opens it.
+ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*(?:(["'])|([^\s>]*)))?""")
+TAG_END = re.compile(r"[\s/]*>")
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
+WORD = re.compile(r"[^a-z]+")
+
+
+def _tag(source: str, at: int) -> tuple[list[str], bool, int]:
+    """(values of class, id and role; whether a slash stands before the end; place after the tag) of a tag whose name ends at ``at``.
+
+    Values in quotes may hold any character. A quote that is never closed ends with the tag,
+    at the next ``>``; a tag without an end takes the rest of the page. No place is read more than a few times.
+    """
+    found = []
+    while True:
+        end = TAG_END.match(source, at)
+        if end:
+            return found, source[end.end() - 2] == "/", end.end()
+        m = ATTRIBUTE.match(source, at)
+        if m is None:
+            return found, False, len(source)
+        value, at = m[3], m.end()
+        if m[2]:
+            close = source.find(m[2], at)
+            if close < 0:
+                close = source.find(">", at)
+                value = source[at : close if close >= 0 else len(source)]
+                at = close if close >= 0 else len(source)
+            else:
+                value, at = source[at:close], close + 1
+        if value and m[1].lower() in ("class", "id", "role"):
+            found.append(entities.unescape(value))
 
 
 class Page:
     """The elements of a page in the order they open, and its text pieces.
 
-    ``tags``, ``parents``, ``marked``, ``hashes``, ``has_text`` and ``spans`` (first piece,
-    piece after the last) go by element; a piece is (block number, element, text).
+    ``tags``, ``parents``, ``marked`` (0: no, 1: by a word in class, id or role, 2: by a whole
+    one), ``hashes``, ``has_text`` and ``spans`` (first piece, piece after the last) go by
+    element; a piece is (block number, element, text).
     """
 
     def __init__(self, source: str):
-        self.tags, self.parents, self.marked, self.hashes, self.has_text = ["#"], [0], [False], [0], [False]
+        self.tags, self.parents, self.marked, self.hashes, self.has_text = ["#"], [0], [0], [0], [False]
         self.spans = [(0, 0)]
         self.pieces: list[tuple[int, int, str]] = []
         inside: list[list[str]] = [[]]  # what each open element holds, as digests and texts
         stack = [0]
+        opened: dict[str, int] = {}  # open elements by name
+        skipped: dict[str, int] = {}  # elements too deep to be opened, by name
         block = at = 0
-        lower = None
 
         def close(depth: int) -> None:
             while len(stack) > depth:
                 node, held = stack.pop(), inside.pop()
+                if stack:
+                    opened[self.tags[node]] -= 1
                 digest = xxhash.xxh64_intdigest("\x1f".join(held).encode("utf-8", "surrogatepass"), 42)
                 self.hashes[node] = digest - (1 << 64) if digest >> 63 else digest
                 self.spans[node] = (self.spans[node][0], len(self.pieces))
@@ -67,30 +107,48 @@ class Page:
                     if self.has_text[node]:
                         self.has_text[stack[-1]] = True
 
+        def words(text: str) -> None:
+            if not text:
+                return
+            text = entities.unescape(text) if "&" in text else text
+            self.pieces.append((block, stack[-1], text))
+            if flat := " ".join(text.split()):
+                inside[-1].append(flat)
+                self.has_text[stack[-1]] = True
+
         while at < len(source):
-            m = TOKEN.match(source, at)
-            at = m.end()
-            name = m[2]
-            if name is None:
-                text = m[0]
-                if text[0] != "<" or text == "<":
-                    text = entities.unescape(text) if "&" in text else text
-                    self.pieces.append((block, stack[-1], text))
-                    if flat := " ".join(text.split()):
-                        inside[-1].append(flat)
-                        self.has_text[stack[-1]] = True
+            start = source.find("<", at)
+            if start != at:
+                words(source[at : start if start >= 0 else len(source)])
+                at = start if start >= 0 else len(source)
                 continue
-            name = name.lower()
+            m = NAME.match(source, at)
+            if m is None:
+                if source.startswith("<!--", at):
+                    end = source.find("-->", at + 2)  # a comment may end with the dashes that open it
+                    at = end + 3 if end >= 0 else len(source)
+                elif source.startswith(("<!", "<?", "</"), at):
+                    end = source.find(">", at)
+                    at = end + 1 if end >= 0 else len(source)
+                else:
+                    words("<")
+                    at += 1
+                continue
+            name = m[2].lower()
+            values, slash, at = _tag(source, m.end())
             if m[1]:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if self.tags[stack[depth]] == name:
-                        close(depth)
-                        break
                 block += name in BLOCK
+                if skipped.get(name):
+                    skipped[name] -= 1
+                elif opened.get(name):
+                    for depth in range(len(stack) - 1, 0, -1):
+                        if self.tags[stack[depth]] == name:
+                            close(depth)
+                            break
                 continue
             if name in BLOCK:
                 block += 1
-                for depth in range(len(stack) - 1, 0, -1):
+                for depth in range(len(stack) - 1, 0, -1) if opened.get("p") else ():
                     if self.tags[stack[depth]] == "p":
                         close(depth)
                         break
@@ -108,33 +166,54 @@ class Page:
                     self.pieces.append((block, stack[-1], " "))
                 inside[-1].append(name)
                 continue
-            found = " ".join(a or b or c for _, a, b, c in ATTRIBUTE.findall(m[3])) if m[3] else ""
+            deep = len(stack) > DEPTH
+            if deep and name not in RAW:
+                skipped[name] = skipped.get(name, 0) + 1
+                continue
             node = len(self.tags)
             self.tags.append(name)
             self.parents.append(stack[-1])
-            self.marked.append(bool(found) and not MARKS.isdisjoint(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", found).lower())))
+            whole = any(not MARKS.isdisjoint(v.lower().split()) for v in values)
+            self.marked.append(2 if whole else 1 if any(not MARKS.isdisjoint(WORD.split(re.sub(r"([a-z])([A-Z])", r"\1-\2", v).lower())) for v in values) else 0)
             self.hashes.append(0)
             self.has_text.append(False)
             self.spans.append((len(self.pieces), 0))
             stack.append(node)
-            inside.append([name, found])
-            if name in RAW and not m[3].endswith("/"):
-                lower = lower if lower is not None else source.lower()
-                end = lower.find(f"</{name}", at)
-                inside[-1].append(" ".join(source[at : end if end >= 0 else len(source)].split()))
-                at = source.find(">", end) + 1 if end >= 0 and source.find(">", end) >= 0 else len(source)
+            opened[name] = opened.get(name, 0) + 1
+            inside.append([name, " ".join(values)])
+            if name in RAW:
+                end = RAW_END[name].search(source, at)
+                inside[-1].append(" ".join(source[at : end.start() if end else len(source)].split()))
+                at = _tag(source, end.end())[2] if end else len(source)
+                close(len(stack) - 1)
+            elif slash and name == "svg":
                 close(len(stack) - 1)
         close(0)
 
     def scope(self) -> list[bool]:
-        """Which elements lie in the article: article elements, else a main element, else all."""
+        """Which elements lie in the article: article elements or a main element, whichever holds most text; else all.
+
+        Article elements are preferred where they hold half of the main element's text at
+        least, so that a teaser in an article element does not hide the main text.
+        """
+        own = [0] * len(self.tags)
+        for _, node, piece in self.pieces:
+            own[node] += len(piece)
+        found, dropped = {}, [False] * len(self.tags)
         for wanted in ("article", "main"):
-            inside = [False] * len(self.tags)
+            inside, size = [False] * len(self.tags), 0
             for k in range(1, len(self.tags)):
-                inside[k] = inside[self.parents[k]] or self.tags[k] == wanted
+                tag, parent = self.tags[k], self.parents[k]
+                inside[k] = inside[parent] or tag == wanted
+                dropped[k] = dropped[parent] or tag in DROPPED or (self.marked[k] == 2 and tag in BOXES)
+                size += own[k] if inside[k] and not dropped[k] else 0
             if any(inside):
-                return inside
-        return [True] * len(self.tags)
+                found[wanted] = (size, inside)
+        if not found:
+            return [True] * len(self.tags)
+        if len(found) == 2:
+            return found["article" if 2 * found["article"][0] >= found["main"][0] else "main"][1]
+        return next(iter(found.values()))[1]
 
     def countable(self) -> list[bool]:
         """Which elements may be templates: those with text that share no block with text around them.
@@ -166,7 +245,7 @@ class Page:
                 gone[self.parents[k]]
                 or tag in DROPPED
                 or (tag == "header" and not inside)
-                or (not root and self.marked[k])
+                or (not root and self.marked[k] >= (2 if inside else 1) and (not inside or tag in BOXES))
                 or (countable[k] and self.hashes[k] in templates)
             )
         blocks: dict[int, list[str]] = {}
@@ -209,7 +288,8 @@ def _templates(found: DataFrame, broadcast_limit: int) -> DataFrame:
 def main_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", broadcast_limit: int = BROADCAST_TEMPLATES) -> DataFrame:
     """(page_id, url, text, n_chars), one row per page.
 
-    Null or empty html gives an empty text; pages with a null url share the empty host.
+    A host with fewer than ``MIN_PAGES`` different pages has no templates; there tags and marks
+    alone decide. Null or empty html gives an empty text; pages with a null url share the empty host.
     Repeated pages are returned as often as they come and count once as evidence. An empty
     table gives an empty result.
     """
@@ -217,13 +297,13 @@ def main_texts(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     found = written(subtrees(pages, html, url), "html-subtrees")
     templates = written(_templates(found, broadcast_limit), "html-templates")
     n = templates.count()
-    rows = pages.select(page_id, url, _host(url).alias("host"), html)
+    rows = pages.select(F.col(page_id).alias("id"), F.col(url).alias("url"), _host(url).alias("host"), F.col(html).alias("html"))
     if n <= broadcast_limit:
         shared = spark.sparkContext.broadcast({(r[0], r[1]) for r in templates.toLocalIterator()})
     else:
         shared = None
         per_page = found.join(templates.hint("merge"), ["host", "hash"]).groupBy("key").agg(F.collect_set("hash").alias("templates"))
-        rows = rows.withColumn("key", F.xxhash64(url, html)).join(per_page.hint("merge"), "key", "left").select(page_id, url, "host", html, "templates")
+        rows = rows.withColumn("key", F.xxhash64("url", "html")).join(per_page.hint("merge"), "key", "left").select("id", "url", "host", "html", "templates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_host: dict[str, set[int]] = {}
