@@ -121,63 +121,74 @@ def token_pieces(docs: DataFrame, spec: str, capacity: int = CAPACITY, doc_id: s
     return docs.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {docs.schema[doc_id].dataType.simpleString()}, {PIECES}")
 
 
+class SumIndex:
+    """Which combinations of one, two or three available lengths have which sum.
+
+    ``pair_at[s]`` is the smaller length of a pair with sum s, ``triple_at[s]`` the largest of a
+    triple. Lengths are only ever used up, so a combination that is not available now
+    never will be, and every entry only moves on: all look-ups of a plan together take as
+    many steps as there are pairs of lengths, not that many each.
+    """
+
+    def __init__(self, counts: list[int]):
+        self.counts = counts
+        self.top = len(counts) - 1  # longer lengths have been dealt with
+        self.pair_at = [s // 2 for s in range(len(counts))]
+        self.triple_at = [s - 2 for s in range(len(counts))]
+
+    def single(self, gap: int) -> tuple[int, ...] | None:
+        return (gap,) if 0 < gap <= self.top and self.counts[gap] > 0 else None
+
+    def pair(self, gap: int) -> tuple[int, ...] | None:
+        counts, small = self.counts, self.pair_at[gap]
+        while small > 0 and gap - small <= self.top:
+            if counts[small] > (2 * small == gap) and counts[gap - small] > 0:
+                self.pair_at[gap] = small
+                return gap - small, small
+            small -= 1
+        self.pair_at[gap] = 0
+        return None
+
+    def triple(self, gap: int) -> tuple[int, ...] | None:
+        large = min(self.triple_at[gap], self.top)
+        while large * 3 >= gap:
+            if self.counts[large] > 0:
+                two = self.pair(gap - large)
+                if two and self.counts[large] > two.count(large):
+                    self.triple_at[gap] = large
+                    return large, *two
+            large -= 1
+        self.triple_at[gap] = large
+        return None
+
+
 def plan_patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
     """Patterns (lengths in one sequence) with how many sequences follow each.
 
-    Lengths go from the longest down. For each, the gap it leaves is looked up among the
-    single lengths, then the pair sums, then the triple sums that are still available; a
-    combination found is consumed as often as its counts allow. What no combination fills
-    exactly is packed best-fit: every piece into the fullest open sequence it fits.
+    Lengths go from the longest down. For each, the gap it leaves is looked up in the index
+    of single lengths, pair sums and triple sums; a combination found is consumed as often as
+    the counts of its lengths allow. What no combination fills exactly is packed best-fit:
+    every piece into the fullest open sequence it fits.
     """
-    left = np.zeros(capacity + 1, np.int64)
+    left = [0] * (capacity + 1)
     for length, n in histogram.items():
         left[length] = n
     patterns: list[tuple[tuple[int, ...], int]] = []
-
-    def consume(*lengths: int) -> bool:
-        need = {x: lengths.count(x) for x in lengths}
-        n = min(int(left[x]) // k for x, k in need.items())
-        if n <= 0:
-            return False
-        for x, k in need.items():
-            left[x] -= n * k
-        patterns.append((tuple(sorted(lengths, reverse=True)), n))
-        return True
-
-    def pair_for(gap: int, large: int) -> tuple[int, int] | None:
-        """Two available lengths, none above ``large``, that sum to ``gap``."""
-        low, high = max(1, gap - large), min(gap // 2, large)
-        if low > high:
-            return None
-        both = np.flatnonzero((left[low : high + 1] > 0) & (left[gap - high : gap - low + 1][::-1] > 0))
-        for k in both[::-1]:
-            a = low + int(k)
-            if 2 * a != gap or left[a] > 1:
-                return a, gap - a
-        return None
-
-    if left[capacity]:
-        consume(capacity)
-    for large in range(capacity - 1, 0, -1):
+    index = SumIndex(left)
+    for large in range(capacity, 0, -1):
+        index.top = large
         while left[large] > 0:
             gap = capacity - large
             left[large] -= 1  # the piece in hand is not available to its own gap
-            if gap <= large and left[gap] > 0:
-                found: tuple[int, ...] | None = (gap,)
-            else:
-                found = pair_for(gap, large)
-                if found is None:
-                    thirds = np.flatnonzero(left[1 : min(gap - 1, large + 1)] > 0)[::-1] + 1
-                    for third in map(int, thirds):
-                        left[third] -= 1
-                        pair = pair_for(gap - third, min(large, third))
-                        left[third] += 1
-                        if pair:
-                            found = (third, *pair)
-                            break
+            found = () if gap == 0 else index.single(gap) or index.pair(gap) or index.triple(gap)
             left[large] += 1
-            if not (found and consume(large, *found)):
+            if found is None:
                 break
+            lengths = (large, *found)
+            n = min(left[x] // lengths.count(x) for x in lengths)
+            for x in lengths:
+                left[x] -= n
+            patterns.append((tuple(sorted(lengths, reverse=True)), n))
     # best fit of what is left, longest first; open sequences of one content are kept as one group
     room: list[int] = []
     groups: dict[int, list[tuple[tuple[int, ...], int]]] = {}
@@ -189,7 +200,7 @@ def plan_patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[t
         groups.setdefault(free, []).append((content, n))
 
     for length in map(int, np.flatnonzero(left)[::-1]):
-        n = int(left[length])
+        n = left[length]
         while n > 0:
             at = bisect_left(room, length)
             if at == len(room):
