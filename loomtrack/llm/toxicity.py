@@ -2,19 +2,22 @@
 
 The kernel compares words by the three-letter subsequences they share, each weighted by
 DECAY to the power of the stretch it spans, so a letter put in, a mark between letters or
-a doubled letter weakens an insult but does not hide it. Words are mapped to landmarks
-(Nyström), a linear machine is trained there, and, as the kernel is a dot product of
-subsequence weights, the trained machine folds into one table with a weight for each
-three-letter subsequence. A document scores as its worst word does.
+a doubled letter weakens an insult but does not hide it. A text is a bag of words, and the
+label of a text says no more than whether one of them is an insult, so the machine is trained
+on bags: the words that speak loudest for a toxic text are its witnesses, and the loudest
+words of other texts are what they must be told from; machine and witnesses are found in
+turns. Words are mapped to landmarks (Nyström), a linear machine is trained there, and, as
+the kernel is a dot product of subsequence weights, the trained machine folds into one table
+with a weight for each three-letter subsequence. A text scores by how loud its loudest
+words are, and how many, for its length.
 """
 
 from __future__ import annotations
 
-import sys
 import unicodedata
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -27,36 +30,45 @@ from loomtrack.llm.common import keep_texts, map_texts, small_batches
 from loomtrack.llm.quality import labelled_sample
 
 #: At most so many labelled toxic and other documents, the first by hash of their id, are used to fit.
-TRAIN_TOXIC, TRAIN_CLEAN = 3_000, 9_000
+TRAIN_TOXIC, TRAIN_CLEAN = 3_000, 6_000
 DECAY = 0.7
 #: Longest stretch of a subsequence; its weight would be below 0.03 beyond.
 STRETCH = 9
-#: Longer words are read through windows of this length, half overlapping.
-WINDOW = 24
-#: Codes: 0 for a mark inside a word, then the plain and accented letters, eight for all other letters, and two for the word's ends.
+#: Longer words are read through windows of this length, one every STEP codes, so that a stretch of 25 lies whole in one.
+WINDOW, STEP = 32, 8
+#: Codes: 0 for a mark inside a word, then plain and accented Latin letters, HASHED ones that all other letters share, and two for the word's ends.
 LETTERS = "abcdefghijklmnopqrstuvwxyzàáâäçèéêëíîïñóôöùúûüß"
-FIRST, LAST = len(LETTERS) + 9, len(LETTERS) + 10
-CODES = len(LETTERS) + 11
+HASHED = 46
+FIRST, LAST = len(LETTERS) + HASHED + 1, len(LETTERS) + HASHED + 2
+CODES = len(LETTERS) + HASHED + 3
 #: Words whose margins a worker remembers at most.
 MEMORY = 500_000
+#: Landmarks of each kind (witnesses, loud and other words of clean texts), rounds of training, and words of clean texts that all rounds see.
+LANDMARKS, ROUNDS, OTHERS = 64, 4, 8_000
+#: A first witness stands in so many different places of toxic texts at least and is so much likelier there; later ones are so much likelier to be loud there.
+SUPPORT, LIKELIER, LOUDER = 3, 10.0, 3.0
+#: Loudest words of a text that a round looks at.
+LOUD = 5
+#: A text's score rests on its loudest word places, by rank from 0.
+RANKS = (0, 1, 2, 4, 7)
 
 
 @lru_cache(maxsize=100_000)
 def _code(c: str) -> int:
     at = LETTERS.find(unicodedata.normalize("NFKC", c).lower()[:1] or " ")
-    return at + 1 if at >= 0 else len(LETTERS) + 1 + ord(c) % 8 if c.isalpha() else 0
+    return at + 1 if at >= 0 else len(LETTERS) + 1 + ord(c) % HASHED if c.isalpha() else 0
 
 
 def encode(word: str) -> list[list[int]]:
-    """Code lists of a word without the marks around it: one, or its windows where it is long."""
+    """Code lists of a word without the marks around it: one, or its windows where it is long; none without a letter."""
     codes = [_code(c) for c in word]
     letters = [k for k, c in enumerate(codes) if c]
-    if len(letters) < 3:
+    if not letters:
         return []
     codes = [FIRST, *codes[letters[0] : letters[-1] + 1], LAST]
     if len(codes) <= WINDOW:
         return [codes]
-    starts = [*range(0, len(codes) - WINDOW, WINDOW // 2), len(codes) - WINDOW]
+    starts = [*range(0, len(codes) - WINDOW, STEP), len(codes) - WINDOW]
     return [codes[k : k + WINDOW] for k in starts]
 
 
@@ -122,11 +134,17 @@ def features(coded: list[list[int]]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 @dataclass
 class Machine:
-    """``table``: weight of each subsequence; a document's score is the logistic of slope * worst word + shift."""
+    """``table``: weight of each subsequence; the machine takes a word for an insult where slope * margin + shift > 0.
+
+    ``weights`` (the last one constant) go with the standardised statistics of a text, see ``Reader``.
+    """
 
     table: np.ndarray
     slope: float
     shift: float
+    centre: np.ndarray = field(default_factory=lambda: np.zeros(len(RANKS) + 1))
+    scale: np.ndarray = field(default_factory=lambda: np.ones(len(RANKS) + 1))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(len(RANKS) + 2))
 
     def margins(self, words: list[str]) -> np.ndarray:
         """Of each word, its largest window's value; 0 where nothing speaks for an insult."""
@@ -145,23 +163,44 @@ class Machine:
                 np.maximum.at(best, owners[places[up]], value[up] / _norms(number[up], weight[up]))
         return best
 
-    def probability(self, worst: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.shift, -30, 30)))
+    def probability(self, statistics: np.ndarray) -> np.ndarray:
+        z = (statistics - self.centre) / self.scale @ self.weights[:-1] + self.weights[-1]
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 class Reader:
-    """Worst-word margins of texts, with the words seen so far remembered."""
+    """Statistics of texts: the margins of their loudest word places, by RANKS (0 for none), and how dense loud words are. Words seen so far are remembered."""
 
     def __init__(self, machine: Machine):
         self.machine, self.known = machine, {}
 
-    def __call__(self, texts: list[str]) -> np.ndarray:
-        found = [units(t) for t in texts]
+    def _learn(self, found: list[list[str]]) -> None:
         if len(self.known) > MEMORY:
             self.known.clear()
         new = list({w for words in found for w in set(words).difference(self.known)})
-        self.known.update(zip(new, self.machine.margins(new).tolist()))
-        return np.array([max(map(self.known.__getitem__, words), default=0.0) for words in found])
+        for at in range(0, len(new), 50_000):
+            part = new[at : at + 50_000]
+            self.known.update(zip(part, self.machine.margins(part).tolist()))
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        found = [units(t) for t in texts]
+        self._learn(found)
+        out, many = np.zeros((len(texts), len(RANKS) + 1)), RANKS[-1] + 1
+        for at, words in enumerate(found):
+            margins = np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
+            top = np.zeros(many)
+            loud = margins[margins > 0]
+            dense = float((loud**4).sum()) / (len(words) + 20)
+            loud = np.sort(np.partition(loud, len(loud) - many)[-many:] if len(loud) > many else loud)[::-1]
+            top[: len(loud)] = loud
+            out[at, :-1], out[at, -1] = top[list(RANKS)], dense
+        return out
+
+    def loudest(self, text: str, many: int) -> list[tuple[str, float]]:
+        """Up to ``many`` different words with the largest margins above 0, ties in the order of the words."""
+        words = set(units(text))
+        self._learn([list(words)])
+        return sorted(((w, m) for w in words if (m := self.known[w]) > 0), key=lambda x: (-x[1], x[0]))[:many]
 
 
 def _pairs(sample: DataFrame) -> DataFrame:
@@ -183,182 +222,153 @@ def _pairs(sample: DataFrame) -> DataFrame:
     return sample.select("text", F.col("label").cast("int").alias("label"), F.col("__id").cast("long").alias("doc")).mapInArrow(run, "word string, before string, toxic int, doc long")
 
 
-#: Kinds of letter groups: all of four letters, all of five, longer beginnings, and whole words.
-KINDS = ("four", "five", "begin", "whole")
-
-
-def _grams(word: str, kinds: tuple[str, ...] = KINDS) -> set[str]:
-    marked, out = f"^{word}$", set()
-    for kind, n in (("four", 4), ("five", 5)):
-        if kind in kinds:
-            out.update(marked[k : k + n] for k in range(len(marked) - n + 1))
-    if "begin" in kinds:
-        out.update(marked[:n] for n in range(6, 10) if n < len(marked))
-    return out | {marked} if "whole" in kinds else out
-
-
-def _split_words(toxic: dict[str, int], clean: dict[str, int], docs: list[set[str]], n_clean: int) -> tuple[list[str], list[str]]:
-    """Words that mark toxic documents, and all others, each by their number of contexts.
-
-    Letter groups that stand in many contexts of toxic documents and hardly in others are
-    taken greedily, the one that explains most documents so far unexplained first: a word
-    that is only near insults, or in copies of one toxic text, has nothing left to explain.
-    ``docs`` holds, for each toxic document, its words that hardly stand in clean documents.
-    """
-    balance = max(n_clean, 1) / max(len(docs), 1)
-    speaks: dict[str, int] = {}
-    against: dict[str, int] = {}
-    for kind in KINDS:  # one kind at a time, as most groups stand in one word only and go at once
-        counts: Counter = Counter()
-        for word, n in toxic.items():
-            if len(word) <= WINDOW and n * balance * 3 > clean.get(word, 0):
-                for gram in _grams(word, (kind,)):
-                    counts[gram] += n
-        frequent = {g: n for g, n in counts.items() if n >= 3}
-        del counts
-        others = dict.fromkeys(frequent, 0)
-        for word, n in clean.items():
-            if len(word) <= WINDOW:
-                for gram in _grams(word, (kind,)):
-                    if gram in others:
-                        others[gram] += n
-        likely = [g for g, n in frequent.items() if (n + 0.5) / (others[g] + 0.5) * balance > 15]
-        speaks.update((g, frequent[g]) for g in likely)
-        against.update((g, others[g]) for g in likely)
-    where = defaultdict(set)
-    for at, words in enumerate(docs):
-        for word in words:
-            for gram in _grams(word).intersection(speaks) if len(word) <= WINDOW else ():
-                where[gram].add(at)
-    marks = {g for g in where if speaks[g] >= max(20, 0.02 * len(docs)) and against.get(g, 0) * 50 <= speaks[g]}
-    open_docs = set(range(len(docs))).difference(*(where[g] for g in marks)) if marks else set(range(len(docs)))
-    while open_docs:
-        best = max(where, key=lambda g: (len(where[g] & open_docs) - 2 * against.get(g, 0), speaks[g], g), default=None)
-        if best is None or len(where[best] & open_docs) - 2 * against.get(best, 0) < max(4, 0.005 * len(docs)):
-            break
-        marks.add(best)
-        open_docs -= where[best]
-    insults = {w for w in toxic if toxic[w] * balance > 5 * clean.get(w, 0) and len(w) <= WINDOW and not marks.isdisjoint(_grams(w))}
-    return sorted(insults, key=lambda w: (-toxic[w], w)), sorted((w for w in clean if w not in insults), key=lambda w: (-clean[w], w))
-
-
-def _dense(landmarks: list[list[int]]) -> np.ndarray:
-    """Subsequence weights of the landmarks, one column each."""
-    dense = np.zeros((CODES**3, len(landmarks)), np.float32)
-    for at, (number, weight) in enumerate(features(landmarks)):
-        np.add.at(dense[:, at], number, weight)
-    return dense
-
-
-def _kernel(words: list[list[int]], dense: np.ndarray) -> np.ndarray:
-    """Kernel values of words and landmarks, a block of words at a time."""
-    out = np.zeros((len(words), dense.shape[1]))
-    for at in range(0, len(words), 1_000):
-        for k, (number, weight) in enumerate(features(words[at : at + 1_000])):
-            out[at + k] = weight.astype(np.float32) @ dense[number]
-    return out
-
-
-def _svm(x: np.ndarray, y: np.ndarray, rounds: int = 300, reg: float = 1e-4) -> np.ndarray:
-    """Weights of a linear machine with squared hinge loss, both classes weighing the same; conjugate-gradient Newton steps."""
-    weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
+class Landmarks:
+    """Subsequence weights of the landmarks, one column each, in rows for the subsequences that stand in any of them."""
+
+    def __init__(self, landmarks: list[list[int]]):
+        found = features(landmarks)
+        self.numbers = np.unique(np.concatenate([n for n, _ in found]))
+        self.row = np.full(CODES**3, len(self.numbers), np.int32)
+        self.row[self.numbers] = np.arange(len(self.numbers))
+        self.dense = np.zeros((len(self.numbers) + 1, len(found)), np.float32)  # the last row stands for all other subsequences
+        for at, (number, weight) in enumerate(found):
+            np.add.at(self.dense[:, at], self.row[number], weight)
+
+    def kernel(self, words: list[list[int]]) -> np.ndarray:
+        """Kernel values of words and landmarks."""
+        out = np.zeros((len(words), self.dense.shape[1]))
+        for at in range(0, len(words), 1_000):
+            for k, (number, weight) in enumerate(features(words[at : at + 1_000])):
+                out[at + k] = weight.astype(np.float32) @ self.dense[self.row[number]]
+        return out
+
+    def table(self, w: np.ndarray) -> np.ndarray:
+        """Weight of every subsequence where the landmarks weigh ``w``."""
+        out = np.zeros(CODES**3, np.float32)
+        out[self.numbers] = self.dense[:-1] @ w.astype(np.float32)
+        return out
+
+
+def _svm(x: np.ndarray, y: np.ndarray, mass: np.ndarray, reg: float = 1e-4) -> np.ndarray:
+    """Weights of a linear machine with squared hinge loss by Newton steps; ``mass`` weighs the rows, both classes weigh the same."""
+    weight = mass * np.where(y > 0, 0.5 / max(mass[y > 0].sum(), 1e-9), 0.5 / max(mass[y < 0].sum(), 1e-9))
     w = np.zeros(x.shape[1])
-    for _ in range(min(rounds, 30)):
-        slack = 1 - y * (x @ w)
-        active = slack > 0
+    for _ in range(30):
+        active = y * (x @ w) < 1
         xa, ca = x[active], weight[active]
-        target = xa.T @ (ca * y[active])
-        new = np.linalg.solve(xa.T @ (xa * ca[:, None]) + reg * np.eye(x.shape[1]), target)
+        new = np.linalg.solve(xa.T @ (xa * ca[:, None]) + reg * np.eye(x.shape[1]), xa.T @ (ca * y[active]))
         if np.abs(new - w).max() < 1e-8:
             break
         w = new
     return w
 
 
-def fit_words(insults: list[str], others: list[str], landmarks: int = 50, negatives: int = 12_000) -> np.ndarray:
-    """The folded table of a machine that tells ``insults`` from ``others`` (each list ordered by weight)."""
-    if not insults:
-        return np.zeros(CODES**3)
-    first = lambda words, n: [(w, c[0]) for w in words if len(w) <= WINDOW - 2 and (c := encode(w))][:n]
-    good = first(insults, 3_000)
-    spread = [w for k, w in enumerate(others) if k < negatives // 2 or k % max(1, len(others) // (negatives // 2)) == 0]
-    bad = first(spread, negatives)
-    table = np.zeros(CODES**3)
-    hard: list[tuple[str, list[int]]] = []
-    for _ in range(3):
-        chosen = [c for _, c in [*good[:: max(1, len(good) // landmarks)][:landmarks], *hard[: landmarks // 2], *bad[:: max(1, len(bad) // landmarks)][:landmarks]]]
-        coded = [c for _, c in [*good, *bad, *hard]]
-        y = np.array([1.0] * len(good) + [-1.0] * (len(bad) + len(hard)))
-        dense = _dense(chosen)
-        kernel, own = _kernel(coded, dense), _kernel(chosen, dense)
-        values, vectors = np.linalg.eigh((own + own.T) / 2)
-        kept = values > 1e-6 * values.max()
-        root = vectors[:, kept] / np.sqrt(values[kept])
-        w = _svm(np.hstack([kernel @ root, np.ones((len(y), 1))]), y)
-        table = (dense @ (root @ w[:-1]).astype(np.float32)).astype(np.float64)
-        table -= table.max() * 1e-9
-        probe = [x for x in others if len(x) <= WINDOW - 2]
-        found = Machine(table, 1, 0).margins(probe)
-        known = {x for x, _ in hard}
-        hard += [(probe[k], encode(probe[k])[0]) for k in np.argsort(-found)[:1_500] if found[k] > 0 and probe[k] not in known]
-    return table
+def fit_words(witnesses: dict[str, float], loud: dict[str, float], others: list[str], landmarks: int = LANDMARKS) -> tuple[np.ndarray, float]:
+    """The folded table, and the constant, of a machine that tells ``witnesses`` (with their masses) from ``loud`` and ``others``."""
+    first = lambda words: [(w, c[0]) for w in words if (c := encode(w))]
+    good = first(sorted(witnesses, key=lambda w: (-witnesses[w], w)))
+    hard, rest = first(sorted(w for w in loud if w not in witnesses)), first(w for w in others if w not in witnesses and w not in loud)
+    if not good:
+        return np.zeros(CODES**3, np.float32), -1.0
+    chosen = [c for _, c in [*good[:landmarks], *hard[:: max(1, len(hard) // landmarks)][:landmarks], *rest[:: max(1, len(rest) // landmarks)][:landmarks]]]
+    coded = [c for _, c in [*good, *hard, *rest]]
+    y = np.array([1.0] * len(good) + [-1.0] * (len(hard) + len(rest)))
+    mass = np.array([witnesses[w] for w, _ in good] + [loud[w] for w, _ in hard] + [1.0] * len(rest))
+    marks = Landmarks(chosen)
+    kernel, own = marks.kernel(coded), marks.kernel(chosen)
+    values, vectors = np.linalg.eigh((own + own.T) / 2)
+    kept = values > 1e-6 * values.max()
+    root = vectors[:, kept] / np.sqrt(values[kept])
+    w = _svm(np.hstack([kernel @ root, np.ones((len(y), 1))]), y, mass)
+    return marks.table(root @ w[:-1]), float(w[-1])
+
+
+def _loudest(sample: DataFrame, machine: Machine) -> dict[int, dict[str, float]]:
+    """By label: the loudest words of the sampled texts, each with the number of texts it is loud in (collected: a few words for each sampled text)."""
+    shared = sample.sparkSession.sparkContext.broadcast(machine)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read = Reader(shared.value)
+        for batch in batches:
+            rows = [(label, word) for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for word, _ in read.loudest(text or "", LOUD)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string())], ["label", "word"])
+
+    found = sample.select("text", (F.col("label") > 0).cast("int").alias("label")).mapInArrow(run, "label int, word string").groupBy("label", "word").agg(F.count("*").alias("n")).toArrow()
+    out: dict[int, dict[str, float]] = {0: {}, 1: {}}
+    for label, word, n in zip(*(found[c].to_pylist() for c in ("label", "word", "n"))):
+        out[label][word] = float(n)
+    shared.unpersist()
+    return out
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", rows: tuple[int, int] = (TRAIN_TOXIC, TRAIN_CLEAN)) -> Machine:
-    """A machine fitted to the bounded sample of rows where ``train`` holds. Only the text is an input."""
+    """A machine fitted to the bounded sample of rows where ``train`` holds. Only the text is an input.
+
+    Several labels of an id count as the largest; repeated documents count as often as they
+    come, copies of a toxic text in the same surroundings once. Null texts are empty. Without a
+    toxic document every text scores low, with nothing but toxic ones high.
+    """
+    labels = labels.where(F.col(label).isNotNull()).groupBy(doc_id).agg(F.max(label).alias(label))
     sample = labelled_sample(docs, labels.where(F.col(label) > 0), label, train, rows[0], doc_id, text).unionByName(labelled_sample(docs, labels.where(F.col(label) == 0), label, train, rows[1], doc_id, text))
+    sample = written(sample, "toxicity-sample")
     pairs = written(_pairs(sample), "toxicity-pairs")
-    # of toxic documents the left neighbourhoods count, which copies do not multiply; of others the documents
-    place = F.when(F.col("toxic") == 1, F.col("before")).otherwise(F.col("doc").cast("string"))
-    found = pairs.select("word", "toxic", place.alias("place")).distinct().groupBy("word", "toxic").agg(F.count("*").alias("contexts")).toArrow()  # words of the bounded sample
-    words: tuple[dict[str, int], dict[str, int]] = ({}, {})
-    for batch in found.to_batches(max_chunksize=50_000):
-        for word, toxic, n in zip(*(batch[c].to_pylist() for c in ("word", "toxic", "contexts"))):
-            if len(word) <= WINDOW:
-                words[0 if toxic else 1][sys.intern(word)] = n
-    del found
-    own = pairs.where("toxic = 1").select("word", "doc").distinct().join(pairs.where("toxic = 0").groupBy("word").agg(F.count("*").alias("n")).where("n > 3").select("word").hint("merge"), "word", "left_anti").orderBy("doc", "word").toArrow()
-    docs_words: dict[int, set[str]] = {}
-    for batch in own.to_batches(max_chunksize=50_000):
-        for word, doc in zip(batch["word"].to_pylist(), batch["doc"].to_pylist()):
-            if len(word) <= WINDOW:
-                docs_words.setdefault(doc, set()).add(sys.intern(word))
-    del own
-    n_clean = pairs.where("toxic = 0").select("doc").distinct().count()
-    table = fit_words(*_split_words(*words, list(docs_words.values()), n_clean))
-    machine = Machine(table, 1.0, 0.0)
-    seen = worst_words(sample, machine, "__id", "text", "label").toArrow()
-    worst, y = np.array(seen["worst"].to_pylist(), np.float64), np.array(seen["label"].to_pylist(), np.float64) > 0
-    machine.slope, machine.shift = _calibrate(worst, y)
+    # places: neither one long text nor copies of one text count more than once
+    toxic = F.least(F.count_distinct(F.when(F.col("toxic") == 1, F.col("doc"))), F.count_distinct(F.when(F.col("toxic") == 1, F.col("before"))))
+    clean = F.count_distinct(F.when(F.col("toxic") == 0, F.col("doc")))
+    support = written(pairs.groupBy("word").agg(toxic.alias("toxic"), clean.alias("clean")), "toxicity-words")
+    n_toxic, n_clean = (max(1, n) for n in sample.agg(F.count_if(F.col("label") > 0), F.count_if(F.col("label") == 0)).first())
+    likelier = F.col("toxic") / n_toxic > LIKELIER * (F.col("clean") + 0.5) / n_clean
+    start = support.where((F.col("toxic") >= SUPPORT) & likelier).orderBy(F.desc("toxic"), "word").limit(OTHERS).collect()
+    start = start or support.where("toxic > 0 AND clean = 0").orderBy(F.desc("toxic"), "word").limit(100).collect()
+    of_clean = support.where("clean > 0")
+    others = [r["word"] for r in of_clean.orderBy(F.desc("clean"), "word").limit(OTHERS // 2).union(of_clean.orderBy(F.xxhash64("word"), "word").limit(OTHERS // 2)).select("word").distinct().orderBy("word").collect()]
+    witnesses, loud, before = {r["word"]: float(r["toxic"]) for r in start}, {}, {}
+    for left in range(ROUNDS - 1, -1, -1):
+        table, constant = fit_words(witnesses, before | loud, others)
+        machine = Machine(table, 1.0, constant)
+        if left and witnesses:
+            found = _loudest(sample, machine)
+            before, loud = loud, found[0]
+            witnesses = {w: n for w, n in found[1].items() if n / n_toxic > LOUDER * (loud.get(w, 0.0) + 0.5) / n_clean} or witnesses
+    seen = _statistics(sample, machine, "__id", "text", "label").orderBy("__id").toArrow()
+    x = np.array(seen["statistics"].to_pylist(), np.float64).reshape(seen.num_rows, len(RANKS) + 1)
+    machine.centre, machine.scale, machine.weights = _logistic(x, (np.array(seen["label"].to_pylist(), np.float64) > 0).astype(np.float64))
     return machine
 
 
-def _calibrate(worst: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the logistic that puts 0.5 amid the cuts that tell the sample apart best, to a thousandth."""
-    if not y.any() or y.all():
-        return 8.0, -8.0 if not y.any() else 8.0
-    cuts = np.unique(worst)
-    cuts = np.concatenate((cuts[:1] - 0.1, (cuts[1:] + cuts[:-1]) / 2))
-    up, down = np.sort(worst[y]), np.sort(worst[~y])
-    right = len(up) - np.searchsorted(up, cuts) + np.searchsorted(down, cuts)
-    best = cuts[right >= right.max() - 0.001 * len(y)]
-    cut = float(best.min() + best.max()) / 2
-    spread = max(float(np.median(worst[y])) - cut, 0.05)
-    return 4.0 / spread, -4.0 * cut / spread
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(centre, scale, weights) of a logistic regression; without both classes the weights say the base rate alone."""
+    if not len(y) or y.min() == y.max():
+        weights = np.zeros(x.shape[1] + 1)
+        weights[-1] = np.log((y.sum() + 0.25) / (len(y) - y.sum() + 0.5))
+        return np.zeros(x.shape[1]), np.ones(x.shape[1]), weights
+    centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    z = np.hstack([(x - centre) / scale, np.ones((len(x), 1))])
+    w = np.zeros(z.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve(z.T @ (z * (p * (1 - p) + 1e-6)[:, None]) + ridge * np.eye(len(w)), z.T @ (y - p) - ridge * w)
+        w += step
+        if np.abs(step).max() < 1e-8:
+            break
+    return centre, scale, w
 
 
-def worst_words(docs: DataFrame, machine: Machine, doc_id: str = "doc_id", text: str = "text", *more: str) -> DataFrame:
+def _statistics(docs: DataFrame, machine: Machine, doc_id: str, text: str, *more: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def make():
         read = Reader(shared.value)
-        return lambda texts: {"worst": pa.array(read(texts))}
+        return lambda texts: {"statistics": pa.array(list(read(texts)), pa.list_(pa.float64()))}
 
-    return map_texts(docs, make, "worst double", text, (doc_id, *more))
+    return map_texts(docs, make, "statistics array<double>", text, (doc_id, *more))
 
 
 def score_toxicity(docs: DataFrame, machine: Machine, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, score) for every row; a null or empty text has no word that speaks for an insult."""
+    """(doc_id, score) for every row; a null or empty text has no word that speaks for an insult.
+
+    Repeated rows come back as often as they come, an empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def make():
