@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtrack.functions.shared import written
 from loomtrack.operators.graph import connected_components
+from loomtrack.operators.keyed import Fold, fold_frames
 
 SPLITS = ("train", "val", "test")
 TRAINABLE = ("AUTO_ACCEPTED", "HUMAN_VALIDATED")
@@ -79,12 +83,48 @@ def split_leaks(items: DataFrame) -> DataFrame:
     return several("session", "session_id").unionByName(several("group", "sample_group_id")).unionByName(several("image", "image_sha256")).unionByName(near).unionByName(bad)
 
 
-def frozen_test_digest(items: DataFrame) -> DataFrame:
-    """(digest, n): a digest of the test keys in order (DQ5), combined from digests of 4096 hash ranges so it scales."""
-    key = F.concat_ws("|", "item_id", "image_sha256")
-    rows = items.where("split = 'test'").select(F.sha2(key, 256).alias("h")).withColumn("lead", F.substring("h", 1, 3))
-    parts = rows.groupBy("lead").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"), F.count("*").alias("n"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lead", "d"))), lambda x: x["d"]), ""), 256).alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+class _Digest(Fold):
+    """SHA-256 of a JSON list, fed row by row."""
+
+    def __init__(self):
+        self.hash, self.n = hashlib.sha256(b"["), 0
+
+    def frame(self, rows: list[tuple]) -> list[tuple]:
+        for session, group, source, frame in rows:
+            self.hash.update(("," if self.n else "").encode() + json.dumps([session, group, source, frame], separators=(",", ":")).encode())
+            self.n += 1
+        return []
+
+    def end(self) -> list[tuple]:
+        self.hash.update(b"]")
+        return [(self.hash.hexdigest(), self.n)]
+
+
+def frozen_test_digest(items: DataFrame, source: str = "camera_role") -> DataFrame:
+    """(digest, merkle, n): digests of the test keys (session, group, source, frame) in order (DQ5).
+
+    ``digest`` is the SHA-256 of the keys as one JSON list, which only reading them in order gives: they
+    stream, sorted, through one task, with nothing held. ``merkle`` combines digests of rows in 4,096
+    ranges and scales; compare that one for test splits of many millions of rows.
+    """
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    keys = items.where("split = 'test'").select(F.lit(0).alias("all"), text("session_id").alias("a"), text("sample_group_id").alias("b"), text(source).alias("c"), F.coalesce(F.col("frame_index").cast("long"), F.lit(0)).alias("d"))
+    digest = fold_frames(keys, ["all"], ["a"], ["a", "b", "c", "d"], _Digest, "digest string, n long").agg(F.coalesce(F.max("digest"), F.sha2(F.lit("[]"), 256)).alias("digest"), F.coalesce(F.max("n"), F.lit(0)).alias("n"))
+    rows = keys.select(F.sha2(F.to_json(F.array(F.to_json(F.struct("a", "b", "c", "d")))), 256).alias("h")).withColumn("lead", F.substring("h", 1, 3))
+    parts = rows.groupBy("lead").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"))
+    merkle = parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lead", "d"))), lambda x: x["d"]), ""), 256).alias("merkle"))
+    return digest.crossJoin(merkle).select("digest", "merkle", "n")  # one row each
+
+
+def merge_sources(*sources: DataFrame, key: str = "item_id") -> DataFrame:
+    """One row per key, from the first source that has it (SO1); sources share their columns."""
+    ranked = [rows.withColumn("__place", F.lit(k)) for k, rows in enumerate(sources)]
+    both = ranked[0]
+    for rows in ranked[1:]:
+        both = both.unionByName(rows)
+    others = [c for c in sources[0].columns if c != key]
+    best = both.groupBy(key).agg(F.min_by(F.struct(*others), "__place").alias("best"))
+    return best.select(key, *(F.col(f"best.{c}").alias(c) for c in others))
 
 
 def review_counts(items: DataFrame) -> DataFrame:

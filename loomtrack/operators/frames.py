@@ -31,10 +31,11 @@ def zone_kind(obs: DataFrame, zones: DataFrame) -> DataFrame:
 
 def filter_by_pipeline(dets: DataFrame, parcel_roles: list[str], pose_roles: list[str], is_pose: str = "is_pose") -> DataFrame:
     """Where a source has a pose pipeline, parcel roles keep only parcels and pose roles only the rest."""
-    posed = F.max(is_pose).over(Window.partitionBy("session_id", "source_id"))
+    posed = dets.where(F.col(is_pose)).select(F.col("session_id").alias("__session"), F.col("source_id").alias("__source")).distinct().withColumn("__posed", F.lit(True))
     parcel = F.col("class_name") == "parcel"
-    keep = ~F.col("__posed") | F.when(F.col("camera_role").isin(parcel_roles), parcel).when(F.col("camera_role").isin(pose_roles), ~parcel).otherwise(True)
-    return dets.withColumn("__posed", posed).where(keep).drop("__posed")
+    keep = F.col("__posed").isNull() | F.when(F.col("camera_role").isin(parcel_roles), parcel).when(F.col("camera_role").isin(pose_roles), ~parcel).otherwise(True)
+    joined = dets.join(posed.hint("merge"), dets["session_id"].eqNullSafe(F.col("__session")) & dets["source_id"].eqNullSafe(F.col("__source")), "left")
+    return joined.where(keep).drop("__session", "__source", "__posed")
 
 
 def frame_overlap(obs: DataFrame) -> DataFrame:
@@ -229,6 +230,13 @@ def identity_metrics(records: DataFrame) -> DataFrame:
     return per.groupBy("session_id", "source_id").agg(F.sum("fragmentations").alias("fragmentations"), F.sum("switches").alias("switches"))
 
 
+def replay_report(raw: DataFrame, canonical: DataFrame) -> DataFrame:
+    """One row of tracks, fragmentations and switches of raw and canonical ids (AG10); both hold rows with a true and a given id."""
+    total = lambda rows, p: identity_metrics(rows).agg(F.sum("fragmentations").alias(f"{p}_fragmentations"), F.sum("switches").alias(f"{p}_switches"))
+    tracks = lambda rows, p: rows.agg(F.countDistinct("session_id", "source_id", "given_id").alias(f"{p}_tracks"))
+    return total(raw, "raw").crossJoin(total(canonical, "canonical")).crossJoin(tracks(raw, "raw")).crossJoin(tracks(canonical, "canonical"))  # one row each
+
+
 def count_accuracy(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     """(session_id, exact_rate, merge_rate): AG11 over (frame, n) tables; frames without a prediction count 0."""
     joined = truth.join(predicted.withColumnRenamed("n", "p"), list(FRAME), "left").withColumn("p", F.coalesce("p", F.lit(0)))

@@ -214,11 +214,17 @@ def resolve_handoffs(tracklets: DataFrame, edges: DataFrame, zones: DataFrame, v
     tracklet. Tracklets at ingress start parcels; the others are MATCHED, AMBIGUOUS or
     UNRESOLVED, and only matched ones carry a parcel on. The loop runs once per rank.
     """
+    return resolve_batch(tracklets, tracklets, None, edges, zones, vectors, least, margin)
+
+
+def resolve_batch(tracklets: DataFrame, new_tracklets: DataFrame, current: DataFrame | None, edges: DataFrame, zones: DataFrame, vectors: DataFrame | None = None, least: float = MIN_SCORE, margin: float = MARGIN) -> DataFrame:
+    """``resolve_handoffs`` of ``new_tracklets`` alone, where ``current`` says which tracklet holds which parcel before."""
     ranks = {r["role"]: r["rank"] for r in topology_rank(edges).collect()}  # the site's roles
-    at = lambda rank: tracklets.where(F.col("camera_role").isin([r for r, k in ranks.items() if k == rank]))
+    at = lambda rank: new_tracklets.where(F.col("camera_role").isin([r for r, k in ranks.items() if k == rank]))
     new = at(0).select("session_id", "tracklet_id", F.concat(F.lit("g:"), "tracklet_id").alias("parcel_id"), F.lit("NEW_AT_INGRESS").alias("status"), F.lit(None).cast("string").alias("from_tracklet_id"), F.lit(None).cast("double").alias("score"))
     decided = written(new, "handoffs-0")
-    current = decided.select("tracklet_id", "parcel_id")
+    started = decided.select("tracklet_id", "parcel_id")
+    current = started if current is None else current.unionByName(started)
     for rank in range(1, max(ranks.values(), default=0) + 1):
         holders = tracklets.join(current.hint("merge"), "tracklet_id").drop("parcel_id")
         gated = handoff_gates(holders, at(rank), edges, zones).where("accepted")
@@ -298,3 +304,42 @@ def episode_split(pairs: DataFrame) -> DataFrame:
     placed = lead.join(F.broadcast(below.select("lead", "before")), "lead").withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy("lead").orderBy("h", "episode")))
     held = placed.join(F.broadcast(cut), F.col("place") <= F.col("n"), "left_semi").select("episode")
     return pairs.withColumn("episode", name).join(held.withColumn("held_out", F.lit(True)), "episode", "left").withColumn("held_out", F.coalesce("held_out", F.lit(False)))
+
+
+def pair_counts(pairs: DataFrame, labels: tuple[str, ...] = ("POSITIVE", "HARD_NEGATIVE", "NEGATIVE")) -> DataFrame:
+    """(label, n): pairs of each label, 0 for labels that do not occur (AG13)."""
+    counted = pairs.where(F.col("label").isin(*labels)).groupBy("label").agg(F.count("*").alias("n"))
+    every = pairs.sparkSession.createDataFrame([(x,) for x in labels], "label string")
+    return every.join(counted, "label", "left").select("label", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def project_embeddings(vectors: DataFrame, head: dict[str, np.ndarray], vector: str = "embedding") -> DataFrame:
+    """``vectors`` with ``vector`` projected and scaled to length one (SC4).
+
+    ``head`` holds ``down`` and ``up`` (x + up tanh(down x) + bias) or ``matrix`` (matrix x + bias); ``bias``
+    may be missing, and an empty head only scales. Null vectors stay null, zero ones zero;
+    a vector of another length than the head's raises an error.
+    """
+    shared = vectors.sparkSession.sparkContext.broadcast({k: np.asarray(v, np.float64) for k, v in head.items()})
+
+    def run(batches):
+        m = shared.value
+        wide = m["down"].shape[1] if "down" in m else m["matrix"].shape[1] if "matrix" in m else None
+        for pdf in batches:
+            known = pdf[vector].notna().to_numpy()
+            out = pdf.copy()
+            if known.any():
+                rows = pdf.loc[known, vector]
+                if wide is not None and (rows.map(len) != wide).any():
+                    raise ValueError(f"a vector's length is not {wide}")
+                for _, part in rows.groupby(rows.map(len)):
+                    x = np.stack(part.to_numpy()).astype(np.float64)
+                    if "down" in m:
+                        x = x + np.tanh(x @ m["down"].T) @ m["up"].T + m.get("bias", 0.0)
+                    elif "matrix" in m:
+                        x = x @ m["matrix"].T + m.get("bias", 0.0)
+                    norm = np.linalg.norm(x, axis=1, keepdims=True)
+                    out.loc[part.index, vector] = pd.Series(list(x / np.where(norm > 0, norm, 1.0)), index=part.index)
+            yield out
+
+    return vectors.mapInPandas(run, vectors.schema)

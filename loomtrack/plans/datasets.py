@@ -40,7 +40,7 @@ def dq4_split_leaks(spark, sf):
 
 
 def dq5_frozen_test_digest(spark, sf):
-    return ops.frozen_test_digest(_items(spark, sf))
+    return ops.frozen_test_digest(_items(spark, sf)).select("digest", "n")
 
 
 def ag4_review_counts(spark, sf):
@@ -123,8 +123,7 @@ def so1_merge_catalogue_sources(spark, sf):
     items = fx.view(spark, sf, "items")
     catalogue = items.where("item_id % 3 <> 1").select("item_id", F.lit("catalogue").alias("origin"), "vec_id")
     sidecar = items.where("item_id % 3 <> 0").select("item_id", F.lit("sidecar").alias("origin"), (F.col("vec_id") + 1).alias("vec_id"))
-    both = catalogue.withColumn("place", F.lit(0)).unionByName(sidecar.withColumn("place", F.lit(1)))
-    return both.groupBy("item_id").agg(F.min_by("origin", "place").alias("origin"), F.min_by("vec_id", "place").alias("vec_id"))
+    return ops.merge_sources(catalogue, sidecar)
 
 
 QUERIES = {f.__name__: f for f in (
@@ -145,8 +144,7 @@ ORACLES = {
     "jn10_near_duplicates": f"{_I} {_NEAR}",
     "dq4_split_leaks": f"""{_I} SELECT 'session' AS kind, session_id AS key FROM full_items GROUP BY session_id HAVING count(DISTINCT split) > 1 UNION ALL SELECT 'group', sample_group_id FROM full_items GROUP BY sample_group_id HAVING count(DISTINCT split) > 1
       UNION ALL SELECT 'image', image_sha256 FROM full_items GROUP BY image_sha256 HAVING count(DISTINCT split) > 1 UNION ALL SELECT 'near_duplicate', concat_ws('|', left_id, right_id) FROM ({_NEAR}) UNION ALL SELECT 'bad_hash', CAST(item_id AS VARCHAR) FROM full_items WHERE hash IS NULL""",
-    "dq5_frozen_test_digest": f"""{_I}, h AS (SELECT sha256(concat_ws('|', item_id, image_sha256)) AS h FROM full_items WHERE split = 'test'), p AS (SELECT substring(h, 1, 3) AS lead, sha256(string_agg(h, '' ORDER BY h)) AS d, count(*) AS n FROM h GROUP BY ALL)
-      SELECT sha256(coalesce(string_agg(d, '' ORDER BY lead), '')) AS digest, CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM p""",
+    "dq5_frozen_test_digest": f"""{_I} SELECT sha256('[' || coalesce(string_agg('["' || session_id || '","' || sample_group_id || '","' || camera_role || '",' || frame_index || ']', ',' ORDER BY session_id, sample_group_id, camera_role, frame_index), '') || ']') AS digest, count(*) AS n FROM full_items WHERE split = 'test'""",
     "ag4_review_counts": f"{_I} SELECT session_id, count(*) FILTER (annotation_status = 'AUTO_ACCEPTED') AS accepted, count(*) FILTER (annotation_status = 'REJECTED') AS rejected, count(*) FILTER (annotation_status = 'NEEDS_REVIEW') AS pending, count(*) FILTER (annotation_status = 'AUTO_ACCEPTED') AS trainable FROM full_items GROUP BY ALL",
     "ag5_split_counts": f"{_I} SELECT *, train > 0 AND val > 0 AND test > 0 AS all_filled FROM (SELECT count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val, count(*) FILTER (split = 'test') AS test FROM full_items)",
     "ag6_dataset_sessions_rollup": f"{_I} SELECT session_id, count(DISTINCT camera_role) AS cameras, string_agg(DISTINCT camera_role, ',' ORDER BY camera_role) AS roles FROM full_items GROUP BY ALL",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from loomtrack.operators import handoffs as ops
@@ -113,8 +114,14 @@ def ml3_episode_split(spark, sf):
 
 
 def ag13_pair_counts(spark, sf):
-    labels = spark.createDataFrame([("POSITIVE",), ("HARD_NEGATIVE",), ("NEGATIVE",)], "label string")
-    return labels.join(ml2_mine_pairs(spark, sf).groupBy("label").agg(F.count("*").alias("n")), "label", "left").select("label", F.coalesce("n", F.lit(0)).alias("n"))
+    return ops.pair_counts(ml2_mine_pairs(spark, sf))
+
+
+def sc4_project_embeddings(spark, sf):
+    rng = np.random.default_rng(3)
+    head = {"down": rng.normal(0, 0.2, (8, 64)), "up": rng.normal(0, 0.2, (64, 8)), "bias": rng.normal(0, 0.01, 64)}
+    out = ops.project_embeddings(fx.vectors(spark, sf), head)
+    return out.select("vec_id", F.array_join(F.transform("embedding", lambda x: F.format_string("%.6f", x)), " ").alias("projected"))
 
 
 def ag17_insert_or_ignore(spark, sf):
@@ -125,7 +132,7 @@ def ag17_insert_or_ignore(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     jn1_handoff_gates, jn17_continuation_candidates, jn17_continuation_candidates_whole, sc3_vector_similarity, gr1_components, gr2_topology_rank, gr3_handoff_score, gr4_assign_one_to_one, gr4_assign_one_to_one_whole, gr6_resolve_handoffs, gr7_parcel_chains,
-    tk2_best_candidate, tk5_overflow, pf11_destination_result, pf13_descriptor_reliable, pf15_ingress_roles, ag13_pair_counts, ag14_multi_view_descriptor, ag17_insert_or_ignore, ml2_mine_pairs, ml3_episode_split,
+    tk2_best_candidate, tk5_overflow, pf11_destination_result, pf13_descriptor_reliable, pf15_ingress_roles, ag13_pair_counts, ag14_multi_view_descriptor, ag17_insert_or_ignore, sc4_project_embeddings, ml2_mine_pairs, ml3_episode_split,
 )}
 
 _T = fx.oracle("tracklets", "edges", "zones")
