@@ -24,6 +24,15 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: Rows up to which a dimension (zones, edges, profiles) is broadcast.
+DIMENSION_ROWS = 100_000
+
+
+def dimension(df: DataFrame, rows: int = DIMENSION_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint where it was counted to have at most ``rows`` rows, else with a merge hint."""
+    return df.hint("broadcast") if df.limit(rows + 1).count() <= rows else df.hint("merge")
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomtrack.functions.shared import dimension
+
 
 def active_profile(profiles: DataFrame, assignments: DataFrame) -> DataFrame:
     """Assigned profiles with the next free version of their source, and whether the stored fingerprint still fits (PF8)."""
@@ -28,7 +30,7 @@ def calibration_diagnostic(sources: DataFrame, profiles: DataFrame) -> DataFrame
     status: Column | None = None
     for name, holds in rules:
         status = F.when(holds, name) if status is None else status.when(holds, name)
-    return sources.join(F.broadcast(p), "profile_id", "left").withColumn("calibration", status.otherwise("READY")).drop("p_source", "p_optics", "p_width", "p_height", "p_valid")
+    return sources.join(dimension(p), "profile_id", "left").withColumn("calibration", status.otherwise("READY")).drop("p_source", "p_optics", "p_width", "p_height", "p_valid")
 
 
 def _apply(h: Column, x: Column, y: Column) -> tuple[Column, Column]:
@@ -45,14 +47,14 @@ def _inverse(h: Column) -> Column:
 
 def to_world(points: DataFrame, profiles: DataFrame, x: str, y: str) -> DataFrame:
     """Adds ``world_x``, ``world_y`` by the source's homography, without lens distortion (PF5); null without a valid profile."""
-    valid = F.broadcast(profiles.where("valid").select("source_id", "homography"))
+    valid = dimension(profiles.where("valid").select("source_id", "homography"))
     wx, wy = _apply(F.col("homography"), F.col(x), F.col(y))
     return points.join(valid, "source_id", "left").withColumns({"world_x": wx, "world_y": wy}).drop("homography")
 
 
 def to_image(points: DataFrame, profiles: DataFrame, x: str, y: str) -> DataFrame:
     """Adds ``image_x``, ``image_y`` by the inverse homography (PF6)."""
-    valid = F.broadcast(profiles.where("valid").select("source_id", "homography"))
+    valid = dimension(profiles.where("valid").select("source_id", "homography"))
     ix, iy = _apply(_inverse(F.col("homography")), F.col(x), F.col(y))
     return points.join(valid, "source_id", "left").withColumns({"image_x": ix, "image_y": iy}).drop("homography")
 
@@ -62,7 +64,7 @@ def own_wrists(wrists: DataFrame, persons: DataFrame) -> DataFrame:
     frame = ["session_id", "source_id", "stream_epoch", "frame_index"]
     tokens = persons.select(*frame, "person_id", F.explode("tokens").alias("token")).distinct()
     owners = tokens.groupBy(*frame, "token").agg(F.count("*").alias("n"), F.min("person_id").alias("person_id")).where("n = 1").drop("n")
-    return wrists.join(owners, [*frame, "token"], "left")
+    return wrists.join(owners.hint("merge"), [*frame, "token"], "left")
 
 
 def attach_sidecar_detections(frames: DataFrame, catalogue: DataFrame, sidecar: DataFrame) -> DataFrame:

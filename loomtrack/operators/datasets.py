@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,28 +52,46 @@ def near_duplicates(items: DataFrame, across: str | None = "split", most: int =
     return pairs.select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"), F.bit_count(F.col("hash").bitwiseXOR(F.col("hash2"))).cast("int").alias("distance"))
 
 
+def split_at(place: np.ndarray, counts: list[int], weights: tuple[int, ...]) -> np.ndarray:
+    """Split of the session at each place (from 0) of the order: empty splits first, then always the least full, ties by name.
+
+    A split that holds c sessions is filled to c / weight; the places are the merged steps c, c + 1, ...
+    of all splits by that measure, so the split at a place is found by bisection.
+    """
+    empty = [k for k, c in enumerate(counts) if c == 0]
+    held = np.array([max(c, 1) for c in counts])
+    scale = np.array([math.lcm(*weights) // w for w in weights])
+    wanted = np.maximum(place - len(empty), 0)
+
+    def steps(upto: np.ndarray) -> np.ndarray:
+        """How many steps have a fill of at most ``upto``, in units of one over the weights' least common multiple."""
+        return np.maximum(upto[:, None] // scale - held + 1, 0).sum(axis=1)
+
+    low, high = np.zeros(len(place), np.int64), np.full(len(place), (int(held.max()) + int(place.max(initial=0)) + 2) * int(scale.max()), np.int64)
+    while (low < high).any():
+        middle = (low + high) // 2
+        enough = steps(middle) > wanted
+        low, high = np.where(enough, low, middle + 1), np.where(enough, middle, high)
+    tie = wanted - steps(low - 1)  # of the splits with a step at this fill, by name
+    names = sorted(range(len(SPLITS)), key=lambda k: SPLITS[k])
+    there = np.stack([(low % scale[k] == 0) & (low // scale[k] >= held[k]) for k in names], axis=1)
+    found = np.array(SPLITS)[np.array(names)[(there.cumsum(axis=1) == (tie + 1)[:, None]).argmax(axis=1)]]
+    return np.where(place < len(empty), np.array([SPLITS[k] for k in empty] + [""])[np.minimum(place, len(empty))], found)
+
+
 def assign_splits(sessions: DataFrame, explicit: DataFrame, weights: tuple[int, ...] = (7, 2, 1)) -> DataFrame:
     """(session_id, split): explicit ones first, then sessions in hash order fill empty splits and the least full one (DQ3).
 
-    The order of splits depends on counts alone, so it is generated once, in whole rounds of
-    the weights, and joined by rank; ranks are counted within hash ranges.
+    The order of splits depends on counts alone, so each session's split follows from its rank
+    (``split_at``); ranks are counted within hash ranges.
     """
     fixed = sessions.join(explicit, "session_id")
     rest = sessions.join(explicit, "session_id", "left_anti").withColumn("h", F.sha2("session_id", 256)).withColumn("lead", F.substring("h", 1, 3))
     before = rest.groupBy("lead").agg(F.count("*").alias("k")).withColumn("before", F.coalesce(F.sum("k").over(Window.orderBy("lead").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # at most 4096 rows
     placed = rest.join(before.select("lead", "before"), "lead").withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy("lead").orderBy("h", "session_id")) - 1)
     have = {r["split"]: r["n"] for r in fixed.groupBy("split").agg(F.count("*").alias("n")).collect()}  # three rows
-    counts, fill = [have.get(s, 0) for s in SPLITS], []
-    n = placed.count()
-    # the sequence turns periodic once every split holds its share of what was fixed
-    settle = min(n, 3 + sum(weights) * (max(counts) + 1))
-    for _ in range(settle + sum(weights)):
-        empty = [k for k, c in enumerate(counts) if c == 0]
-        k = empty[0] if empty else min(range(3), key=lambda i: (counts[i] / weights[i], SPLITS[i]))
-        counts[k] += 1
-        fill.append(SPLITS[k])
-    head, cycle = fill[:settle], fill[settle:]
-    pick = F.when(F.col("place") < settle, F.try_element_at(F.array(*map(F.lit, head or cycle)), (F.col("place") + 1).cast("int"))).otherwise(F.element_at(F.array(*map(F.lit, cycle)), (F.pmod(F.col("place") - settle, F.lit(len(cycle))) + 1).cast("int")))
+    counts = [have.get(s, 0) for s in SPLITS]
+    pick = F.pandas_udf(lambda place: pd.Series(split_at(place.to_numpy(), counts, weights)), "string")(F.col("place"))
     return fixed.select("session_id", "split").unionByName(placed.select("session_id", pick.alias("split")))
 
 

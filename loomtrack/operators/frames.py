@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtrack.functions.shared import dimension
 from loomtrack.functions.geometry import FRAME, TRACK, centre_x, centre_y, half_even, iou, track_window
 
 
@@ -12,7 +13,7 @@ def tag_zones(obs: DataFrame, zones: DataFrame, width: float = 640.0, height: fl
     """Adds ``zone_id``: of the role's zones, by position, the first whose box holds the box centre (edges count).
 
     A zone whose corners are all at most 1.5 is normalized by the image size. Zones are a
-    small dimension (a few per camera), so they are broadcast; an observation in no zone gets null.
+    small dimension (a few per camera) and broadcast, if counted so; an observation in no zone gets null.
     """
     scale = F.when(F.greatest("x1", "y1", "x2", "y2") <= 1.5, True).otherwise(False)
     boxes = zones.select(
@@ -21,12 +22,12 @@ def tag_zones(obs: DataFrame, zones: DataFrame, width: float = 640.0, height: fl
     )
     listed = boxes.groupBy("camera_role").agg(F.array_sort(F.collect_list(F.struct("position", "zone_id", "zx1", "zy1", "zx2", "zy2"))).alias("zone_list"))
     inside = F.filter("zone_list", lambda z: F.col("cx").between(z["zx1"], z["zx2"]) & F.col("cy").between(z["zy1"], z["zy2"]))
-    return obs.withColumns({"cx": centre_x(), "cy": centre_y()}).join(F.broadcast(listed), "camera_role", "left").withColumn("zone_id", F.try_element_at(inside, F.lit(1))["zone_id"]).drop("zone_list", "cx", "cy")
+    return obs.withColumns({"cx": centre_x(), "cy": centre_y()}).join(dimension(listed), "camera_role", "left").withColumn("zone_id", F.try_element_at(inside, F.lit(1))["zone_id"]).drop("zone_list", "cx", "cy")
 
 
 def zone_kind(obs: DataFrame, zones: DataFrame) -> DataFrame:
     """Adds ``zone_kind`` of ``zone_id``; null for an unknown or null zone."""
-    return obs.join(F.broadcast(zones.select("camera_role", "zone_id", F.col("kind").alias("zone_kind"))), ["camera_role", "zone_id"], "left")
+    return obs.join(dimension(zones.select("camera_role", "zone_id", F.col("kind").alias("zone_kind"))), ["camera_role", "zone_id"], "left")
 
 
 def filter_by_pipeline(dets: DataFrame, parcel_roles: list[str], pose_roles: list[str], is_pose: str = "is_pose") -> DataFrame:
@@ -40,9 +41,12 @@ def filter_by_pipeline(dets: DataFrame, parcel_roles: list[str], pose_roles: lis
 
 def frame_overlap(obs: DataFrame) -> DataFrame:
     """(frame, max_overlap): the largest IoU of two different tracks in a frame; 0 for a lone track."""
+    return obs.select(*FRAME).distinct().join(_overlaps(obs), list(FRAME), "left").select(*FRAME, F.coalesce("max_overlap", F.lit(0.0)).alias("max_overlap"))
+
+
+def _overlaps(obs: DataFrame) -> DataFrame:
     side = lambda p: obs.select(*FRAME, F.col("local_track_id").alias(f"{p}id"), *(F.col(c).alias(f"{p}{c}") for c in ("x1", "y1", "x2", "y2")))
-    pairs = side("a_").join(side("b_"), list(FRAME)).where("a_id < b_id").groupBy(*FRAME).agg(F.max(iou("a_", "b_")).alias("max_overlap"))
-    return obs.select(*FRAME).distinct().join(pairs, list(FRAME), "left").select(*FRAME, F.coalesce("max_overlap", F.lit(0.0)).alias("max_overlap"))
+    return side("a_").join(side("b_"), list(FRAME)).where("a_id < b_id").groupBy(*FRAME).agg(F.max(iou("a_", "b_")).alias("max_overlap"))
 
 
 def track_velocity(obs: DataFrame, least_dt: float = 1e-3) -> DataFrame:
@@ -63,8 +67,11 @@ def frame_counts(obs: DataFrame) -> DataFrame:
     ``count_change`` is against the source's frame before (0 for its first); every 12th frame
     of a source, from the first, is a control frame.
     """
+    return _changes(obs.groupBy(*FRAME).agg(F.max("timestamp_global").alias("timestamp_global"), F.count("*").alias("n_instances")))
+
+
+def _changes(frames: DataFrame) -> DataFrame:
     w = Window.partitionBy("session_id", "source_id").orderBy("stream_epoch", "frame_index")
-    frames = obs.groupBy(*FRAME).agg(F.max("timestamp_global").alias("timestamp_global"), F.count("*").alias("n_instances"))
     return frames.withColumn("count_change", F.coalesce(F.abs(F.col("n_instances") - F.lag("n_instances").over(w)), F.lit(0))).withColumn("is_control", (F.row_number().over(w) - 1) % 12 == 0)
 
 
@@ -145,8 +152,10 @@ def tracklet_summary(obs: DataFrame) -> DataFrame:
     ``obs`` has velocities and zones. Equal times go by frame.
     """
     by = F.struct("timestamp_global", "frame_index")
-    visited = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col("zone_id").isNotNull(), F.struct("timestamp_global", "frame_index", "zone_id")))), lambda z: z["zone_id"]))
-    return obs.groupBy(*TRACK).agg(
+    entered = obs.withColumn("__before", F.lag("zone_id").over(track_window("timestamp_global", "frame_index")))
+    new = F.col("zone_id").isNotNull() & ~F.col("zone_id").eqNullSafe(F.col("__before"))  # only entries are collected, not every observation
+    visited = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(new, F.struct("timestamp_global", "frame_index", "zone_id")))), lambda z: z["zone_id"]))
+    return entered.groupBy(*TRACK).agg(
         F.min("timestamp_global").alias("started_at"), F.max("timestamp_global").alias("ended_at"),
         F.min_by("frame_index", by).alias("first_frame"), F.max_by("frame_index", by).alias("last_frame"),
         F.min_by("zone_id", by).alias("first_zone_id"), F.max_by("zone_id", by).alias("last_zone_id"),
@@ -179,8 +188,8 @@ def frame_signals(obs: DataFrame) -> DataFrame:
 
     ``obs`` has ``is_ambiguous`` and ``is_endpoint``. Frames without a reason are left out.
     """
-    each = obs.groupBy(*FRAME).agg(F.bool_or("is_ambiguous").alias("ambiguous"), F.min("confidence").alias("least"), F.bool_or("is_endpoint").alias("endpoint"))
-    joined = frame_counts(obs).join(each, list(FRAME)).join(frame_overlap(obs), list(FRAME))
+    each = obs.groupBy(*FRAME).agg(F.max("timestamp_global").alias("timestamp_global"), F.count("*").alias("n_instances"), F.bool_or("is_ambiguous").alias("ambiguous"), F.min("confidence").alias("least"), F.bool_or("is_endpoint").alias("endpoint"))
+    joined = _changes(each).join(_overlaps(obs).hint("merge"), list(FRAME), "left").withColumn("max_overlap", F.coalesce("max_overlap", F.lit(0.0)))
     rules = (
         ("ambiguous_identity", F.col("ambiguous"), F.lit(1.0)),
         ("low_confidence", F.col("least") < 0.65, 1 - F.col("least")),
@@ -207,7 +216,7 @@ def nearest_frames(anchors: DataFrame, frames: DataFrame, tolerance: float = 0.3
     cut = frames.select("session_id", "source_id", "stream_epoch", "frame_index", "timestamp_global", bucket("timestamp_global").alias("__near"))
     gap = F.abs(F.col("timestamp_global") - F.col("anchor_time"))
     keys = anchors.columns
-    return near.join(cut, ["session_id", "__near"]).where(gap <= tolerance).groupBy(*keys, "source_id").agg(F.min(F.struct(gap.alias("gap"), "frame_index", "stream_epoch")).alias("best")).select(*keys, "source_id", F.col("best.frame_index").alias("frame_index"), F.col("best.gap").alias("gap"))
+    return near.join(cut.hint("merge"), ["session_id", "__near"]).where(gap <= tolerance).groupBy(*keys, "source_id").agg(F.min(F.struct(gap.alias("gap"), "frame_index", "stream_epoch")).alias("best")).select(*keys, "source_id", F.col("best.frame_index").alias("frame_index"), F.col("best.gap").alias("gap"))
 
 
 def sample_groups(signals: DataFrame, frames: DataFrame, bucket_s: float = 0.25, tolerance: float = 0.35) -> DataFrame:
@@ -219,7 +228,7 @@ def sample_groups(signals: DataFrame, frames: DataFrame, bucket_s: float = 0.25,
     grouped = signals.withColumn("bucket", half_even(F.col("timestamp_global") / bucket_s)).groupBy("session_id", "bucket").agg(F.median("timestamp_global").alias("anchor_time"), F.array_join(F.array_sort(F.collect_set("reason")), ",").alias("reasons"), F.max("score").alias("anchor_score"))
     chosen = nearest_frames(grouped, frames, tolerance)
     own = signals.groupBy("session_id", "source_id", "frame_index").agg(F.max("score").alias("own"))
-    return chosen.join(own, ["session_id", "source_id", "frame_index"], "left").select("session_id", "bucket", "anchor_time", "source_id", "frame_index", "reasons", F.greatest("anchor_score", F.coalesce("own", F.lit(0.0))).alias("group_score"))
+    return chosen.join(own.hint("merge"), ["session_id", "source_id", "frame_index"], "left").select("session_id", "bucket", "anchor_time", "source_id", "frame_index", "reasons", F.greatest("anchor_score", F.coalesce("own", F.lit(0.0))).alias("group_score"))
 
 
 def identity_metrics(records: DataFrame) -> DataFrame:

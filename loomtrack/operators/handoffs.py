@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtrack.functions.shared import shared_dir, written
+from loomtrack.functions.shared import dimension, shared_dir, written
 from loomtrack.operators.graph import connected_components
 
 MIN_SCORE, MARGIN = 0.48, 0.08
@@ -29,13 +29,13 @@ def handoff_gates(outgoing: DataFrame, incoming: DataFrame, edges: DataFrame, zo
 
     The transit range is an equality join on (session, roles, time bucket) and a check. Later
     gates, in order: both identities usable; the zones left and entered are an exit and an
-    entry (an unknown zone passes). Edges and zones are small dimensions and are broadcast.
+    entry (an unknown zone passes). Edges and zones are small dimensions and broadcast, if counted so.
     """
-    kinds = F.broadcast(zones.select("zone_id", "kind"))
-    out = _side(outgoing, "out").join(F.broadcast(edges), F.col("out_camera_role") == F.col("from_role")).join(kinds.toDF("out_last_zone_id", "out_kind"), "out_last_zone_id", "left")
+    kinds, links = zones.select("zone_id", "kind"), dimension(edges)
+    out = _side(outgoing, "out").join(links, F.col("out_camera_role") == F.col("from_role")).join(dimension(kinds.toDF("out_last_zone_id", "out_kind")), "out_last_zone_id", "left")
     first, last = (F.floor((F.col("out_ended_at_global") + F.col(c)) / BUCKET_S) for c in ("min_transit_s", "max_transit_s"))
     out = out.withColumn("bucket", F.explode(F.sequence(first, last)))
-    inc = _side(incoming, "in").join(kinds.toDF("in_first_zone_id", "in_kind"), "in_first_zone_id", "left").withColumns({"bucket": F.floor(F.col("in_started_at_global") / BUCKET_S), "to_role": F.col("in_camera_role")})
+    inc = _side(incoming, "in").join(dimension(kinds.toDF("in_first_zone_id", "in_kind")), "in_first_zone_id", "left").withColumns({"bucket": F.floor(F.col("in_started_at_global") / BUCKET_S), "to_role": F.col("in_camera_role")})
     pairs = out.join(inc.hint("merge"), ["session_id", "to_role", "bucket"]).withColumn("transit_s", F.col("in_started_at_global") - F.col("out_ended_at_global")).where("transit_s BETWEEN min_transit_s AND max_transit_s")
     usable = lambda p: (F.col(f"{p}_local_track_id") >= 0) & (F.col(f"{p}_integrity_status") != "AMBIGUOUS")
     reason = F.when(~(usable("out") & usable("in")), "IDENTITY_NOT_USABLE").when(F.coalesce(F.col("out_kind") != "exit", F.lit(False)), "NOT_AN_EXIT").when(F.coalesce(F.col("in_kind") != "entry", F.lit(False)), "NOT_AN_ENTRY")
@@ -44,8 +44,11 @@ def handoff_gates(outgoing: DataFrame, incoming: DataFrame, edges: DataFrame, zo
 
 def with_reid(gated: DataFrame, vectors: DataFrame) -> DataFrame:
     """Adds ``reid``, the cosine of both vectors mapped to 0..1 (SC3); only surviving pairs fetch vectors."""
-    v = lambda p: vectors.select(F.col("vec_id").alias(f"{p}_vec_id"), F.col("embedding").alias(f"{p}_vector"))
-    return gated.join(v("out").hint("merge"), "out_vec_id", "left").join(v("in").hint("merge"), "in_vec_id", "left").withColumn("reid", similarity("out_vector", "in_vector")).drop("out_vector", "in_vector")
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
+    units = vectors.withColumn("__norm", norm).select("vec_id", F.when(F.col("__norm") > 0, F.transform("embedding", lambda x: x / F.col("__norm"))).alias("unit"))  # once for each vector, not for each pair
+    v = lambda p: units.select(F.col("vec_id").alias(f"{p}_vec_id"), F.col("unit").alias(f"{p}_vector"))
+    dot = F.aggregate(F.zip_with("out_vector", "in_vector", lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
+    return gated.join(v("out").hint("merge"), "out_vec_id", "left").join(v("in").hint("merge"), "in_vec_id", "left").withColumn("reid", F.when(F.size("out_vector") == F.size("in_vector"), (dot + 1) / 2)).drop("out_vector", "in_vector")
 
 
 def similarity(a: str, b: str) -> Column:
@@ -102,7 +105,7 @@ def continuation_candidates(hypotheses: DataFrame, later: DataFrame, edges: Data
     start = hypotheses.select("session_id", *(F.col(f"in_{c}").alias(c) for c in SIDE)).distinct()
     step = handoff_score(handoff_gates(start, later, edges, zones).where("accepted"))
     held = hypotheses.select(F.col("in_tracklet_id").alias("out_tracklet_id"), F.col("out_tracklet_id").alias("parcel_tracklet_id"), F.col("score").alias("hypothesis_score"))
-    return step.join(held, "out_tracklet_id").select(
+    return step.join(held.hint("merge"), "out_tracklet_id").select(
         "session_id", "parcel_tracklet_id", F.col("out_tracklet_id").alias("incoming_tracklet_id"), F.col("in_tracklet_id").alias("later_tracklet_id"), (0.6 * F.col("hypothesis_score") + 0.4 * F.col("physical_score")).alias("combined")
     )
 
@@ -265,7 +268,7 @@ def multi_view_descriptor(views: DataFrame, keys: list[str], least_views: int =
     spread = views.select(*keys, F.posexplode("embedding").alias("dim", "value"))
     medians = spread.groupBy(*keys, "dim").agg(F.median("value").alias("value"))
     sized = views.groupBy(*keys).agg(F.count("*").alias("view_count"))
-    joined = medians.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("d"), F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm")).join(sized, keys)
+    joined = medians.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("d"), F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm")).join(sized.hint("merge"), keys)
     return joined.select(*keys, F.transform("d", lambda x: F.when(F.col("norm") > 0, x["value"] / F.col("norm")).otherwise(x["value"])).alias("aggregate"), "view_count", F.when(F.col("view_count") >= least_views, "RELIABLE").otherwise("LOW_VIEWS").alias("label"))
 
 
@@ -283,7 +286,7 @@ def mine_pairs(scored: DataFrame, margin: float = MARGIN) -> DataFrame:
     )
     positive = best.where(strong).select("out_tracklet_id", "in_tracklet_id", "to_role", F.lit("POSITIVE").alias("label"))
     won = positive.select(F.col("out_tracklet_id").alias("won"), "in_tracklet_id", "to_role")
-    negative = scored.join(won, ["in_tracklet_id", "to_role"]).where((F.col("out_tracklet_id") != F.col("won")) & (F.col("dimensions") >= 0.60)).select("out_tracklet_id", "in_tracklet_id", "to_role", F.lit("HARD_NEGATIVE").alias("label"))
+    negative = scored.join(won.hint("merge"), ["in_tracklet_id", "to_role"]).where((F.col("out_tracklet_id") != F.col("won")) & (F.col("dimensions") >= 0.60)).select("out_tracklet_id", "in_tracklet_id", "to_role", F.lit("HARD_NEGATIVE").alias("label"))
     return insert_or_ignore(positive.unionByName(negative), ["out_tracklet_id", "in_tracklet_id", "label"])
 
 

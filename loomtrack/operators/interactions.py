@@ -23,7 +23,7 @@ def parcel_person_pairs(parcels: DataFrame, persons: DataFrame, wrists: DataFram
     """
     side = lambda rows, p: rows.select(*FRAME, F.col("local_track_id").alias(f"{p}_id"), *(F.col(c).alias(f"{p}_{c}") for c in ("x1", "y1", "x2", "y2")))
     hands = wrists.groupBy(*FRAME, "person_id").agg(F.collect_list(F.struct("wx", "wy")).alias("hands"))  # two at most
-    pairs = side(parcels, "parcel").join(side(persons, "person"), list(FRAME)).join(hands, [*FRAME, "person_id"], "left")
+    pairs = side(parcels, "parcel").join(side(persons, "person"), list(FRAME)).join(hands.hint("merge"), [*FRAME, "person_id"], "left")
     gap = lambda low, v, high: F.greatest(F.col(low) - v, F.lit(0.0), v - F.col(high))
     reach = F.array_min(F.transform("hands", lambda h: F.hypot(gap("parcel_x1", h["wx"], "parcel_x2"), gap("parcel_y1", h["wy"], "parcel_y2"))))
     out = pairs.withColumns({"distance": F.coalesce(reach / diagonal, F.lit(10.0)), "overlap": iou("parcel_", "person_") > 0})
