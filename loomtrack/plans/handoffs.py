@@ -45,13 +45,6 @@ def tk5_overflow(spark, sf):
 
 
 def jn17_continuation_candidates(spark, sf):
-    t, edges, zones = _tracklets(spark, sf), fx.edges(spark), fx.zones(spark)
-    first = ops.handoff_score(ops.handoff_gates(t.where("camera_role = 'C1' AND local_track_id % 5 = 0"), t, edges, zones).where("accepted"))
-    out = ops.continuation_candidates(first, t, edges, zones)
-    return out.withColumn("combined", F.round("combined", 6))
-
-
-def jn17_continuation_candidates_whole(spark, sf):
     t, edges, zones = _tracklets(spark, sf), fx.edges(spark), fx.zones(spark)
     return ops.continuation_candidates(ops.handoff_score(_gated(spark, sf).where("accepted")), t, edges, zones).withColumn("combined", F.round("combined", 6))
 
@@ -72,10 +65,6 @@ def pf15_ingress_roles(spark, sf):
 
 
 def gr4_assign_one_to_one(spark, sf):
-    return ops.assign_one_to_one(ops.handoff_score(_gated(spark, sf).where("accepted AND to_role = 'C2'")), "out_tracklet_id", "in_tracklet_id")
-
-
-def gr4_assign_one_to_one_whole(spark, sf):
     return ops.assign_one_to_one(ops.handoff_score(_gated(spark, sf).where("accepted")), "out_tracklet_id", "in_tracklet_id")
 
 
@@ -131,7 +120,7 @@ def ag17_insert_or_ignore(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    jn1_handoff_gates, jn17_continuation_candidates, jn17_continuation_candidates_whole, sc3_vector_similarity, gr1_components, gr2_topology_rank, gr3_handoff_score, gr4_assign_one_to_one, gr4_assign_one_to_one_whole, gr6_resolve_handoffs, gr7_parcel_chains,
+    jn1_handoff_gates, jn17_continuation_candidates, sc3_vector_similarity, gr1_components, gr2_topology_rank, gr3_handoff_score, gr4_assign_one_to_one, gr6_resolve_handoffs, gr7_parcel_chains,
     tk2_best_candidate, tk5_overflow, pf11_destination_result, pf13_descriptor_reliable, pf15_ingress_roles, ag13_pair_counts, ag14_multi_view_descriptor, ag17_insert_or_ignore, sc4_project_embeddings, ml2_mine_pairs, ml3_episode_split,
 )}
 
@@ -173,7 +162,7 @@ ORACLES = {
     "gr3_handoff_score": f"{_G}{_score('scored', 'gated', True)} SELECT out_id AS out_tracklet_id, in_id AS in_tracklet_id, round(temporal, 6) AS temporal, round(dimensions, 6) AS dimensions, zone, round(speed, 6) AS speed, integrity, round(score, 6) AS score, round(physical_score, 6) AS physical_score FROM scored",
     "tk2_best_candidate": f"{_S6}, {_BEST} SELECT in_tracklet_id, out_tracklet_id, score, runner_up FROM best",
     "tk5_overflow": f"{_T} SELECT session_id, tracklet_id FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ended_at_global DESC, tracklet_id DESC) AS k FROM tracklets) WHERE k > 60",
-    "jn17_continuation_candidates": f"""{_T}, starts AS (SELECT * FROM tracklets WHERE camera_role = 'C1' AND local_track_id % 5 = 0){_gates('g1', 'starts', 'tracklets')}{_score('s1', 'g1')},
+    "jn17_continuation_candidates": f"""{_T}, starts AS (SELECT * FROM tracklets){_gates('g1', 'starts', 'tracklets')}{_score('s1', 'g1')},
       mids AS (SELECT * FROM tracklets WHERE tracklet_id IN (SELECT in_id FROM s1)){_gates('g2', 'mids', 'tracklets')}{_score('s2', 'g2')}
       SELECT s2.session_id, s1.out_id AS parcel_tracklet_id, s2.out_id AS incoming_tracklet_id, s2.in_id AS later_tracklet_id, round(0.6 * s1.score + 0.4 * s2.physical_score, 6) AS combined FROM s2 JOIN s1 ON s1.in_id = s2.out_id""",
     "gr1_components": f"""{_S.replace('WITH ', 'WITH RECURSIVE ', 1)}, e AS (SELECT out_id AS a, in_id AS b FROM scored WHERE score >= 0.9), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),

@@ -40,10 +40,6 @@ def _lines(obs):
 
 
 def io7_yolo_label_lines(spark, sf):
-    return _lines(_obs(spark, sf).where("local_track_id % 3 > 0"))
-
-
-def io7_yolo_label_lines_whole(spark, sf):
     return _lines(_obs(spark, sf))
 
 
@@ -101,7 +97,7 @@ def tk3_keyframes(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    io2_explode_detections, io3_flatten, io7_yolo_label_lines, io7_yolo_label_lines_whole, io8_parse_yolo_labels, ag12_observation_summary, dq8_quality_gate, dq11_validate_labels, pf12_person_wrists, jn2_parcel_person_pairs, jn11_temporal_matches,
+    io2_explode_detections, io3_flatten, io7_yolo_label_lines, io8_parse_yolo_labels, ag12_observation_summary, dq8_quality_gate, dq11_validate_labels, pf12_person_wrists, jn2_parcel_person_pairs, jn11_temporal_matches,
     st1_greedy_iou_tracks, st10_segment_frames, tk3_keyframes,
 )}
 
@@ -113,7 +109,7 @@ ORACLES = {
     "io2_explode_detections": f"{_O} SELECT {FR}, row_number() OVER (PARTITION BY {FR} ORDER BY local_track_id) - 1 AS obs_index, local_track_id AS track_id, x1 FROM track_obs",
     "io3_flatten": f"{_O} SELECT {FR}, local_track_id, x1 AS low_x1, y1 AS low_y1, x2 AS high_x2, y2 AS high_y2 FROM track_obs",
     "ag12_observation_summary": f"{_O} SELECT session_id, count(DISTINCT (source_id, stream_epoch, frame_index)) AS frames, count(*) AS observations FROM track_obs GROUP BY ALL",
-    "io7_yolo_label_lines": f"{_O} SELECT {KEYS}, frame_index, CASE class_name WHEN 'parcel' THEN 0 ELSE 1 END AS class_id, CAST(x1 + x2 AS BIGINT) AS v0, CAST(y1 + y2 AS BIGINT) AS v1, CAST(x2 - x1 AS BIGINT) AS v2, CAST(y2 - y1 AS BIGINT) AS v3 FROM track_obs WHERE local_track_id % 3 > 0",
+    "io7_yolo_label_lines": f"{_O} SELECT {KEYS}, frame_index, CASE class_name WHEN 'parcel' THEN 0 ELSE 1 END AS class_id, CAST(x1 + x2 AS BIGINT) AS v0, CAST(y1 + y2 AS BIGINT) AS v1, CAST(x2 - x1 AS BIGINT) AS v2, CAST(y2 - y1 AS BIGINT) AS v3 FROM track_obs",
     "io8_parse_yolo_labels": f"{_O} SELECT {KEYS}, frame_index, CASE local_track_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 1 ELSE 0 END::INTEGER AS class_id, CASE local_track_id % 5 WHEN 0 THEN 1 ELSE 2 END::BIGINT AS n, CASE local_track_id % 5 WHEN 0 THEN 0.5e0 ELSE x1 END AS v0, CASE WHEN local_track_id % 5 > 1 THEN y1 END AS v1 FROM track_obs",
     "dq11_validate_labels": f"{_O} SELECT session_id, ['RANGE,BOX', 'AREA', 'CLASS', 'NUMBER', 'COUNT', ''][local_track_id % 6 + 1] AS errors, count(*) AS n FROM track_obs GROUP BY ALL",
     "pf12_person_wrists": f"{_O}{_W} SELECT * REPLACE (round(wx, 6) AS wx, round(wy, 6) AS wy) FROM wrists",

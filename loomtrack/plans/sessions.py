@@ -128,11 +128,6 @@ def _latest(rows):
 
 
 def ag15_registry_consistency(spark, sf):
-    a = fx.view(spark, sf, "activations")
-    return ops.registry_consistency(a.where("status = 'ACTIVE' AND activation_id % 97 = 3"), _latest(a.where("runtime_applied")), _latest(a.where("status <> 'FAILED' AND activation_id % 2 = 0")))
-
-
-def ag15_registry_consistency_whole(spark, sf):
     """The current registry: per task the model of the latest active row."""
     a = fx.view(spark, sf, "activations")
     return ops.registry_consistency(_latest(a.where("status = 'ACTIVE'")), _latest(a.where("runtime_applied")), _latest(a.where("status <> 'FAILED'")))
@@ -181,7 +176,7 @@ def pf1_align_clocks(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     pf1_align_clocks, pf10_resolve_model_route, jn4_archive_lookup, jn5_frame_origin, jn8_bind_parcel_events, jn9_known_parcel_for_event, jn15_source_status, ag3_session_report, ag7_media_coverage, ag8_media_report,
-    ag15_registry_consistency, ag15_registry_consistency_whole, ag16_dashboard_counts, wn11_running_epoch, tk1_recent, tk4_rollback_target, tk6_max_routing_generation, so4_decision_log, st5_project_parcels, st5_derived_drops, st6_hypotheses, st7_apply_resolutions,
+    ag15_registry_consistency, ag16_dashboard_counts, wn11_running_epoch, tk1_recent, tk4_rollback_target, tk6_max_routing_generation, so4_decision_log, st5_project_parcels, st5_derived_drops, st6_hypotheses, st7_apply_resolutions,
     ml6_metric_deltas, ml7_promotion_gate, ss3_tumbling_counts, ss3_sliding_counts, ss3_session_windows, ss5_admit_results,
 )}
 
@@ -222,8 +217,9 @@ ORACLES = {
     "tk4_rollback_target": f"""{_A} SELECT a.task, arg_max(a.model_id, a.activation_id) AS model_id FROM activations a JOIN model_registry r ON r.model_id = a.model_id AND r.status IN ('CHAMPION', 'BASELINE', 'CANDIDATE') LEFT JOIN (SELECT task, arg_max(model_id, activation_id) AS cur FROM activations WHERE status = 'ACTIVE' GROUP BY ALL) c ON c.task = a.task
       WHERE a.runtime_applied AND a.status <> 'FAILED' AND (cur IS NULL OR a.model_id <> cur) GROUP BY ALL""",
     "tk6_max_routing_generation": f"{_A} SELECT task, max(routing_generation) AS generation FROM activations GROUP BY ALL",
-    "ag15_registry_consistency": f"""{_A}, act AS (SELECT task, count(*) AS n, min(model_id) AS m FROM activations WHERE status = 'ACTIVE' AND activation_id % 97 = 3 GROUP BY ALL), rt AS (SELECT task, arg_max(model_id, activation_id) AS r FROM activations WHERE runtime_applied GROUP BY ALL), ld AS (SELECT task, arg_max(model_id, activation_id) AS l FROM activations WHERE status <> 'FAILED' AND activation_id % 2 = 0 GROUP BY ALL)
-      SELECT task, concat_ws(',', CASE WHEN n IS NULL THEN 'NO_ACTIVE_MODEL' END, CASE WHEN n > 1 THEN 'SEVERAL_ACTIVE_MODELS' END, CASE WHEN n IS NOT NULL AND m IS DISTINCT FROM r THEN 'ROUTE_DIFFERS' END, CASE WHEN r IS NOT NULL AND r IS DISTINCT FROM l THEN 'ROUTE_NOT_LOADED' END) AS errors FROM act FULL JOIN rt USING (task) FULL JOIN ld USING (task)""",
+    "ag15_registry_consistency": f"""{_A}, t AS (SELECT task, arg_max(model_id, activation_id) FILTER (status = 'ACTIVE') AS a, arg_max(model_id, activation_id) FILTER (runtime_applied) AS b,
+        arg_max(model_id, activation_id) FILTER (status <> 'FAILED') AS c, bool_or(status = 'ACTIVE' OR runtime_applied OR status <> 'FAILED') AS there FROM activations GROUP BY ALL)
+      SELECT task, concat_ws(',', CASE WHEN a IS NULL THEN 'NO_ACTIVE_MODEL' END, CASE WHEN a IS NOT NULL AND a IS DISTINCT FROM b THEN 'ROUTE_DIFFERS' END, CASE WHEN b IS NOT NULL AND b IS DISTINCT FROM c THEN 'ROUTE_NOT_LOADED' END) AS errors FROM t WHERE there""",
     "pf10_resolve_model_route": f"""{_A}, rt AS (SELECT task, arg_max(model_id, activation_id) AS r, max(routing_generation) AS g FROM activations WHERE status = 'ACTIVE' AND task <> 'MACHINERY' GROUP BY ALL)
       SELECT activation_id, CAST(CASE WHEN activation_id % 10 = 0 THEN model_id ELSE r END AS BIGINT) AS model_id, CAST(CASE WHEN activation_id % 10 = 0 THEN 0 ELSE g END AS BIGINT) AS routing_generation, activation_id % 10 <> 0 AND r IS NULL AS rejected FROM activations LEFT JOIN rt USING (task)""",
     "ml6_metric_deltas": f"""{_A}, n AS ({_MET.format('ACTIVE')}), o AS ({_MET.format('SUPERSEDED')}) SELECT n.task, m AS metric, round(CASE m WHEN 'fps' THEN n.fps - o.fps WHEN 'accuracy' THEN n.accuracy - o.accuracy ELSE n.merge_rate - o.merge_rate END, 9) AS delta,

@@ -32,21 +32,17 @@ def _sql(sf, name, *filters):
     return columns, sorted(str([round(r[k], 6) if isinstance(r[k], float) else str(r[k]) for k in place]) for r in wanted.fetchall())
 
 
-def test_continuations_start_from_every_tracklet(spark, sf):
-    wanted = _sql(sf, "jn17_continuation_candidates", " WHERE camera_role = 'C1' AND local_track_id % 5 = 0")
-    assert _rows(spark, sf, "jn17_continuation_candidates_whole") == wanted
-    assert len(wanted[1]) > len(_sql(sf, "jn17_continuation_candidates")[1]) > 0
-
-
-def test_label_lines_of_every_track(spark, sf):
-    wanted = _sql(sf, "io7_yolo_label_lines", " WHERE local_track_id % 3 > 0")
-    assert _rows(spark, sf, "io7_yolo_label_lines_whole") == wanted and len(wanted[1]) == fx.view(spark, sf, "track_obs").count()
+def test_continuations_and_lines_of_all_rows(spark, sf):
+    for name in ("jn17_continuation_candidates", "io7_yolo_label_lines"):
+        wanted = _sql(sf, name)
+        assert _rows(spark, sf, name) == wanted and wanted[1]
+    assert len(wanted[1]) == fx.view(spark, sf, "track_obs").count()
 
 
 def test_assignment_over_both_edges(spark, sf):
     scored = handoffs.handoff_score(plans._gated(spark, sf).where("accepted"))
     apart = [{(r.out_tracklet_id, r.in_tracklet_id) for r in handoffs.assign_one_to_one(scored.where(F.col("to_role") == role), "out_tracklet_id", "in_tracklet_id").collect()} for role in ("C2", "C3")]
-    found = [(r.out_tracklet_id, r.in_tracklet_id) for r in plans.gr4_assign_one_to_one_whole(spark, sf).collect()]
+    found = [(r.out_tracklet_id, r.in_tracklet_id) for r in plans.gr4_assign_one_to_one(spark, sf).collect()]
     assert all(apart) and len(found) == len(set(found)) and set(found) == apart[0] | apart[1]
     assert len({a for a, _ in found}) == len({b for _, b in found}) == len(found)
 
@@ -62,14 +58,14 @@ def test_registry_of_all_rows(spark, sf):
     for task in {*active, *route, *loaded}:
         a, b, c = (x.get(task) for x in (active, route, loaded))
         wanted[task] = ",".join(name for name, bad in (("NO_ACTIVE_MODEL", a is None), ("ROUTE_DIFFERS", a is not None and a != b), ("ROUTE_NOT_LOADED", b is not None and b != c)) if bad)
-    assert {r.task: r.errors for r in sessions.ag15_registry_consistency_whole(spark, sf).collect()} == wanted
+    assert {r.task: r.errors for r in sessions.ag15_registry_consistency(spark, sf).collect()} == wanted
 
 
 def test_positives_over_all_blocks(spark, sf):
     parcels = max(fx.vectors(spark, sf).count() // 24, 1)
     items = sorted((r.item_id, r.session_id, r.split, r.vec_id % parcels, r.camera_role) for r in datasets._items(spark, sf).collect())
     wanted = {(a[0], b[0]) for a, b in combinations(items, 2) if a[1:4] == b[1:4] and a[4] != b[4]}
-    out = datasets.jn12_reid_pairs_whole(spark, sf).collect()
+    out = datasets.jn12_reid_pairs(spark, sf).collect()
     found = [(r.left_id, r.right_id) for r in out if r.label == "POSITIVE"]
     assert len(found) == len(set(found)) and set(found) == wanted
     assert any(a // 200 != b // 200 for a, b in wanted)
