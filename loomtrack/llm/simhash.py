@@ -50,13 +50,15 @@ def fingerprint(text: str, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text_hash, fp): the fingerprint as a signed long, one row per document; null text counts as empty."""
+    """(doc_id, fp): the fingerprint as a signed long, one row per document; null text counts as empty."""
+    return _prints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ("doc_id",))
 
+
+def _prints(named: DataFrame, keep: tuple[str, ...]) -> DataFrame:
     def make():
         return lambda texts: {"fp": pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))}
 
-    named = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    return map_texts(named, make, "fp long", "text", ("doc_id", "text_hash"))
+    return map_texts(named, make, "fp long", "text", keep)
 
 
 def _case(values: list[str]) -> str:
@@ -180,11 +182,10 @@ def components(prints: DataFrame, distance: int = DISTANCE, block: int = BLOCK)
     return fps.join(parts.hint("merge"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
 
 
-def _grouped(docs: DataFrame, doc_id: str, text: str, distance: int) -> DataFrame:
-    """(doc_id, text_hash, fp, component), one row per document; ``component`` is a fingerprint."""
-    prints = written(fingerprints(docs, doc_id, text), "simhash-prints")
-    parts = written(components(prints, distance), "simhash-components")
-    return prints.join(parts.hint("merge"), "fp")
+def _grouped(prints: DataFrame, distance: int) -> DataFrame:
+    """Adds ``component``, a fingerprint, to fingerprinted rows."""
+    prints = written(prints, "simhash-prints")
+    return prints.join(written(components(prints, distance), "simhash-components").hint("merge"), "fp")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
@@ -196,22 +197,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     the smallest known id. Repeated rows are returned as often as they come. An empty
     table gives an empty result. Only the two named columns are read.
     """
-    grouped = _grouped(docs, doc_id, text, distance)
-    named = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    grouped = _grouped(fingerprints(docs, doc_id, text), distance)
+    named = written(grouped.groupBy("component").agg(F.min("doc_id").alias("component_id")), "simhash-named")
     return grouped.join(named.hint("merge"), "component").select(F.col("doc_id").alias(doc_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
     """One row of ``docs``, all columns, for each component: the one with the smallest doc_id.
 
-    Null ids come last, ties go to the smaller hash of the text, and of rows equal in both
-    one stays.
+    Null ids come last; of rows with one id the one with the smaller hash of the text stays,
+    then of all columns (but maps), so that the same row stays in every run; of rows equal in
+    all of them any. Columns may have any names. An empty table gives an empty result.
     """
-    grouped = _grouped(docs, doc_id, text, distance)
-    each = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")
+    hashed = [c for f in docs.schema for c in (F.col(f"`{f.name}`"), F.col(f"`{f.name}`").isNull()) if "map<" not in f.dataType.simpleString()]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"), F.xxhash64(*hashed).alias("row_hash"))
+    keys = ("doc_id", "text_hash", "row_hash")
+    grouped = _grouped(_prints(rows.select(*keys, "text"), keys), distance)
+    each = F.struct(F.col("doc_id").isNull().alias("unknown"), *keys)
     chosen = grouped.groupBy("component", each.alias("who")).agg(F.count("*").alias("n")).groupBy("component").agg(F.min(F.struct("who", "n")).alias("best"))
-    chosen = written(chosen.select(F.col("best.who.doc_id").alias("__id"), F.col("best.who.text_hash").alias("__hash"), F.col("best.n").alias("__n")), "simhash-chosen")
-    same = docs[doc_id].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__hash"))
-    once = docs.join(chosen.where("__n = 1").hint("shuffle_hash"), same).select(*(docs[c] for c in docs.columns))
-    repeated = docs.join(chosen.where("__n > 1").hint("shuffle_hash"), same).select(*(docs[c] for c in docs.columns), "__hash")
-    return once.unionByName(repeated.dropDuplicates([doc_id, "__hash"]).drop("__hash"))
+    chosen = written(chosen.select(F.col("best.who.doc_id").alias("id"), F.col("best.who.text_hash").alias("hash"), F.col("best.who.row_hash").alias("row_id"), "best.n"), "simhash-chosen")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")) & (F.col("row_hash") == F.col("row_id"))
+    joined = lambda some: rows.drop("text").join(chosen.where(some).hint("shuffle_hash"), same)
+    return joined("n = 1").select("row.*").unionByName(joined("n > 1").dropDuplicates(list(keys)).select("row.*"))

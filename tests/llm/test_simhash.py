@@ -25,7 +25,7 @@ def plain_fingerprint(text):
 def plain_components(fps, distance=4):
     fps = np.array(sorted(set(fps)), np.int64)
     root = np.arange(len(fps))
-    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= distance
+    near = np.array([[bin((a ^ b) & (2**64 - 1)).count("1") <= distance for b in fps.tolist()] for a in fps.tolist()]).reshape(len(fps), len(fps))
     while True:
         new = np.where(near, root[None, :], len(fps)).min(axis=1)
         if (new == root).all():
@@ -83,6 +83,19 @@ def test_whole_query(spark):
     assert [d for d, _ in kept] == sorted({c for _, _, c in out})
 
 
+def test_keep_first_of_ties_and_clashing_columns(spark):
+    """Rows of one id and text: the same one stays in every order; any column name goes."""
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, text, k, "a", None, "x.y", 1) for k in range(6)] + [(1, text, None, "a", 0, "", 1), (2, text, 0, "a", None, "x.y", 1), (3, "other words here at all", 0, "b", 1, "", 2), (3, "other words here at all", 0, "b", 1, "", 2), (None, None, 1, "", 1, "", 3)]
+    names = "doc_id long, text string, __id long, __hash string, row long, `a.b` string, n int"
+    found = []
+    for order in (rows, rows[::-1], rows[5:] + rows[:5]):
+        kept = simhash.keep_first(spark.createDataFrame(order, names).repartition(3))
+        assert kept.columns == ["doc_id", "text", "__id", "__hash", "row", "a.b", "n"]
+        found.append(sorted(map(str, kept.collect())))
+    assert len(found[0]) == 3 and found[0] == found[1] == found[2]
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], DOCS)
     assert simhash.near_duplicates(empty).count() == 0
