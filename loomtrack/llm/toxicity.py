@@ -93,19 +93,19 @@ def units(text: str) -> list[str]:
 def _triples(length: int) -> tuple[np.ndarray, ...]:
     found = [(i, j, k) for i in range(length) for j in range(i + 1, length) for k in range(j + 1, min(length, i + STRETCH))]
     i, j, k = np.array(found, np.int64).reshape(-1, 3).T
-    return i, j, k, DECAY ** (k - i + 1)
+    return i, j, k, (DECAY ** (k - i + 1)).astype(np.float32)
 
 
 def _subsequences(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For words of one length: subsequence numbers and weights; weight 0 where a mark takes part."""
     i, j, k, weight = _triples(codes.shape[1])
     a, b, c = codes[:, i], codes[:, j], codes[:, k]
-    return (a * CODES + b) * CODES + c, np.where((a > 0) & (b > 0) & (c > 0), weight, 0.0)
+    return (a * CODES + b) * CODES + c, np.where((a > 0) & (b > 0) & (c > 0), weight, np.float32(0))
 
 
 def _norms(number: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Square roots of the kernel of each word with itself."""
-    key = (np.arange(len(number))[:, None] * CODES**3 + number).ravel()
+    key = (np.arange(len(number), dtype=np.int64)[:, None] * CODES**3 + number).ravel()
     seen, at = np.unique(key, return_inverse=True)
     return np.sqrt(np.bincount(seen // CODES**3, np.bincount(at, weight.ravel()) ** 2, len(number))) + 1e-12
 
@@ -116,9 +116,9 @@ def _by_length(coded: list[list[int]]) -> Iterator[tuple[np.ndarray, np.ndarray]
     for at, codes in enumerate(coded):
         groups[len(codes)].append(at)
     for places in groups.values():
-        for k in range(0, len(places), 5_000):
-            block = places[k : k + 5_000]
-            yield np.array(block), np.array([coded[x] for x in block], np.int64)
+        for k in range(0, len(places), 1_000):
+            block = places[k : k + 1_000]
+            yield np.array(block), np.array([coded[x] for x in block], np.int32)
 
 
 def features(coded: list[list[int]]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -178,8 +178,8 @@ class Reader:
         if len(self.known) > MEMORY:
             self.known.clear()
         new = list({w for words in found for w in set(words).difference(self.known)})
-        for at in range(0, len(new), 50_000):
-            part = new[at : at + 50_000]
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
             self.known.update(zip(part, self.machine.margins(part).tolist()))
 
     def __call__(self, texts: list[str]) -> np.ndarray:
