@@ -39,38 +39,23 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     """
     one = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     ordered = turns.select(F.col(conv_id).alias(conv_id), one.alias("t")).groupBy(conv_id).agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    start = F.expr("CAST(array() AS array<struct<role: string, texts: array<string>>>)")
-
-    def merge(blocks: Column, t: Column) -> Column:
-        last = F.element_at(blocks, -1)
-        same = (F.size(blocks) > 0) & (F.try_element_at(blocks, F.lit(-1))["role"] == t["role"])
-        longer = F.struct(t["role"].alias("role"), F.array_append(last["texts"], t["text"]).alias("texts"))
-        new = F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts"))
-        return F.when(same, F.array_append(F.slice(blocks, F.lit(1), F.size(blocks) - 1), longer)).otherwise(F.array_append(blocks, new))
-
-    blocks = ordered.select(conv_id, F.aggregate("turns", start, merge).alias("blocks"))
-    safe = blocks.select(conv_id, F.transform("blocks", lambda b: F.struct(b["role"].alias("role"), F.transform(b["texts"], escape).alias("texts"))).alias("blocks"))
-    out = safe.select(
-        conv_id,
-        "blocks",
-        F.concat(F.lit(BEGIN), F.array_join(F.transform("blocks", lambda b: F.concat(F.lit(TURN), escape(b["role"]), F.lit(TEXT), F.array_join(b["texts"], ALSO), F.lit(END))), ""), F.lit(FINISH)).alias("formatted"),
-    )
-    spans = F.expr("CAST(array() AS array<struct<start: bigint, length: bigint>>)")
-    state = F.struct(F.lit(len(BEGIN)).cast("long").alias("at"), spans.alias("spans"))
-
-    def walk(s: Column, b: Column) -> Column:
-        head = F.lit(len(TURN) + len(TEXT)) + F.length(escape(b["role"]))
-        inner = F.aggregate(
-            b["texts"],
-            F.struct((s["at"] + head).alias("at"), s["spans"].alias("spans")),
-            lambda q, x: F.struct(
-                (q["at"] + F.length(x) + len(ALSO)).alias("at"),
-                F.when(b["role"] == learn_role, F.array_append(q["spans"], F.struct(q["at"].alias("start"), F.length(x).cast("long").alias("length")))).otherwise(q["spans"]).alias("spans"),
-            ),
-        )
-        return F.struct((inner["at"] - len(ALSO) + len(END)).alias("at"), inner["spans"].alias("spans"))
-
-    return out.select(conv_id, "formatted", F.aggregate("blocks", state, walk)["spans"].alias("loss_spans"))
+    safe = ordered.select(conv_id, F.transform("turns", lambda t: F.struct(t["role"].alias("role"), escape(t["role"]).alias("mark"), escape(t["text"]).alias("text"))).alias("turns"))
+    # each turn beside the role before it: a turn of the same role goes on with the block, another opens a new one
+    roles = F.concat(F.array(F.lit(None).cast("string")), F.transform(F.slice("turns", F.lit(1), F.size("turns") - 1), lambda t: t["role"]))
+    opened = lambda t: F.concat(F.lit(TURN), t["mark"], F.lit(TEXT))
+    lead = lambda t, before: F.when(before.isNull(), opened(t)).when(before == t["role"], F.lit(ALSO)).otherwise(F.concat(F.lit(END), opened(t)))
+    pieces = safe.select(conv_id, F.zip_with("turns", roles, lambda t, before: F.struct(lead(t, before).alias("lead"), t["text"].alias("text"), (t["role"] == learn_role).alias("learn"))).alias("pieces"))
+    sized = pieces.select(conv_id, "pieces", F.transform("pieces", lambda p: (F.length(p["lead"]) + F.length(p["text"])).cast("long")).alias("lengths"))
+    # the length of all pieces before each, summed in parts of about the root of their number, so that no long array is copied at each step
+    width = F.greatest(F.ceil(F.sqrt(F.size("lengths"))), F.lit(1)).cast("int")
+    running = lambda values: F.aggregate(values, F.array(F.lit(0).cast("long")), lambda sums, x: F.array_append(sums, F.element_at(sums, -1) + x))
+    parted = sized.select(conv_id, "pieces", F.transform(F.sequence(F.lit(0), F.ceil(F.size("lengths") / width).cast("int") - 1), lambda k: running(F.slice("lengths", k * width + 1, width))).alias("parts"))
+    summed = parted.select(conv_id, "pieces", "parts", running(F.transform("parts", lambda p: F.element_at(p, -1))).alias("starts"))
+    before = F.flatten(F.zip_with("parts", F.slice("starts", F.lit(1), F.size("starts") - 1), lambda sums, start: F.transform(F.slice(sums, F.lit(1), F.size(sums) - 1), lambda x: x + start)))
+    span = lambda p, at: F.struct((F.lit(len(BEGIN)) + at + F.length(p["lead"])).cast("long").alias("start"), F.length(p["text"]).cast("long").alias("length"), p["learn"].alias("learn"))
+    formatted = F.concat(F.lit(BEGIN), F.array_join(F.transform("pieces", lambda p: F.concat(p["lead"], p["text"])), ""), F.lit(END + FINISH))
+    spans = F.filter(F.zip_with("pieces", before, span), lambda s: s["learn"])
+    return summed.select(conv_id, formatted.alias("formatted"), F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length"))).alias("loss_spans"))
 
 
 def read_chats(chats: DataFrame, formatted: str = "formatted") -> DataFrame:
