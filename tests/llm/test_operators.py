@@ -1,5 +1,7 @@
 """The other training-data operators: brute force, round trips and held-out accuracy."""
 
+import itertools
+import time
 import zlib
 
 import numpy as np
@@ -7,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtrack.llm import chat, html, lm, packing, pieces, quality, toxicity, vectors
+from loomtrack.llm import chat, gbdt, html, lm, packing, pieces, quality, toxicity, vectors
 
 TEXTS = [(1, "The quick brown fox.\nIt jumps, over  the lazy dog!", "x"), (2, None, "y"), (3, "", None), (None, "Ünïcödé 日本語 😀 x y", "z"), (4, "a b " * 30000, ""), (1, "The quick brown fox.\nIt jumps, over  the lazy dog!", "x")]
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("score", T.StringType())])
@@ -68,6 +70,15 @@ def test_chat_round_trip(spark):
     assert chat.format_chats(turns.limit(0)).count() == 0
 
 
+def test_chat_of_many_turns(spark):
+    """One conversation of 20,000 turns, in a time that hardly grows faster than they do."""
+    turns = spark.range(20_000).selectExpr("1L AS conv_id", "id AS turn", "CASE WHEN id % 3 = 0 THEN 'user' ELSE 'assistant' END AS role", "concat('text ', id) AS text")
+    began = time.time()
+    row = chat.read_chats(chat.format_chats(turns)).withColumn("loss", chat.loss_text()).first()
+    assert time.time() - began < 60
+    assert [t.text for t in row.turns] == [f"text {k}" for k in range(20_000)] and row.loss == "".join(f"text {k}" for k in range(20_000) if k % 3)
+
+
 def _vectors(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, links string")
 
@@ -92,6 +103,31 @@ def test_embedding_links_against_brute_force(spark, monkeypatch):
     assert vectors.embedding_duplicates(_vectors(spark, rows).limit(0)).count() == 0
 
 
+def test_embedding_extreme_numbers_and_ids(spark, monkeypatch):
+    """Squares that overflow or vanish, null ids, several labels: against the cosine of scaled vectors, with a low broadcast limit."""
+    monkeypatch.setattr(vectors, "BLOCK", 4)
+    monkeypatch.setattr(vectors, "BROADCAST_BUCKETS", 0)
+    rng = np.random.default_rng(2)
+    rows = [(1, [1e200, 1e200], 0), (2, [1e200, 1.0001e200], 0), (3, [1e-200, 1e-200], 0), (4, [1e-200, -1e-200], 0), (5, [5e-324, 5e-324], 0), (6, [1e308, 1e-308], 1), (7, [1.0, 0.0], 1), (None, [1.0, 0.0], 1)]
+    rows += [(10 + k, [float(v) for v in [1, 1, 1] + 0.2 * rng.standard_normal(3)], k % 3) for k in range(60)]
+    table = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, label int, rep string")
+    out = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.embedding_duplicates(table).collect()}
+    unit = {i: np.array(v) / np.abs(v).max() / np.linalg.norm(np.array(v) / np.abs(v).max()) for i, v, _ in rows if i}
+    label = {i: c for i, _, c in rows if i}
+    near = {i: {j for j in unit if j != i and label[i] == label[j] and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.93} for i in unit}
+    assert {i: n for i, (n, _, _) in out.items() if i} == {i: len(x) for i, x in near.items()}
+    reached = {i: {i} for i in near}
+    for _ in range(10):
+        reached = {i: r.union(*(near[j] for j in r)) for i, r in reached.items()}
+    assert all(out[i] == (len(near[i]), min(r), i == min(r)) for i, r in reached.items()) and out[None] == (0, None, True)
+
+
+def test_tables_hold_recall_as_labels_grow():
+    for n in (1, 10_000, 10_000_000):
+        tables, bits = vectors.tables_for(n)
+        assert (1 - (1 - np.arccos(0.93) / np.pi) ** bits) ** tables <= vectors.MISS and n / 2**bits <= vectors.BUCKET
+
+
 def test_neighbours_recall(spark, sf):
     rows = spark.read.parquet(f"{sf}/embeddings.parquet")
     found = {}
@@ -177,9 +213,94 @@ def test_toxicity_tolerates_gaps(spark, docs):
     assert toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs.limit(0), labels, F.lit(True))).count() == len(TEXTS)
 
 
+def test_trees_against_a_plain_walk():
+    """Flattened trees give what walking them node by node gives; the first split is the best one by brute force."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((300, 5))
+    y = ((x[:, 1] > 0.3) | (x[:, 3] < -1)).astype(float)
+    model = gbdt.fit(x, y, trees=6, depth=3, bins=16)
+    for row, p in zip(x, model.probability(x)):
+        total = model.base
+        for feature, threshold, leaf in zip(model.feature, model.threshold, model.leaf):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + 1 + int(row[feature[node]] > threshold[node])
+            total += leaf[node - len(feature)]
+        assert p == pytest.approx(1 / (1 + np.exp(-total)))
+    assert ((model.probability(x) > 0.5) == (y > 0)).mean() > 0.95
+    share = (y.sum() + 0.5) / (len(y) + 1)
+    g, h = share - y, share * (1 - share)
+    gains = {}
+    for f in range(5):
+        for cut in np.unique(np.quantile(x[:, f], np.linspace(0, 1, 17)[1:-1])):
+            left = x[:, f] <= cut
+            part = lambda m: g[m].sum() ** 2 / (h * m.sum() + 2.0)
+            gains[f, cut] = part(left) + part(~left)
+    assert (model.feature[0][0], model.threshold[0][0]) == max(gains, key=gains.get)
+
+
+@pytest.mark.parametrize("text", ["", "Hello, World! 123\nab ab ab.\n\n#|$ é", "x " * 50, "\n"])
+def test_statistics_by_definition(text):
+    found, raw = dict(zip(quality.STATISTICS, quality.statistics(text))), text.encode()
+    words, lines, n = raw.split(), raw.split(b"\n"), max(len(raw), 1)
+    count = lambda chars: sum(raw.count(bytes([c])) for c in chars)
+    assert found["log_bytes"] == pytest.approx(np.log(1 + len(raw))) and found["log_words"] == pytest.approx(np.log(1 + len(words)))
+    assert found["upper"] == pytest.approx(count(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ") / n) and found["digits"] == pytest.approx(count(b"0123456789") / n)
+    assert found["stops"] == pytest.approx(count(b".,;:?") / n) and found["bars"] == pytest.approx(count(b"|") / n) and found["high_bytes"] == pytest.approx(sum(b > 127 for b in raw) / n)
+    assert found["distinct_words"] == pytest.approx(len(set(words)) / max(len(words), 1)) and found["repeated_words"] == pytest.approx(sum(a == b for a, b in zip(words, words[1:])) / max(len(words), 1))
+    assert found["distinct_lines"] == pytest.approx(len(set(lines)) / len(lines)) and found["full_lines"] == pytest.approx(sum(x.endswith(b".") for x in lines) / len(lines))
+
+
+def _plain_kernel(a, b):
+    """Sum over all common subsequences of three letters, by definition."""
+
+    def weights(codes):
+        out = {}
+        for i, j, k in itertools.combinations(range(len(codes)), 3):
+            if k - i < toxicity.STRETCH and codes[i] and codes[j] and codes[k]:
+                key = (codes[i], codes[j], codes[k])
+                out[key] = out.get(key, 0.0) + toxicity.DECAY ** (k - i + 1)
+        return out
+
+    u, v = weights(a), weights(b)
+    dot = lambda x, y: sum(w * y.get(k, 0.0) for k, w in x.items())
+    return dot(u, v) / np.sqrt(dot(u, u) * dot(v, v))
+
+
+def test_toxicity_kernel_against_a_plain_sum():
+    words = ["idiot", "i.d.i.o.t", "ididiot", "a", "ab", "дурак", "д.у.р.а.к", "scum", "resume", "x" * 20]
+    coded = [toxicity.encode(w)[0] for w in words]
+    kernel = toxicity.Landmarks(coded).kernel(coded)
+    for i, a in enumerate(coded):
+        for j, b in enumerate(coded):
+            assert kernel[i, j] == pytest.approx(_plain_kernel(a, b), rel=1e-5, abs=1e-6)
+    assert kernel[0, 1] > 0.7 and kernel[5, 6] > 0.7 and kernel[0, 7] < 0.1
+    # the folded table gives the same margins as the kernel, a word of several windows the largest of theirs
+    marks, w = toxicity.Landmarks(coded), np.linspace(1, 2, len(coded))
+    machine = toxicity.Machine(marks.table(w), 1.0, 0.0)
+    assert machine.margins(words) == pytest.approx((kernel @ w).tolist(), rel=1e-4)
+    long = "scum" + "." * 40 + "w-o-r-t-h-l-e-s-s" + "." * 40 + "idiot"
+    assert len(toxicity.encode(long)) > 3 and toxicity.encode("...") == []
+    assert machine.margins([long])[0] == pytest.approx(max(float(marks.kernel([c])[0] @ w) for c in toxicity.encode(long)), rel=1e-4)
+
+
+def test_toxicity_of_short_and_repeated_texts(spark):
+    """Several labels of an id, copies, null and empty texts; without toxic texts all score low."""
+    rows = [(k, f"you are a complete zorgo and {'vlim' if k % 2 else 'v.l.i.m'} word{k} number{k % 7}" if k % 3 == 0 else f"you are a complete weather number{k % 7} and fine word{k} today") for k in range(120)]
+    rows += [(500, "zorgo vlim zorgo"), (501, "Z-o-r-g-o, vvlim zor.go"), (502, ""), (503, None), (504, "weather fine"), (500, "zorgo vlim zorgo")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(120)] + [(0, 0), (3, None)], "doc_id long, toxic int")
+    machine = toxicity.fit_toxicity(docs, labels, F.lit(True))
+    score = [(r.doc_id, r.score) for r in toxicity.score_toxicity(docs, machine).collect()]
+    assert len(score) == len(rows) and all((s >= 0.5) == (d % 3 == 0) for d, s in score if d < 500)
+    assert [d for d, s in score if d >= 500 and (s >= 0.5) != (d in (500, 501))] == [], (score[-6:], machine.margins(["zorgo", "vlim", "z-o-r-g-o", "vvlim", "zor.go", "weather", "fine"]))
+    none = toxicity.fit_toxicity(docs, labels.where("toxic = 0"), F.lit(True))
+    assert all(r.score < 0.5 for r in toxicity.score_toxicity(docs, none).collect())
+    assert toxicity.score_toxicity(docs.limit(0), machine).count() == 0 and toxicity.keep_clean(docs, machine).columns == docs.columns
+
+
 def test_language_model_sums_to_one_and_counts(spark, docs):
     model, counts = lm.fit(docs)
-    assert np.allclose((10.0 ** model.table.astype(np.float64)).sum(axis=1), 1)
     known = {r.word: r.n for r in counts.collect()}
     n, v = sum(known.values()), len(known)
     for r in lm.score(docs, model, counts).collect():
@@ -196,6 +317,80 @@ def test_language_model_sums_to_one_and_counts(spark, docs):
     assert lm.score(docs, *lm.fit(docs.limit(0))).count() == len(TEXTS)
 
 
+def _plain_log10(model, known, tokens, at):
+    """log10 probability of one token, from the model's vectors by definition."""
+    v, net = model.vocabulary, model.net
+    number = lambda w: v.own + lm.ENDINGS if w == b"" else v.words.index(w) if w in v.words[: v.own] else v.own + lm.ending(w)
+    before = [number(tokens[at - k - 1]) if at > k else v.own + lm.ENDINGS for k in range(lm.ORDER)]
+    q = sum(net.context[c].astype(float) * net.position[k] for k, c in enumerate(before))
+    softmax = lambda rows: np.exp(rows[:, :-1].astype(float) @ q + rows[:, -1]) / np.exp(rows[:, :-1].astype(float) @ q + rows[:, -1]).sum()
+    this = number(tokens[at])
+    if this >= v.own:
+        p = softmax(net.outer)[net.classes + this - v.own]
+        if this < v.own + lm.ENDINGS:
+            group = [w for w in known if w and w not in v.words[: v.own] and lm.ending(w) == this - v.own]
+            p *= (known.get(tokens[at], 0) + 0.1) / (sum(known[w] for w in group) + 0.1 * (len(group) + 1))
+        return np.log10(p)
+    low = this // net.width * net.width
+    return np.log10(softmax(net.outer)[this // net.width] * softmax(net.inner[low : min(low + net.width, v.own)])[this - low])
+
+
+def test_language_model_token_by_token(spark, sf, monkeypatch):
+    """Scores against plain sums over tokens, with few own words, head words and tokens at once; probabilities sum to one; many equal rows."""
+    monkeypatch.setattr(lm, "FACTOR", 0.5)
+    monkeypatch.setattr(lm, "SCORED", 300)
+    table = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 60").select("doc_id", "text")
+    model, counts = lm.fit(table)
+    v, net, known = model.vocabulary, model.net, {bytes(r.word): r.n for r in counts.collect()}
+    assert 0 < v.own < len(v.words) and v.own == int(0.5 * v.n**0.4)
+    assert sorted(v.words, key=lambda w: (-known[w], w)) == v.words
+    odd = [(900, "zzz Unknown words ÄÖ"), (901, ""), (None, None)] + [(902, "the same")] * 1500
+    docs = table.where("length(text) < 1500").union(spark.createDataFrame(odd, "doc_id long, text string"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = lm.score(docs, model, counts).collect()
+    assert sorted(str(r.doc_id) for r in rows) == sorted(str(r.doc_id) for r in docs.collect())
+    for r in {r.doc_id: r for r in rows}.values():
+        tokens = [*lm.words_of(texts[r.doc_id]), b""]
+        assert r.score == pytest.approx(sum(_plain_log10(model, known, tokens, k) for k in range(len(tokens))), rel=1e-5)
+    every = np.arange(v.own + lm.ENDINGS + 1)
+    for context in ([every[-1]] * 3, [0, 1, 2], [v.own + 5, 3, every[-1]]):
+        assert (10 ** net.log10(np.tile(context, (len(every), 1)), every)).sum() == pytest.approx(1, abs=1e-5)
+
+
+def test_language_model_learns_from_the_words_before():
+    """One pass over sf0.01 in plain steps: held-out tokens become likelier than by their shares alone."""
+    import duckdb
+
+    rows = duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()
+    learn, held = ([t for d, t in rows if (zlib.crc32(str(d).encode()) % 10 == 0) == out] for out in (False, True))
+    counts = {}
+    for w in (w for t in learn for w in lm.words_of(t)):
+        counts[w] = counts.get(w, 0) + 1
+    n = sum(counts.values()) + len(learn)
+    words = sorted(counts, key=lambda w: (-counts[w], w))
+    v = lm.Vocabulary(words, np.array([counts[w] for w in words]), n, len(words), len(learn), int(n**0.4))
+    codes, numbers, end = v.codes, v.numbers, v.own + lm.ENDINGS
+    known, new = (list(lm._texts_tokens(texts, v, codes, numbers)) for texts in (learn, held))
+    shares = np.bincount(np.concatenate(known), minlength=end + 1) + 0.5
+    net = lm.Net(shares / shares.sum(), v.own)
+    trainer, tokens, contexts = lm.Trainer(net), np.concatenate(known), np.concatenate([lm._contexts(t, end) for t in known])
+    for rate in (0.1, 0.05):
+        for c, t in zip(np.array_split(contexts, len(tokens) // 512), np.array_split(tokens, len(tokens) // 512)):
+            trainer.step(c, t, rate)
+    found = np.concatenate([net.log10(lm._contexts(t, end), t) for t in new]).mean()
+    assert found > np.log10(shares / shares.sum())[np.concatenate(new)].mean() + 0.05
+
+
+def test_contrast_is_the_gradient():
+    """The gradient of noise-contrastive estimation against finite differences."""
+    rng = np.random.default_rng(0)
+    scores, expected = rng.standard_normal(9), 5 * rng.dirichlet(np.ones(9))
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for is_data in (True, False):
+        gain = lambda s: np.log(sigmoid(s - np.log(expected)) if is_data else 1 - sigmoid(s - np.log(expected)))
+        assert lm._contrast(scores, expected, is_data) == pytest.approx((gain(scores + 1e-5) - gain(scores - 1e-5)) / 2e-5, rel=1e-4)
+
+
 PAGE = """<html><head><title>t</title></head><body><nav><a href=/>Home</a></nav><div class="menu-x">M</div><aside>side</aside><article><h1>Big &amp; bold</h1><p>One
  two<br>three<p>Four <b>five</b>.</p><div class="comments"><p>nice!</p></div><script>var t="</p>";</script></article><div>Same everywhere</div><footer>f</footer></body></html>"""
 
@@ -210,6 +405,50 @@ def test_html_main_text(spark):
     assert html.main_texts(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ("<p title=it's>Hello</p>", "Hello"),
+        ('<a href="x>link</a> tail', "link tail"),
+        ('<a title="', ""),
+        ("a < b <3 <<p>x", "a < b <3 <\n\nx"),
+        ("<!-- a > b --> c <!x> d </ x> e <!--> f", "c d e f"),
+        ("<p a='1'b=2>q<p c='>'>r", "q\n\nr"),
+        ("İİ<script>x</SCRIPT >y<style>q", "İİy"),
+        ("<title>a</title x>b &amp;&lt;i&gt;", "b &<i>"),
+        ("<article>A teaser</article><main><p>The long text of this page</p></main>", "The long text of this page"),
+        ("<main><div>Home</div><article>The long text of this page</article></main>", "The long text of this page"),
+        ("<article><p class='notice'>a</p><div class='comment-intro'>b</div><a class='menu-item'>c</a><div class='x comments'>d</div></article><div class='comment-intro'>e</div>", "a\n\nb\n\nc"),
+        ("<div>" * 600 + "deep" + "</div>" * 600 + "<p>after", "deep\n\nafter"),
+    ],
+)
+def test_html_odd_markup(source, text):
+    assert html.Page(source).text() == text
+
+
+@pytest.mark.parametrize("piece", ['<a title="', "<a x='", "<b><div>", "<!--", "</x>", "<li><b>", "<a =", "<p><table><b><hr>", "&lt;<"])
+def test_html_time_grows_with_length(piece):
+    began = time.process_time()
+    html.Page(piece * (1_000_000 // len(piece))).text()
+    assert time.process_time() - began < (1 if "title" in piece else 10)
+
+
+def test_html_templates_against_a_plain_count(spark, sf):
+    """All pages: templates counted per host in a dictionary give the same texts; the url column may be called host."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").withColumnRenamed("url", "host")
+    seen, hosts, rows = {}, {}, pages.collect()
+    for r in rows:
+        page, name = html.Page(r.html or ""), (r.host or "").split("//")[-1].split("/")[0].split("?")[0].lower()
+        hosts.setdefault(name, set()).add(page.text())
+        for digest in page.candidates():
+            seen.setdefault((name, digest), set()).add(page.text())
+    found = {r.page_id: r.text for r in html.main_texts(pages, url="host").collect()}
+    for r in rows:
+        name = (r.host or "").split("//")[-1].split("/")[0].split("?")[0].lower()
+        templates = {d for (h, d), texts in seen.items() if h == name and len(texts) >= max(html.MIN_PAGES, html.SHARE * len(hosts[name]))}
+        assert found[r.page_id] == html.Page(r.html or "").text(templates)
+
+
 def _texts(spark, sources, limit):
     pages = spark.createDataFrame([(k, f"http://{host}/{k}", source) for k, (host, source) in enumerate(sources)], "page_id long, url string, html string")
     return {r.page_id: r.text for r in html.main_texts(pages, broadcast_limit=limit).collect()}
