@@ -1,11 +1,12 @@
-"""Order-dependent jobs: one grouped-map call per key, rows in time order."""
+"""Order-dependent jobs: folds over the rows of a key in time order."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtrack.operators.keyed import Fold, fold_frames
+
 
 def _iou(a, b) -> float:
     w, h = max(0.0, min(a[2], b[2]) - max(a[0], b[0])), max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
@@ -13,77 +14,88 @@ def _iou(a, b) -> float:
     return w * h / (area(a) + area(b) - w * h + 1e-6)
 
 
+class _Greedy(Fold):
+    """Live tracks of one source and epoch: class, box and frames without a match."""
+
+    def __init__(self, least: float, misses: int):
+        self.least, self.misses, self.live, self.fresh = least, misses, {}, 1
+
+    def frame(self, rows: list[tuple]) -> list[tuple]:
+        pairs = sorted(((s, t, k) for k, r in enumerate(rows) for t, v in self.live.items() if v[0] == r[1] and (s := _iou(v[1], r[2:])) >= self.least), reverse=True)
+        used, given = set(), {}
+        for _, t, k in pairs:
+            if t not in used and k not in given:
+                used.add(t)
+                given[k] = t
+        for k in range(len(rows)):
+            if k not in given:
+                given[k] = self.fresh
+                self.fresh += 1
+        for t in [t for t in self.live if t not in used]:
+            self.live[t][2] += 1
+            if self.live[t][2] > self.misses:
+                del self.live[t]
+        for k, t in given.items():
+            self.live[t] = [rows[k][1], rows[k][2:], 0]
+        return [(r[0], given[k]) for k, r in enumerate(rows)]
+
+
 def greedy_iou_tracks(dets: DataFrame, least: float = 0.10, misses: int = 6) -> DataFrame:
     """(session, source, epoch, frame, obs_index, track_id): ST1.
 
     In each frame detections and live tracks of one class are matched by falling IoU (ties:
     larger track, then larger detection); the rest start tracks in detection order; a track ends
-    after more than ``misses`` frames without a match. Keyed by source and epoch.
+    after more than ``misses`` frames without a match. Keyed by source and epoch; frames stream, only live tracks are held.
     """
+    return fold_frames(dets, ["session_id", "source_id", "stream_epoch"], ["frame_index"], ["obs_index", "class_name", "x1", "y1", "x2", "y2"], lambda: _Greedy(least, misses), "obs_index int, track_id long")
+
+
+class _Segments(Fold):
+    def __init__(self, seconds: float):
+        self.seconds, self.segment, self.start, self.epoch, self.at = seconds, -1, None, None, 0
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame_index", "obs_index"])
-        live: dict[int, list] = {}  # id: class, box, misses
-        ids, fresh = [], 1
-        for _, frame in pdf.groupby("frame_index", sort=True):
-            rows = list(frame[["class_name", "x1", "y1", "x2", "y2"]].itertuples(index=False, name=None))
-            pairs = sorted(((s, t, k) for k, r in enumerate(rows) for t, v in live.items() if v[0] == r[0] and (s := _iou(v[1], r[1:])) >= least), reverse=True)
-            used, given = set(), {}
-            for _, t, k in pairs:
-                if t not in used and k not in given:
-                    used.add(t)
-                    given[k] = t
-            for k in range(len(rows)):
-                if k not in given:
-                    given[k] = fresh
-                    fresh += 1
-            for t in [t for t in live if t not in used]:
-                live[t][2] += 1
-                if live[t][2] > misses:
-                    del live[t]
-            for k, t in given.items():
-                live[t] = [rows[k][0], rows[k][1:], 0]
-            ids += [given[k] for k in range(len(rows))]
-        return pdf[["session_id", "source_id", "stream_epoch", "frame_index", "obs_index"]].assign(track_id=ids)
-
-    return dets.groupBy("session_id", "source_id", "stream_epoch").applyInPandas(fold, "session_id string, source_id string, stream_epoch int, frame_index long, obs_index int, track_id long")
+    def frame(self, rows: list[tuple]) -> list[tuple]:
+        out = []
+        for epoch, time in rows:
+            if self.start is None or epoch != self.epoch or time - self.start >= self.seconds:
+                self.segment, self.start, self.epoch, self.at = self.segment + 1, time, epoch, 0
+            out.append((time, self.segment, self.at))
+            self.at += 1
+        return out
 
 
 def segment_frames(frames: DataFrame, seconds: float = 60.0) -> DataFrame:
-    """Adds ``segment`` and ``position`` (ST10): a new segment when ``seconds`` have passed since its start, or the epoch changes."""
+    """Adds ``segment`` and ``position`` (ST10): a new segment when ``seconds`` have passed since its start, or the epoch changes. Frames of a source stream in order."""
+    return fold_frames(frames, ["session_id", "source_id"], ["stream_epoch", "frame_index"], ["stream_epoch", "timestamp_global"], lambda: _Segments(seconds), "timestamp_global double, segment long, position long")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["stream_epoch", "frame_index"])
-        segments, positions, segment, start, epoch, at = [], [], -1, None, None, 0
-        for e, t in zip(pdf["stream_epoch"], pdf["timestamp_global"]):
-            if start is None or e != epoch or t - start >= seconds:
-                segment, start, epoch, at = segment + 1, t, e, 0
-            segments.append(segment)
-            positions.append(at)
-            at += 1
-        return pdf.assign(segment=segments, position=positions)
 
-    return frames.select("session_id", "source_id", "stream_epoch", "frame_index", "timestamp_global").groupBy("session_id", "source_id").applyInPandas(fold, "session_id string, source_id string, stream_epoch int, frame_index long, timestamp_global double, segment long, position long")
+class _Best(Fold):
+    """The best views of a track so far, and the newest view that was far enough from the one before."""
+
+    def __init__(self, apart: int, most: int):
+        self.apart, self.most, self.newest, self.kept = apart, most, None, []
+
+    def frame(self, rows: list[tuple]) -> list[tuple]:
+        frame, quality = rows[0]
+        if self.newest is None or frame - self.newest >= self.apart:
+            self.newest = frame
+            self.kept = sorted([*self.kept, (frame, quality)], key=lambda v: (-v[1], v[0]))[: self.most]
+        return []
+
+    def end(self) -> list[tuple]:
+        return self.kept
 
 
 def keyframes(views: DataFrame, keys: list[str], least: float = 0.30, apart: int = 2, most: int = 5) -> DataFrame:
     """The best views of each track (TK3): quality at least ``least``, ``apart`` frames after the newest kept one, top ``most``.
 
-    ``views`` has confidence, area, sharpness, geometry, zone and integrity scores in 0..1.
+    ``views`` has confidence, area, sharpness, geometry, zone and integrity scores in 0..1. Of views of one frame the first
+    by quality counts, the smaller first.
     """
     weights = {"confidence": 0.32, "area": 0.18, "sharpness": 0.22, "geometry": 0.12, "zone": 0.10, "integrity": 0.06}
     scored = views.select(*keys, "frame_index", sum((F.col(c) * w for c, w in weights.items()), F.lit(0.0)).alias("quality")).where(F.col("quality") >= least)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_index")
-        kept, newest = [], None
-        for k, frame in enumerate(pdf["frame_index"]):
-            if newest is None or frame - newest >= apart:
-                kept.append(k)
-                newest = frame
-        return pdf.iloc[kept].sort_values(["quality", "frame_index"], ascending=[False, True]).head(most)
-
-    return scored.groupBy(*keys).applyInPandas(fold, scored.schema)
+    found = fold_frames(scored, keys, ["frame_index"], ["frame_index", "quality"], lambda: _Best(apart, most), "kept long, view_quality double")
+    return found.select(*keys, F.col("kept").alias("frame_index"), F.col("view_quality").alias("quality"))
 
 
 def score_frames(frames: DataFrame, make_predict, schema: str) -> DataFrame:
