@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes in one Arrow batch, so that a Python worker holds few long texts at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -6,6 +6,7 @@ import re
 import zlib
 from array import array
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -79,7 +80,10 @@ def double_array(words: list[tuple[bytes, int]]) -> tuple[np.ndarray, np.ndarray
 
 
 def load(path: str | None = None) -> Vocabulary:
-    """The vocabulary of a SentencePiece model file, its scores taken as the pieces' log scores."""
+    """The vocabulary of a SentencePiece model file, its scores taken as the pieces' log scores.
+
+    Raises ValueError where a piece has a space marker behind another character.
+    """
     import sentencepiece
 
     if path is None:
@@ -90,6 +94,8 @@ def load(path: str | None = None) -> Vocabulary:
     ids = range(model.get_piece_size())
     plain = [i for i in ids if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
     names = [model.id_to_piece(i) for i in ids]
+    if any(SPACE in names[i].lstrip(SPACE) for i in plain):
+        raise ValueError("a piece has a space marker behind another character: texts of this vocabulary cannot be cut at spaces")
     scores = np.array([model.get_score(i) for i in ids])
     bytes_at, raw = [-1] * 256, [n.replace(SPACE, " ").encode() for n in names]
     for i in ids:
@@ -125,8 +131,9 @@ class Encoder:
         try:
             return b"".join(map(known.__getitem__, parts))
         except KeyError:
-            if len(known) > MEMORY:
-                known.clear()
+            if len(known) > MEMORY:  # the older half goes
+                for part in list(islice(known, len(known) // 2)):
+                    del known[part]
             for part in set(parts).difference(known):
                 known[part] = array("I", self.best_path(SPACE + part.replace(" ", SPACE))).tobytes()
             return b"".join(map(known.__getitem__, parts))
@@ -172,6 +179,7 @@ def encode_texts(docs: DataFrame, vocabulary: Vocabulary, doc_id: str = "doc_id"
 
     ids_crc32 is over little-endian 32-bit ids. ``round_trip`` says that decoding the ids gave
     the text back, space markers in it read as spaces. Null texts count as empty (no pieces).
+    Repeated rows come back as often as they come, an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 

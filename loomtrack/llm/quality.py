@@ -67,7 +67,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, label: str = "quality", rows: int = TRAIN_ROWS, doc_id: str = "doc_id", text: str = "text") -> gbdt.Trees:
-    """Trees fitted to ``label`` of the rows where ``train`` holds. Only the text is an input."""
+    """Trees fitted to ``label`` of the rows where ``train`` holds. Only the text is an input.
+
+    Several labels of an id count as the largest; rows of one id and label as one, with the smallest
+    statistics. Without rows, or with one class alone, every text gets the base rate.
+    """
 
     def make():
         return lambda texts: {"x": pa.array(list(_matrix(texts)), pa.list_(pa.float64()))}
@@ -79,7 +83,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: Column, label: str =
 
 
 def score_quality(docs: DataFrame, model: gbdt.Trees, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, score) for every row; null and empty texts are scored by the statistics of an empty text."""
+    """(doc_id, score) for every row; null and empty texts are scored by the statistics of an empty text.
+
+    Repeated rows come back as often as they come, an empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
