@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtrack.llm import chat, html, lm, packing, pieces, quality, simhash, toxicity, vectors
+from loomtrack.llm import chat, divergence, html, lm, merkle, packing, pieces, quality, runs, simhash, toxicity, vectors
 from loomtrack.llm.common import table
 
 
@@ -101,6 +101,49 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_texts(table(spark, sf_dir, "documents"), pieces.load())
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS (SELECT doc, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS c FROM w GROUP BY ALL HAVING count(DISTINCT doc) >= 3),
+langs AS (SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY ALL),
+c AS (SELECT lang, source, term, count(*) AS c FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+grp AS (
+  SELECT g.lang, g.source, coalesce(v, 0) AS v, coalesce(n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d) g
+  LEFT JOIN (SELECT lang, v FROM langs) USING (lang) LEFT JOIN (SELECT lang, source, sum(c) AS n FROM c GROUP BY ALL) USING (lang, source)),
+p AS (
+  SELECT grp.lang, grp.source, term, coalesce(c.c, 0) AS count, CAST(1 + (1000000000 * (coalesce(c.c, 0) + 1)) // (grp.n + grp.v) AS HUGEINT) AS p
+  FROM grp JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+every AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source),
+louder AS (
+  SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value
+  FROM p JOIN (SELECT lang, term, CAST(1 + (1000000000 * (c + 1)) // (n + v) AS HUGEINT) AS q FROM kept JOIN langs USING (lang)) USING (lang, term)
+  WHERE count > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+      FROM (SELECT * FROM every UNION ALL SELECT * FROM louder))
+WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(table(spark, sf_dir, "documents"), plant=True)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edits_and_fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_chat": op2_chat,
@@ -112,5 +155,8 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_html": op9_html,
     "op10_pieces": op10_pieces,
+    "op11_divergence": op11_divergence,
+    "op12_runs": op12_runs,
+    "op13_merkle": op13_merkle,
 }
-ORACLES = {"op2_chat": OP2_SQL, "op3_embedding_dedup": OP3_SQL}
+ORACLES = {"op2_chat": OP2_SQL, "op3_embedding_dedup": OP3_SQL, "op11_divergence": OP11_SQL}
