@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtrack.functions.shared import dimension, shared_dir, written
+from loomtrack.operators import matching
 from loomtrack.operators.graph import connected_components
 
 MIN_SCORE, MARGIN = 0.48, 0.08
@@ -17,29 +19,50 @@ BUCKET_S = 10.0
 INTEGRITY = {"STABLE": 1.0, "RECOVERED": 0.82, "OCCLUDED": 0.65, "AMBIGUOUS": 0.0}
 WEIGHTS = {"temporal": 0.24, "dimensions": 0.20, "zone": 0.16, "speed": 0.10, "integrity": 0.10, "world": 0.08, "reid": 0.32}
 
+#: Metres a second between cameras where an edge names no limit of its own, and metres of tolerance.
+MAX_SPEED_M_S, SLACK_M = 3.0, 0.35
+#: Tracklet columns that may be missing: the summary's own integrity status, and its first and last place in a world frame (metres).
+OPTIONAL = {"summary_status": "string", "world_frame_id": "string", "first_world_x": "double", "first_world_y": "double", "last_world_x": "double", "last_world_y": "double"}
+
 SIDE = ("tracklet_id", "camera_role", "started_at_global", "ended_at_global", "local_track_id", "avg_w", "avg_h", "avg_vx", "avg_vy", "first_zone_id", "last_zone_id", "integrity_status", "vec_id")
 
 
 def _side(tracklets: DataFrame, prefix: str) -> DataFrame:
-    return tracklets.select("session_id", *(F.col(c).alias(f"{prefix}_{c}") for c in SIDE))
+    known = [F.col(c) if c in tracklets.columns else F.lit(None).cast(kind).alias(c) for c, kind in OPTIONAL.items()]
+    return tracklets.select("session_id", *SIDE, *known).select("session_id", *(F.col(c).alias(f"{prefix}_{c}") for c in (*SIDE, *OPTIONAL)))
 
 
 def handoff_gates(outgoing: DataFrame, incoming: DataFrame, edges: DataFrame, zones: DataFrame) -> DataFrame:
     """Pairs along a topology edge with a transit in its window (JN1), ``accepted`` or with the first failing ``reason``.
 
     The transit range is an equality join on (session, roles, time bucket) and a check. Later
-    gates, in order: both identities usable; the zones left and entered are an exit and an
-    entry (an unknown zone passes). Edges and zones are small dimensions and broadcast, if counted so.
+    gates, in order: both identities usable (ids not negative, none of the four status fields AMBIGUOUS); the zones left and entered are an exit and an
+    entry (an unknown zone passes); within one world frame the way is no longer than the edge's ``max_speed_m_s`` (else ``MAX_SPEED_M_S``) allows in the transit, plus
+    ``SLACK_M``. Places in different or unknown frames, missing or not finite ones pass. Every pair carries the evidence of all gates; ``world`` is 1 at distance 0 and 0 at the limit. Edges and zones are small
+    dimensions and broadcast, if counted so.
     """
-    kinds, links = zones.select("zone_id", "kind"), dimension(edges)
+    kinds = zones.select("zone_id", "kind")
+    links = dimension(edges if "max_speed_m_s" in edges.columns else edges.withColumn("max_speed_m_s", F.lit(None).cast("double")))
     out = _side(outgoing, "out").join(links, F.col("out_camera_role") == F.col("from_role")).join(dimension(kinds.toDF("out_last_zone_id", "out_kind")), "out_last_zone_id", "left")
     first, last = (F.floor((F.col("out_ended_at_global") + F.col(c)) / BUCKET_S) for c in ("min_transit_s", "max_transit_s"))
     out = out.withColumn("bucket", F.explode(F.sequence(first, last)))
     inc = _side(incoming, "in").join(dimension(kinds.toDF("in_first_zone_id", "in_kind")), "in_first_zone_id", "left").withColumns({"bucket": F.floor(F.col("in_started_at_global") / BUCKET_S), "to_role": F.col("in_camera_role")})
     pairs = out.join(inc.hint("merge"), ["session_id", "to_role", "bucket"]).withColumn("transit_s", F.col("in_started_at_global") - F.col("out_ended_at_global")).where("transit_s BETWEEN min_transit_s AND max_transit_s")
-    usable = lambda p: (F.col(f"{p}_local_track_id") >= 0) & (F.col(f"{p}_integrity_status") != "AMBIGUOUS")
-    reason = F.when(~(usable("out") & usable("in")), "IDENTITY_NOT_USABLE").when(F.coalesce(F.col("out_kind") != "exit", F.lit(False)), "NOT_AN_EXIT").when(F.coalesce(F.col("in_kind") != "entry", F.lit(False)), "NOT_AN_ENTRY")
-    return pairs.drop("bucket").withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
+    is_so = lambda c: F.coalesce(c, F.lit(False))
+    unusable = [F.col(f"{p}_local_track_id") < 0 for p in ("out", "in")] + [F.col(f"{p}_{c}") == "AMBIGUOUS" for p in ("out", "in") for c in ("integrity_status", "summary_status")]
+    identity_usable = ~F.greatest(*map(is_so, unusable))
+    same_frame = is_so((F.col("out_world_frame_id") != "") & (F.col("out_world_frame_id") == F.col("in_world_frame_id")))
+    apart = F.hypot(F.col("in_first_world_x") - F.col("out_last_world_x"), F.col("in_first_world_y") - F.col("out_last_world_y"))
+    finite = is_so(~F.isnan(apart) & (F.abs(apart) < float("inf")))
+    pairs = pairs.withColumns({
+        "identity_usable": identity_usable, "same_world_frame": same_frame,
+        "world_distance_m": F.when(same_frame & finite, apart), "world_limit_m": F.when(same_frame & finite, F.coalesce("max_speed_m_s", F.lit(MAX_SPEED_M_S)) * F.col("transit_s") + SLACK_M),
+        "world_unavailable": F.when(~same_frame, "DIFFERENT_OR_UNKNOWN_FRAMES").when(~finite, "MISSING_OR_INVALID_PLACES"),
+    })
+    checks = (("IDENTITY_NOT_USABLE", ~F.col("identity_usable")), ("NOT_AN_EXIT", is_so(F.col("out_kind") != "exit")), ("NOT_AN_ENTRY", is_so(F.col("in_kind") != "entry")), ("WORLD_TOO_FAR", is_so(F.col("world_distance_m") > F.col("world_limit_m"))))
+    reason = F.coalesce(*(F.when(fails, name) for name, fails in checks))
+    pairs = pairs.drop("bucket", "max_speed_m_s").withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
+    return pairs.withColumn("world", F.when(F.col("world_limit_m") > 0, F.greatest(F.lit(0.0), 1 - F.col("world_distance_m") / F.col("world_limit_m"))))
 
 
 def with_reid(gated: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -97,19 +120,6 @@ def overflow(pending: DataFrame, most: int, group: str = "session_id", order: st
     return pending.withColumn("rank", F.row_number().over(w)).where(F.col("rank") > most).drop("rank")
 
 
-def continuation_candidates(hypotheses: DataFrame, later: DataFrame, edges: DataFrame, zones: DataFrame) -> DataFrame:
-    """(incoming, later, combined): a pending hypothesis continued by a later tracklet over the next edge (JN17).
-
-    ``combined`` is 0.6 of the hypothesis score and 0.4 of the continuity, the physical score of the next handoff.
-    """
-    start = hypotheses.select("session_id", *(F.col(f"in_{c}").alias(c) for c in SIDE)).distinct()
-    step = handoff_score(handoff_gates(start, later, edges, zones).where("accepted"))
-    held = hypotheses.select(F.col("in_tracklet_id").alias("out_tracklet_id"), F.col("out_tracklet_id").alias("parcel_tracklet_id"), F.col("score").alias("hypothesis_score"))
-    return step.join(held.hint("merge"), "out_tracklet_id").select(
-        "session_id", "parcel_tracklet_id", F.col("out_tracklet_id").alias("incoming_tracklet_id"), F.col("in_tracklet_id").alias("later_tracklet_id"), (0.6 * F.col("hypothesis_score") + 0.4 * F.col("physical_score")).alias("combined")
-    )
-
-
 def _solve(gain: np.ndarray) -> list[tuple[int, int]]:
     """One-to-one pairs of largest total gain, only pairs of positive gain; shortest augmenting paths."""
     n, m = gain.shape
@@ -140,48 +150,34 @@ def _solve(gain: np.ndarray) -> list[tuple[int, int]]:
     return [(int(match[j]) - 1, j - 1) for j in range(1, m + 1) if match[j] - 1 < n and gain[match[j] - 1, j - 1] > 0]
 
 
-def assign_matrix(scores: np.ndarray, least: float, margin: float) -> list[tuple[int, int, bool]]:
-    """(row, column, ambiguous) of the best one-to-one pairs: GR4 and GR5. nan: no candidate."""
-    gain = np.where(np.nan_to_num(scores, nan=-1.0) >= least, np.nan_to_num(scores, nan=0.0) - least + 1e-12, 0.0)
-    chosen = _solve(gain)
-    total = sum(scores[i, j] for i, j in chosen)
-    rivals: set[tuple[int, int]] = set()
-    found = []
-    for i, j in chosen:
-        row, column = np.delete(scores[i], j), np.delete(scores[:, j], i)
-        close = lambda s, at=scores[i, j]: bool((s[~np.isnan(s)] >= at - margin).any())
-        if close(column):
-            rivals |= {(a, b) for a, b in chosen if not np.isnan(scores[a, j]) and scores[a, j] >= scores[i, j] - margin}
-        unclear = close(row) or close(column)
-        if not unclear:  # a total within the margin that does without the pair
-            without = gain.copy()
-            without[i, j] = 0.0
-            other = _solve(without)
-            unclear = len(other) >= len(chosen) and sum(scores[a, b] for a, b in other) >= total - margin
-        found.append((i, j, unclear))
-    return [(i, j, bad or (i, j) in rivals) for i, j, bad in found]
+def assign_one_to_one(scored: DataFrame, left: str, right: str, score: str = "score", least: float = MIN_SCORE, margin: float = MARGIN) -> DataFrame:
+    """(left, right, score, ambiguous): the best one-to-one matching of a table of candidate pairs (GR4, GR5)."""
+    return judge_candidates(scored, left, right, score, least, margin).where("chosen").drop("chosen")
 
 
-def assign_one_to_one(scored: DataFrame, left: str, right: str, score: str = "score", least: float = MIN_SCORE, margin: float = MARGIN) -> DataFrame:
-    """(left, right, score, ambiguous): the best one-to-one matching of a table of candidate pairs.
+def judge_candidates(scored: DataFrame, left: str, right: str, score: str = "score", least: float = MIN_SCORE, margin: float = MARGIN) -> DataFrame:
+    """(left, right, score, chosen, ambiguous): the matched pairs, and the best candidate of each right id that is ambiguous without a match.
 
     The objective is separable, so connected groups of candidates are solved apart: a lone
-    pair by a filter, the others each in a grouped-map call. A group is as large as the set
-    of tracklets that compete for each other, not as the session.
+    pair by a filter, the others each by ``matching.assign`` in a grouped-map call, which holds a group's candidate list. A group is as
+    large as the set of tracklets that compete for each other, not as the session.
     """
-    edges = written(scored.select(F.col(left).alias("l"), F.col(right).alias("r"), F.col(score).alias("s")), "assign-edges")
+    edges = written(scored.where(F.col(score) >= least).groupBy(F.col(left).alias("l"), F.col(right).alias("r")).agg(F.max(score).alias("s")), "assign-edges")
     parts = connected_components(edges.select(F.concat(F.lit("l:"), "l").alias("a"), F.concat(F.lit("r:"), "r").alias("b")), "a", "b")
-    grouped = edges.withColumn("id", F.concat(F.lit("l:"), "l")).join(parts.hint("merge"), "id").drop("id")
-    sized = grouped.withColumn("n", F.count("*").over(Window.partitionBy("component")))
-    alone = sized.where((F.col("n") == 1) & (F.col("s") >= least)).select("l", "r", "s", F.lit(False).alias("ambiguous"))
+    grouped = written(edges.withColumn("id", F.concat(F.lit("l:"), "l")).join(parts.hint("merge"), "id").drop("id"), "assign-groups")
+    sizes = grouped.groupBy("component").agg(F.count("*").alias("n"))
+    sized = grouped.join(sizes.hint("merge"), "component")
+    alone = sized.where("n = 1").select("l", "r", "s", F.lit(True).alias("chosen"), F.lit(False).alias("ambiguous"))
+    kinds = {c: edges.schema[c].dataType.simpleString() for c in ("l", "r")}
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        matrix = pdf.pivot_table(index="l", columns="r", values="s", aggfunc="max")
-        found = assign_matrix(matrix.to_numpy(), least, margin)
-        return pd.DataFrame({"l": [matrix.index[i] for i, _, _ in found], "r": [matrix.columns[j] for _, j, _ in found], "s": [matrix.iat[i, j] for i, j, _ in found], "ambiguous": [bool(x) for _, _, x in found]}, columns=["l", "r", "s", "ambiguous"])
+    def solve(table: pa.Table) -> pa.Table:
+        rows = matching.assign(list(zip(*(table[c].to_pylist() for c in ("l", "r", "s")))), least, margin)
+        columns = list(zip(*rows)) if rows else [()] * 5
+        types = [table.schema.field("l").type, table.schema.field("r").type, pa.float64(), pa.bool_(), pa.bool_()]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], ["l", "r", "s", "chosen", "ambiguous"])
 
-    several = sized.where("n > 1").groupBy("component").applyInPandas(solve, "l string, r string, s double, ambiguous boolean")
-    return alone.unionByName(several).toDF(left, right, score, "ambiguous")
+    several = sized.where("n > 1").select("component", "l", "r", "s").groupBy("component").applyInArrow(solve, f"l {kinds['l']}, r {kinds['r']}, s double, chosen boolean, ambiguous boolean")
+    return alone.unionByName(several).toDF(left, right, score, "chosen", "ambiguous")
 
 
 def topology_rank(edges: DataFrame) -> DataFrame:
@@ -214,27 +210,34 @@ def resolve_handoffs(tracklets: DataFrame, edges: DataFrame, zones: DataFrame, v
 
     Roles are taken in order of topology rank, all sessions at once. Only the current
     tracklet of a parcel is a candidate; a clear match moves the parcel to the incoming
-    tracklet. Tracklets at ingress start parcels; the others are MATCHED, AMBIGUOUS or
-    UNRESOLVED, and only matched ones carry a parcel on. The loop runs once per rank.
+    tracklet. Tracklets at ingress start parcels; the others are MATCHED, AMBIGUOUS (an unclear match, or a close rival
+    of one that is clear) or UNRESOLVED, and only matched ones carry a parcel on. The loop runs once per rank.
     """
-    return resolve_batch(tracklets, tracklets, None, edges, zones, vectors, least, margin)
+    return resolve_batch(tracklets, tracklets, None, edges, zones, vectors, least, margin).drop("candidates")
 
 
 def resolve_batch(tracklets: DataFrame, new_tracklets: DataFrame, current: DataFrame | None, edges: DataFrame, zones: DataFrame, vectors: DataFrame | None = None, least: float = MIN_SCORE, margin: float = MARGIN) -> DataFrame:
-    """``resolve_handoffs`` of ``new_tracklets`` alone, where ``current`` says which tracklet holds which parcel before."""
+    """``resolve_handoffs`` of ``new_tracklets`` alone, where ``current`` says which tracklet holds which parcel before.
+
+    ``candidates`` lists (from_id, score) of all that passed the gates, for AMBIGUOUS and UNRESOLVED rows: what a hypothesis needs.
+    """
     ranks = {r["role"]: r["rank"] for r in topology_rank(edges).collect()}  # the site's roles
     at = lambda rank: new_tracklets.where(F.col("camera_role").isin([r for r, k in ranks.items() if k == rank]))
-    new = at(0).select("session_id", "tracklet_id", F.concat(F.lit("g:"), "tracklet_id").alias("parcel_id"), F.lit("NEW_AT_INGRESS").alias("status"), F.lit(None).cast("string").alias("from_tracklet_id"), F.lit(None).cast("double").alias("score"))
+    listed = "array<struct<from_id:string,score:double>>"
+    new = at(0).select("session_id", "tracklet_id", F.concat(F.lit("g:"), "tracklet_id").alias("parcel_id"), F.lit("NEW_AT_INGRESS").alias("status"), F.lit(None).cast("string").alias("from_tracklet_id"), F.lit(None).cast("double").alias("score"), F.lit(None).cast(listed).alias("candidates"))
     decided = written(new, "handoffs-0")
     started = decided.select("tracklet_id", "parcel_id")
     current = started if current is None else current.unionByName(started)
     for rank in range(1, max(ranks.values(), default=0) + 1):
         holders = tracklets.join(current.hint("merge"), "tracklet_id").drop("parcel_id")
         gated = handoff_gates(holders, at(rank), edges, zones).where("accepted")
-        scored = handoff_score(with_reid(gated, vectors) if vectors is not None else gated)
-        chosen = written(assign_one_to_one(scored, "out_tracklet_id", "in_tracklet_id", "score", least, margin), "handoffs-chosen")
-        matched = chosen.join(current.withColumnRenamed("tracklet_id", "out_tracklet_id").hint("merge"), "out_tracklet_id").select(F.col("in_tracklet_id").alias("tracklet_id"), F.when(~F.col("ambiguous"), F.col("parcel_id")).alias("parcel_id"), F.when(F.col("ambiguous"), "AMBIGUOUS").otherwise("MATCHED").alias("status"), F.col("out_tracklet_id").alias("from_tracklet_id"), "score")
-        step = written(at(rank).select("session_id", "tracklet_id").join(matched.hint("merge"), "tracklet_id", "left").withColumn("status", F.coalesce("status", F.lit("UNRESOLVED"))), f"handoffs-{rank}")
+        scored = written(handoff_score(with_reid(gated, vectors) if vectors is not None else gated).select("out_tracklet_id", "in_tracklet_id", "score"), "handoffs-scored")
+        judged = written(judge_candidates(scored, "out_tracklet_id", "in_tracklet_id", "score", least, margin), "handoffs-judged")
+        status = F.when(F.col("ambiguous"), "AMBIGUOUS").otherwise("MATCHED")
+        found = judged.join(current.withColumnRenamed("tracklet_id", "out_tracklet_id").hint("merge"), "out_tracklet_id").select(F.col("in_tracklet_id").alias("tracklet_id"), F.when(~F.col("ambiguous"), F.col("parcel_id")).alias("parcel_id"), status.alias("status"), F.col("out_tracklet_id").alias("from_tracklet_id"), "score")
+        seen = scored.groupBy(F.col("in_tracklet_id").alias("tracklet_id")).agg(F.sort_array(F.collect_list(F.struct(F.col("out_tracklet_id").alias("from_id"), "score"))).alias("seen"))  # those in one transit window
+        step = at(rank).select("session_id", "tracklet_id").join(found.hint("merge"), "tracklet_id", "left").join(seen.hint("merge"), "tracklet_id", "left").withColumn("status", F.coalesce("status", F.lit("UNRESOLVED")))
+        step = written(step.withColumn("candidates", F.when(F.col("status") != "MATCHED", F.coalesce("seen", F.array().cast(listed)))).drop("seen"), f"handoffs-{rank}")
         decided = decided.unionByName(step)
         moved = step.where("status = 'MATCHED'")
         current = written(current.join(moved.select(F.col("from_tracklet_id").alias("tracklet_id")).hint("merge"), "tracklet_id", "left_anti").unionByName(moved.select("tracklet_id", "parcel_id")), "handoffs-current")
@@ -291,8 +294,12 @@ def mine_pairs(scored: DataFrame, margin: float = MARGIN) -> DataFrame:
 
 
 def insert_or_ignore(rows: DataFrame, key: list[str], existing: DataFrame | None = None) -> DataFrame:
-    """One row per natural key, without keys that ``existing`` has (AG17). Rows of a key are taken as equal but for order."""
-    first = rows.groupBy(*key).agg(*(F.min(c).alias(c) for c in rows.columns if c not in key))
+    """One row per natural key, without keys that ``existing`` has (AG17).
+
+    Of the rows of a key the smallest one stays, whole: compared column by column in the table's order, nulls first.
+    """
+    rest = [c for c in rows.columns if c not in key]
+    first = rows.groupBy(*key).agg(F.min(F.struct(*rest)).alias("__first")).select(*(F.col(c) if c in key else F.col("__first")[c].alias(c) for c in rows.columns)) if rest else rows.distinct()
     return first if existing is None else first.join(existing.select(*key), key, "left_anti")
 
 

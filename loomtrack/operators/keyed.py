@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 class Fold:
@@ -18,6 +23,13 @@ class Fold:
         return []
 
 
+def _values(column: pa.Array) -> list:
+    """Python values of a column; NaN counts as null."""
+    if pa.types.is_floating(column.type):
+        column = pc.if_else(pc.is_nan(column), None, column)
+    return column.to_pylist()
+
+
 def fold_frames(rows: DataFrame, keys: list[str], step: list[str], columns: list[str], make: Callable[[], Fold], schema: str) -> DataFrame:
     """One fold per key over ``columns``, a call for all rows that share the columns ``step``, in their order.
 
@@ -28,36 +40,39 @@ def fold_frames(rows: DataFrame, keys: list[str], step: list[str], columns: list
     used = list(dict.fromkeys([*keys, *step, *columns]))
     ordered = rows.select(*used).repartition(*keys).sortWithinPartitions(*keys, *step, *[c for c in columns if c not in step])
     place = {c: k for k, c in enumerate(used)}
-    key_at, step_at, at = ([place[c] for c in part] for part in (keys, step, columns))
-    names = [*keys, *step, *(part.strip().split(" ")[0] for part in schema.split(",") if part.strip())]
-
-    def plain(value):
-        return None if value is None or value is pd.NaT or (isinstance(value, float) and value != value) else value
+    at = [place[c] for c in columns]
+    typed = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (*keys, *step))
+    out_type = T.StructType.fromDDL(f"{typed}, {schema}")
+    arrow = to_arrow_schema(out_type)
+    n_keys, n_head = len(keys), len(keys) + len(step)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = when = fold = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, fold = None, None
         held: list[tuple] = []
 
-        def close() -> list[tuple]:
-            return [(*key, *when, *r) for r in fold.frame(held)] if held else []
+        def close(whole: bool) -> list[tuple]:
+            found = [(*head, *r) for r in fold.frame(held)] if held else []
+            return found + [(*head, *r) for r in fold.end()] if whole else found
+
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            columns_out = zip(*out) if out else [()] * len(arrow)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns_out, arrow)], schema=arrow)
 
-        for pdf in batches:
+        for batch in batches:
+            values = [_values(c) for c in batch.columns]
+            heads, wanted = zip(*values[:n_head]), zip(*(values[i] for i in at))
             out: list[tuple] = []
-            for row in pdf.astype(object).itertuples(index=False, name=None):
-                row = tuple(map(plain, row))
-                k, s = tuple(row[i] for i in key_at), tuple(row[i] for i in step_at)
-                if k != key or s != when:
+            for now, part in groupby(zip(heads, wanted), key=itemgetter(0)):
+                if now != head:
                     if fold is not None:
-                        out += close()
-                    if k != key:
-                        if fold is not None:
-                            out += [(*key, *when, *r) for r in fold.end()]
+                        out += close(now[:n_keys] != head[:n_keys])
+                    if fold is None or now[:n_keys] != head[:n_keys]:
                         fold = make()
-                    key, when, held = k, s, []
-                held.append(tuple(row[i] for i in at))
-            yield pd.DataFrame(out, columns=names)
+                    head, held = now, []
+                held.extend(row for _, row in part)
+            if out:
+                yield batch_of(out)
         if fold is not None:
-            yield pd.DataFrame(close() + [(*key, *when, *r) for r in fold.end()], columns=names)
+            yield batch_of(close(True))
 
-    typed = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (*keys, *step))
-    return ordered.mapInPandas(run, f"{typed}, {schema}")
+    return ordered.mapInArrow(run, out_type)

@@ -27,6 +27,33 @@ def jn1_handoff_gates(spark, sf):
     return _gated(spark, sf).select("session_id", "out_tracklet_id", "in_tracklet_id", F.round("transit_s", 6).alias("transit_s"), "accepted", "reason")
 
 
+def _placed(spark, sf):
+    """Tracklets with places in two world frames, some unknown or not finite, and a status of the summary's own."""
+    t = _tracklets(spark, sf)
+    n = F.col("local_track_id")
+    nan = F.lit(float("nan"))
+    return t.withColumns({
+        "summary_status": F.when(n % 13 == 5, "AMBIGUOUS").when(n % 2 == 0, "STABLE"), "world_frame_id": F.when(n % 7 == 3, None).when(n % 5 == 0, "W2").otherwise("W1"),
+        "first_world_x": F.col("avg_w") / 4, "first_world_y": F.when(n % 11 == 4, nan).otherwise(F.col("avg_vx")), "last_world_x": F.col("avg_h") / 8, "last_world_y": F.when(n % 6 != 1, F.col("avg_vx") + 1),
+    })
+
+
+def _fast_edges(spark):
+    return fx.edges(spark).withColumn("max_speed_m_s", F.when(F.col("from_role") == "C1", 1.5))
+
+
+def jn1_world_gates(spark, sf):
+    t = _placed(spark, sf)
+    gated = ops.handoff_gates(t, t, _fast_edges(spark), fx.zones(spark))
+    return gated.select("out_tracklet_id", "in_tracklet_id", "accepted", "reason", "identity_usable", "same_world_frame", "world_unavailable", *(F.round(c, 6).alias(c) for c in ("world_distance_m", "world_limit_m", "world")))
+
+
+def gr3_world_score(spark, sf):
+    t = _placed(spark, sf)
+    scored = ops.handoff_score(ops.handoff_gates(t, t, _fast_edges(spark), fx.zones(spark)).where("accepted"))
+    return scored.select("out_tracklet_id", "in_tracklet_id", F.round("score", 6).alias("score"), F.round("physical_score", 6).alias("physical_score"))
+
+
 def sc3_vector_similarity(spark, sf):
     return ops.with_reid(_gated(spark, sf).where("accepted"), fx.vectors(spark, sf)).select("out_tracklet_id", "in_tracklet_id", F.round("reid", 6).alias("reid"))
 
@@ -44,11 +71,6 @@ def tk5_overflow(spark, sf):
     return ops.overflow(_tracklets(spark, sf), 60).select("session_id", "tracklet_id")
 
 
-def jn17_continuation_candidates(spark, sf):
-    t, edges, zones = _tracklets(spark, sf), fx.edges(spark), fx.zones(spark)
-    return ops.continuation_candidates(ops.handoff_score(_gated(spark, sf).where("accepted")), t, edges, zones).withColumn("combined", F.round("combined", 6))
-
-
 def gr1_components(spark, sf):
     scored = ops.handoff_score(_gated(spark, sf).where("accepted")).where("score >= 0.9")
     return connected_components(scored, "out_tracklet_id", "in_tracklet_id")
@@ -76,6 +98,12 @@ def gr7_parcel_chains(spark, sf):
     return ops.parcel_chains(gr6_resolve_handoffs(spark, sf), _tracklets(spark, sf))
 
 
+def gr7_chains_of_tracks(spark, sf):
+    """Chains over a table of decided tracklets: those of one session and local id are one parcel."""
+    t = _tracklets(spark, sf)
+    return ops.parcel_chains(t.select(F.concat_ws("/", "session_id", "local_track_id").alias("parcel_id"), "tracklet_id"), t)
+
+
 def pf11_destination_result(spark, sf):
     parcels = _tracklets(spark, sf).select("tracklet_id", F.col("first_zone_id").alias("expected_destination"), F.when(F.col("avg_vx") == 2, F.col("first_zone_id")).otherwise(F.col("last_zone_id")).alias("observed_destination"))
     return ops.destination_result(parcels).select("tracklet_id", "destination_result")
@@ -115,12 +143,12 @@ def sc4_project_embeddings(spark, sf):
 
 def ag17_insert_or_ignore(spark, sf):
     t = _tracklets(spark, sf)
-    rows = t.select("session_id", "camera_role", F.col("local_track_id").alias("local_key"), "tracklet_id").unionByName(t.select("session_id", "camera_role", F.col("local_track_id").alias("local_key"), "tracklet_id"))
-    return ops.insert_or_ignore(rows, ["session_id", "camera_role", "local_key"], rows.where("local_key % 7 = 0"))
+    rows = t.select("session_id", "camera_role", (F.col("local_track_id") % 9).alias("local_key"), "avg_w", "tracklet_id")  # several, different rows of a key
+    return ops.insert_or_ignore(rows.unionByName(rows), ["session_id", "camera_role", "local_key"], rows.where("local_key % 7 = 0"))
 
 
 QUERIES = {f.__name__: f for f in (
-    jn1_handoff_gates, jn17_continuation_candidates, sc3_vector_similarity, gr1_components, gr2_topology_rank, gr3_handoff_score, gr4_assign_one_to_one, gr6_resolve_handoffs, gr7_parcel_chains,
+    jn1_handoff_gates, jn1_world_gates, gr3_world_score, sc3_vector_similarity, gr1_components, gr2_topology_rank, gr3_handoff_score, gr4_assign_one_to_one, gr6_resolve_handoffs, gr7_parcel_chains, gr7_chains_of_tracks,
     tk2_best_candidate, tk5_overflow, pf11_destination_result, pf13_descriptor_reliable, pf15_ingress_roles, ag13_pair_counts, ag14_multi_view_descriptor, ag17_insert_or_ignore, sc4_project_embeddings, ml2_mine_pairs, ml3_episode_split,
 )}
 
@@ -156,25 +184,35 @@ _BEST = "best AS (SELECT * FROM (SELECT *, row_number() OVER w AS k, lead(score)
 _MINED = f"""{_S6}, {_BEST}, pos AS (SELECT out_tracklet_id, in_tracklet_id, to_role, 'POSITIVE' AS label FROM best WHERE os = 'STABLE' AND ist = 'STABLE' AND temporal >= 0.65 AND zone >= 0.95 AND dimensions >= 0.7 AND integrity >= 0.95 AND physical_score >= 0.8 AND score - coalesce(runner_up, 0) >= 0.16),
   mined AS (SELECT out_tracklet_id, in_tracklet_id, label, min(to_role) AS to_role FROM (SELECT * FROM pos UNION ALL SELECT s.out_tracklet_id, s.in_tracklet_id, s.to_role, 'HARD_NEGATIVE' FROM s6 s JOIN pos p USING (in_tracklet_id, to_role) WHERE s.out_tracklet_id <> p.out_tracklet_id AND s.dimensions >= 0.6) GROUP BY ALL)"""
 
+_W = f"""{_G}, placed AS (SELECT *, CASE WHEN local_track_id % 13 = 5 THEN 'AMBIGUOUS' WHEN local_track_id % 2 = 0 THEN 'STABLE' END AS own, CASE WHEN local_track_id % 7 = 3 THEN NULL WHEN local_track_id % 5 = 0 THEN 'W2' ELSE 'W1' END AS frame,
+    avg_w / 4 AS fx, CASE WHEN local_track_id % 11 = 4 THEN 'nan'::DOUBLE ELSE avg_vx END AS fy, avg_h / 8 AS lx, CASE WHEN local_track_id % 6 <> 1 THEN avg_vx + 1 END AS ly FROM tracklets),
+  met AS (SELECT g.*, coalesce(o.own, '') <> 'AMBIGUOUS' AND coalesce(i.own, '') <> 'AMBIGUOUS' AND coalesce(reason, '') <> 'IDENTITY_NOT_USABLE' AS usable, coalesce(o.frame = i.frame, false) AS same, CASE WHEN o.frame = i.frame AND NOT isnan(i.fy) THEN sqrt((i.fx - o.lx) ** 2 + (i.fy - o.ly) ** 2) END AS apart,
+    CASE WHEN from_role = 'C1' THEN 1.5e0 ELSE 3.0e0 END * transit_s + 0.35e0 AS far FROM gated g JOIN placed o ON o.tracklet_id = out_id JOIN placed i ON i.tracklet_id = in_id),
+  world AS (SELECT * REPLACE (CASE WHEN NOT usable THEN 'IDENTITY_NOT_USABLE' WHEN reason IS NOT NULL THEN reason WHEN apart > far THEN 'WORLD_TOO_FAR' END AS reason), CASE WHEN apart IS NOT NULL THEN greatest(0, 1 - apart / far) END AS near FROM met)"""
+
 ORACLES = {
+    "jn1_world_gates": f"""{_W} SELECT out_id AS out_tracklet_id, in_id AS in_tracklet_id, reason IS NULL AS accepted, reason, usable AS identity_usable, same AS same_world_frame, CASE WHEN NOT same THEN 'DIFFERENT_OR_UNKNOWN_FRAMES' WHEN apart IS NULL THEN 'MISSING_OR_INVALID_PLACES' END AS world_unavailable,
+      round(apart, 6) AS world_distance_m, CASE WHEN apart IS NOT NULL THEN round(far, 6) END AS world_limit_m, round(near, 6) AS world FROM world""",
+    "gr3_world_score": f"""{_W}{_score('plain', '(SELECT * REPLACE (reason IS NULL AS accepted) FROM world)')}
+      SELECT out_id AS out_tracklet_id, in_id AS in_tracklet_id, round((physical_score * 0.8e0 + coalesce(0.08e0 * near, 0)) / CASE WHEN near IS NULL THEN 0.8e0 ELSE 0.88e0 END, 6) AS score, round((physical_score * 0.8e0 + coalesce(0.08e0 * near, 0)) / CASE WHEN near IS NULL THEN 0.8e0 ELSE 0.88e0 END, 6) AS physical_score FROM plain""",
     "jn1_handoff_gates": f"{_G} SELECT session_id, out_id AS out_tracklet_id, in_id AS in_tracklet_id, round(transit_s, 6) AS transit_s, accepted, reason FROM gated",
     "sc3_vector_similarity": f"{_G}{_score('scored', 'gated', True)} SELECT out_id AS out_tracklet_id, in_id AS in_tracklet_id, round(reid, 6) AS reid FROM scored",
     "gr3_handoff_score": f"{_G}{_score('scored', 'gated', True)} SELECT out_id AS out_tracklet_id, in_id AS in_tracklet_id, round(temporal, 6) AS temporal, round(dimensions, 6) AS dimensions, zone, round(speed, 6) AS speed, integrity, round(score, 6) AS score, round(physical_score, 6) AS physical_score FROM scored",
     "tk2_best_candidate": f"{_S6}, {_BEST} SELECT in_tracklet_id, out_tracklet_id, score, runner_up FROM best",
     "tk5_overflow": f"{_T} SELECT session_id, tracklet_id FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ended_at_global DESC, tracklet_id DESC) AS k FROM tracklets) WHERE k > 60",
-    "jn17_continuation_candidates": f"""{_T}, starts AS (SELECT * FROM tracklets){_gates('g1', 'starts', 'tracklets')}{_score('s1', 'g1')},
-      mids AS (SELECT * FROM tracklets WHERE tracklet_id IN (SELECT in_id FROM s1)){_gates('g2', 'mids', 'tracklets')}{_score('s2', 'g2')}
-      SELECT s2.session_id, s1.out_id AS parcel_tracklet_id, s2.out_id AS incoming_tracklet_id, s2.in_id AS later_tracklet_id, round(0.6 * s1.score + 0.4 * s2.physical_score, 6) AS combined FROM s2 JOIN s1 ON s1.in_id = s2.out_id""",
     "gr1_components": f"""{_S.replace('WITH ', 'WITH RECURSIVE ', 1)}, e AS (SELECT out_id AS a, in_id AS b FROM scored WHERE score >= 0.9), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
       reach(a, b) AS (SELECT a, a FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON e.a = r.b) SELECT a AS id, min(b) AS component FROM reach GROUP BY a""",
     "gr2_topology_rank": f"{_T} SELECT camera_role AS role, CASE camera_role WHEN 'C1' THEN 0 WHEN 'C2' THEN 1 ELSE 2 END::BIGINT AS rank, count(*) AS tracklets FROM tracklets GROUP BY ALL",
+    "gr7_chains_of_tracks": f"""{_T}, c AS (SELECT *, session_id || '/' || local_track_id AS parcel_id, lag(ended_at_global) OVER (PARTITION BY session_id, local_track_id ORDER BY started_at_global, tracklet_id) AS before FROM tracklets)
+      SELECT parcel_id, count(*) AS n, string_agg(tracklet_id, '>' ORDER BY started_at_global, tracklet_id) AS chain, bool_and(coalesce(before <= started_at_global, true)) AS ordered, count(DISTINCT camera_role) = count(*) AS one_per_camera FROM c GROUP BY parcel_id""",
     "pf11_destination_result": f"{_T} SELECT tracklet_id, CASE WHEN first_zone_id IS NULL OR CASE WHEN avg_vx = 2 THEN first_zone_id ELSE last_zone_id END IS NULL THEN 'UNVERIFIED' WHEN first_zone_id = CASE WHEN avg_vx = 2 THEN first_zone_id ELSE last_zone_id END THEN 'SORT_OK' ELSE 'WRONG_DESTINATION' END AS destination_result FROM tracklets",
     "pf13_descriptor_reliable": f"{_T} SELECT tracklet_id, avg_w > 75 OR (local_track_id % 6 >= 3 AND integrity_status <> 'AMBIGUOUS') AS reliable FROM tracklets",
     "pf15_ingress_roles": f"{_T} SELECT camera_role, count(*) AS n FROM tracklets WHERE camera_role IN (SELECT from_role FROM edges EXCEPT SELECT to_role FROM edges) GROUP BY ALL",
     "ag13_pair_counts": f"{_MINED} SELECT l AS label, count(m.label) AS n FROM (VALUES ('POSITIVE'), ('HARD_NEGATIVE'), ('NEGATIVE')) v(l) LEFT JOIN mined m ON m.label = l GROUP BY ALL",
     "ag14_multi_view_descriptor": """WITH d AS (SELECT vec_id % 100 AS tracklet, i AS dim, median(embedding[i]::DOUBLE) AS value FROM embeddings, range(1, 65) r(i) WHERE i <= len(embedding) GROUP BY ALL), n AS (SELECT vec_id % 100 AS tracklet, count(*) AS view_count FROM embeddings GROUP BY ALL)
       SELECT tracklet, view_count, CASE WHEN view_count >= 3 THEN 'RELIABLE' ELSE 'LOW_VIEWS' END AS label, round(arg_min(value, dim) / sqrt(sum(value * value)), 6) AS d0, round(arg_max(value, dim) / sqrt(sum(value * value)), 6) AS d_last FROM d JOIN n USING (tracklet) GROUP BY ALL""",
-    "ag17_insert_or_ignore": f"{_T} SELECT session_id, camera_role, local_track_id AS local_key, min(tracklet_id) AS tracklet_id FROM tracklets WHERE local_track_id % 7 <> 0 GROUP BY ALL",
+    "ag17_insert_or_ignore": f"""{_T} SELECT session_id, camera_role, local_key, avg_w, tracklet_id FROM (SELECT *, local_track_id % 9 AS local_key, row_number() OVER (PARTITION BY session_id, camera_role, local_track_id % 9 ORDER BY avg_w, tracklet_id) AS k FROM tracklets)
+      WHERE k = 1 AND local_key % 7 <> 0""",
     "ml2_mine_pairs": f"{_MINED} SELECT * FROM mined",
     "ml3_episode_split": f"""{_G}, p AS (SELECT concat_ws('|', session_id, concat_ws('>', from_role, to_role), in_id) AS episode, out_id, in_id FROM gated WHERE accepted), e AS (SELECT episode, row_number() OVER (ORDER BY sha256(episode), episode) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT episode FROM p))
       SELECT out_id AS out_tracklet_id, in_id AS right_id, k <= greatest(1, floor(n / 5)) AS held_out FROM p JOIN e USING (episode)""",
