@@ -1,7 +1,7 @@
 """Document fingerprints: Merkle trees over pieces, paragraphs and sections, in Spark expressions only.
 
 A text is cut, without losing a character, into paragraphs (each ends with its line feed),
-these into pieces of at most four words that end at punctuation, and 16 paragraphs in
+these into pieces of five to eight words that end with a sentence, and 16 paragraphs in
 turn make a section. Every node's hash is the SHA-256 of its children's, a piece's is that of its text.
 A fingerprint shows the root whole, the other nodes by their first digits:
 
@@ -25,7 +25,7 @@ SECTION, BITS_BELOW, PIECES_FROM = 16, 600, 300
 RANGE_ROWS = 500_000
 
 _PARAGRAPH_END = r"(?<=\n)"
-_PIECE = r"\s*+(?:\S{1,24}+(?<![.,;:!?])\s++){0,3}+\S{0,24}+\s*+"
+_PIECE = r"\s*+(?:\S{1,24}+\s++){0,3}+(?:\S{1,24}+(?<![.!?])\s++){0,4}+\S{0,24}+\s*+"
 _BIT = r"\s*+\S{0,3}+\s*+"
 #: Hex digits of a section's or paragraph's hash, and of a piece's or bit's.
 _BRANCH, _LEAF = 8, 6
@@ -148,14 +148,12 @@ def edits_and_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str =
     def at(x: str, y: str) -> Column:
         return F.col(f"{x}doc_id").eqNullSafe(F.col(f"{y}doc_id")) & (F.col(f"{x}h") == F.col(f"{y}h"))
 
-    asked = links.select("doc_id", "h", "take", "next_doc_id", "next_h")
-    heads = asked.join(texts.select(F.col("doc_id").alias("of_doc_id"), F.col("h").alias("of_h"), "text").hint("merge"), at("next_", "of_"))
-    heads = heads.groupBy(F.col("doc_id").alias("at_doc_id"), F.col("h").alias("at_h")).agg(F.max(F.expr("substring(text, 1, take)")).alias("head"), F.max("take").alias("take"), F.max(F.struct("next_doc_id", "next_h")).alias("next"))
-    rows = texts.join(heads.hint("merge"), at("", "at_"))
-    rows = rows.select("doc_id", "h", "text", F.length("text").cast("long").alias("n_chars"), F.expr("concat(substring(text, 1, length(text) - take), head)").alias("edited"), F.col("next.next_doc_id").alias("next_doc_id"), F.col("next.next_h").alias("next_h"))
-    rows = add_fingerprint(add_fingerprint(rows, "text", "fingerprint"), "edited", "edited_fingerprint")
-    rows = add_likeness(rows.withColumn("edited_sha256", F.sha2("edited", 256)), "fingerprint", "edited_fingerprint", "near_edited")
-    rows = written(rows.select("doc_id", "h", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "next_doc_id", "next_h"), "merkle-rows")
-    nexts = rows.groupBy(F.col("doc_id").alias("of_doc_id"), F.col("h").alias("of_h")).agg(F.first("fingerprint").alias("next_fingerprint"))
-    joined = rows.join(nexts.hint("merge"), at("next_", "of_"))
-    return add_likeness(joined, "fingerprint", "next_fingerprint", "near_next").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    # ``texts`` stands unrenamed on the same keys in both joins, so that Spark shuffles whole texts once and reads them twice
+    asked = links.select(F.col("doc_id").alias("at_doc_id"), F.col("h").alias("at_h"), "take", "next_doc_id", "next_h")
+    met = asked.hint("merge").join(texts, at("next_", ""))
+    heads = add_fingerprint(met.select("at_doc_id", "at_h", "take", "text"), "text", "next_fingerprint").withColumn("head", F.expr("substring(text, 1, take)"))
+    heads = heads.groupBy("at_doc_id", "at_h").agg(F.max("head").alias("head"), F.max("take").alias("take"), F.max("next_fingerprint").alias("next_fingerprint"))
+    rows = texts.join(heads.hint("merge"), at("at_", "")).select("doc_id", "text", F.length("text").cast("long").alias("n_chars"), F.expr("concat(substring(text, 1, length(text) - take), head)").alias("edited"), "next_fingerprint")
+    rows = add_fingerprint(add_fingerprint(rows.withColumn("edited_sha256", F.sha2("edited", 256)), "text", "fingerprint"), "edited", "edited_fingerprint").drop("text", "edited")
+    rows = add_likeness(add_likeness(rows, "fingerprint", "edited_fingerprint", "near_edited"), "fingerprint", "next_fingerprint", "near_next")
+    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
