@@ -45,18 +45,75 @@ def _inverse(h: Column) -> Column:
     return F.array(e * j - f * i, c * i - b * j, b * f - c * e, f * g - d * j, a * j - c * g, c * d - a * f, d * i - e * g, b * g - a * i, a * e - b * d)
 
 
+#: Steps of the fixed point that takes lens distortion out of a point; each gains about a digit for usual lenses.
+STEPS = 20
+#: Lens parameters in a profile's ``distortion``: k1, k2, p1, p2, k3 (missing ones are 0).
+LENS = 5
+
+
+def _bend(x: Column, y: Column, lens: Column) -> tuple[Column, Column, Column]:
+    """Radial factor and tangential shift of a normalized point."""
+    k1, k2, p1, p2, k3 = (F.coalesce(F.get(lens, F.lit(k)), F.lit(0.0)) for k in range(LENS))
+    r2 = x * x + y * y
+    return 1 + r2 * (k1 + r2 * (k2 + r2 * k3)), 2 * p1 * x * y + p2 * (r2 + 2 * x * x), p1 * (r2 + 2 * y * y) + 2 * p2 * x * y
+
+
+def _normal(camera: Column, x: Column, y: Column) -> tuple[Column, Column]:
+    fx, skew, cx, fy, cy = (F.get(camera, F.lit(k)) for k in (0, 1, 2, 4, 5))
+    v = (y - cy) / fy
+    return (x - cx - skew * v) / fx, v
+
+
+def _pixel(camera: Column, u: Column, v: Column) -> tuple[Column, Column]:
+    fx, skew, cx, fy, cy = (F.get(camera, F.lit(k)) for k in (0, 1, 2, 4, 5))
+    return fx * u + skew * v + cx, fy * v + cy
+
+
+def undistorted(x: Column, y: Column, camera: Column, lens: Column) -> tuple[Column, Column]:
+    """The pixel that a lens without distortion would show the point at; the same pixel where camera or lens is null."""
+    u0, v0 = _normal(camera, x, y)
+
+    def step(at: Column, _: Column) -> Column:
+        radial, du, dv = _bend(at["u"], at["v"], lens)
+        return F.struct(((u0 - du) / radial).alias("u"), ((v0 - dv) / radial).alias("v"))
+
+    flat = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.struct(u0.alias("u"), v0.alias("v")), step)
+    px, py = _pixel(camera, flat["u"], flat["v"])
+    known = camera.isNotNull() & lens.isNotNull()
+    return F.when(known, px).otherwise(x), F.when(known, py).otherwise(y)
+
+
+def distorted(x: Column, y: Column, camera: Column, lens: Column) -> tuple[Column, Column]:
+    """The pixel at which the lens shows the point that a lens without distortion shows at (x, y)."""
+    u, v = _normal(camera, x, y)
+    radial, du, dv = _bend(u, v, lens)
+    px, py = _pixel(camera, u * radial + du, v * radial + dv)
+    known = camera.isNotNull() & lens.isNotNull()
+    return F.when(known, px).otherwise(x), F.when(known, py).otherwise(y)
+
+
+def _optics(profiles: DataFrame) -> DataFrame:
+    """Valid profiles by source, with ``camera_matrix`` and ``distortion`` (null where the table has none)."""
+    lens = [F.col(c) if c in profiles.columns else F.lit(None).cast("array<double>").alias(c) for c in ("camera_matrix", "distortion")]
+    return dimension(profiles.where("valid").select("source_id", "homography", *lens))
+
+
 def to_world(points: DataFrame, profiles: DataFrame, x: str, y: str) -> DataFrame:
-    """Adds ``world_x``, ``world_y`` by the source's homography, without lens distortion (PF5); null without a valid profile."""
-    valid = dimension(profiles.where("valid").select("source_id", "homography"))
-    wx, wy = _apply(F.col("homography"), F.col(x), F.col(y))
-    return points.join(valid, "source_id", "left").withColumns({"world_x": wx, "world_y": wy}).drop("homography")
+    """Adds ``world_x``, ``world_y``: lens distortion out, then the source's homography (PF5); null without a valid profile."""
+    joined = points.join(_optics(profiles), "source_id", "left")
+    ux, uy = undistorted(F.col(x), F.col(y), F.col("camera_matrix"), F.col("distortion"))
+    flat = joined.withColumns({"__x": ux, "__y": uy})  # columns of their own: the homography names each several times
+    wx, wy = _apply(F.col("homography"), F.col("__x"), F.col("__y"))
+    return flat.withColumns({"world_x": wx, "world_y": wy}).drop("homography", "camera_matrix", "distortion", "__x", "__y")
 
 
 def to_image(points: DataFrame, profiles: DataFrame, x: str, y: str) -> DataFrame:
-    """Adds ``image_x``, ``image_y`` by the inverse homography (PF6)."""
-    valid = dimension(profiles.where("valid").select("source_id", "homography"))
-    ix, iy = _apply(_inverse(F.col("homography")), F.col(x), F.col(y))
-    return points.join(valid, "source_id", "left").withColumns({"image_x": ix, "image_y": iy}).drop("homography")
+    """Adds ``image_x``, ``image_y``: the inverse homography, then lens distortion (PF6); null without a valid profile."""
+    joined = points.join(_optics(profiles), "source_id", "left")
+    fx, fy = _apply(_inverse(F.col("homography")), F.col(x), F.col(y))
+    flat = joined.withColumns({"__x": fx, "__y": fy})
+    ix, iy = distorted(F.col("__x"), F.col("__y"), F.col("camera_matrix"), F.col("distortion"))
+    return flat.withColumns({"image_x": ix, "image_y": iy}).drop("homography", "camera_matrix", "distortion", "__x", "__y")
 
 
 def own_wrists(wrists: DataFrame, persons: DataFrame) -> DataFrame:

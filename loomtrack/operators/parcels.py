@@ -57,7 +57,8 @@ class Matching(Fold):
         for (p, q), v in near.items():
             gain[parcels.index(p), persons.index(q)] = max(0.0, v[0] - LEAST_PAIR)
         out = []
-        for i, j in sorted(_solve(gain)):
+        alone = len(near) == 1  # the common case needs no solver
+        for i, j in ([(0, 0)] if gain[0, 0] > 0 else []) if alone else sorted(_solve(gain)):
             parcel, person = parcels[i], persons[j]
             score, distance, overlap, touching, held, apart, motion, doubt, same = near[parcel, person]
             rival = max((v[0] for (p, q), v in near.items() if p == parcel and q != person), default=None)
@@ -106,86 +107,102 @@ def interaction_matches(rows: DataFrame) -> DataFrame:
     return fold_frames(rows, ["session_id", "source_id"], ["stream_epoch", "frame_index"], MATCH_INPUT, Matching, MATCHES)
 
 
+#: Per clock, in the order in which a frame is judged: the state, whether the clock must run (for so many seconds) or stand still, the next state, and what is told.
+RULES = (
+    ("lift", (
+        ("PICK_CANDIDATE", False, 0.0, "ON_CONVEYOR", ("pickup_cancelled",)),
+        ("ON_CONVEYOR", True, SECONDS["pickup_candidate"], "PICK_CANDIDATE", ("pickup_candidate",)),
+        ("PICK_CANDIDATE", True, SECONDS["picked"], "PICKED", ("parcel_picked",)),
+    )),
+    ("carry", (("PICKED", True, SECONDS["carried"], "CARRIED", ("parcel_carried",)),)),
+    ("rest", (
+        ("DROP_CANDIDATE", False, 0.0, "CARRIED", ("drop_cancelled",)),
+        ("CARRIED", True, SECONDS["drop_candidate"], "DROP_CANDIDATE", ("destination_observed", "drop_candidate")),
+        ("DROP_CANDIDATE", True, SECONDS["dropped"], "DROPPED", ("destination_confirmed", "parcel_dropped")),
+    )),
+)
+#: States in which a clock can run, and the event that a step back makes possible anew.
+RUNS_IN = {"lift": (), "carry": ("PICKED", "CARRIED"), "rest": ("CARRIED", "DROP_CANDIDATE")}
+ANEW = {"pickup_cancelled": "pickup_candidate", "drop_cancelled": "drop_candidate"}
+
+EVENTS = "at double, event_type string, state string, operator_id long, person_id long, score double, destination_zone string"
+#: What a parcel's fold reads of a frame; ``life_flags`` makes the last four.
+LIFE_INPUT = ["timestamp_global", "visible", "zone_id", "person_id", "score", "frozen", "sure", "lift", "carry", "rest"]
+LIFE_STATE = "state string, candidate long, operator long, zone string, shadow boolean, lift double, carry double, rest double, told string"
+
+
+def life_flags(rows: DataFrame) -> DataFrame:
+    """Adds what a frame says of its parcel: ``frozen`` (in doubt), ``sure`` (reliably matched), and whether it looks like a lift, a carry or a rest.
+
+    ``rows`` have visible, zone_id, zone_kind, doubt, speed and the match's person_id, score, reliable, ambiguous, distance, contact, separation_s and motion.
+    """
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    matched = F.col("person_id").isNotNull()
+    dynamic = matched & (F.col("speed") >= MOVING) & (F.col("motion") >= TOGETHER)
+    sure = matched & F.col("reliable")
+    return rows.withColumns({
+        "frozen": yes(F.col("doubt")) | yes(matched & F.col("ambiguous")), "sure": yes(sure), "lift": yes(sure & dynamic & F.col("contact") & (F.col("zone_kind") == "pick")),
+        "carry": yes(sure & dynamic & (F.col("contact") | (F.col("distance") <= CARRY_DISTANCE))),
+        "rest": yes(matched & (F.col("zone_kind") == "destination") & (F.col("score") >= DROP_SCORE) & ~F.col("contact") & (F.col("separation_s") > 0) & (F.col("speed") <= RESTING)),
+    })
+
+
 class Life(Fold):
-    """The state of one parcel; gives each event once."""
+    """The state of one parcel, moved by ``RULES``; gives each event once."""
 
-    def __init__(self):
-        self.state = "ON_CONVEYOR"
-        self.candidate = self.operator = self.zone = None
-        self.pick_since = self.carry_since = self.drop_since = None
-        self.shadow = False
-        self.last = None
-        self.emitted: set[str] = set()
-
-    def _tell(self, event: str, now: float, person, score) -> None:
-        if event not in self.emitted:
-            self.emitted.add(event)
-            self.out.append((now, event, self.state, self.operator if self.operator is not None else self.candidate, person, score, self.zone))
+    def __init__(self, kept: tuple | None = None):
+        self.state, self.candidate, self.operator, self.zone, self.shadow = kept[:5] if kept else ("ON_CONVEYOR", None, None, None, False)
+        self.clocks: dict[str, float | None] = dict(zip(RUNS_IN, kept[5:8] if kept else (None,) * 3))
+        self.told = set(filter(None, kept[8].split(","))) if kept else set()
+
+    def kept(self) -> tuple:
+        """All of the state, as the columns of ``LIFE_STATE``."""
+        return self.state, self.candidate, self.operator, self.zone, self.shadow, *self.clocks.values(), ",".join(sorted(self.told))
+
+    def _names(self, clock: str, person: int | None) -> bool:
+        """Whether ``person`` is whom the clock's flag must be about."""
+        return person == self.operator if clock != "lift" else self.candidate in (None, person)
 
     def frame(self, rows: list[tuple]) -> list[tuple]:
-        """``rows``: one of (time, visible, zone, kind, doubt, speed, person, score, reliable, ambiguous, distance, contact, separation, motion)."""
-        self.out: list[tuple] = []
-        now, visible, zone, kind, doubt, speed, person, score, reliable, unclear, distance, contact, apart, motion = rows[0]
-        if not visible:
+        now, visible, zone, person, score, frozen, sure, *flags = rows[0]
+        out: list[tuple] = []
+
+        def tell(*events: str, of: int | None = person, by: float = score or 0.0) -> None:
+            for event in events:
+                self.told.discard(ANEW.get(event, ""))
+                if event not in self.told:
+                    self.told.add(event)
+                    out.append((now, event, self.state, self.operator if self.operator is not None else self.candidate, of, by, self.zone))
+
+        if not visible:  # a carried parcel leaves its operator's name behind, nothing else changes
             if self.state == "CARRIED" and self.operator is not None and not self.shadow:
                 self.shadow = True
-                self._tell("parcel_carried_shadow", now, None, 0.0)
-            return self.out
-        self.last, matched = now, person is not None
-        tell = lambda event: self._tell(event, now, person, score or 0.0)
-        if doubt or (matched and unclear):
-            self.pick_since = self.drop_since = None
+                tell("parcel_carried_shadow", of=None, by=0.0)
+            return out
+        if frozen:
+            self.clocks["lift"] = self.clocks["rest"] = None
             tell("interaction_ambiguous")
-            return self.out
-        since = lambda start, active: None if not active else now if start is None else start
-        lasted = lambda start: 0.0 if start is None else now - start
-        dynamic = matched and speed >= MOVING and motion >= TOGETHER
-        picking = bool(dynamic and reliable and contact and kind == "pick" and self.candidate in (None, person))
-        if picking:
-            self.candidate = person
-        elif self.state in ("ON_CONVEYOR", "PICK_CANDIDATE"):
-            self.candidate = None
-        self.pick_since = since(self.pick_since, picking)
-        if self.state == "PICK_CANDIDATE" and not picking:
-            self.state = "ON_CONVEYOR"
-            self.emitted.discard("pickup_candidate")
-            tell("pickup_cancelled")
-        if self.state == "ON_CONVEYOR" and lasted(self.pick_since) >= SECONDS["pickup_candidate"]:
-            self.state = "PICK_CANDIDATE"
-            tell("pickup_candidate")
-        if self.state == "PICK_CANDIDATE" and lasted(self.pick_since) >= SECONDS["picked"]:
-            self.state, self.operator = "PICKED", person
-            tell("parcel_picked")
-        same = matched and person == self.operator and reliable
-        self.carry_since = since(self.carry_since, self.state in ("PICKED", "CARRIED") and same and dynamic and (contact or distance <= CARRY_DISTANCE))
-        if self.state == "PICKED" and lasted(self.carry_since) >= SECONDS["carried"]:
-            self.state = "CARRIED"
-            tell("parcel_carried")
-        if self.shadow:
-            if not same:
-                self.drop_since = None
-                return self.out
-            self.shadow = False
-            tell("parcel_reappeared")
-        dropping = self.state in ("CARRIED", "DROP_CANDIDATE") and kind == "destination" and matched and person == self.operator and score >= DROP_SCORE and not contact and apart > 0 and speed <= RESTING
-        self.drop_since = since(self.drop_since, dropping)
-        if self.state == "DROP_CANDIDATE" and not dropping:
-            self.state, self.zone = "CARRIED", None
-            self.emitted.discard("drop_candidate")
-            tell("drop_cancelled")
-        if self.state == "CARRIED" and lasted(self.drop_since) >= SECONDS["drop_candidate"]:
-            self.state, self.zone = "DROP_CANDIDATE", zone
-            tell("destination_observed")
-            tell("drop_candidate")
-        if self.state == "DROP_CANDIDATE" and lasted(self.drop_since) >= SECONDS["dropped"]:
-            self.state, self.zone = "DROPPED", zone
-            tell("destination_confirmed")
-            tell("parcel_dropped")
-        return self.out
-
-
-EVENTS = "at double, event_type string, state string, operator_id long, person_id long, score double, destination_zone string"
-LIFE_INPUT = ["timestamp_global", "visible", "zone_id", "zone_kind", "doubt", "speed", "person_id", "score", "reliable", "ambiguous", "distance", "contact", "separation_s", "motion"]
+            return out
+        for (clock, rules), flag in zip(RULES, flags):
+            if clock == "rest" and self.shadow:
+                if not (sure and person == self.operator):  # only its operator brings it back
+                    self.clocks["rest"] = None
+                    break
+                self.shadow = False
+                tell("parcel_reappeared")
+            runs = flag and self._names(clock, person) and (not RUNS_IN[clock] or self.state in RUNS_IN[clock])
+            if clock == "lift" and (runs or self.state in ("ON_CONVEYOR", "PICK_CANDIDATE")):
+                self.candidate = person if runs else None
+            since = self.clocks[clock] = (now if self.clocks[clock] is None else self.clocks[clock]) if runs else None
+            for state, running, seconds, after, events in rules:
+                if self.state == state and runs == running and (not running or now - since >= seconds):
+                    self.state = after
+                    if after == "PICKED":
+                        self.operator = person
+                    if clock == "rest":
+                        self.zone = zone if running else None
+                    tell(*events)
+        return out
 
 
 def parcel_state_machine(obs: DataFrame, matches: DataFrame, zones: DataFrame, width: float = 640.0, height: float = 360.0) -> DataFrame:
@@ -195,6 +212,9 @@ def parcel_state_machine(obs: DataFrame, matches: DataFrame, zones: DataFrame, w
     reliable contact; a lost condition cancels, doubt freezes, a carried parcel out of sight
     leaves a shadow until its operator is seen with it again. Each parcel is folded apart; out of sight only
     the first frame after a sighting counts, which the calendar of the source's frames supplies.
+
+    A parcel that no frame shows lifted never leaves the conveyor: Spark finds its only event, the first frame in doubt. Of
+    the others the fold gets each frame that says something, and the first of those in a row that say nothing, or only doubt.
     """
     source = ["session_id", "source_id"]
     calendar = obs.groupBy(*FRAME).agg(F.max("timestamp_global").alias("timestamp_global"))
@@ -204,7 +224,16 @@ def parcel_state_machine(obs: DataFrame, matches: DataFrame, zones: DataFrame, w
     found = matches.select(*FRAME, "parcel_id", "person_id", "score", "reliable", "ambiguous", "distance", "contact", "separation_s", "motion")
     seen = parcels.select(*FRAME, "timestamp_global", "parcel_id", F.lit(True).alias("visible"), "zone_id", "zone_kind", (F.col("identity_status") == "AMBIGUOUS").alias("doubt"), F.hypot(F.col("vx") / width, F.col("vy") / height).alias("speed")).join(found.hint("merge"), [*FRAME, "parcel_id"], "left")
     own = Window.partitionBy(*source, "parcel_id").orderBy("stream_epoch", "frame_index")
-    places = seen.select(*FRAME, "parcel_id", F.lead("stream_epoch").over(own).alias("own_epoch"), F.lead("frame_index").over(own).alias("own_frame")).join(written(after, "parcels-calendar").hint("merge"), list(FRAME))
+    life = life_flags(seen).select(*FRAME, "parcel_id", *LIFE_INPUT).withColumn("says", F.col("sure") | F.col("rest"))
+    beside = {"own_epoch": F.lead("stream_epoch").over(own), "own_frame": F.lead("frame_index").over(own), "dull": ~F.col("says") & (F.lag("frozen").over(own) == F.col("frozen")) & ~F.lag("says").over(own)}
+    life = written(life.withColumns({**beside, "lifted": F.max("lift").over(Window.partitionBy(*source, "parcel_id"))}), "parcels-life")
+    lifted = life.where("lifted")
+    places = lifted.select(*FRAME, "parcel_id", "own_epoch", "own_frame").join(written(after, "parcels-calendar").hint("merge"), list(FRAME))
     missed = places.where("next_frame_index IS NOT NULL AND NOT (own_epoch <=> next_stream_epoch AND own_frame <=> next_frame_index)")
     gone = missed.select(*source, F.col("next_stream_epoch").alias("stream_epoch"), F.col("next_frame_index").alias("frame_index"), F.col("next_timestamp_global").alias("timestamp_global"), "parcel_id", F.lit(False).alias("visible"))
-    return fold_frames(seen.unionByName(gone, allowMissingColumns=True), [*source, "parcel_id"], ["stream_epoch", "frame_index"], LIFE_INPUT, Life, EVENTS)
+    rows = lifted.where("NOT coalesce(dull, false)").select(*FRAME, "parcel_id", *LIFE_INPUT).unionByName(gone, allowMissingColumns=True)
+    folded = fold_frames(rows, [*source, "parcel_id"], ["stream_epoch", "frame_index"], LIFE_INPUT, Life, EVENTS)
+    first = F.min_by(F.struct("stream_epoch", "frame_index", F.col("timestamp_global").alias("at"), "person_id", F.coalesce("score", F.lit(0.0)).alias("score")), F.struct("stream_epoch", "frame_index"))
+    still = life.where("NOT lifted AND frozen").groupBy(*source, "parcel_id").agg(first.alias("f")).select(*source, "parcel_id", "f.*")
+    still = still.withColumns({"event_type": F.lit("interaction_ambiguous"), "state": F.lit("ON_CONVEYOR"), "operator_id": F.lit(None).cast("long"), "destination_zone": F.lit(None).cast("string")})
+    return folded.unionByName(still.select(*folded.columns))

@@ -8,13 +8,14 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomtrack.functions.shared import written
 from loomtrack.operators import handoffs
 from loomtrack.operators.graph import connected_components
 from loomtrack.operators.identities import INPUT, OUTPUT, Epoch, Limits
-from loomtrack.operators.parcels import EVENTS, LIFE_INPUT, MATCH_INPUT, MATCHES, Life, Matching
+from loomtrack.operators.parcels import EVENTS, LIFE_INPUT, LIFE_STATE, MATCH_INPUT, MATCHES, Life, Matching, life_flags
 
 _STATE = "blob binary"
 
@@ -73,33 +74,110 @@ def stream_identities(rows: DataFrame, limits: Limits = Limits()) -> DataFrame:
     return rows.groupBy("session_id", "source_id").applyInPandasWithState(update, schema, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_parcel_states(rows: DataFrame) -> DataFrame:
-    """ST3 and ST4 over a stream (SS7): ``match_input`` rows with ``zone_id``, ``zone_kind`` and ``speed`` of the parcel.
+class _Matches(StatefulProcessor):
+    """ST3 of one source: an entry for each pair of the last seconds, one for each parcel's last operator, one for each parcel in the last frame."""
+
+    columns = [*MATCH_INPUT, "event_time", "zone_id", "zone_kind", "speed"]
+
+    def __init__(self, remember: float):
+        self.remember = remember
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.pairs = handle.getMapState("pairs", "parcel long, person long", "touching double, apart double")
+        self.operators = handle.getMapState("operators", "parcel long", "person long, seen double")
+        self.visible = handle.getMapState("visible", "parcel long", "seen double")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        matching = Matching()
+        kept_pairs = {tuple(k): [_number(v[0]), _number(v[1])] for k, v in self.pairs.iterator()}
+        kept_operators = {k[0]: tuple(v) for k, v in self.operators.iterator()}
+        visible = {k[0] for k, _ in self.visible.iterator()}
+        was_visible = set(visible)
+        matching.since, matching.operator = {k: list(v) for k, v in kept_pairs.items()}, {p: v[0] for p, v in kept_operators.items()}
+        seen, out, now, match_names = {p: v[1] for p, v in kept_operators.items()}, [], None, _names(MATCHES)
+        for epoch, frame, part in _steps(rows, self.columns):
+            part = [(r[0], *(None if v is None else int(v) for v in r[1:3]), *r[3:]) for r in part]  # pandas makes floats of ids beside nulls
+            now, at = part[0][0], part[0][len(MATCH_INPUT)]
+            found = {m[0]: dict(zip(match_names, m)) for m in matching.frame([r[: len(MATCH_INPUT)] for r in part])}
+            here = {r[1]: dict(zip(self.columns, r)) for r in part if r[1] is not None}
+            seen.update(dict.fromkeys(here, now))
+            for parcel in sorted({*here, *visible}):
+                values = {**here.get(parcel, {}), **found.get(parcel, {}), "visible": parcel in here, "timestamp_global": now, "event_time": at, "parcel_id": parcel, "stream_epoch": epoch, "frame_index": frame}
+                out.append((*key, *(values.get(c) for c in _LIFE_ROW)))
+            visible = set(here)
+        if now is not None:
+            _write(self.pairs, kept_pairs, matching.since)
+            _write(self.operators, kept_operators, {p: (q, seen.get(p, now)) for p, q in matching.operator.items() if now - seen.get(p, now) <= self.remember})
+            _write(self.visible, {(p,): None for p in was_visible}, {(p,): (now,) for p in visible})
+        yield pd.DataFrame(out, columns=["session_id", "source_id", *_LIFE_ROW])
 
-    All pairs of a frame must arrive in one micro-batch. Per source the state holds the pairs of the last
-    seconds, each parcel's life and which parcels were in the last frame.
-    """
-    schema = f"session_id string, source_id string, parcel_id long, stream_epoch int, frame_index long, {EVENTS}"
-    names, match_names = _names(schema), _names(MATCHES)
-    columns = [*MATCH_INPUT, "zone_id", "zone_kind", "speed"]
+    def close(self) -> None:
+        pass
 
-    def update(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        matching, lives, visible = pickle.loads(state.get[0]) if state.exists else (Matching(), {}, set())
-        out: list[tuple] = []
-        for epoch, frame, part in _steps(pdfs, columns):
-            now, found = part[0][0], {m[0]: dict(zip(match_names, m)) for m in matching.frame([r[: len(MATCH_INPUT)] for r in part])}
-            here = {r[1]: dict(zip(columns, r)) for r in part if r[1] is not None}
-            for parcel in [p for p in visible if p not in here]:
-                out += [(*key, parcel, epoch, frame, *e) for e in lives[parcel].frame([(now, False, *[None] * (len(LIFE_INPUT) - 2))])]
-            for parcel in sorted(here):
-                values = {**here[parcel], **found.get(parcel, dict.fromkeys(match_names)), "visible": True}
-                row = tuple(values[c] for c in LIFE_INPUT)
-                out += [(*key, parcel, epoch, frame, *e) for e in lives.setdefault(parcel, Life()).frame([row])]
-            visible = set(here)
-        state.update((pickle.dumps((matching, lives, visible)),))
-        yield pd.DataFrame(out, columns=names)
 
-    return rows.groupBy("session_id", "source_id").applyInPandasWithState(update, schema, _STATE, "append", GroupStateTimeout.NoTimeout)
+class _Lives(StatefulProcessor):
+    """ST4 of one parcel: its state, until it has not been heard of for ``remember`` seconds of event time."""
+
+    def __init__(self, remember: float):
+        self.remember = remember
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.life = handle.getValueState("life", LIFE_STATE)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        life = Life(_plain(self.life.get()) if self.life.exists() else None)
+        out, newest = [], 0
+        for epoch, frame, part in _steps(rows, [*LIFE_INPUT, "event_time"]):
+            out += [(*key, epoch, frame, *e) for e in life.frame([(*r[:3], None if r[3] is None else int(r[3]), *r[4:-1]) for r in part])]
+            newest = max(newest, *(int(r[-1].timestamp() * 1000) for r in part))
+        self.life.update(life.kept())
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(newest, timerValues.getCurrentWatermarkInMs()) + int(self.remember * 1000))
+        yield pd.DataFrame(out, columns=_names(_LIVES))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.life.clear()
+        yield pd.DataFrame([], columns=_names(_LIVES))
+
+    def close(self) -> None:
+        pass
+
+
+_LIFE_TYPES = "parcel_id long, stream_epoch int, frame_index long, timestamp_global double, event_time timestamp, visible boolean, zone_id string, zone_kind string, doubt boolean, speed double, person_id long, score double, reliable boolean, ambiguous boolean, distance double, contact boolean, separation_s double, motion double"
+_LIFE_ROW = _names(_LIFE_TYPES)
+_LIVES = f"session_id string, source_id string, parcel_id long, stream_epoch int, frame_index long, {EVENTS}"
+
+
+def _number(value):
+    return None if value is None or value != value else value
+
+
+def _write(state, before: dict, after: dict) -> None:
+    """Brings a map state from ``before`` to ``after``, touching only entries that differ."""
+    as_key = lambda k: k if isinstance(k, tuple) else (k,)
+    for k in before.keys() - after.keys():
+        state.removeKey(as_key(k))
+    for k, v in after.items():
+        if k not in before or before[k] != v:
+            state.updateValue(as_key(k), tuple(v))
+
+
+#: Where map states live; without it ``stream_parcel_states`` cannot start.
+STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def stream_parcel_states(rows: DataFrame, remember: float = 3600.0) -> DataFrame:
+    """ST3 and ST4 over a stream (SS7): ``match_input`` rows with a watermarked ``event_time``, and ``zone_id``, ``zone_kind`` and ``speed`` of the parcel.
+
+    All pairs of a frame must arrive in one micro-batch. Two stateful steps: per source, one map entry for each pair
+    of the last seconds, each parcel's operator and each parcel in view; per parcel, its life, which an event-time timer drops
+    when nothing was heard of it for ``remember`` seconds. A batch rewrites only entries that change. The session needs the settings ``STORE``.
+    """
+    matched = rows.groupBy("session_id", "source_id").transformWithStateInPandas(_Matches(remember), f"session_id string, source_id string, {_LIFE_TYPES}", "append", "eventTime", eventTimeColumnName="event_time")
+    flagged = life_flags(matched).select("session_id", "source_id", "parcel_id", "stream_epoch", "frame_index", "event_time", *LIFE_INPUT)
+    return flagged.groupBy("session_id", "source_id", "parcel_id").transformWithStateInPandas(_Lives(remember), _LIVES, "append", "eventTime")
 
 
 class Pending:

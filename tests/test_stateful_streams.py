@@ -1,5 +1,6 @@
 """Stateful streams give what their batch twins give, whatever the micro-batches."""
 
+import pytest
 from pyspark.sql import functions as F
 from test_identities import LIMITS, SCENES as TRACKS
 from test_parcels import scene_tables
@@ -48,17 +49,51 @@ def test_identities(spark, tmp_path):
     assert [(r.number, r.n_observations, r.relinks) for r in found if r.kind == "tracklet" and r.session_id == "relink"] == [(1, 3, 1)]
 
 
-def test_parcel_states(spark, tmp_path):
+@pytest.fixture
+def store(spark):
+    before = {k: spark.conf.get(k) for k in stateful.STORE}
+    for k, v in stateful.STORE.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_parcel_states(spark, tmp_path, store):
     obs, wrists, zones = scene_tables(spark)
     tagged = zone_kind(tag_zones(track_velocity(obs.where("class_name = 'parcel'")), zones), zones).select("session_id", "frame_index", F.col("local_track_id").alias("parcel_id"), "zone_id", "zone_kind", F.hypot(F.col("vx") / 1000, F.col("vy") / 500).alias("speed"))
     rows = parcels.match_input(obs, wrists, zones, 1000.0, 500.0).join(tagged, ["session_id", "frame_index", "parcel_id"], "left").withColumn("turn", F.floor(F.col("frame_index") / 3))
-    found = play(spark, rows, stateful.stream_parcel_states, tmp_path, "turn")
+    rows = rows.withColumn("event_time", F.timestamp_micros((F.col("timestamp_global") * 1e6 + 1e12).cast("long")))
+    found = play(spark, rows, lambda s: stateful.stream_parcel_states(s.withWatermark("event_time", "10 seconds")), tmp_path, "turn")
     matches = parcels.interaction_matches(parcels.match_input(obs, wrists, zones, 1000.0, 500.0))
     batch = parcels.parcel_state_machine(obs, matches, zones, 1000.0, 500.0).collect()
     told = lambda r: (r.session_id, r.parcel_id, r.at, r.event_type, r.state, r.operator_id, r.destination_zone)
     assert sorted(map(str, map(told, found))) == sorted(map(str, map(told, batch))) and len(batch) > 10
 
 
+def test_parcel_states_are_forgotten(spark, tmp_path, store):
+    """Forty parcels pass one after the other, a minute apart: the state holds those of the last ten minutes, not all."""
+    rows = [("s", "cam", 0, k, 60.0 * k, k, 7, 0.01, True, 1.0, True, False, "pick", "pick", 0.1, k // 8) for k in range(40)]
+    columns = "session_id string, source_id string, stream_epoch int, frame_index long, timestamp_global double, parcel_id long, person_id long, distance double, overlap boolean, motion double, pick boolean, doubt boolean, zone_id string, zone_kind string, speed double, turn int"
+    df = spark.createDataFrame(rows, columns).withColumn("event_time", F.timestamp_seconds(F.col("timestamp_global") + 1e9))
+    sizes = []
+
+    def build(stream):
+        return stateful.stream_parcel_states(stream.withWatermark("event_time", "1 seconds"), remember=600.0)
+
+    for k, (value,) in enumerate(sorted(df.select("turn").distinct().collect())):
+        df.where(F.col("turn") == value).coalesce(1).write.parquet(f"{tmp_path}/in/part={k}")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+    query = build(stream).writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination(240)
+    for progress in query.recentProgress:
+        sizes.append(sum(op["numRowsTotal"] for op in progress["stateOperators"]))
+    assert query.exception() is None and sizes and max(sizes) < 40 * 5 and sizes[-1] <= max(sizes)
+    operators = spark.read.format("statestore").option("operatorId", 1).option("stateVarName", "operators").load(f"{tmp_path}/state").count()
+    lives = spark.read.format("statestore").option("operatorId", 0).option("stateVarName", "life").load(f"{tmp_path}/state").count()
+    assert 0 < operators <= 20 and 0 < lives <= 20, (operators, lives)
+
+
 def test_pending_rules():
     pending = stateful.Pending()
     assert pending.add("later", "C:C2", 3.1, 100.0) == [] and pending.add("earlier", "C:C2", 3.0, 100.3) == [] and pending.add("later", "C:C2", 9.0, 100.3) == []
