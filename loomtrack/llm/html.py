@@ -2,9 +2,8 @@
 
 Every element's subtree is hashed; Spark counts, per host, on how many different pages a
 subtree stands and how many there are; what stands on at least half of them, inside an
-article or not, is the site's template and is deleted. What a page itself marks as menu,
-advert, form and the like goes too, as it may be unlike on every page; inside the article
-only boxes that are marked by a whole class, id or role. Pages that are copies of each
+article or not, is the site's template and is deleted. Blocks that a page itself marks as menu,
+advert, form and the like by a whole name go too, as they may be unlike on every page. Pages that are copies of each
 other count once, and a passage that a few articles of a host share stays.
 """
 
@@ -32,14 +31,17 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style title textarea noscript iframe xmp".split())
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 DROPPED = frozenset("head nav footer aside form script style title noscript template iframe object svg canvas button select textarea dialog menu xmp".split())
-#: Words in class, id or role that mark what is not the article.
+#: Words in class, id or role that mark what is not the article, and words that may stand beside them in one name ("site-footer"; not "no-sidebar").
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies footer menu modal nav navbar navigation newsletter notice notices pager pagination popup promo related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
+PLACES = frozenset("site page box block list wrapper wrap container area bar item section inner outer left right top bottom global primary secondary links panel group row col column".split())
 #: Inside the article only these elements are dropped by a mark, and only where it is a whole class, id or role.
 BOXES = frozenset("div section ul ol dl table figure header".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 LIMITS = frozenset("ul ol table article section div body html blockquote".split())
-#: Elements nested deeper than this are read as if they were not opened, so that a page's parsing time grows with its length only.
-DEPTH = 256
+#: Elements that an opening tag may close, or that keep it from closing others. Only these are looked through, so time grows with a page's length, however deep it nests.
+STOPS = LIMITS | frozenset(CLOSES) | {"p"}
+#: A form that holds most of a page's text and one of these is not a form to fill in but the page itself.
+FRAMED = frozenset("article main h1 p".split())
 
 NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 #: One attribute of a tag: name, and value without quotes, or the quote that opens it.
@@ -79,8 +81,8 @@ def _tag(source: str, at: int) -> tuple[list[str], bool, int]:
 class Page:
     """The elements of a page in the order they open, and its text pieces.
 
-    ``tags``, ``parents``, ``marked`` (0: no, 1: by a word in class, id or role, 2: by a whole
-    one), ``hashes``, ``has_text`` and ``spans`` (first piece, piece after the last) go by
+    ``tags``, ``parents``, ``marked`` (0: no, 1: by a class, id or role made of marks and places, 2: by one
+    that is a mark), ``hashes``, ``has_text`` and ``spans`` (first piece, piece after the last) go by
     element; a piece is (block number, element, text).
     """
 
@@ -91,12 +93,14 @@ class Page:
         inside: list[list[str]] = [[]]  # what each open element holds, as digests and texts
         stack = [0]
         opened: dict[str, int] = {}  # open elements by name
-        skipped: dict[str, int] = {}  # elements too deep to be opened, by name
+        stops: list[int] = []  # places on the stack of elements in STOPS
         block = at = 0
 
         def close(depth: int) -> None:
             while len(stack) > depth:
                 node, held = stack.pop(), inside.pop()
+                if stops and stops[-1] == len(stack):
+                    stops.pop()
                 if stack:
                     opened[self.tags[node]] -= 1
                 digest = xxhash.xxh64_intdigest("\x1f".join(held).encode("utf-8", "surrogatepass"), 42)
@@ -138,9 +142,7 @@ class Page:
             values, slash, at = _tag(source, m.end())
             if m[1]:
                 block += name in BLOCK
-                if skipped.get(name):
-                    skipped[name] -= 1
-                elif opened.get(name):
+                if opened.get(name):
                     for depth in range(len(stack) - 1, 0, -1):
                         if self.tags[stack[depth]] == name:
                             close(depth)
@@ -148,36 +150,38 @@ class Page:
                 continue
             if name in BLOCK:
                 block += 1
-                for depth in range(len(stack) - 1, 0, -1) if opened.get("p") else ():
+                for depth in reversed(stops):
                     if self.tags[stack[depth]] == "p":
                         close(depth)
                         break
                     if self.tags[stack[depth]] in LIMITS:
                         break
-            for depth in range(len(stack) - 1, 0, -1) if name in CLOSES else ():
+            i = len(stops) - 1 if name in CLOSES else -1
+            while i >= 0:
+                depth = stops[i]
                 if self.tags[stack[depth]] in CLOSES[name]:
                     close(depth)
                     if name != "tr":
                         break
                 elif self.tags[stack[depth]] in LIMITS:
                     break
+                i -= 1
             if name in VOID:
                 if name in ("br", "hr"):
                     self.pieces.append((block, stack[-1], " "))
                 inside[-1].append(name)
                 continue
-            deep = len(stack) > DEPTH
-            if deep and name not in RAW:
-                skipped[name] = skipped.get(name, 0) + 1
-                continue
             node = len(self.tags)
             self.tags.append(name)
             self.parents.append(stack[-1])
-            whole = any(not MARKS.isdisjoint(v.lower().split()) for v in values)
-            self.marked.append(2 if whole else 1 if any(not MARKS.isdisjoint(WORD.split(re.sub(r"([a-z])([A-Z])", r"\1-\2", v).lower())) for v in values) else 0)
+            named = [n for v in values for n in v.split()]
+            split = [set(WORD.split(re.sub(r"([a-z])([A-Z])", r"\1-\2", n).lower())) - {""} for n in named]
+            self.marked.append(2 if any(n.lower() in MARKS for n in named) else int(any(w <= MARKS | PLACES and w & MARKS for w in split)))
             self.hashes.append(0)
             self.has_text.append(False)
             self.spans.append((len(self.pieces), 0))
+            if name in STOPS:
+                stops.append(len(stack))
             stack.append(node)
             opened[name] = opened.get(name, 0) + 1
             inside.append([name, " ".join(values)])
@@ -190,7 +194,27 @@ class Page:
                 close(len(stack) - 1)
         close(0)
 
-    def scope(self) -> list[bool]:
+    def cut(self) -> list[bool]:
+        """Which elements are of a kind that is no text of a page, or lie in one; a form that holds most of the text stays."""
+        own = [0] * len(self.tags)
+        for _, node, piece in self.pieces:
+            own[node] += len(piece.strip())
+        other, size, framed = [False] * len(self.tags), [0] * len(self.tags), [False] * len(self.tags)
+        for k in range(1, len(self.tags)):
+            other[k] = other[self.parents[k]] or (self.tags[k] in DROPPED and self.tags[k] != "form")
+        for k in range(len(self.tags) - 1, 0, -1):
+            size[k] += 0 if other[k] else own[k]
+            framed[k] = framed[k] or self.tags[k] in FRAMED
+            size[self.parents[k]] += size[k]
+            framed[self.parents[k]] = framed[self.parents[k]] or framed[k]
+        total = size[0] + own[0]
+        out = [False] * len(self.tags)
+        for k in range(1, len(self.tags)):
+            form = self.tags[k] == "form" and not (framed[k] and 2 * size[k] > total)
+            out[k] = out[self.parents[k]] or other[k] or form
+        return out
+
+    def scope(self, cut: list[bool]) -> list[bool]:
         """Which elements lie in the article: article elements or a main element, whichever holds most text; else all.
 
         Article elements are preferred where they hold half of the main element's text at
@@ -205,7 +229,7 @@ class Page:
             for k in range(1, len(self.tags)):
                 tag, parent = self.tags[k], self.parents[k]
                 inside[k] = inside[parent] or tag == wanted
-                dropped[k] = dropped[parent] or tag in DROPPED or (self.marked[k] == 2 and tag in BOXES)
+                dropped[k] = dropped[parent] or cut[k] or (self.marked[k] == 2 and tag in BOXES)
                 size += own[k] if inside[k] and not dropped[k] else 0
             if any(inside):
                 found[wanted] = (size, inside)
@@ -234,7 +258,8 @@ class Page:
         return list({self.hashes[k] for k, yes in enumerate(self.countable()) if yes})
 
     def text(self, templates: frozenset[int] | set[int] = frozenset()) -> str:
-        article = self.scope()
+        cut = self.cut()
+        article = self.scope(cut)
         whole = all(article)
         gone = [False] * len(self.tags)
         countable = self.countable() if templates else gone
@@ -243,9 +268,9 @@ class Page:
             root = tag in ("html", "body", "article", "main")
             gone[k] = (
                 gone[self.parents[k]]
-                or tag in DROPPED
+                or cut[k]
                 or (tag == "header" and not inside)
-                or (not root and self.marked[k] >= (2 if inside else 1) and (not inside or tag in BOXES))
+                or (not root and self.marked[k] >= (2 if inside else 1) and tag in (BOXES if inside else BLOCK))
                 or (countable[k] and self.hashes[k] in templates)
             )
         blocks: dict[int, list[str]] = {}

@@ -217,5 +217,5 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dist
     chosen = grouped.groupBy("component", each.alias("who")).agg(F.count("*").alias("n")).groupBy("component").agg(F.min(F.struct("who", "n")).alias("best"))
     chosen = written(chosen.select(F.col("best.who.doc_id").alias("id"), F.col("best.who.text_hash").alias("hash"), F.col("best.who.row_hash").alias("row_id"), "best.n"), "simhash-chosen")
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")) & (F.col("row_hash") == F.col("row_id"))
-    joined = lambda some: rows.drop("text").join(chosen.where(some).hint("shuffle_hash"), same)
+    joined = lambda some: rows.drop("text").join(chosen.where(some).hint("merge"), same)
     return joined("n = 1").select("row.*").unionByName(joined("n > 1").dropDuplicates(list(keys)).select("row.*"))

@@ -219,7 +219,7 @@ def _pairs(sample: DataFrame) -> DataFrame:
                 docs += [doc] * len(pairs)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(lefts, pa.string()), pa.array(labels, pa.int32()), pa.array(docs, pa.int64())], ["word", "before", "toxic", "doc"])
 
-    return sample.select("text", F.col("label").cast("int").alias("label"), F.col("__id").cast("long").alias("doc")).mapInArrow(run, "word string, before string, toxic int, doc long")
+    return sample.select("text", F.col("label").cast("int").alias("label"), F.xxhash64("__id").alias("doc")).mapInArrow(run, "word string, before string, toxic int, doc long")
 
 
 class Landmarks:
@@ -304,13 +304,13 @@ def _loudest(sample: DataFrame, machine: Machine) -> dict[int, dict[str, float]]
 def fit_toxicity(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", rows: tuple[int, int] = (TRAIN_TOXIC, TRAIN_CLEAN)) -> Machine:
     """A machine fitted to the bounded sample of rows where ``train`` holds. Only the text is an input.
 
-    Several labels of an id count as the largest; repeated documents count as often as they
-    come, copies of a toxic text in the same surroundings once. Null texts are empty. Without a
+    Several labels of an id count as the largest, rows of one id as one with the smallest text, so that the sample is
+    bounded by ``rows``; copies of a toxic text in the same surroundings count once. Ids may be of any type. Null texts are empty. Without a
     toxic document every text scores low, with nothing but toxic ones high.
     """
     labels = labels.where(F.col(label).isNotNull()).groupBy(doc_id).agg(F.max(label).alias(label))
     sample = labelled_sample(docs, labels.where(F.col(label) > 0), label, train, rows[0], doc_id, text).unionByName(labelled_sample(docs, labels.where(F.col(label) == 0), label, train, rows[1], doc_id, text))
-    sample = written(sample, "toxicity-sample")
+    sample = written(sample.groupBy("__id", "label").agg(F.min("text").alias("text")), "toxicity-sample")
     pairs = written(_pairs(sample), "toxicity-pairs")
     # places: neither one long text nor copies of one text count more than once
     toxic = F.least(F.count_distinct(F.when(F.col("toxic") == 1, F.col("doc"))), F.count_distinct(F.when(F.col("toxic") == 1, F.col("before"))))
@@ -379,7 +379,7 @@ def score_toxicity(docs: DataFrame, machine: Machine, doc_id: str = "doc_id", te
 
 
 def keep_clean(docs: DataFrame, machine: Machine, text: str = "text", limit: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, that score below ``limit``."""
+    """The rows of ``docs``, all columns, that score below ``limit``: repeated rows each, null and empty texts by their (low) score; empty tables give empty results."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def make():

@@ -420,13 +420,18 @@ def test_html_main_text(spark):
         ("<main><div>Home</div><article>The long text of this page</article></main>", "The long text of this page"),
         ("<article><p class='notice'>a</p><div class='comment-intro'>b</div><a class='menu-item'>c</a><div class='x comments'>d</div></article><div class='comment-intro'>e</div>", "a\n\nb\n\nc"),
         ("<div>" * 600 + "deep" + "</div>" * 600 + "<p>after", "deep\n\nafter"),
+        ("<div>" * 300 + "<nav>Menu</nav><p>Text</p>", "Text"),
+        ("<div class='content no-sidebar'><p>Real text</p></div><div class='with-banner'><p>more</p></div><div class='has-sidebar'>a</div><div class='widget-content'>b</div>", "Real text\n\nmore\n\na\n\nb"),
+        ("<p>One <span class='ad-hoc'>word</span> and <a class='share'>y</a> z</p><div class='site-footer'>f</div><div class='cookie-banner'>c</div><div class='navBar'>s</div>", "One word and y z"),
+        ("<form><div><h1>Title</h1><p>The text of a page that is one form</p><select><option>x</select><button>Go</button></div></form><form>Name <input></form>", "Title\n\nThe text of a page that is one form"),
+        ("<table><tr><td>a<td>b<tr><td><table><tr><td>c</table>d</table><ul><li>e<li>f<ul><li>g</ul><li>h</ul><dl><dt>i<dd>j<dt>k</dl>", "a\n\nb\n\nc\n\nd\n\ne\n\nf\n\ng\n\nh\n\ni\n\nj\n\nk"),
     ],
 )
 def test_html_odd_markup(source, text):
     assert html.Page(source).text() == text
 
 
-@pytest.mark.parametrize("piece", ['<a title="', "<a x='", "<b><div>", "<!--", "</x>", "<li><b>", "<a =", "<p><table><b><hr>", "&lt;<"])
+@pytest.mark.parametrize("piece", ['<a title="', "<a x='", "<b><div>", "<!--", "</x>", "<li><b>", "<a =", "<p><table><b><hr>", "&lt;<", "<div><li>", "<div><p><b>"])
 def test_html_time_grows_with_length(piece):
     began = time.process_time()
     html.Page(piece * (1_000_000 // len(piece))).text()
@@ -499,3 +504,14 @@ def test_pieces_query(docs, vocabulary):
     rows = pieces.encode_texts(docs, vocabulary).collect()
     assert len(rows) == len(TEXTS) and all(r.round_trip for r in rows)
     assert pieces.encode_texts(docs.limit(0), vocabulary).count() == 0
+
+
+def test_toxicity_of_text_ids_and_repeated_ids(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    labels = spark.read.parquet(f"{sf}/labels.parquet").withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    one = docs.limit(1)
+    machine = toxicity.fit_toxicity(docs.unionByName(one).unionByName(one), labels, F.lit(True))
+    scores = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, machine).collect()}
+    assert len(scores) == docs.count() and set(scores) >= {"d1"} and all(0 <= s <= 1 for s in scores.values())
+    again = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels, F.lit(True))).collect()}
+    assert again == scores  # a row that is repeated counts once
