@@ -163,11 +163,14 @@ def judge_candidates(scored: DataFrame, left: str, right: str, score: str = "sco
     large as the set of tracklets that compete for each other, not as the session.
     """
     edges = written(scored.where(F.col(score) >= least).groupBy(F.col(left).alias("l"), F.col(right).alias("r")).agg(F.max(score).alias("s")), "assign-edges")
-    parts = connected_components(edges.select(F.concat(F.lit("l:"), "l").alias("a"), F.concat(F.lit("r:"), "r").alias("b")), "a", "b")
-    grouped = written(edges.withColumn("id", F.concat(F.lit("l:"), "l")).join(parts.hint("merge"), "id").drop("id"), "assign-groups")
-    sizes = grouped.groupBy("component").agg(F.count("*").alias("n"))
-    sized = grouped.join(sizes.hint("merge"), "component")
-    alone = sized.where("n = 1").select("l", "r", "s", F.lit(True).alias("chosen"), F.lit(False).alias("ambiguous"))
+    degree = lambda c: edges.groupBy(c).agg(F.count("*").alias(f"n{c}")).hint("merge")
+    counted = written(edges.join(degree("l"), "l").join(degree("r"), "r"), "assign-degrees")
+    alone = counted.where("nl = 1 AND nr = 1").select("l", "r", "s", F.lit(True).alias("chosen"), F.lit(False).alias("ambiguous"))
+    contested = counted.where("nl > 1 OR nr > 1").select("l", "r", "s")
+    if contested.isEmpty():
+        return alone.toDF(left, right, score, "chosen", "ambiguous")
+    parts = connected_components(contested.select(F.concat(F.lit("l:"), "l").alias("a"), F.concat(F.lit("r:"), "r").alias("b")), "a", "b")
+    grouped = contested.withColumn("id", F.concat(F.lit("l:"), "l")).join(parts.hint("merge"), "id").drop("id")
     kinds = {c: edges.schema[c].dataType.simpleString() for c in ("l", "r")}
 
     def solve(table: pa.Table) -> pa.Table:
@@ -176,7 +179,7 @@ def judge_candidates(scored: DataFrame, left: str, right: str, score: str = "sco
         types = [table.schema.field("l").type, table.schema.field("r").type, pa.float64(), pa.bool_(), pa.bool_()]
         return pa.table([pa.array(c, t) for c, t in zip(columns, types)], ["l", "r", "s", "chosen", "ambiguous"])
 
-    several = sized.where("n > 1").select("component", "l", "r", "s").groupBy("component").applyInArrow(solve, f"l {kinds['l']}, r {kinds['r']}, s double, chosen boolean, ambiguous boolean")
+    several = grouped.select("component", "l", "r", "s").groupBy("component").applyInArrow(solve, f"l {kinds['l']}, r {kinds['r']}, s double, chosen boolean, ambiguous boolean")
     return alone.unionByName(several).toDF(left, right, score, "chosen", "ambiguous")
 
 
@@ -223,27 +226,35 @@ def resolve_batch(tracklets: DataFrame, new_tracklets: DataFrame, current: DataF
     """
     ranks = {r["role"]: r["rank"] for r in topology_rank(edges).collect()}  # the site's roles
     at = lambda rank: new_tracklets.where(F.col("camera_role").isin([r for r, k in ranks.items() if k == rank]))
-    listed = "array<struct<from_id:string,score:double>>"
-    new = at(0).select("session_id", "tracklet_id", F.concat(F.lit("g:"), "tracklet_id").alias("parcel_id"), F.lit("NEW_AT_INGRESS").alias("status"), F.lit(None).cast("string").alias("from_tracklet_id"), F.lit(None).cast("double").alias("score"), F.lit(None).cast(listed).alias("candidates"))
+    new = at(0).select("session_id", "tracklet_id", F.concat(F.lit("g:"), "tracklet_id").alias("parcel_id"), F.lit("NEW_AT_INGRESS").alias("status"), F.lit(None).cast("string").alias("from_tracklet_id"), F.lit(None).cast("double").alias("score"), F.lit(None).cast(CANDIDATES).alias("candidates"))
     decided = written(new, "handoffs-0")
     started = decided.select("tracklet_id", "parcel_id")
     current = started if current is None else current.unionByName(started)
     for rank in range(1, max(ranks.values(), default=0) + 1):
-        holders = tracklets.join(current.hint("merge"), "tracklet_id").drop("parcel_id")
-        gated = handoff_gates(holders, at(rank), edges, zones).where("accepted")
-        scored = written(handoff_score(with_reid(gated, vectors) if vectors is not None else gated).select("out_tracklet_id", "in_tracklet_id", "score"), "handoffs-scored")
-        judged = written(judge_candidates(scored, "out_tracklet_id", "in_tracklet_id", "score", least, margin), "handoffs-judged")
-        status = F.when(F.col("ambiguous"), "AMBIGUOUS").otherwise("MATCHED")
-        found = judged.join(current.withColumnRenamed("tracklet_id", "out_tracklet_id").hint("merge"), "out_tracklet_id").select(F.col("in_tracklet_id").alias("tracklet_id"), F.when(~F.col("ambiguous"), F.col("parcel_id")).alias("parcel_id"), status.alias("status"), F.col("out_tracklet_id").alias("from_tracklet_id"), "score")
-        seen = scored.groupBy(F.col("in_tracklet_id").alias("tracklet_id")).agg(F.sort_array(F.collect_list(F.struct(F.col("out_tracklet_id").alias("from_id"), "score"))).alias("seen"))  # those in one transit window
-        step = at(rank).select("session_id", "tracklet_id").join(found.hint("merge"), "tracklet_id", "left").join(seen.hint("merge"), "tracklet_id", "left").withColumn("status", F.coalesce("status", F.lit("UNRESOLVED")))
-        step = written(step.withColumn("candidates", F.when(F.col("status") != "MATCHED", F.coalesce("seen", F.array().cast(listed)))).drop("seen"), f"handoffs-{rank}")
+        step = decide_wave(at(rank), tracklets, current, edges, zones, vectors, least, margin)
         decided = decided.unionByName(step)
         moved = step.where("status = 'MATCHED'")
         current = written(current.join(moved.select(F.col("from_tracklet_id").alias("tracklet_id")).hint("merge"), "tracklet_id", "left_anti").unionByName(moved.select("tracklet_id", "parcel_id")), "handoffs-current")
     return decided
 
 
+#: The candidates of a tracklet without a clear match.
+CANDIDATES = "array<struct<from_id:string,score:double>>"
+
+
+def decide_wave(wave: DataFrame, tracklets: DataFrame, current: DataFrame, edges: DataFrame, zones: DataFrame, vectors: DataFrame | None, least: float, margin: float) -> DataFrame:
+    """The decisions on the tracklets ``wave``, none of which leads to another, where ``current`` (tracklet_id, parcel_id) says who holds which parcel; written."""
+    holders = tracklets.join(current.select("tracklet_id").hint("merge"), "tracklet_id")
+    gated = handoff_gates(holders, wave, edges, zones).where("accepted")
+    scored = written(handoff_score(with_reid(gated, vectors) if vectors is not None else gated).select("out_tracklet_id", "in_tracklet_id", "score"), "handoffs-scored")
+    judged = written(judge_candidates(scored, "out_tracklet_id", "in_tracklet_id", "score", least, margin), "handoffs-judged")
+    status = F.when(F.col("ambiguous"), "AMBIGUOUS").otherwise("MATCHED")
+    found = judged.join(current.select(F.col("tracklet_id").alias("out_tracklet_id"), "parcel_id").hint("merge"), "out_tracklet_id").select(F.col("in_tracklet_id").alias("tracklet_id"), F.when(~F.col("ambiguous"), F.col("parcel_id")).alias("parcel_id"), status.alias("status"), F.col("out_tracklet_id").alias("from_tracklet_id"), "score")
+    seen = scored.groupBy(F.col("in_tracklet_id").alias("tracklet_id")).agg(F.sort_array(F.collect_list(F.struct(F.col("out_tracklet_id").alias("from_id"), "score"))).alias("seen"))  # those in one transit window
+    step = wave.select("session_id", "tracklet_id").join(found.hint("merge"), "tracklet_id", "left").join(seen.hint("merge"), "tracklet_id", "left").withColumn("status", F.coalesce("status", F.lit("UNRESOLVED")))
+    return written(step.withColumn("candidates", F.when(F.col("status") != "MATCHED", F.coalesce("seen", F.array().cast(CANDIDATES)))).drop("seen"), "handoffs-wave")
+
+
 def parcel_chains(decided: DataFrame, tracklets: DataFrame) -> DataFrame:
     """(parcel_id, n, chain, ordered, one_per_camera): GR7."""
     w = Window.partitionBy("parcel_id").orderBy("started_at_global", "tracklet_id")

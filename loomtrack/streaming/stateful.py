@@ -13,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomtrack.functions.shared import written
 from loomtrack.operators import handoffs
+from loomtrack.operators.association import HYPOTHESES, Site, associate, forget
 from loomtrack.operators.graph import connected_components
 from loomtrack.operators.identities import INPUT, OUTPUT, Epoch, Limits
 from loomtrack.operators.parcels import EVENTS, LIFE_INPUT, LIFE_STATE, MATCH_INPUT, MATCHES, Life, Matching, life_flags
@@ -248,22 +249,30 @@ def pending_handoffs(tracklets: DataFrame, window: float = 0.75, expiry: float =
     return tracklets.groupBy("session_id").applyInPandasWithState(update, schema, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def write_handoffs(ready: DataFrame, tracklets: DataFrame, edges: DataFrame, zones: DataFrame, path: str, checkpoint: str):
-    """Starts SS8: each micro-batch of ready tracklets is decided (GR6) with the tracklets that hold a parcel so far.
+def write_handoffs(ready: DataFrame, tracklets: DataFrame, edges: DataFrame, zones: DataFrame, path: str, checkpoint: str, vectors: DataFrame | None = None, remember: float = 600.0, least: float = handoffs.MIN_SCORE, margin: float = handoffs.MARGIN):
+    """Starts SS8: each micro-batch of ready tracklets is decided (GR6), and settles open hypotheses as later evidence (ST8).
 
-    Decisions go to ``path``, one folder per batch id, so a repeated batch overwrites itself and reads
-    only the folders before it. ``tracklets`` is the table of all finished tracklets. A parcel's
-    current tracklet is the last matched one; in-doubt and unresolved tracklets carry nothing on.
+    ``tracklets`` is the table of all finished tracklets, read by session and id. Of the past a batch reads one snapshot, that of the batch before
+    it: recent tracklets with their parcels, and open hypotheses (``association.forget`` keeps it small), so its time does not grow with the number of batches. Under ``path``
+    every batch writes ``decisions``, ``evidence``, ``known`` and ``hypotheses`` in a folder of its number; a repeated batch finds the
+    same snapshot and overwrites what it wrote.
     """
     spark = tracklets.sparkSession
+    columns = [*tracklets.columns, *(["camera_id"] if "camera_id" not in tracklets.columns else []), "parcel_id"]
 
     def decide(batch: DataFrame, batch_id: int) -> None:
-        new = written(tracklets.join(batch.select("tracklet_id").distinct().hint("merge"), "tracklet_id"), "handoff-batch")
-        before = [f"{path}/batch={k}" for k in range(batch_id)]
-        schema = "session_id string, tracklet_id string, parcel_id string, status string, from_tracklet_id string, score double"
-        decided = spark.read.schema(schema).parquet(*before) if before else spark.createDataFrame([], schema)
-        held = decided.where("parcel_id IS NOT NULL")
-        current = held.select("tracklet_id", "parcel_id").join(held.select(F.col("from_tracklet_id").alias("tracklet_id")).where("tracklet_id IS NOT NULL").hint("merge"), "tracklet_id", "left_anti")
-        handoffs.resolve_batch(tracklets, new, written(current, "handoff-current"), edges, zones).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        wanted = written(batch.select("session_id", "tracklet_id").distinct(), "handoff-wanted")
+        new = tracklets.join(wanted.hint("merge"), ["session_id", "tracklet_id"])
+        new = new if "camera_id" in tracklets.columns else new.withColumn("camera_id", F.col("camera_role"))
+        new = written(new.withColumn("parcel_id", F.lit(None).cast("string")).select(*columns), "handoff-batch")
+        if batch_id:
+            before = Site(*(spark.read.parquet(f"{path}/{name}/batch={batch_id - 1}") for name in ("known", "hypotheses")))
+        else:
+            before = Site(new.limit(0), spark.createDataFrame([], HYPOTHESES))
+        decided, said, after = associate(new, before, edges, zones, vectors, least, margin)
+        kept = forget(after, remember)
+        parts = {"decisions": decided, "known": kept.tracklets, "hypotheses": kept.hypotheses} | ({"evidence": said} if said is not None else {})
+        for name, table in parts.items():
+            table.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch_id}")
 
     return ready.writeStream.foreachBatch(decide).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
