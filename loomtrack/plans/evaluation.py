@@ -47,6 +47,6 @@ ORACLES = {
     "ml5_retrieval": f"""{_MINED}, pair AS (SELECT s.session_id, s.from_role || '>' || s.to_role AS edge, m.out_tracklet_id AS o, m.in_tracklet_id AS i, m.label FROM mined m JOIN s6 s ON s.out_tracklet_id = m.out_tracklet_id AND s.in_tracklet_id = m.in_tracklet_id),
       each AS (SELECT h.head, p.session_id, p.edge, p.i, p.label, (list_cosine_similarity((a.embedding::DOUBLE[])[:h.n], (b.embedding::DOUBLE[])[:h.n]) + 1) / 2 AS reid FROM pair p JOIN tracklets ot ON ot.tracklet_id = p.o JOIN tracklets it ON it.tracklet_id = p.i
         JOIN embeddings a ON a.vec_id = ot.vec_id JOIN embeddings b ON b.vec_id = it.vec_id, (VALUES ('plain', 64), ('half', {HALF})) h(head, n) WHERE p.i IN (SELECT i FROM pair WHERE label = 'POSITIVE')),
-      best AS (SELECT head, session_id, edge, i, max(reid) FILTER (label = 'POSITIVE') AS p, max(reid) FILTER (label = 'HARD_NEGATIVE') AS n FROM each GROUP BY ALL)
-      SELECT head, count(*) AS n_ranked, round(avg(CASE WHEN p > coalesce(n, 0) THEN 1.0e0 ELSE 0 END), 6) AS accuracy, round(coalesce(avg(p - n), 0), 6) AS separation FROM best WHERE p IS NOT NULL GROUP BY head""",
+      top AS (SELECT head, session_id, edge, i, max(reid) FILTER (label = 'POSITIVE') AS p, max(reid) FILTER (label = 'HARD_NEGATIVE') AS n FROM each GROUP BY ALL)
+      SELECT head, count(*) AS n_ranked, round(avg(CASE WHEN p > coalesce(n, 0) THEN 1.0e0 ELSE 0 END), 6) AS accuracy, round(coalesce(avg(p - n), 0), 6) AS separation FROM top WHERE p IS NOT NULL GROUP BY head""",
 }
