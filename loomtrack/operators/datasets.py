@@ -33,18 +33,25 @@ def stable_split(session: str = "session_id") -> Column:
     return F.when(k < 7, "train").when(k < 9, "val").otherwise("test")
 
 
-def near_duplicates(items: DataFrame, across: str | None = "split", most: int = 3) -> DataFrame:
-    """(left_id, right_id, distance): items whose hashes differ in at most 3 bits, of different ``across`` values (JN10).
+def near_classes(items: DataFrame, most: int = 3) -> DataFrame:
+    """(hash, hash2), hash < hash2: different hashes of ``items`` that differ in at most ``most`` (up to 3) bits.
 
-    Four 16-bit bands: hashes at distance 3 or less agree in one. Equal hashes are compared as
-    one; the pairs themselves are the result that is asked for.
+    Four 16-bit bands: hashes at distance 3 or less agree in one. However many items share a hash, it is compared once.
     """
-    keep = [c for c in (across,) if c]
     classes = items.select("hash").where("hash IS NOT NULL").distinct()
     bands = F.array(*(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("hash", 16 * k).bitwiseAND(F.lit(0xFFFF)).alias("part")) for k in range(4)))
     cut = classes.select("hash", F.explode(bands).alias("b")).select("hash", "b.band", "b.part")
     other = cut.withColumnRenamed("hash", "hash2")
-    near = cut.join(other.hint("merge"), ["band", "part"]).where((F.col("hash") <= F.col("hash2")) & (F.bit_count(F.col("hash").bitwiseXOR(F.col("hash2"))) <= most)).select("hash", "hash2").distinct()
+    return cut.join(other.hint("merge"), ["band", "part"]).where((F.col("hash") < F.col("hash2")) & (F.bit_count(F.col("hash").bitwiseXOR(F.col("hash2"))) <= most)).select("hash", "hash2").distinct()
+
+
+def near_duplicates(items: DataFrame, across: str | None = "split", most: int = 3) -> DataFrame:
+    """(left_id, right_id, distance): items whose hashes differ in at most 3 bits, of different ``across`` values (JN10).
+
+    The pairs themselves are the result that is asked for; ``near_classes`` and ``split_leak_classes`` do without listing copies.
+    """
+    keep = [c for c in (across,) if c]
+    near = near_classes(items, most).unionByName(items.select("hash", F.col("hash").alias("hash2")).where("hash IS NOT NULL").distinct())
     a = items.select(F.col("item_id").alias("a"), "hash", *(F.col(c).alias("sa") for c in keep))
     b = items.select(F.col("item_id").alias("b"), F.col("hash").alias("hash2"), *(F.col(c).alias("sb") for c in keep))
     pairs = near.join(a.hint("merge"), "hash").join(b.hint("merge"), "hash2").where("hash <> hash2 OR a < b")
@@ -52,6 +59,18 @@ def near_duplicates(items: DataFrame, across: str | None = "split", most: int =
     return pairs.select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"), F.bit_count(F.col("hash").bitwiseXOR(F.col("hash2"))).cast("int").alias("distance"))
 
 
+def split_leak_classes(items: DataFrame, most: int = 3) -> DataFrame:
+    """(hash, hash2, splits, n): near or equal hashes whose items stand in several splits, with these splits and the number of items of both.
+
+    One row per pair of classes, so a million copies of one image in two splits are one row.
+    """
+    held = items.where("hash IS NOT NULL").groupBy("hash").agg(F.collect_set("split").alias("s"), F.count("*").alias("n"))  # three splits at most
+    other = held.select(F.col("hash").alias("hash2"), F.col("s").alias("s2"), F.col("n").alias("n2"))
+    near = near_classes(items, most).join(held.hint("merge"), "hash").join(other.hint("merge"), "hash2").select("hash", "hash2", F.array_sort(F.array_union("s", "s2")).alias("splits"), (F.col("n") + F.col("n2")).alias("n"))
+    same = held.select("hash", F.col("hash").alias("hash2"), F.array_sort("s").alias("splits"), "n")
+    return near.unionByName(same).where(F.size("splits") > 1)
+
+
 def split_at(place: np.ndarray, counts: list[int], weights: tuple[int, ...]) -> np.ndarray:
     """Split of the session at each place (from 0) of the order: empty splits first, then always the least full, ties by name.
 
@@ -231,32 +250,46 @@ def required_splits(sessions: DataFrame, items: DataFrame) -> DataFrame:
     return all_three.unionByName(items.select("split").distinct()).distinct()
 
 
+class _Kept(Fold):
+    """Which splits the kept frames of each hash have."""
+
+    def __init__(self) -> None:
+        self.splits: dict[int, set[str]] = {}
+
+    def frame(self, rows: list[tuple]) -> list[tuple]:
+        near, crosses = 0, False
+        for frames, split, own, n, others in rows:
+            seen = set().union(*(self.splits.get(h, ()) for h in (own, *(others or ()))))
+            near += n if seen else 0
+            crosses |= bool(seen - {split})
+        kept = not crosses and near < rows[0][0]
+        for _, split, own, _, _ in rows if kept else ():
+            self.splits.setdefault(own, set()).add(split)
+        return [(kept,)]
+
+
 def greedy_dedup(items: DataFrame) -> DataFrame:
-    """(sample_group_id, kept): ST9. ``items`` has ``group_order``, ``session_order`` and ``hash``.
+    """(sample_group_id, kept): ST9. ``items`` has ``group_order``, ``session_order``, ``split`` and ``hash``.
 
     A group goes if a frame is near a kept frame of another split, or if all its frames are
-    near frames kept before it. Groups without any near pair stay without further work; the
-    others are folded in order within each connected set of groups.
+    near frames kept before it. All is done on classes of equal hashes, so copies are never paired: a group whose
+    hashes are its own and near to no other stays without further work; the others are folded in order within
+    each connected set of groups and hashes, whose state is the splits of each hash.
     """
-    near = near_duplicates(items, across=None).select("left_id", "right_id")
-    of = items.select("item_id", "sample_group_id", "split")
-    linked = near.join(of.toDF("left_id", "lg", "ls").hint("merge"), "left_id").join(of.toDF("right_id", "rg", "rs").hint("merge"), "right_id").where("lg <> rg")
-    linked = written(linked, "dedup-links")
-    parts = connected_components(linked.select("lg", "rg"), "lg", "rg").toDF("sample_group_id", "component")
+    order = ["session_order", "group_order", "sample_group_id"]
     groups = items.groupBy("sample_group_id").agg(F.min(F.struct("session_order", "group_order")).alias("place"), F.count("*").alias("frames"))
-    both = linked.unionByName(linked.select(F.col("right_id").alias("left_id"), F.col("left_id").alias("right_id"), F.col("rg").alias("lg"), F.col("rs").alias("ls"), F.col("lg").alias("rg"), F.col("ls").alias("rs")).select(linked.columns))
-    rows = groups.join(parts.hint("merge"), "sample_group_id").join(both.select(F.col("lg").alias("sample_group_id"), "left_id", "rg", (F.col("ls") != F.col("rs")).alias("crosses")).hint("merge"), "sample_group_id")
-    rows = rows.select("component", "sample_group_id", "place.session_order", "place.group_order", "frames", "left_id", "rg", "crosses")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: dict[str, bool] = {}
-        for _, name in sorted({(a, b, g): g for a, b, g in zip(pdf["session_order"], pdf["group_order"], pdf["sample_group_id"])}.items()):
-            own = pdf[pdf["sample_group_id"] == name]
-            hit = own[own["rg"].map(lambda g: kept.get(g, False))]
-            kept[name] = not (hit["crosses"].any() or hit["left_id"].nunique() >= own["frames"].iloc[0])
-        return pd.DataFrame({"sample_group_id": list(kept), "kept": list(kept.values())})
-
-    judged = rows.groupBy("component").applyInPandas(fold, "sample_group_id string, kept boolean")
+    held = written(items.where("hash IS NOT NULL").groupBy("sample_group_id", "split", "hash").agg(F.count("*").alias("n")), "dedup-classes")
+    near = written(near_classes(held), "dedup-near")
+    both = near.unionByName(near.select(F.col("hash2").alias("hash"), F.col("hash").alias("hash2")))
+    neighbours = both.groupBy("hash").agg(F.collect_list("hash2").alias("near"))  # hashes within three bits of one
+    shared = held.groupBy("hash").agg(F.countDistinct("sample_group_id").alias("k")).where("k > 1").select("hash").unionByName(neighbours.select("hash")).distinct()
+    contested = written(held.join(shared.hint("merge"), "hash"), "dedup-contested")
+    name = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
+    links = contested.select(name("g", "sample_group_id").alias("a"), name("h", "hash").alias("b")).unionByName(near.select(name("h", "hash").alias("a"), name("h", "hash2").alias("b")))
+    parts = connected_components(links, "a", "b")
+    rows = contested.withColumn("id", name("g", "sample_group_id")).join(parts.hint("merge"), "id").join(neighbours.hint("merge"), "hash", "left").join(groups.hint("merge"), "sample_group_id")
+    rows = rows.select("component", "place.session_order", "place.group_order", "sample_group_id", "frames", "split", "hash", "n", "near")
+    judged = fold_frames(rows, ["component"], order, ["frames", "split", "hash", "n", "near"], _Kept, "kept boolean").select("sample_group_id", "kept")
     return groups.select("sample_group_id").join(judged.hint("merge"), "sample_group_id", "left").select("sample_group_id", F.coalesce("kept", F.lit(True)).alias("kept"))
 
 
