@@ -139,43 +139,57 @@ class SumIndex:
     def single(self, gap: int) -> tuple[int, ...] | None:
         return (gap,) if 0 < gap <= self.top and self.counts[gap] > 0 else None
 
-    def pair(self, gap: int) -> tuple[int, ...] | None:
-        counts, small = self.counts, self.pair_at[gap]
+    def pair(self, gap: int, taken: int = 0) -> tuple[int, ...] | None:
+        """Two available lengths with sum ``gap``, where one piece of length ``taken`` is spoken for.
+
+        The entry moves past pairs that are used up, not past those that only lack the piece spoken for.
+        """
+        counts, small, gone = self.counts, self.pair_at[gap], True
         while small > 0 and gap - small <= self.top:
-            if counts[small] > (2 * small == gap) and counts[gap - small] > 0:
-                self.pair_at[gap] = small
-                return gap - small, small
+            large, twice = gap - small, 2 * small == gap
+            if counts[small] > twice and counts[large] > 0:
+                if counts[small] - (small == taken) > twice and counts[large] - (large == taken) > 0:
+                    if gone:
+                        self.pair_at[gap] = small
+                    return large, small
+                if gone:
+                    self.pair_at[gap], gone = small, False
             small -= 1
-        self.pair_at[gap] = 0
+        if gone:
+            self.pair_at[gap] = 0
         return None
 
     def triple(self, gap: int) -> tuple[int, ...] | None:
         large = min(self.triple_at[gap], self.top)
         while large * 3 >= gap:
-            if self.counts[large] > 0:
-                two = self.pair(gap - large)
-                if two and self.counts[large] > two.count(large):
-                    self.triple_at[gap] = large
-                    return large, *two
+            two = self.pair(gap - large, large) if self.counts[large] > 0 else None
+            if two:
+                self.triple_at[gap] = large
+                return large, *two
             large -= 1
         self.triple_at[gap] = large
         return None
 
 
 def plan_patterns(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths in one sequence) with how many sequences follow each.
+    """Patterns (lengths in one sequence) with how many sequences follow each: the plan by exact complements, or best fit alone where that needs fewer.
 
     Lengths go from the longest down. For each, the gap it leaves is looked up in the index
     of single lengths, pair sums and triple sums; a combination found is consumed as often as
     the counts of its lengths allow. What no combination fills exactly is packed best-fit:
     every piece into the fullest open sequence it fits.
     """
+    plans = [_plan(histogram, capacity, exact) for exact in (True, False)]
+    return min(plans, key=lambda patterns: sum(n for _, n in patterns))
+
+
+def _plan(histogram: dict[int, int], capacity: int, exact: bool) -> list[tuple[tuple[int, ...], int]]:
     left = [0] * (capacity + 1)
     for length, n in histogram.items():
         left[length] = n
     patterns: list[tuple[tuple[int, ...], int]] = []
     index = SumIndex(left)
-    for large in range(capacity, 0, -1):
+    for large in range(capacity, 0, -1) if exact else ():
         index.top = large
         while left[large] > 0:
             gap = capacity - large

@@ -199,6 +199,13 @@ def embedding_duplicates(rows: DataFrame, vec_id: str = "vec_id", vector: str =
     return known.unionByName(alone).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _apart(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows of ``x`` from ``q``; each is taken to a power of two near its largest difference and back, so that squares neither overflow nor vanish."""
+    difference = x - q
+    power = np.frexp(np.abs(difference).max(axis=1, initial=0.0))[1]
+    return np.ldexp(np.sqrt((np.ldexp(difference, -power[:, None]) ** 2).sum(axis=1)), power)
+
+
 class Projections:
     """Sorted arrays of a block's vectors along single random directions (orthonormal ones, as far as the length allows)."""
 
@@ -206,12 +213,14 @@ class Projections:
         n, dim = x.shape
         rng = np.random.default_rng(SEED)
         bases = [np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(-(-PROJECTIONS // dim))]
+        self.power = int(np.frexp(np.abs(x).max(initial=0.0))[1])  # projections, windows and radii are in units of this power of two
         self.x, self.directions = x, np.hstack(bases)[:, :PROJECTIONS] * np.sqrt(dim)  # a difference of length d has projections of size d
+        x = np.ldexp(x, -self.power)
         values = (x @ self.directions).T
         self.order = np.argsort(values, axis=1)
         self.sorted = np.take_along_axis(values, self.order, axis=1)
         pairs = rng.integers(0, n, (2, 256))
-        apart = np.sqrt(((x[pairs[0]] - x[pairs[1]]) ** 2).sum(axis=1))
+        apart = _apart(x[pairs[0]], x[pairs[1]])
         step = float(np.median(apart[apart > 0])) / STEPS if (apart > 0).any() else 1.0
         widths = [step * 2.0**r for r in range(-6, 0)] + [step * r for r in range(1, int(1.25 * WIDTH * STEPS))]
         while widths[-1] < np.ptp(values):  # beyond the distances of the sample
@@ -221,7 +230,7 @@ class Projections:
 
     def windows(self, queries: np.ndarray) -> np.ndarray:
         """First place and place after the last of each query's window, by round and direction: (queries, 2, rounds, directions)."""
-        at, widths = queries @ self.directions, self.radii * WIDTH
+        at, widths = np.ldexp(queries, -self.power) @ self.directions, self.radii * WIDTH
         out = np.empty((len(queries), 2, len(widths), PROJECTIONS), np.int64)
         for j, line in enumerate(self.sorted):
             for side, sign in enumerate((-1, 1)):
@@ -254,13 +263,13 @@ class Projections:
                 verified[new] = True
                 new = new[ids[new] != own]
                 places = np.concatenate((places, new))
-                distances = np.concatenate((distances, np.sqrt(((self.x[new] - q) ** 2).sum(axis=1))))
+                distances = np.concatenate((distances, _apart(self.x[new], q)))
                 best = np.lexsort((distances, ids[places]))
                 named = ids[places[best]]
                 best = best[np.concatenate(([True], named[1:] != named[:-1]))[: len(best)]]  # of rows with one id the nearest
                 best = best[np.lexsort((ids[places[best]], distances[best]))[:k]]
                 places, distances = places[best], distances[best]
-            if len(places) == k and distances[-1] * SLACK <= radius:
+            if len(places) == k and np.ldexp(distances[-1], -self.power) * SLACK <= radius:
                 break
         return places, distances, int(verified.sum())
 

@@ -515,3 +515,124 @@ def test_toxicity_of_text_ids_and_repeated_ids(spark, sf):
     assert len(scores) == docs.count() and set(scores) >= {"d1"} and all(0 <= s <= 1 for s in scores.values())
     again = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels, F.lit(True))).collect()}
     assert again == scores  # a row that is repeated counts once
+
+
+def _fewest(pieces, capacity):
+    """The least number of sequences, by trying all."""
+    pieces, least = sorted(pieces, reverse=True), len(pieces)
+
+    def go(k, rooms):
+        nonlocal least
+        if len(rooms) >= least:
+            return
+        if k == len(pieces):
+            least = len(rooms)
+            return
+        for i in sorted({r: i for i, r in enumerate(rooms) if r >= pieces[k]}.values()):
+            rooms[i] -= pieces[k]
+            go(k + 1, rooms)
+            rooms[i] += pieces[k]
+        rooms.append(capacity - pieces[k])
+        go(k + 1, rooms)
+        rooms.pop()
+
+    go(0, [])
+    return least
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_plans_against_the_fewest_sequences(seed):
+    rng, more = np.random.default_rng(seed), 0
+    for _ in range(40):
+        lengths, n = np.unique(rng.integers(1, 61, 12), return_counts=True)
+        counts = dict(zip(lengths.tolist(), n.tolist()))
+        found = sum(n for _, n in packing.plan_patterns(counts, 64))
+        fewest = _fewest([x for x, n in counts.items() for _ in range(n)], 64)
+        assert fewest <= found <= fewest + 1
+        more += found - fewest
+    assert more <= 1
+
+
+def test_sum_index_finds_every_complement():
+    """Gaps of random counts against all combinations, while counts go down."""
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        counts = [0, *rng.integers(0, 3, 24).tolist()]
+        index = packing.SumIndex(counts)
+        for _ in range(40):
+            gap = int(rng.integers(1, 25))
+            held = [x for x, n in enumerate(counts) for _ in range(n)]
+            for find, size in ((index.single, 1), (index.pair, 2), (index.triple, 3)):
+                there = any(sum(c) == gap for c in itertools.combinations(held, size))
+                found = find(gap)
+                assert (found is not None) == there, (counts, gap, size)
+                if found:
+                    assert sum(found) == gap and all(counts[x] >= found.count(x) for x in found)
+            for x in set(found or ()):
+                counts[x] -= found.count(x)
+
+
+def test_packed_pieces_equal_the_plain_tokenizer(spark, docs):
+    """Every piece's start, length and checksum; ties of lengths and repeated ids get places of their own."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_str(packing.tokenizer_json())
+    wanted = []
+    for doc_id, text, _ in TEXTS:
+        ids = [*plain.encode(text or "", add_special_tokens=False).ids, 1]
+        wanted += [(str(doc_id), k, at, len(ids[at : at + 4096]), zlib.crc32(np.array(ids[at : at + 4096], "<u4").tobytes())) for k, at in enumerate(range(0, len(ids), 4096))]
+    rows = packing.pack(docs.withColumnRenamed("score", "length")).collect()
+    assert sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in rows) == sorted(wanted)
+    assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+
+
+def test_nearest_of_extreme_numbers(spark):
+    rng = np.random.default_rng(8)
+    small = [(k, [float(v) for v in rng.standard_normal(6)]) for k in range(60)]
+    huge = [(100 + k, [float(v) for v in 1e200 * rng.standard_normal(6)]) for k in range(60)]
+    tiny = [(200 + k, [float(v) for v in 1e-200 * rng.standard_normal(6)]) for k in range(60)]
+    for rows in (huge, tiny, small + huge + tiny):
+        table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        asked = F.col("vec_id") % 20 == 0
+        found = {}
+        for r in vectors.nearest_neighbours(table, asked).collect():
+            found.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+        hits = total = 0
+        for q, v in rows:
+            if q % 20:
+                continue
+            exact = []
+            for other, w in rows:
+                if other != q:
+                    difference = np.abs(np.array(w) - np.array(v))
+                    top = difference.max()
+                    exact.append((float(top * np.sqrt(((difference / top) ** 2).sum())), other))
+            best = [i for _, i in sorted(exact)[:10]]
+            score = dict((i, s) for s, i in exact)
+            assert all(np.isclose(s, score[i], rtol=1e-12, atol=0) for i, s in found[q].values())
+            hits += len(set(best) & {i for i, _ in found[q].values()})
+            total += 10
+        assert hits >= 0.9 * total
+
+
+def test_pieces_columns_equal_the_library(spark, docs, vocabulary):
+    """All columns, from the library's ids; also of one long text without spaces, in a time that grows with its length."""
+    import public_tokenizers
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    proto.ParseFromString(open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read())
+    proto.trainer_spec.model_type = 1
+    plain = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+    bytes_at = {i for i, p in enumerate(proto.pieces) if p.type == pb.ModelProto.SentencePiece.BYTE}
+    more = spark.createDataFrame([(10, "abcdefg漢😀" * 3000, ""), (11, "mixed \x07 bytes ÿ", "")], DOCS)
+    began = time.time()
+    rows = {(r.doc_id, r.n_pieces): r for r in pieces.encode_texts(docs.unionByName(more), vocabulary).collect()}
+    assert time.time() - began < 60
+    for doc_id, text, *_ in [*TEXTS, (10, "abcdefg漢😀" * 3000), (11, "mixed \x07 bytes ÿ")]:
+        text = text or ""
+        ids = plain.encode(text)
+        r = rows[doc_id, len(ids)]
+        assert (r.n_byte_pieces, r.ids_crc32) == (sum(i in bytes_at for i in ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        assert (r.decoded_chars, r.decoded_crc32) == (len(text), zlib.crc32(text.encode()))

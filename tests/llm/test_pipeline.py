@@ -1,6 +1,7 @@
 """The corpus pipeline against its operators applied plainly."""
 
 import numpy as np
+from pyspark.sql import functions as F
 from test_simhash import plain_components, plain_fingerprint
 
 import corpus_pipeline
@@ -30,3 +31,22 @@ def test_stages_take_effect(spark, sf):
     for d, n in wanted.items():
         assert sum(r.length for r in out if r.doc_id == d) == n
     assert len({r.sequence_id for r in out}) == np.ceil(sum(wanted.values()) / 4096)
+
+
+def test_odd_rows_pass_every_stage(spark, sf):
+    """Nulls in every column, empty texts, repeated rows and ties, columns that clash, tables without rows."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(None, None, None, None, None), (-1, "", "en", None, 0), (-2, None, None, "x", None), (-3, "", "en", None, 0), (-3, "", "en", None, 0)], docs.schema)
+    rows = docs.unionByName(odd).unionByName(docs.limit(3)).withColumns({c: F.lit(c) for c in ("score", "label", "component", "length", "sequence_id")})
+    kept = rows
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, kept, sf)
+        assert after.columns == rows.columns, name
+        assert after.exceptAll(kept).isEmpty(), name  # nothing but rows that were there
+        kept = after
+    packed = corpus_pipeline.pack(spark, kept, sf).collect()
+    assert sum(r.piece == 0 for r in packed) == kept.count()
+    nothing = rows.limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        nothing = stage(spark, nothing, sf)
+    assert corpus_pipeline.pack(spark, nothing, sf).count() == 0
