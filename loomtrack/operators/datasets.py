@@ -207,12 +207,31 @@ def reid_status(items: DataFrame) -> DataFrame:
     return n.withColumn("status", F.when(F.col("crops") == 0, "NOT_READY").when(F.col("missing") > 0, "NEEDS_REVIEW").otherwise("READY"))
 
 
-def reid_pairs(manifest: DataFrame) -> DataFrame:
-    """(left_id, right_id, label): same parcel on different cameras, or different parcels, within session, split and frame group (JN12)."""
-    side = lambda p: manifest.select("session_id", "split", "pair_group", *(F.col(c).alias(f"{p}_{c}") for c in ("item_id", "global_id", "camera_role")))
-    pairs = side("l").join(side("r"), ["session_id", "split", "pair_group"]).where("l_item_id < r_item_id")
-    label = F.when((F.col("l_global_id") == F.col("r_global_id")) & (F.col("l_camera_role") != F.col("r_camera_role")), "POSITIVE").when(F.col("l_global_id") != F.col("r_global_id"), "NEGATIVE")
-    return pairs.select(F.col("l_item_id").alias("left_id"), F.col("r_item_id").alias("right_id"), label.alias("label")).where("label IS NOT NULL")
+#: Negatives for each item, and how many items further on are looked at for them.
+NEGATIVES, LOOK = 4, 24
+
+
+def reid_pairs(manifest: DataFrame, negatives: int = NEGATIVES, look: int = LOOK) -> DataFrame:
+    """(left_id, right_id, label): the positives of a session and split, and ``negatives`` negatives for each item (JN12).
+
+    All negatives would be nearly all pairs of a session. Instead the items of a session and split stand in the order of their ids'
+    SHA-256, and each meets the next ``negatives`` items of other parcels, of the ``look`` that follow it: a random choice, spread over the
+    whole session and split, that is the same in every run. Items without a parcel have no pairs. The order is cut into 4,096 ranges of hashes, so that no task sorts a session.
+    """
+    rows = manifest.where("global_id IS NOT NULL").select("session_id", "split", "item_id", "global_id", F.sha2(F.col("item_id").cast("string"), 256).alias("h")).withColumn("range", F.substring("h", 1, 3))
+    key, one = ["session_id", "split"], F.struct("item_id", "global_id")
+    within = Window.partitionBy(*key, "range").orderBy("h", "item_id")
+    placed = written(rows.withColumns({"place": F.row_number().over(within), "after": F.collect_list(one).over(within.rowsBetween(1, look))}), "reid-order")
+    # the first items of each range stand in for the ranges after one: at most ``look`` for each of 4,096
+    heads = placed.where(F.col("place") <= look)
+    following = F.collect_list(one).over(Window.partitionBy(*key).orderBy("range", "place").rowsBetween(1, look))
+    last = F.lead("range").over(Window.partitionBy(*key).orderBy("range", "place"))
+    ends = heads.select(*key, "range", following.alias("beyond"), last.alias("next")).where("next IS NULL OR next <> range").drop("next")
+    joined = placed.join(ends.hint("merge"), [*key, "range"])
+    others = F.filter(F.slice(F.concat("after", "beyond"), 1, look), lambda x: x["global_id"] != F.col("global_id"))
+    pairs = joined.select("item_id", F.explode(F.slice(others, 1, negatives)).alias("o"))
+    found = pairs.select(F.least("item_id", "o.item_id").alias("left_id"), F.greatest("item_id", "o.item_id").alias("right_id"), F.lit("NEGATIVE").alias("label"))
+    return reid_positives(manifest).unionByName(found)
 
 
 def reid_positives(manifest: DataFrame) -> DataFrame:

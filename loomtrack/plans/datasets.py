@@ -77,10 +77,9 @@ def io14_reid_status(spark, sf):
 
 
 def jn12_reid_pairs(spark, sf):
-    """Positives over all items, of about 24 sightings a parcel at every size; negatives within blocks."""
+    """All items; a parcel is seen about 24 times at every size."""
     parcels = F.greatest(F.floor(F.lit(fx.vectors(spark, sf).count()) / 24), F.lit(1))
-    m = _items(spark, sf).select("session_id", "split", F.floor(F.col("item_id") / 200).alias("pair_group"), "item_id", (F.col("vec_id") % parcels).alias("global_id"), "camera_role")
-    return ops.reid_positives(m).unionByName(ops.reid_pairs(m).where("label = 'NEGATIVE'"))
+    return ops.reid_pairs(_items(spark, sf).select("session_id", "split", "item_id", (F.col("vec_id") % parcels).alias("global_id"), "camera_role"))
 
 
 def jn13_referential_gaps(spark, sf):
@@ -147,9 +146,10 @@ ORACLES = {
     "io13_tracking_manifest": f"{_I}{_OBS} SELECT item_id, session_id, camera_role, track_id, concat_ws(':', session_id, camera_role, track_id) AS identity FROM o WHERE track_id IS NOT NULL",
     "io14_reid_manifest": f"{_I}{_OBS} SELECT * FROM (SELECT item_id, session_id, camera_role, split, global_id, least(greatest(item_id % 700 - 30.0e0, 0), 640) AS x1, 10.0e0 AS y1, least(greatest(item_id % 700 + 10.0e0, 0), 640) AS x2, 360.0e0 AS y2 FROM o WHERE class_name = 'parcel' AND global_id IS NOT NULL) WHERE x2 > x1",
     "io14_reid_status": f"{_I}{_OBS} SELECT session_id, count(global_id) AS crops, count(*) FILTER (global_id IS NULL) AS missing, CASE WHEN count(global_id) = 0 THEN 'NOT_READY' WHEN count(*) FILTER (global_id IS NULL) > 0 THEN 'NEEDS_REVIEW' ELSE 'READY' END AS status FROM o WHERE class_name = 'parcel' GROUP BY ALL",
-    "jn12_reid_pairs": f"""{_I}, n AS (SELECT greatest(count(*) // 24, 1) AS parcels FROM embeddings), r AS (SELECT item_id, session_id, split, camera_role, vec_id % parcels AS parcel, floor(item_id / 200) AS block FROM full_items, n)
+    "jn12_reid_pairs": f"""{_I}, n AS (SELECT greatest(count(*) // 24, 1) AS parcels FROM embeddings), r AS (SELECT item_id, session_id, split, camera_role, vec_id % parcels AS parcel FROM full_items, n),
+      o AS (SELECT *, list(struct_pack(i := item_id, p := parcel)) OVER (PARTITION BY session_id, split ORDER BY sha256(CAST(item_id AS VARCHAR)), item_id ROWS BETWEEN 1 FOLLOWING AND {ops.LOOK} FOLLOWING) AS near FROM r)
       SELECT a.item_id AS left_id, b.item_id AS right_id, 'POSITIVE' AS label FROM r a JOIN r b ON a.session_id = b.session_id AND a.split = b.split AND a.parcel = b.parcel WHERE a.item_id < b.item_id AND a.camera_role <> b.camera_role
-      UNION ALL SELECT a.item_id, b.item_id, 'NEGATIVE' FROM r a JOIN r b ON a.session_id = b.session_id AND a.split = b.split AND a.block = b.block WHERE a.item_id < b.item_id AND a.parcel <> b.parcel""",
+      UNION ALL SELECT least(item_id, x.i), greatest(item_id, x.i), 'NEGATIVE' FROM (SELECT item_id, unnest([x for x in near if x.p <> parcel][:{ops.NEGATIVES}]) AS x FROM o)""",
     "jn13_referential_gaps": f"{_I} SELECT session_id, count(*) AS n FROM full_items WHERE session_id NOT IN (SELECT 'src' || CAST(k AS VARCHAR) FROM range(0, 40, 2) r(k)) GROUP BY ALL",
     "jn14_manifest_diff": f"""{fx.oracle('items')}, kept AS (SELECT item_id, CASE WHEN item_id % 17 = 0 THEN 'CHANGED' ELSE annotation_status END AS s FROM items WHERE item_id % 13 <> 0), m AS (SELECT item_id, count(*) AS n, min(s) AS s FROM (SELECT * FROM kept UNION ALL SELECT -item_id - 1, annotation_status FROM items WHERE item_id % 19 = 0 UNION ALL SELECT * FROM kept WHERE item_id % 23 = 0) GROUP BY ALL)
       SELECT * FROM (SELECT coalesce(m.item_id, i.item_id) AS item_id, CASE WHEN m.item_id IS NULL THEN 'missing' WHEN i.item_id IS NULL THEN 'unexpected' WHEN n > 1 THEN 'duplicated' WHEN s IS DISTINCT FROM annotation_status THEN 'differs' END AS problem FROM m FULL JOIN items i ON i.item_id = m.item_id) WHERE problem IS NOT NULL""",
