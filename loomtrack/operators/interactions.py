@@ -41,7 +41,10 @@ def temporal_matches(obs: DataFrame) -> DataFrame:
 
 
 def quality_gate(items: DataFrame) -> DataFrame:
-    """Adds ``verdict`` from the quality signals of an item (DQ8); null signals count as the rules say."""
+    """Adds ``verdict`` from the quality signals of an item (DQ8); null signals count as the rules say.
+
+    ``model_agreement`` and ``mask_quality`` count where the table has them.
+    """
     c = F.col
     low = lambda name, least: c(name) < least
     missing_or_low = lambda name, least: c(name).isNull() | (c(name) < least)
@@ -49,4 +52,9 @@ def quality_gate(items: DataFrame) -> DataFrame:
     rejected = holds(c("least_area") < 0.0002) | holds(c("most_area") > 0.90) | holds(c("pose_errors") > 0)
     review: Column = (c("n_detections") == 0) | holds(low("mean_conf", 0.65)) | holds(low("min_conf", 0.35)) | holds(low("temporal_stability", 0.55)) | missing_or_low("tracker_consistency", 0.75)
     review = review | holds(c("count_change") > 1) | holds(c("max_overlap") > 0.80) | holds(low("plausible_ratio", 0.85)) | holds(c("truncated_ratio") > 0.5)
+    if "model_agreement" in items.columns:
+        review = review | missing_or_low("model_agreement", 0.75)
+    if "mask_quality" in items.columns:
+        rejected = rejected | holds((c("n_detections") > 0) & (c("mask_quality") <= 0))
+        review = review | holds(low("mask_quality", 0.75))
     return items.withColumn("verdict", F.when(rejected, "REJECTED").when(review, "NEEDS_REVIEW").otherwise("AUTO_ACCEPTED"))

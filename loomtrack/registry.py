@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 FLAGSHIP = "ag1_tracklet_summary"
-MODULES = ["frames", "handoffs", "resolutions", "evaluation", "sessions", "datasets", "builder", "labels", "calibration", "stateful", "checks"]
+MODULES = ["frames", "handoffs", "resolutions", "evaluation", "sessions", "datasets", "builder", "annotations", "labels", "calibration", "stateful", "checks"]
 
 
 def _gather(name: str) -> dict:
