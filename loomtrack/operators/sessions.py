@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtrack.functions.shared import dimension
+
 #: Parcel states in forward order, and the event that leads to each.
 STATES = ("ON_CONVEYOR", "PICK_CANDIDATE", "PICKED", "CARRIED", "DROP_CANDIDATE", "DROPPED", "DESTINATION_CONFIRMED")
 EVENT_RANK = {"pickup_candidate": 1, "parcel_picked": 2, "parcel_carried": 3, "drop_candidate": 4, "parcel_dropped": 5, "destination_observed": 6, "destination_confirmed": 6}
@@ -87,6 +89,26 @@ def admit_results(results: DataFrame) -> DataFrame:
     return running_epoch(results).withColumn("verdict", F.when(F.coalesce(F.col("stream_epoch") < F.col("highest_epoch"), F.lit(False)), "ignored").when(F.col("received_at") > F.col("expires_at"), "late").otherwise("accepted"))
 
 
+def screened(results: DataFrame, active: DataFrame) -> DataFrame:
+    """Adds ``refusal``, what is wrong with a result by itself: BAD_ID (``request_id`` is no UUID) or WRONG_SESSION (``active`` has another one, or none, for its source); null for neither."""
+    digits = F.regexp_replace(F.regexp_replace(F.coalesce("request_id", F.lit("")), "urn:|uuid:", ""), r"^[{}]+|[{}]+$|-", "")
+    joined = results.join(dimension(active.select("source_id", F.col("session_id").alias("__active"))), "source_id", "left")
+    refusal = F.when(~digits.rlike("^[0-9a-fA-F]{32}$"), "BAD_ID").when(~F.coalesce(F.col("__active") == F.col("session_id"), F.lit(False)), "WRONG_SESSION")
+    return joined.withColumn("refusal", refusal).drop("__active")
+
+
+def admit_screened(results: DataFrame, active: DataFrame) -> DataFrame:
+    """Adds ``verdict`` (SS5): what ``screened`` refuses, OLD_EPOCH (of the source's results that passed so far one has a higher epoch), LATE (received after it expired) or ACCEPTED.
+
+    Results of a source come in the order of ``arrival``; refused ones do not raise its epoch.
+    """
+    w = Window.partitionBy("source_id").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
+    rows = screened(results, active)
+    highest = F.max(F.when(F.col("refusal").isNull(), F.coalesce("stream_epoch", F.lit(0)))).over(w)
+    old = F.coalesce(F.coalesce("stream_epoch", F.lit(0)) < highest, F.lit(False))
+    return rows.withColumn("verdict", F.coalesce("refusal", F.when(old, "OLD_EPOCH"), F.when(F.col("received_at") > F.coalesce("expires_at", F.lit(0.0)), "LATE"), F.lit("ACCEPTED"))).drop("refusal")
+
+
 def archive_lookup(keys: DataFrame, archived: DataFrame, recordings: DataFrame) -> DataFrame:
     """For each wanted frame the archived frame nearest in time among those of equal keys (JN4), with its recording."""
     same = ["session_id", "source_id", "stream_epoch", "frame_index"]

@@ -174,10 +174,22 @@ def pf1_align_clocks(spark, sf):
     return ops.align_clocks(frames, starts).select(*FRAME, "aligned")
 
 
+def _requested(spark, sf):
+    """Results with request ids, most of them UUIDs, and sessions, of which one is active for each source; C3 has none."""
+    r = fx.view(spark, sf, "results")
+    digest = F.md5(F.col("arrival").cast("string"))
+    results = r.withColumns({"request_id": F.when(F.col("arrival") % 11 == 0, F.concat(F.lit("x"), digest)).when(F.col("arrival") % 5 == 0, F.concat(F.lit("{"), F.upper(digest), F.lit("}"))).otherwise(digest), "session_id": F.when(F.col("arrival") % 17 == 0, "S0").otherwise("S1")})
+    return results, spark.sql("SELECT * FROM VALUES ('C1', 'S1'), ('C2', 'S1') AS a(source_id, session_id)")
+
+
+def ss5_screened_results(spark, sf):
+    return ops.admit_screened(*_requested(spark, sf)).select("arrival", "source_id", "verdict")
+
+
 QUERIES = {f.__name__: f for f in (
     pf1_align_clocks, pf10_resolve_model_route, jn4_archive_lookup, jn5_frame_origin, jn8_bind_parcel_events, jn9_known_parcel_for_event, jn15_source_status, ag3_session_report, ag7_media_coverage, ag8_media_report,
     ag15_registry_consistency, ag16_dashboard_counts, wn11_running_epoch, tk1_recent, tk4_rollback_target, tk6_max_routing_generation, so4_decision_log, st5_project_parcels, st5_derived_drops, st6_hypotheses, st7_apply_resolutions,
-    ml6_metric_deltas, ml7_promotion_gate, ss3_tumbling_counts, ss3_sliding_counts, ss3_session_windows, ss5_admit_results,
+    ml6_metric_deltas, ml7_promotion_gate, ss3_tumbling_counts, ss3_sliding_counts, ss3_session_windows, ss5_admit_results, ss5_screened_results,
 )}
 
 _E, _T, _A, _R = fx.oracle("event_log"), fx.oracle("tracklets"), fx.oracle("activations", "model_registry"), fx.oracle("results")
@@ -206,6 +218,9 @@ ORACLES = {
     "ss3_session_windows": f"""{_E}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM event_log WINDOW w AS (PARTITION BY source_id, local_track_id ORDER BY ts, event_id)),
       r AS (SELECT *, sum(new) OVER (PARTITION BY source_id, local_track_id ORDER BY ts, event_id) AS run FROM g) SELECT source_id, local_track_id, min(ts) AS started, max(ts) + INTERVAL 6 HOUR AS ended, count(*) AS n FROM r GROUP BY source_id, local_track_id, run""",
     "wn11_running_epoch": f"{_R} SELECT arrival, max(stream_epoch) OVER (PARTITION BY source_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS highest_epoch FROM results",
+    "ss5_screened_results": f"""{_R}, s AS (SELECT *, CASE WHEN arrival % 11 = 0 THEN 'BAD_ID' WHEN source_id = 'C3' OR arrival % 17 = 0 THEN 'WRONG_SESSION' END AS refusal FROM results)
+      SELECT arrival, source_id, CASE WHEN refusal IS NOT NULL THEN refusal WHEN stream_epoch < h THEN 'OLD_EPOCH' WHEN received_at > expires_at THEN 'LATE' ELSE 'ACCEPTED' END AS verdict
+      FROM (SELECT *, max(stream_epoch) FILTER (refusal IS NULL) OVER (PARTITION BY source_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM s)""",
     "ss5_admit_results": f"{_R} SELECT arrival, source_id, CASE WHEN stream_epoch < h THEN 'ignored' WHEN received_at > expires_at THEN 'late' ELSE 'accepted' END AS verdict FROM (SELECT *, max(stream_epoch) OVER (PARTITION BY source_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM results)",
     "jn4_archive_lookup": f"{_MEDIA} SELECT {_FR}, archived_at, recording_id, recording_id LIKE '%7' AS corrupted FROM frames LEFT JOIN archived USING ({_FR})",
     "jn5_frame_origin": f"""{_MEDIA} SELECT {_FR}, CASE WHEN ok THEN 'ARCHIVE' WHEN source_id = 'C1' THEN 'REPLAY' ELSE 'REFUSED' END AS origin, CASE WHEN ok OR source_id = 'C1' THEN NULL WHEN source_id = 'C3' THEN 'UNKNOWN_SOURCE' WHEN source_id = 'C2' THEN 'ARCHIVE_REQUIRED' END AS refused_reason

@@ -15,6 +15,7 @@ from loomtrack.functions.shared import written
 from loomtrack.operators import handoffs
 from loomtrack.operators.association import HYPOTHESES, Site, associate, forget
 from loomtrack.operators.graph import connected_components
+from loomtrack.operators.sessions import screened
 from loomtrack.operators.identities import INPUT, OUTPUT, Epoch, Limits
 from loomtrack.operators.parcels import EVENTS, LIFE_INPUT, LIFE_STATE, MATCH_INPUT, MATCHES, Life, Matching, life_flags
 
@@ -181,6 +182,43 @@ def stream_parcel_states(rows: DataFrame, remember: float = 3600.0) -> DataFrame
     return flagged.groupBy("session_id", "source_id", "parcel_id").transformWithStateInPandas(_Lives(remember), _LIVES, "append", "eventTime")
 
 
+class _Admission(StatefulProcessor):
+    """SS5 of one source: its highest epoch, and how often each verdict was given."""
+
+    columns = ["arrival", "refusal", "stream_epoch", "received_at", "expires_at"]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.epoch = handle.getValueState("epoch", "epoch long")
+        self.given = handle.getMapState("given", "verdict string", "n long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        highest = int(self.epoch.get()[0]) if self.epoch.exists() else -1
+        given = {k[0]: int(v[0]) for k, v in self.given.iterator()}
+        before, out = dict(given), []
+        for arrival, refusal, epoch, received, expires in map(_plain, pd.concat(list(rows)).sort_values("arrival")[self.columns].astype(object).itertuples(index=False, name=None)):
+            verdict = refusal or ("OLD_EPOCH" if int(epoch or 0) < highest else "LATE" if received > (expires or 0.0) else "ACCEPTED")
+            if refusal is None:
+                highest = max(highest, int(epoch or 0))
+            given[verdict] = given.get(verdict, 0) + 1
+            out.append((*key, arrival, verdict, given[verdict]))
+        self.epoch.update((highest,))
+        _write(self.given, {(k,): (n,) for k, n in before.items()}, {(k,): (n,) for k, n in given.items()})
+        yield pd.DataFrame(out, columns=["source_id", "arrival", "verdict", "so_far"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_admissions(results: DataFrame, active: DataFrame) -> DataFrame:
+    """(source_id, arrival, verdict, so_far): ``admit_screened`` over a stream; ``so_far`` counts the source's results of that verdict.
+
+    Results of a source must come in the order of ``arrival`` from batch to batch. The state is an epoch and at most five
+    counters for each source. The session needs the settings ``STORE``.
+    """
+    rows = screened(results, active)
+    return rows.groupBy("source_id").transformWithStateInPandas(_Admission(), "source_id string, arrival long, verdict string, so_far long", "append", "none")
+
+
 class Pending:
     """Tracklets of a session that wait for others of their link (topology component and role).
 

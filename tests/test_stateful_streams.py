@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from test_identities import LIMITS, SCENES as TRACKS
 from test_parcels import scene_tables
 
-from loomtrack.operators import identities as ids, parcels
+from loomtrack.operators import identities as ids, parcels, sessions as ops
 from loomtrack.operators.frames import tag_zones, track_velocity, zone_kind
+from loomtrack.plans import sessions
 from loomtrack.streaming import stateful
 
 
@@ -94,6 +95,18 @@ def test_parcel_states_are_forgotten(spark, tmp_path, store):
     assert 0 < operators <= 20 and 0 < lives <= 20, (operators, lives)
 
 
+def test_admissions(spark, sf, tmp_path, store):
+    """In three batches as in one, with bad ids, wrong sessions, old epochs and late results."""
+    results, active = sessions._requested(spark, sf)
+    rows = results.where("arrival < 1500").withColumn("turn", F.floor(F.col("arrival") / 500)).coalesce(1).cache()
+    found = play(spark, rows, lambda s: stateful.stream_admissions(s, active), tmp_path, "turn")
+    want = {(r.source_id, r.arrival): r.verdict for r in ops.admit_screened(rows, active).collect()}
+    assert {(r.source_id, r.arrival): r.verdict for r in found} == want and len(set(want.values())) == 5
+    for source, verdict in {(r.source_id, r.verdict) for r in found}:
+        n = sum(s == source and v == verdict for (s, _), v in want.items())
+        assert max(r.so_far for r in found if (r.source_id, r.verdict) == (source, verdict)) == n
+
+
 def test_pending_rules():
     pending = stateful.Pending()
     assert pending.add("later", "C:C2", 3.1, 100.0) == [] and pending.add("earlier", "C:C2", 3.0, 100.3) == [] and pending.add("later", "C:C2", 9.0, 100.3) == []
