@@ -48,15 +48,13 @@ def term_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, tuple[Counter, Counter]] = {}
 
-        def hand_on() -> pa.RecordBatch:
-            rows = [(lang, source, term, n, ds[term]) for (lang, source), (ns, ds) in held.items() for term, n in ns.items()]
-            rows += [(lang, source, None, 0, 0) for lang, source in held]
+        def hand_on() -> Iterator[pa.RecordBatch]:
+            for (lang, source), (ns, ds) in held.items():
+                many = len(ns) + 1
+                terms = pa.array([*ns, None], pa.binary()).cast(pa.string())
+                counts = (np.fromiter((*ns.values(), 0), np.int64, many), np.fromiter((*map(ds.__getitem__, ns), 0), np.int64, many))
+                yield pa.RecordBatch.from_arrays([pa.repeat(lang, many), pa.repeat(source, many), terms, *map(pa.array, counts)], ["lang", "source", "term", "n", "docs"])
             held.clear()
-            columns = list(zip(*rows))
-            kinds = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64()]
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
-            arrays[2] = arrays[2].cast(pa.string())
-            return pa.RecordBatch.from_arrays(arrays, ["lang", "source", "term", "n", "docs"])
 
         size = 0
         for batch in batches:
@@ -69,10 +67,9 @@ def term_counts(docs: DataFrame) -> DataFrame:
                 ds.update(seen)
                 size += len(ns) - before
                 if size > HELD:
-                    yield hand_on()
+                    yield from hand_on()
                     size = 0
-        if held:
-            yield hand_on()
+        yield from hand_on()
 
     group = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")]
     parts = docs.select(*group, F.encode("text", "UTF-8")).mapInArrow(run, _PLAIN)
