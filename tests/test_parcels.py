@@ -1,5 +1,7 @@
 """Operators and parcels on small scenes with known answers; image 1000 x 500."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +69,37 @@ def test_life_of_a_parcel(scenes):
     assert whole[3].at == 0.8 and (whole[-1].state, whole[-1].destination_zone, whole[-1].at) == ("DROPPED", "dest-A", 1.35)
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_frames_that_say_nothing_may_be_left_out(seed):
+    """A life folded over all frames, and over those that ``parcel_state_machine`` keeps, gives the same events."""
+    rng = random.Random(seed)
+    rows, mood = [], {"sure": False, "lift": False, "carry": False, "rest": False, "frozen": False, "visible": True}
+    for k in range(300):
+        for name in mood:
+            if rng.random() < 0.15:
+                mood[name] = rng.random() < (0.85 if name == "visible" else 0.1 if name == "frozen" else 0.6)
+        sure = mood["sure"] and not mood["frozen"]
+        person = rng.choice([7, 7, 7, 8]) if sure or mood["rest"] else rng.choice([None, 7])
+        flags = (sure and mood["lift"], sure and (mood["lift"] or mood["carry"]), mood["rest"] and person is not None)
+        rows.append((0.05 * k, True, "z", person, 0.5, mood["frozen"], sure, *flags) if mood["visible"] else None)
+    every, kept, before = parcels.Life(), parcels.Life(), None
+    told, short = [], []
+    for k, row in enumerate(rows):
+        if row is None:
+            if k and rows[k - 1] is not None:
+                gone = (0.05 * k, False, *[None] * 8)
+                told += every.frame([gone])
+                short += kept.frame([gone])
+            continue
+        told += every.frame([row])
+        says = row[6] or row[9]
+        if before is None or says or before[0] or before[1] != row[5]:
+            short += kept.frame([row])
+        before = (says, row[5])
+    assert told == short and parcels.Life(every.kept()).kept() == every.kept()
+    assert len({e[1] for e in told}) >= 1
+
+
 def test_empty(spark):
     obs, wrists, zones = scene_tables(spark)
     none = obs.where(F.lit(False))
