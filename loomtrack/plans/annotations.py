@@ -33,7 +33,7 @@ ORACLES = {
       f AS (SELECT {FR}, concat_ws('/', {FR}) AS item_id, max(timestamp_global) AS t, frame_index % 12 = 0 AS skipped, CASE WHEN frame_index % 4 > 0 THEN count(*) FILTER (k % 13 <> 0) ELSE count(*) END AS expected FROM o GROUP BY {FR}),
       q AS (SELECT *, row_number() OVER (PARTITION BY session_id, source_id ORDER BY t, item_id) AS n FROM f WHERE NOT skipped),
       d AS (SELECT o.*, n FROM o JOIN q USING ({FR}) WHERE k % 11 > 0),
-      s AS (SELECT {FR}, count(*) AS n_det, avg(confidence) AS conf, min(confidence) AS least, avg(CASE WHEN k % 3 > 0 OR k % 2 = 0 THEN 1.0e0 ELSE 0 END) AS steady, avg(CASE WHEN k % 7 > 0 THEN 0.7e0 + 0.1e0 * (k % 3) END) AS agree,
+      s AS (SELECT {FR}, count(*) AS n_det, round(avg(confidence), 9) AS conf, min(confidence) AS least, round(avg(CASE WHEN k % 3 > 0 OR k % 2 = 0 THEN 1.0e0 ELSE 0 END), 9) AS steady, round(avg(CASE WHEN k % 7 > 0 THEN 0.7e0 + 0.1e0 * (k % 3) END), 9) AS agree,
         avg(CASE WHEN x1 <= 1 OR y1 <= 1 OR x2 >= 639 OR y2 >= 359 THEN 1.0e0 ELSE 0 END) AS cut, bool_or((x2 - x1) * (y2 - y1) / 230400 NOT BETWEEN 0.0002e0 AND 0.9e0) AS odd FROM d GROUP BY {FR}),
       m AS (SELECT {", ".join("a." + c for c in FRAME)}, max({IOU}) AS overlap FROM d a JOIN d b ON {_J} AND a.local_track_id < b.local_track_id GROUP BY ALL),
       h AS (SELECT session_id, source_id, n, count(*) AS hits FROM (SELECT DISTINCT a.session_id, a.source_id, a.n, a.local_track_id FROM d a JOIN d b ON a.session_id = b.session_id AND a.source_id = b.source_id AND a.n = b.n + 1 AND a.class_name = b.class_name AND {IOU} >= 0.2) GROUP BY ALL),

@@ -49,3 +49,11 @@ def test_masks_and_points(spark):
     points = [(float(k), 5.0, 1.0) for k in range(17)]
     out = run(spark, [item("person", [detection("person", points=points)]), item("few", [detection("person", points=points[:3])])], task="pose")
     assert out["person"].label_count == 1 and len(out["person"].label.split()) == 5 + 51 and (out["few"].label_count, out["few"].status) == (0, "NEEDS_REVIEW")
+
+
+def test_a_mean_at_its_limit_is_no_rounding_error(spark):
+    """The sum of 0.7, 0.7, 0.7 and 0.9 depends on their order, their mean of 0.75 does not."""
+    orders = [(0.7, 0.7, 0.7, 0.7 + 0.1 * 2), (0.7 + 0.1 * 2, 0.7, 0.7, 0.7)]
+    boxes = [(0.9, 20.0 + 60 * j, 100.0, 60.0 + 60 * j, 200.0) for j in range(4)]
+    out = run(spark, [(f"i{k}", f"i{k}", 0.0, [detection(box=b, track=j, agree=a) for j, (b, a) in enumerate(zip(boxes, v))], [], 0, "NEEDS_REVIEW", None) for k, v in enumerate(orders)])
+    assert [(out[f"i{k}"].status, out[f"i{k}"].model_agreement) for k in range(2)] == [("AUTO_ACCEPTED", 0.75)] * 2
