@@ -108,6 +108,11 @@ def handoff_score(pairs: DataFrame) -> DataFrame:
     return scored.withColumns({"score": mean(named), "physical_score": mean([n for n in named if n != "reid"])})
 
 
+def linked(scored: DataFrame, least: float, score: str = "score") -> DataFrame:
+    """Rows whose score, to nine decimals, is at least ``least``: a score that is the limit but for its rounding error counts."""
+    return scored.where(F.round(score, 9) >= least)
+
+
 def best_candidate(scored: DataFrame, key: str = "in_tracklet_id") -> DataFrame:
     """Adds nothing but keeps, per ``key``, the best row with the runner-up's score (TK2); ties go to the smaller other id."""
     w = Window.partitionBy(key).orderBy(F.desc("score"), "out_tracklet_id")

@@ -72,8 +72,9 @@ def tk5_overflow(spark, sf):
 
 
 def gr1_components(spark, sf):
-    scored = ops.handoff_score(_gated(spark, sf).where("accepted")).where("score >= 0.9")
-    return connected_components(scored, "out_tracklet_id", "in_tracklet_id")
+    """Tracklets linked by a score of 0.9 at least, to nine decimals."""
+    links = ops.linked(ops.handoff_score(_gated(spark, sf).where("accepted")), 0.9)
+    return connected_components(links, "out_tracklet_id", "in_tracklet_id")
 
 
 def gr2_topology_rank(spark, sf):
@@ -200,7 +201,7 @@ ORACLES = {
     "gr3_handoff_score": f"{_G}{_score('scored', 'gated', True)} SELECT out_id AS out_tracklet_id, in_id AS in_tracklet_id, round(temporal, 6) AS temporal, round(dimensions, 6) AS dimensions, zone, round(speed, 6) AS speed, integrity, round(score, 6) AS score, round(physical_score, 6) AS physical_score FROM scored",
     "tk2_best_candidate": f"{_S6}, {_BEST} SELECT in_tracklet_id, out_tracklet_id, score, runner_up FROM best",
     "tk5_overflow": f"{_T} SELECT session_id, tracklet_id FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ended_at_global DESC, tracklet_id DESC) AS k FROM tracklets) WHERE k > 60",
-    "gr1_components": f"""{_S.replace('WITH ', 'WITH RECURSIVE ', 1)}, e AS (SELECT out_id AS a, in_id AS b FROM scored WHERE score >= 0.9), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    "gr1_components": f"""{_S.replace('WITH ', 'WITH RECURSIVE ', 1)}, e AS (SELECT out_id AS a, in_id AS b FROM scored WHERE round(score, 9) >= 0.9e0), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
       reach(a, b) AS (SELECT a, a FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON e.a = r.b) SELECT a AS id, min(b) AS component FROM reach GROUP BY a""",
     "gr2_topology_rank": f"{_T} SELECT camera_role AS role, CASE camera_role WHEN 'C1' THEN 0 WHEN 'C2' THEN 1 ELSE 2 END::BIGINT AS rank, count(*) AS tracklets FROM tracklets GROUP BY ALL",
     "gr7_chains_of_tracks": f"""{_T}, c AS (SELECT *, session_id || '/' || local_track_id AS parcel_id, lag(ended_at_global) OVER (PARTITION BY session_id, local_track_id ORDER BY started_at_global, tracklet_id) AS before FROM tracklets)

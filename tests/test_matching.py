@@ -112,3 +112,9 @@ def test_matching_of_tables(spark):
     out = handoffs.judge_candidates(spark.createDataFrame(rows, "l string, r long, score double"), "l", "r")
     assert {tuple(r) for r in out.collect()} == {("a", 1, 0.9, True, False), ("b", 2, 0.6, True, False), ("c", 3, 0.7, True, False)}
     assert handoffs.judge_candidates(out.limit(0).select("l", "r", "score"), "l", "r").count() == 0
+
+
+def test_a_score_at_its_limit_links(spark):
+    """Scores that are 0.9 but for their rounding error link, those below do not."""
+    rows = spark.createDataFrame([("a", 0.9), ("b", 0.8999999999999999), ("c", 0.9000000000000001), ("d", 0.89999), ("e", None)], "id string, score double")
+    assert sorted(r.id for r in handoffs.linked(rows, 0.9).collect()) == ["a", "b", "c"]
