@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomtrack.operators import checks, datasets, handoffs
-from loomtrack.sources import reviews
+from loomtrack.plans import checks as checks_plan
+from loomtrack.sources import cvat, reviews
 
 
 def test_site_dimensions(spark):
@@ -81,6 +82,15 @@ def test_review_round_trip(spark):
     assert (other.class_name, other.x1, other.y1, round(other.x2, 6), round(other.y2, 6)) == ("parcel", 0.0, 0.0, 4.0, 6.0)
 
 
+def test_documents_are_parsed_once(spark, sf):
+    """The import reads parsed rows that were written, and the parser stands once in the plan that writes them."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    tasks = reviews.export_review_tasks(checks_plan._reviewed(spark, sf))
+    assert "from_json" not in plan(reviews.import_review_tasks(tasks)) and plan(reviews._results(tasks, "task")).count("from_json") == 1
+    images = cvat.parse_cvat(spark.createDataFrame([("<image/>",)], "xml string").selectExpr("upper(xml) AS xml"))
+    assert "from_xml" not in plan(cvat.import_cvat(images)) and plan(images).count("from_xml") == 1
+
+
 def test_replay_and_history(spark, tmp_path):
     lines = ['{"frame_index": 3, "timestamp_global": 1.5, "tracks": [{"backend_track_id": 1, "bbox": [0, 1, 2, 3], "ground_truth_id": "p"}]}', "", '{"timestamp_global": 2.0, "tracks": []}', '{"timestamp_global": 2.0, "tracks": {"a": 1}}', "{broken", '{"tracks": []}']
     (tmp_path / "replay.jsonl").write_text("\n".join(lines))
