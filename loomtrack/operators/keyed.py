@@ -38,7 +38,9 @@ def fold_frames(rows: DataFrame, keys: list[str], step: list[str], columns: list
     whole. Empty tables give empty results; null keys are keys of their own.
     """
     used = list(dict.fromkeys([*keys, *step, *columns]))
-    ordered = rows.select(*used).repartition(*keys).sortWithinPartitions(*keys, *step, *[c for c in columns if c not in step])
+    session = rows.sparkSession
+    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)  # a number keeps AQE from laying few, long keys into one task
+    ordered = rows.select(*used).repartition(parts, *keys).sortWithinPartitions(*keys, *step, *[c for c in columns if c not in step])
     place = {c: k for k, c in enumerate(used)}
     at = [place[c] for c in columns]
     typed = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (*keys, *step))

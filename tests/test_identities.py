@@ -1,5 +1,6 @@
 """Canonical identities on small scenes with known answers; image 1000 x 500, least score 0.5."""
 
+import numpy as np
 import pytest
 
 from loomtrack.operators import identities as ids
@@ -104,3 +105,26 @@ def test_tracklets_and_empty(logs, spark):
     assert found["relink"].tracklet_id == "relink-cam-1-0"
     place = "session_id string, source_id string, stream_epoch int, frame_index long, timestamp_global double, backend_track_id long, class_name string, x1 double, y1 double, x2 double, y2 double"
     assert ids.canonical_identities(ids.identity_input(spark.createDataFrame([], place))).count() == 0
+
+
+def test_assignment_in_parts_is_that_of_the_whole():
+    """Parts and favourites give the pairs of one solution over all rows; cells below the least score never pair."""
+    rng = np.random.default_rng(5)
+    for n in range(400):
+        scores = np.where(rng.random((n % 6 + 1, n % 5 + 1)) < 0.5, rng.random((n % 6 + 1, n % 5 + 1)), -np.inf)
+        whole = ids._solve(np.where(scores >= 0.55, scores - 0.55 + 1e-12, 0.0))
+        found = ids._assign(scores, ids.Limits())
+        assert [(i, j) for i, (j, _) in found.items()] == whole
+        for i, (j, clear) in found.items():
+            rivals = [v for k, v in np.ndenumerate(scores) if (k[0] == i) != (k[1] == j) and v > -np.inf]
+            assert clear == (not rivals or scores[i, j] - max(rivals) >= 0.10)
+
+
+def test_long_keys_get_tasks_of_their_own(spark):
+    """A fold's shuffle has a fixed number of parts, and frames without a box need no join."""
+    rows = spark.createDataFrame([("s", "c", 0, k, float(k), 1, "parcel", 0.0, 0.0, 9.0, 9.0) for k in range(3)], "session_id string, source_id string, stream_epoch int, frame_index long, timestamp_global double, backend_track_id long, class_name string, x1 double, y1 double, x2 double, y2 double")
+    given = ids.identity_input(rows, rows)
+    assert "Join" not in given._jdf.queryExecution().optimizedPlan().toString()
+    folded = ids.fold_frames(given, ["session_id", "source_id", "stream_epoch"], ["frame_index"], ids.INPUT, ids.Epoch, ids.OUTPUT)
+    assert "REPARTITION_BY_NUM" in folded._jdf.queryExecution().executedPlan().toString()
+    assert folded.where("kind = 'observation'").count() == 3
