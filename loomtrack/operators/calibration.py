@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loomtrack.functions.shared import dimension
 
@@ -69,15 +72,25 @@ def _pixel(camera: Column, u: Column, v: Column) -> tuple[Column, Column]:
     return fx * u + skew * v + cx, fy * v + cy
 
 
-def undistorted(x: Column, y: Column, camera: Column, lens: Column) -> tuple[Column, Column]:
-    """The pixel that a lens without distortion would show the point at; the same pixel where camera or lens is null."""
-    u0, v0 = _normal(camera, x, y)
+@F.arrow_udf(T.StructType().add("u", "double").add("v", "double"))
+def _straight(u: pa.Array, v: pa.Array, k1: pa.Array, k2: pa.Array, p1: pa.Array, p2: pa.Array, k3: pa.Array) -> pa.Array:
+    """Normalized points without their lens distortion, a batch at once; null where an input is, or where a step divides by zero."""
+    given = (u, v, k1, k2, p1, p2, k3)
+    missing = np.logical_or.reduce([c.is_null().to_numpy(zero_copy_only=False) for c in given])
+    u0, v0, k1, k2, p1, p2, k3 = (c.to_numpy(zero_copy_only=False).astype(float) for c in given)
+    x, y = u0, v0
+    with np.errstate(all="ignore"):
+        for _ in range(STEPS):
+            r2 = x * x + y * y
+            radial, du, dv = 1 + r2 * (k1 + r2 * (k2 + r2 * k3)), 2 * p1 * x * y + p2 * (r2 + 2 * x * x), p1 * (r2 + 2 * y * y) + 2 * p2 * x * y
+            missing = missing | (radial == 0)
+            x, y = (u0 - du) / radial, (v0 - dv) / radial
+    return pa.StructArray.from_arrays([pa.array(c, pa.float64(), mask=missing) for c in (x, y)], ["u", "v"])
 
-    def step(at: Column, _: Column) -> Column:
-        radial, du, dv = _bend(at["u"], at["v"], lens)
-        return F.struct(((u0 - du) / radial).alias("u"), ((v0 - dv) / radial).alias("v"))
 
-    flat = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.struct(u0.alias("u"), v0.alias("v")), step)
+def undistorted(x: Column, y: Column, camera: Column, lens: Column) -> tuple[Column, Column]:
+    """The pixel that a lens without distortion would show the point at; the same pixel where camera or lens is null."""
+    flat = _straight(*_normal(camera, x, y), *(F.coalesce(F.get(lens, F.lit(k)), F.lit(0.0)) for k in range(LENS)))
     px, py = _pixel(camera, flat["u"], flat["v"])
     known = camera.isNotNull() & lens.isNotNull()
     return F.when(known, px).otherwise(x), F.when(known, py).otherwise(y)

@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomtrack.operators import checks, datasets, handoffs
-from loomtrack.plans import checks as checks_plan
+from loomtrack.operators import calibration, checks, datasets, handoffs
+from loomtrack.plans import calibration as calibration_plan, checks as checks_plan
 from loomtrack.sources import cvat, reviews
 
 
@@ -120,3 +120,17 @@ def test_lines(spark):
     out = row.select(reviews.segmentation_line(F.lit(2), F.col("mask")).alias("s"), reviews.pose_line(F.lit(0), F.col("keypoints")).alias("p"), reviews.segmentation_line(F.lit(2), F.slice("mask", 1, 2)).alias("none")).first()
     assert out.s == "2 0.000000 0.000000 0.100000 0.000000 0.100000 0.100000" and out.none is None
     assert out.p.split(" ")[:5] == ["0", "0.050000", "0.050000", "0.100000", "0.100000"] and out.p.split(" ")[7::3] == ["0"] + ["1"] * 10 + ["2"] * 6
+
+
+def test_distortion_is_taken_out_once_a_row(spark, sf):
+    """Both coordinates and all that is made of them come from one call; a point without a value stays null."""
+    plan = calibration_plan.pf6_lens_to_image(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("_straight(") == 1 and "aggregate(" not in plan
+    rows = spark.sql("SELECT * FROM VALUES (1, 100D, 50D), (2, NULL, 50D), (3, double('NaN'), 50D) AS t(k, x, y)")
+    camera, lens = F.expr("array(600D, 0.5D, 320D, 0D, 580D, 180D, 0D, 0D, 1D)"), F.expr("array(-0.21D, 0.06D, 0.001D, -0.0007D, -0.004D)")
+    ux, uy = calibration.undistorted(F.col("x"), F.col("y"), camera, lens)
+    flat = rows.withColumns({"ux": ux, "uy": uy})
+    bx, by = calibration.distorted(F.col("ux"), F.col("uy"), camera, lens)
+    one, two, three = flat.withColumns({"bx": bx, "by": by}).orderBy("k").collect()
+    assert (one.bx, one.by) == (pytest.approx(100, abs=1e-6), pytest.approx(50, abs=1e-6)) and abs(one.ux - 100) > 1
+    assert two.ux is None and math.isnan(three.ux)
