@@ -10,10 +10,14 @@ from loomtrack.operators.datasets import SPLITS, split_leaks
 ZONE_KINDS = ("entry", "exit", "pick", "destination")
 
 
+def _names(rules: list[tuple[str, Column]]) -> Column:
+    """The names of the rules whose condition is true."""
+    return F.array_compact(F.array(*(F.when(F.coalesce(holds, F.lit(False)), F.lit(name)) for name, holds in rules)))
+
+
 def _broken(rows: DataFrame, keys: list[str], rules: list[tuple[str, Column]]) -> DataFrame:
     """(keys, rule) for each rule whose condition is true for a row."""
-    found = F.array_compact(F.array(*(F.when(F.coalesce(holds, F.lit(False)), F.lit(name)) for name, holds in rules)))
-    return rows.select(*keys, F.explode(found).alias("rule"))
+    return rows.select(*keys, F.explode(_names(rules)).alias("rule"))
 
 
 def polygon_crosses(points: Column) -> Column:
@@ -80,12 +84,21 @@ def validate_pose(dets: DataFrame, width: float = 640.0, height: float = 360.0,
         ("BOX_RANGE", there & ~no_number & ~infinite & ((box[2] <= box[0]) | (box[3] <= box[1]) | (box[0] < 0) | (box[1] < 0) | (box[2] > width) | (box[3] > height))),
         ("KEYPOINT_COUNT", there & (k != points)), ("KEYPOINT_ORDER", full & indices.isNotNull() & (indices != F.sequence(F.lit(0), F.lit(points - 1)))), ("NONE_VISIBLE", full & ~visible),
     ]
-    each = dets.where(full).select("item_id", "instance", F.posexplode("keypoints").alias("keypoint", "p")).select("item_id", "instance", "keypoint", "p.x", "p.y", "p.v")
-    x, y, v = F.col("x"), F.col("y"), F.col("v")
-    missing = x.isNull() | y.isNull() | v.isNull()
-    bad = odd(x) | odd(y) | odd(v)
-    of_points = [("POINT_MISSING", missing), ("POINT_NUMBERS", ~missing & bad), ("POINT_RANGE", ~missing & ~bad & ((x < 0) | (y < 0) | (x > width) | (y > height))), ("VISIBILITY", ~missing & ~bad & ((v < 0) | (v > 2)))]
-    return _broken(dets.withColumn("keypoint", F.lit(None).cast("int")), ["item_id", "instance", "keypoint"], rules).unionByName(_broken(each, ["item_id", "instance", "keypoint"], of_points))
+
+    def of_point(p: Column, k: Column) -> Column:
+        x, y, v = p["x"], p["y"], p["v"]
+        missing = x.isNull() | y.isNull() | v.isNull()
+        bad = odd(x) | odd(y) | odd(v)
+        broken = F.when(missing, "POINT_MISSING").when(bad, "POINT_NUMBERS")  # either stands alone
+        place = F.when(~missing & ~bad & ((x < 0) | (y < 0) | (x > width) | (y > height)), "POINT_RANGE")
+        shown = F.when(~missing & ~bad & ((v < 0) | (v > 2)), "VISIBILITY")
+        return F.struct(k.alias("keypoint"), F.array_compact(F.array(broken, place, shown)).alias("rules"))
+
+    of_points = F.when(full, F.filter(F.transform("keypoints", of_point), lambda p: F.size(p["rules"]) > 0))
+    of_instance = F.struct(F.lit(None).cast("int").alias("keypoint"), _names(rules).alias("rules"))
+    # one pass over the rows; outer generators infer no filter, which would work all rules out a second time
+    found = dets.select("item_id", "instance", F.explode_outer(F.concat(F.array(of_instance), F.coalesce(of_points, F.array()))).alias("f"))
+    return found.select("item_id", "instance", "f.keypoint", F.explode_outer("f.rules").alias("rule")).where("rule IS NOT NULL")
 
 
 def validate_reid_artifacts(manifest: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -134,3 +134,9 @@ def test_distortion_is_taken_out_once_a_row(spark, sf):
     one, two, three = flat.withColumns({"bx": bx, "by": by}).orderBy("k").collect()
     assert (one.bx, one.by) == (pytest.approx(100, abs=1e-6), pytest.approx(50, abs=1e-6)) and abs(one.ux - 100) > 1
     assert two.ux is None and math.isnan(three.ux)
+
+
+def test_poses_are_checked_in_one_pass(spark, sf):
+    """Rules of instances and of points come from one reading of the rows, whose points are made once."""
+    plan = checks_plan.dq10_validate_pose(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1 and plan.count("transform(sequence") == 1
