@@ -30,8 +30,8 @@ from loomtrack.llm.common import small_batches
 FACTOR, POWER, ENDINGS = 1, 0.4, 31
 #: Words before a token that predict it, length of vectors, noise classes and noise words in a class that the tokens of a step share, learning rate, rounds of averaging.
 ORDER, DIMENSIONS, NOISE, NOISE_WORDS, RATE, ROUNDS = 3, 24, 16, 4, 0.1, 3
-#: Tokens of a step; with fewer training tokens than SMALL steps are smaller and passes are repeated.
-BATCH, SMALL = 8192, 4_000_000
+#: Tokens of a step: FIRST at the start of a task, then a share (PACE) of those it has followed, up to BATCH. The same for any corpus.
+FIRST, PACE, BATCH = 512, 16, 8192
 #: Words, the most frequent ones, whose counts every worker holds (a few MB); the others' counts are joined.
 HEAD = 200_000
 SMOOTH = 0.1
@@ -269,13 +269,15 @@ def _texts_tokens(texts: list[str | None], vocabulary: Vocabulary, codes: _Codes
         yield vocabulary.tokens(np.fromiter(map(codes.__getitem__, words), np.int64, len(words)), numbers)
 
 
+def step_size(followed: int) -> int:
+    """Tokens of a task's next step after ``followed`` tokens."""
+    return min(BATCH, max(FIRST, followed // PACE))
+
+
 def _trained(docs: DataFrame, vocabulary: Vocabulary, net: Net, rate: float, text: str) -> np.ndarray | None:
     """The parameters after every task has followed its documents, averaged by tokens; none without documents."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, net))
-    small = vocabulary.n < SMALL
-    repeat = min(64, ceil(SMALL / max(vocabulary.n, 1))) if small else 1
-    batch_size = BATCH // 16 if small else BATCH
     columns = [f"v{k}" for k in range(DIMENSIONS + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +289,7 @@ def _trained(docs: DataFrame, vocabulary: Vocabulary, net: Net, rate: float, tex
 
         def follow(parts: list[np.ndarray]) -> None:
             contexts, tokens = np.concatenate([_contexts(t, end) for t in parts]), np.concatenate(parts)
-            steps = max(1, len(tokens) // batch_size)
+            steps = max(1, len(tokens) // step_size(seen - len(tokens)))
             for c, t in zip(np.array_split(contexts, steps), np.array_split(tokens, steps)):
                 trainer.step(c, t, rate)
 
@@ -296,10 +298,10 @@ def _trained(docs: DataFrame, vocabulary: Vocabulary, net: Net, rate: float, tex
                 held.append(t)
                 waiting += len(t)
                 seen += len(t)
-                if waiting >= 8 * batch_size and not small:
+                if waiting >= 8 * step_size(seen - waiting):
                     follow(held)
                     held, waiting = [], 0
-        for _ in range(repeat if held else 0):
+        if held:
             follow(held)
         if seen:
             found = net.parameters().astype(np.float64) * seen
