@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from itertools import groupby
 from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -23,11 +24,33 @@ class Fold:
         return []
 
 
+def _plain(column: pa.Array) -> list:
+    """Python values of a column, by numpy where it can: ``to_pylist`` makes an object for each value on the way."""
+    kind = column.type
+    if pa.types.is_list(kind):
+        inner = _plain(column.flatten())
+        sizes, out, at = _plain(pc.list_value_length(column)), [], 0
+        for n in sizes:
+            out.append(None if n is None else inner[at : at + n])
+            at += n or 0
+        return out
+    if pa.types.is_string(kind) or pa.types.is_binary(kind):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    if not (pa.types.is_integer(kind) or pa.types.is_floating(kind) or pa.types.is_boolean(kind)):
+        return column.to_pylist()
+    if not column.null_count:
+        return column.to_numpy(zero_copy_only=False).tolist()
+    values = pc.fill_null(column, pa.scalar(0).cast(kind)).to_numpy(zero_copy_only=False).tolist()
+    for k in np.flatnonzero(column.is_null().to_numpy(zero_copy_only=False)).tolist():
+        values[k] = None
+    return values
+
+
 def _values(column: pa.Array) -> list:
     """Python values of a column; NaN counts as null."""
     if pa.types.is_floating(column.type):
         column = pc.if_else(pc.is_nan(column), None, column)
-    return column.to_pylist()
+    return _plain(column)
 
 
 def fold_frames(rows: DataFrame, keys: list[str], step: list[str], columns: list[str], make: Callable[[], Fold], schema: str) -> DataFrame:
