@@ -18,53 +18,95 @@ CONTACT, CANDIDATE, UNCLEAR, SWITCH, FORGET = 0.08, 0.28, 0.08, 0.18, 3.0
 LEAST_PAIR, LEAST_SAME, LEAST_NEW = 0.25, 0.30, 0.42
 WEIGHTS = {"proximity": 0.35, "overlap": 0.20, "contact": 0.15, "motion": 0.15, "pick": 0.05, "previous": 0.10}
 FULL_CONTACT = 0.15
+#: Frames after which pairs that are long out of sight are dropped.
+SWEEP = 256
 MOVING, TOGETHER, CARRY_DISTANCE, DROP_SCORE, RESTING = 0.005, 0.35, 0.14, 0.20, 0.03
 SECONDS = {"pickup_candidate": 0.05, "picked": 0.15, "carried": 0.25, "drop_candidate": 0.05, "dropped": 0.20}
 
 
+def best_pairs(gains: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
+    """The pairs of positive gain of largest total, by connected group: the best pair of a star (ties: the smaller ids), else the solver's."""
+    near: dict[tuple[str, int], list] = {}
+    for (p, q), g in gains.items():
+        if g > 0:
+            near.setdefault(("p", p), []).append(("q", q))
+            near.setdefault(("q", q), []).append(("p", p))
+    out, seen = [], set()
+    for start in near:
+        if start in seen:
+            continue
+        seen.add(start)
+        group = [start]
+        for node in group:
+            for other in near[node]:
+                if other not in seen:
+                    seen.add(other)
+                    group.append(other)
+        parcels, persons = (sorted(k for side, k in group if side == s) for s in "pq")
+        if len(parcels) == 1 or len(persons) == 1:
+            out.append(max(((p, q) for p in parcels for q in persons), key=lambda pair: (gains[pair], -pair[0], -pair[1])))
+        else:
+            gain = np.array([[max(0.0, gains.get((p, q), 0.0)) for q in persons] for p in parcels])
+            out += [(parcels[i], persons[j]) for i, j in _solve(gain)]
+    return sorted(out)
+
+
 class Matching(Fold):
     """Parcels and persons of a source matched one to one, frame by frame; keeps contacts and each parcel's last operator."""
 
-    def __init__(self):
-        self.since: dict[tuple[int, int], list] = {}  # of a pair: contact since, separation since
-        self.operator: dict[int, int] = {}
+    def __init__(self, pairs: dict[tuple[int, int], list] | None = None, operators: dict[int, int] | None = None):
+        """``pairs`` and ``operators``: what ``open_pairs`` and ``operator`` were after an earlier frame."""
+        self.since = {pair: [*times, 0] for pair, times in (pairs or {}).items()}  # of a pair: contact since, separation since, the step it was last seen in
+        self.operator: dict[int, int] = dict(operators or {})
+        self.step, self.now, self.last = 0, 0.0, list(self.since)  # of the frame before: number, time and pairs
+
+    def open_pairs(self) -> dict[tuple[int, int], list]:
+        """Contact since and separation since of each pair that is not forgotten."""
+        return {pair: times[:2] for pair, times in self.since.items() if not (times[2] < self.step and self.now - times[1] > FORGET)}
+
+    def _forgotten(self, times: list) -> bool:
+        """Whether the pair was out of sight in the frame before, apart for longer than ``FORGET``."""
+        return times[2] < self.step - 1 and self.now - times[1] > FORGET
 
     def frame(self, rows: list[tuple]) -> list[tuple]:
         """``rows``: (time, parcel, person, distance, overlap, motion, pick, doubt); null parcel or person where there is none."""
-        now = rows[0][0]
-        pairs = {}
+        now, since = rows[0][0], self.since
+        self.step += 1
+        if now < self.now or self.step % SWEEP == 0:  # while time goes on, the frame before is enough to tell
+            for pair in [pair for pair, times in since.items() if self._forgotten(times)]:
+                del since[pair]
+        near: dict[int, dict[int, tuple]] = {}
+        here = []
         for _, parcel, person, distance, overlap, motion, pick, doubt in rows:
             if parcel is None or person is None:
                 continue
-            times = self.since.setdefault((parcel, person), [None, None])
+            pair = parcel, person
+            here.append(pair)
+            times = since.get(pair)
+            if times is None or self._forgotten(times):
+                times = since[pair] = [None, None, self.step]
             touching = distance <= CONTACT
-            times[:] = [now if times[0] is None else times[0], None] if touching else [None, now if times[1] is None else times[1]]
-            held, apart = (now - t if t is not None else 0.0 for t in times)
+            times[:] = (now if times[0] is None else times[0], None, self.step) if touching else (None, now if times[1] is None else times[1], self.step)
             same = self.operator.get(parcel) == person
-            parts = {"proximity": max(0.0, 1 - distance / CANDIDATE), "overlap": float(overlap), "contact": min(held / FULL_CONTACT, 1.0), "motion": motion, "pick": float(pick), "previous": float(same)}
-            score = min(1.0, sum(WEIGHTS[k] * v for k, v in parts.items()))
-            pairs[parcel, person] = (score, distance, overlap, touching, held, apart, motion, doubt, same)
-        for pair, times in list(self.since.items()):
-            if pair not in pairs:
-                times[:] = [None, now if times[1] is None else times[1]]
-                if now - times[1] > FORGET:
-                    del self.since[pair]
-        near = {p: v for p, v in pairs.items() if v[1] <= CANDIDATE or v[8] or v[2]}
-        if not near:
-            return []
-        parcels, persons = sorted({p for p, _ in near}), sorted({q for _, q in near})
-        gain = np.zeros((len(parcels), len(persons)))
-        for (p, q), v in near.items():
-            gain[parcels.index(p), persons.index(q)] = max(0.0, v[0] - LEAST_PAIR)
+            if distance <= CANDIDATE or same or overlap:
+                held, apart = (now - times[0], 0.0) if touching else (0.0, now - times[1])
+                parts = (
+                    WEIGHTS["proximity"] * max(0.0, 1 - distance / CANDIDATE), WEIGHTS["overlap"] * float(overlap), WEIGHTS["contact"] * min(held / FULL_CONTACT, 1.0),
+                    WEIGHTS["motion"] * motion, WEIGHTS["pick"] * float(pick), WEIGHTS["previous"] * float(same),
+                )
+                near.setdefault(parcel, {})[person] = (min(1.0, sum(parts)), distance, overlap, touching, held, apart, motion, doubt, same)
+        for pair in self.last:
+            times = since[pair]
+            if times[2] != self.step:
+                times[:2] = None, now if times[1] is None else times[1]
+        self.last, self.now = here, now
         out = []
-        alone = len(near) == 1  # the common case needs no solver
-        for i, j in ([(0, 0)] if gain[0, 0] > 0 else []) if alone else sorted(_solve(gain)):
-            parcel, person = parcels[i], persons[j]
-            score, distance, overlap, touching, held, apart, motion, doubt, same = near[parcel, person]
-            rival = max((v[0] for (p, q), v in near.items() if p == parcel and q != person), default=None)
+        for parcel, person in best_pairs({(p, q): v[0] - LEAST_PAIR for p, of in near.items() for q, v in of.items()}):
+            score, distance, overlap, touching, held, apart, motion, doubt, same = near[parcel][person]
+            rival = max((v[0] for q, v in near[parcel].items() if q != person), default=None)
             close = rival is not None and score - rival < UNCLEAR
             before = self.operator.get(parcel)
-            blocked = before not in (None, person) and (parcel, before) in near and score < near[parcel, before][0] + SWITCH
+            blocked = before not in (None, person) and before in near[parcel] and score < near[parcel][before][0] + SWITCH
             reliable = score >= (LEAST_SAME if same else LEAST_NEW) and not (close or doubt or blocked)
             if reliable and (touching or before in (None, person)):
                 self.operator[parcel] = person
