@@ -53,20 +53,20 @@ def dq11_validate_labels(spark, sf):
     return labels.validate_labels(labels.parse_yolo_labels(_obs(spark, sf).withColumn("line", line)), 2).groupBy("session_id", F.array_join("errors", ",").alias("errors")).agg(F.count("*").alias("n"))
 
 
-def _wrists(spark, sf):
+def wrists_of(obs):
     none = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("v"))
     left = F.struct((F.col("x1") + 4).alias("x"), (F.col("y1") + 5).alias("y"), F.when(F.col("frame_index") % 3 > 0, 0.9).otherwise(0.0).alias("v"))
     right = F.struct((F.col("x2") / 640).alias("x"), (F.col("y2") / 360).alias("y"), F.when(F.col("frame_index") % 4 > 0, 0.9).otherwise(0.0).alias("v"))
-    return interactions.person_wrists(_obs(spark, sf).where("class_name = 'person'").withColumn("keypoints", F.array(*[none] * 9, left, right)))
+    return interactions.person_wrists(obs.where("class_name = 'person'").withColumn("keypoints", F.array(*[none] * 9, left, right)))
 
 
 def pf12_person_wrists(spark, sf):
-    return _wrists(spark, sf).withColumns({"wx": F.round("wx", 6), "wy": F.round("wy", 6)})
+    return wrists_of(_obs(spark, sf)).withColumns({"wx": F.round("wx", 6), "wy": F.round("wy", 6)})
 
 
 def jn2_parcel_person_pairs(spark, sf):
     obs = _obs(spark, sf)
-    out = interactions.parcel_person_pairs(obs.where("class_name = 'parcel'"), obs.where("class_name = 'person'"), _wrists(spark, sf), 734.3)
+    out = interactions.parcel_person_pairs(obs.where("class_name = 'parcel'"), obs.where("class_name = 'person'"), wrists_of(obs), 734.3)
     return out.withColumn("distance", F.round("distance", 6))
 
 
