@@ -8,35 +8,37 @@ from pyspark.sql import functions as F
 from loomtrack.operators.keyed import Fold, fold_frames
 
 
-def _iou(a, b) -> float:
-    w, h = max(0.0, min(a[2], b[2]) - max(a[0], b[0])), max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
-    area = lambda r: max(1.0, (r[2] - r[0]) * (r[3] - r[1]))
-    return w * h / (area(a) + area(b) - w * h + 1e-6)
-
-
 class _Greedy(Fold):
-    """Live tracks of one source and epoch: class, box and frames without a match."""
+    """Live tracks of one source and epoch, by class: box, area and the step they were last seen in, the longest unseen first."""
 
     def __init__(self, least: float, misses: int):
-        self.least, self.misses, self.live, self.fresh = least, misses, {}, 1
+        self.least, self.misses, self.live, self.fresh, self.step = least, misses, {}, 1, 0
 
     def frame(self, rows: list[tuple]) -> list[tuple]:
-        pairs = sorted(((s, t, k) for k, r in enumerate(rows) for t, v in self.live.items() if v[0] == r[1] and (s := _iou(v[1], r[2:])) >= self.least), reverse=True)
+        self.step += 1
+        for tracks in self.live.values():
+            while tracks and tracks[t := next(iter(tracks))][5] < self.step - self.misses - 1:
+                del tracks[t]
+        least, pairs = self.least, []
+        areas = [max(1.0, (x2 - x1) * (y2 - y1)) for _, _, x1, y1, x2, y2 in rows]
+        for k, (_, name, x1, y1, x2, y2) in enumerate(rows):
+            for t, (a1, b1, a2, b2, area, _) in self.live.get(name, {}).items():
+                w, h = (a2 if a2 < x2 else x2) - (a1 if a1 > x1 else x1), (b2 if b2 < y2 else y2) - (b1 if b1 > y1 else y1)
+                shared = w * h if w > 0 and h > 0 else 0.0
+                if (shared or least <= 0) and (s := shared / (area + areas[k] - shared + 1e-6)) >= least:
+                    pairs.append((s, t, k))
         used, given = set(), {}
-        for _, t, k in pairs:
+        for _, t, k in sorted(pairs, reverse=True):
             if t not in used and k not in given:
                 used.add(t)
                 given[k] = t
-        for k in range(len(rows)):
+        for k, (_, name, *box) in enumerate(rows):
             if k not in given:
                 given[k] = self.fresh
                 self.fresh += 1
-        for t in [t for t in self.live if t not in used]:
-            self.live[t][2] += 1
-            if self.live[t][2] > self.misses:
-                del self.live[t]
-        for k, t in given.items():
-            self.live[t] = [rows[k][1], rows[k][2:], 0]
+            tracks = self.live.setdefault(name, {})
+            tracks.pop(given[k], None)
+            tracks[given[k]] = (*box, areas[k], self.step)
         return [(r[0], given[k]) for k, r in enumerate(rows)]
 
 
