@@ -56,7 +56,7 @@ def evaluate_handoffs(pairs: DataFrame, tracklets: DataFrame, edges: DataFrame,
     """
     candidates = replay_candidates(pairs, tracklets, edges, zones, vectors, heads)
     tagged = candidates.withColumns({c: F.concat_ws("|", "head", "edge", f"{c}_tracklet_id") for c in ("out", "in")})
-    judged = judge_candidates(tagged, "out", "in", "score", least, margin).select("in", F.col("out").alias("chosen_out"), "ambiguous")
+    judged = judge_candidates(tagged, "out", "in", "score", least, margin, "session_id").select("in", F.col("out").alias("chosen_out"), "ambiguous")
     positives = pairs.where("label = 'POSITIVE'").select("session_id", "edge", "in_tracklet_id", "out_tracklet_id").distinct()
     episodes = positives.select("session_id", "edge", "in_tracklet_id").distinct().withColumn("head", F.explode(F.array(*map(F.lit, heads)))).withColumn("in", F.concat_ws("|", "head", "edge", "in_tracklet_id"))
     wanted = positives.withColumn("head", F.explode(F.array(*map(F.lit, heads)))).select(F.concat_ws("|", "head", "edge", "in_tracklet_id").alias("in"), F.concat_ws("|", "head", "edge", "out_tracklet_id").alias("chosen_out"), F.lit(True).alias("right"))

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtrack.functions.shared import dimension, shared_dir, written
 from loomtrack.operators import matching
-from loomtrack.operators.graph import connected_components
+from loomtrack.operators.graph import connected_components, contracted
+from loomtrack.operators.keyed import Fold, fold_frames
 
 MIN_SCORE, MARGIN = 0.48, 0.08
 #: Seconds in a bucket of the transit range join.
@@ -155,37 +155,44 @@ def _solve(gain: np.ndarray) -> list[tuple[int, int]]:
     return [(int(match[j]) - 1, j - 1) for j in range(1, m + 1) if match[j] - 1 < n and gain[match[j] - 1, j - 1] > 0]
 
 
-def assign_one_to_one(scored: DataFrame, left: str, right: str, score: str = "score", least: float = MIN_SCORE, margin: float = MARGIN) -> DataFrame:
+def assign_one_to_one(scored: DataFrame, left: str, right: str, score: str = "score", least: float = MIN_SCORE, margin: float = MARGIN, near: str | None = None) -> DataFrame:
     """(left, right, score, ambiguous): the best one-to-one matching of a table of candidate pairs (GR4, GR5)."""
-    return judge_candidates(scored, left, right, score, least, margin).where("chosen").drop("chosen")
+    return judge_candidates(scored, left, right, score, least, margin, near).where("chosen").drop("chosen")
 
 
-def judge_candidates(scored: DataFrame, left: str, right: str, score: str = "score", least: float = MIN_SCORE, margin: float = MARGIN) -> DataFrame:
+class _Contest(Fold):
+    """The candidates of one connected group, matched."""
+
+    def __init__(self, least: float, margin: float):
+        self.least, self.margin = least, margin
+
+    def frame(self, rows: list[tuple]) -> list[tuple]:
+        return matching.assign(rows, self.least, self.margin)
+
+
+def judge_candidates(scored: DataFrame, left: str, right: str, score: str = "score", least: float = MIN_SCORE, margin: float = MARGIN, near: str | None = None) -> DataFrame:
     """(left, right, score, chosen, ambiguous): the matched pairs, and the best candidate of each right id that is ambiguous without a match.
 
     The objective is separable, so connected groups of candidates are solved apart: a lone
-    pair by a filter, the others each by ``matching.assign`` in a grouped-map call, which holds a group's candidate list. A group is as
-    large as the set of tracklets that compete for each other, not as the session.
+    pair by a filter, the others each by ``matching.assign`` as they stream by in order, which holds a group's candidate list. A group is as
+    large as the set of tracklets that compete for each other, not as the session. ``near``: a column that candidates of a group mostly share; it
+    changes no result, but lets a task contract most of a group before the groups are joined.
     """
-    edges = written(scored.where(F.col(score) >= least).groupBy(F.col(left).alias("l"), F.col(right).alias("r")).agg(F.max(score).alias("s")), "assign-edges")
+    place = F.xxhash64(near) if near else F.lit(0).cast("long")
+    pairs = written(scored.select(F.col(left).alias("l"), F.col(right).alias("r"), F.col(score).alias("s"), place.alias("near")), "assign-pairs")  # no filter works a score out again
+    edges = written(pairs.where(F.col("s") >= least).groupBy("l", "r").agg(F.max("s").alias("s"), F.min("near").alias("near")), "assign-edges")
     degree = lambda c: edges.groupBy(c).agg(F.count("*").alias(f"n{c}")).hint("merge")
     counted = written(edges.join(degree("l"), "l").join(degree("r"), "r"), "assign-degrees")
     alone = counted.where("nl = 1 AND nr = 1").select("l", "r", "s", F.lit(True).alias("chosen"), F.lit(False).alias("ambiguous"))
-    contested = counted.where("nl > 1 OR nr > 1").select("l", "r", "s")
+    contested = counted.where("nl > 1 OR nr > 1").select("l", "r", "s", "near")
     if contested.isEmpty():
         return alone.toDF(left, right, score, "chosen", "ambiguous")
-    parts = connected_components(contested.select(F.concat(F.lit("l:"), "l").alias("a"), F.concat(F.lit("r:"), "r").alias("b")), "a", "b")
+    links = (contested.repartition(4 * contested.sparkSession.sparkContext.defaultParallelism, "near") if near else contested).select(F.concat(F.lit("l:"), "l").alias("a"), F.concat(F.lit("r:"), "r").alias("b"))
+    parts = connected_components(contracted(links, "a", "b"), "a", "b")
     grouped = contested.withColumn("id", F.concat(F.lit("l:"), "l")).join(parts.hint("merge"), "id").drop("id")
     kinds = {c: edges.schema[c].dataType.simpleString() for c in ("l", "r")}
-
-    def solve(table: pa.Table) -> pa.Table:
-        rows = matching.assign(list(zip(*(table[c].to_pylist() for c in ("l", "r", "s")))), least, margin)
-        columns = list(zip(*rows)) if rows else [()] * 5
-        types = [table.schema.field("l").type, table.schema.field("r").type, pa.float64(), pa.bool_(), pa.bool_()]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], ["l", "r", "s", "chosen", "ambiguous"])
-
-    several = grouped.select("component", "l", "r", "s").groupBy("component").applyInArrow(solve, f"l {kinds['l']}, r {kinds['r']}, s double, chosen boolean, ambiguous boolean")
-    return alone.unionByName(several).toDF(left, right, score, "chosen", "ambiguous")
+    several = fold_frames(grouped, ["component"], [], ["l", "r", "s"], lambda: _Contest(least, margin), f"l_ {kinds['l']}, r_ {kinds['r']}, s_ double, chosen boolean, ambiguous boolean")
+    return alone.unionByName(several.drop("component").toDF("l", "r", "s", "chosen", "ambiguous")).toDF(left, right, score, "chosen", "ambiguous")
 
 
 def topology_rank(edges: DataFrame) -> DataFrame:
@@ -251,8 +258,8 @@ def decide_wave(wave: DataFrame, tracklets: DataFrame, current: DataFrame, edges
     """The decisions on the tracklets ``wave``, none of which leads to another, where ``current`` (tracklet_id, parcel_id) says who holds which parcel; written."""
     holders = tracklets.join(current.select("tracklet_id").hint("merge"), "tracklet_id")
     gated = handoff_gates(holders, wave, edges, zones).where("accepted")
-    scored = written(handoff_score(with_reid(gated, vectors) if vectors is not None else gated).select("out_tracklet_id", "in_tracklet_id", "score"), "handoffs-scored")
-    judged = written(judge_candidates(scored, "out_tracklet_id", "in_tracklet_id", "score", least, margin), "handoffs-judged")
+    scored = written(handoff_score(with_reid(gated, vectors) if vectors is not None else gated).select("session_id", "out_tracklet_id", "in_tracklet_id", "score"), "handoffs-scored")
+    judged = written(judge_candidates(scored, "out_tracklet_id", "in_tracklet_id", "score", least, margin, "session_id"), "handoffs-judged")
     status = F.when(F.col("ambiguous"), "AMBIGUOUS").otherwise("MATCHED")
     found = judged.join(current.select(F.col("tracklet_id").alias("out_tracklet_id"), "parcel_id").hint("merge"), "out_tracklet_id").select(F.col("in_tracklet_id").alias("tracklet_id"), F.when(~F.col("ambiguous"), F.col("parcel_id")).alias("parcel_id"), status.alias("status"), F.col("out_tracklet_id").alias("from_tracklet_id"), "score")
     seen = scored.groupBy(F.col("in_tracklet_id").alias("tracklet_id")).agg(F.sort_array(F.collect_list(F.struct(F.col("out_tracklet_id").alias("from_id"), "score"))).alias("seen"))  # those in one transit window

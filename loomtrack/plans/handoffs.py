@@ -88,7 +88,7 @@ def pf15_ingress_roles(spark, sf):
 
 
 def gr4_assign_one_to_one(spark, sf):
-    return ops.assign_one_to_one(ops.handoff_score(_gated(spark, sf).where("accepted")), "out_tracklet_id", "in_tracklet_id")
+    return ops.assign_one_to_one(ops.handoff_score(_gated(spark, sf).where("accepted")), "out_tracklet_id", "in_tracklet_id", near="session_id")
 
 
 def gr6_resolve_handoffs(spark, sf):
