@@ -17,8 +17,10 @@ def replay_candidates(pairs: DataFrame, tracklets: DataFrame, edges: DataFrame,
     """(head, session_id, edge, out_tracklet_id, in_tracklet_id, label, reid, score): all candidates of the episodes, scored under each head; written.
 
     ``pairs``: (session_id, edge, out_tracklet_id, in_tracklet_id, label), labels POSITIVE and HARD_NEGATIVE. An episode is an incoming tracklet with a positive; it meets every
-    outgoing tracklet of its session and edge that passes the gates, labelled or not. Vectors are projected once for each head, and only those in use.
+    outgoing tracklet of its session and edge that passes the gates, labelled or not. Vectors are projected once for each head, and only those in use. ``pairs`` are read
+    five times, so they are written first.
     """
+    pairs = written(pairs, "evaluation-pairs")
     positive = pairs.where("label = 'POSITIVE'")
     outs = pairs.select("session_id", "edge", "out_tracklet_id").distinct()
     ins = positive.select("session_id", "edge", "in_tracklet_id").distinct()
@@ -54,6 +56,7 @@ def evaluate_handoffs(pairs: DataFrame, tracklets: DataFrame, edges: DataFrame,
     All heads are matched in one pass, each session and edge apart, as ids carry the head and the edge. An episode without a candidate counts as one. No
     pairs: no rows.
     """
+    pairs = written(pairs, "evaluation-pairs")
     candidates = replay_candidates(pairs, tracklets, edges, zones, vectors, heads)
     tagged = candidates.withColumns({c: F.concat_ws("|", "head", "edge", f"{c}_tracklet_id") for c in ("out", "in")})
     judged = judge_candidates(tagged, "out", "in", "score", least, margin, "session_id").select("in", F.col("out").alias("chosen_out"), "ambiguous")

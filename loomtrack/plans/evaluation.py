@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from loomtrack.functions.shared import written
 from loomtrack.operators import evaluation, handoffs
 from loomtrack.plans.handoffs import _MINED, _gated, _tracklets
 from loomtrack.sources import fixtures as fx
@@ -20,8 +21,10 @@ def _heads():
 
 def _pairs(spark, sf):
     scored = handoffs.handoff_score(_gated(spark, sf).where("accepted")).withColumns({c: F.round(c, 6) for c in ("score", "physical_score", "temporal", "dimensions")})
+    used = ("session_id", "out_tracklet_id", "in_tracklet_id", "to_role", "out_integrity_status", "in_integrity_status", "temporal", "zone", "dimensions", "integrity", "physical_score", "score")
+    scored = written(scored.select(*used, F.concat_ws(">", "from_role", "to_role").alias("edge")), "evaluation-scored")  # mined, and read again for the names
     mined = handoffs.mine_pairs(scored)
-    names = scored.select("session_id", "out_tracklet_id", "in_tracklet_id", F.concat_ws(">", "from_role", "to_role").alias("edge"))
+    names = scored.select("session_id", "out_tracklet_id", "in_tracklet_id", "edge")
     return mined.join(names.hint("merge"), ["out_tracklet_id", "in_tracklet_id"]).select("session_id", "edge", "out_tracklet_id", "in_tracklet_id", "label")
 
 
