@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtrack.functions.shared import dimension
+from loomtrack.functions.shared import dimension, written
 from loomtrack.functions.geometry import FRAME, TRACK, centre_x, centre_y, half_even, iou, track_window
 
 
@@ -231,8 +233,23 @@ def sample_groups(signals: DataFrame, frames: DataFrame, bucket_s: float = 0.25,
     return chosen.join(own.hint("merge"), ["session_id", "source_id", "frame_index"], "left").select("session_id", "bucket", "anchor_time", "source_id", "frame_index", "reasons", F.greatest("anchor_score", F.coalesce("own", F.lit(0.0))).alias("group_score"))
 
 
+#: Rows of identity records that one task sorts.
+RECORDS = 500_000
+
+
+def _by_identity(records: DataFrame) -> DataFrame:
+    """The records, written once and dealt by true identity into as many parts as their number asks for, so that a task's share does not grow with the table."""
+    rows = written(records.select("session_id", "source_id", "stream_epoch", "frame_index", "truth_id", "given_id"), "identity-records")
+    least = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, ceil(rows.count() / RECORDS)), "session_id", "source_id", "truth_id")
+
+
 def identity_metrics(records: DataFrame) -> DataFrame:
     """(session_id, source_id, fragmentations, switches): AG9 over rows with a true and a given id."""
+    return _identity_metrics(_by_identity(records))
+
+
+def _identity_metrics(records: DataFrame) -> DataFrame:
     w = Window.partitionBy("session_id", "source_id", "truth_id").orderBy("stream_epoch", "frame_index")
     each = records.withColumn("switched", F.coalesce((F.col("given_id") != F.lag("given_id").over(w)).cast("long"), F.lit(0)))
     per = each.groupBy("session_id", "source_id", "truth_id").agg((F.countDistinct("given_id") - 1).alias("fragmentations"), F.sum("switched").alias("switches"))
@@ -241,7 +258,8 @@ def identity_metrics(records: DataFrame) -> DataFrame:
 
 def replay_report(raw: DataFrame, canonical: DataFrame) -> DataFrame:
     """One row of tracks, fragmentations and switches of raw and canonical ids (AG10); both hold rows with a true and a given id."""
-    total = lambda rows, p: identity_metrics(rows).agg(F.sum("fragmentations").alias(f"{p}_fragmentations"), F.sum("switches").alias(f"{p}_switches"))
+    raw, canonical = _by_identity(raw), _by_identity(canonical)
+    total = lambda rows, p: _identity_metrics(rows).agg(F.sum("fragmentations").alias(f"{p}_fragmentations"), F.sum("switches").alias(f"{p}_switches"))
     tracks = lambda rows, p: rows.agg(F.countDistinct("session_id", "source_id", "given_id").alias(f"{p}_tracks"))
     return total(raw, "raw").crossJoin(total(canonical, "canonical")).crossJoin(tracks(raw, "raw")).crossJoin(tracks(canonical, "canonical"))  # one row each
 
