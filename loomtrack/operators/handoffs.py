@@ -61,7 +61,7 @@ def handoff_gates(outgoing: DataFrame, incoming: DataFrame, edges: DataFrame, zo
     })
     checks = (("IDENTITY_NOT_USABLE", ~F.col("identity_usable")), ("NOT_AN_EXIT", is_so(F.col("out_kind") != "exit")), ("NOT_AN_ENTRY", is_so(F.col("in_kind") != "entry")), ("WORLD_TOO_FAR", is_so(F.col("world_distance_m") > F.col("world_limit_m"))))
     reason = F.coalesce(*(F.when(fails, name) for name, fails in checks))
-    pairs = pairs.drop("bucket", "max_speed_m_s").withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
+    pairs = pairs.withColumnRenamed("bucket", "in_bucket").drop("max_speed_m_s").withColumn("reason", reason).withColumn("accepted", F.col("reason").isNull())
     return pairs.withColumn("world", F.when(F.col("world_limit_m") > 0, F.greatest(F.lit(0.0), 1 - F.col("world_distance_m") / F.col("world_limit_m"))))
 
 

@@ -17,8 +17,8 @@ def _tables(spark, sf):
     """Tracklets of the first camera hold a parcel each; every later one with two or more scored candidates is a hypothesis."""
     base = fx.view(spark, sf, "tracklets")
     gated = handoffs.handoff_gates(base, base, fx.edges(spark), fx.zones(spark)).where("accepted")
-    scored = handoffs.handoff_score(gated).select("session_id", "out_tracklet_id", "in_tracklet_id", F.round("score", 6).alias("score"))
-    hypotheses = written(resolutions.open_hypotheses(written(scored, "resolutions-scored")), "resolutions-hypotheses")  # both are read several times
+    scored = handoffs.handoff_score(gated).select("session_id", "to_role", "in_bucket", "out_tracklet_id", "in_tracklet_id", F.round("score", 6).alias("score"))
+    hypotheses = written(resolutions.open_hypotheses(scored, within=("to_role", "in_bucket")), "resolutions-hypotheses")  # read several times
     tracklets = base.withColumns({"camera_id": F.col("camera_role"), "parcel_id": F.when(F.col("camera_role") == "C1", F.concat(F.lit("g:"), "tracklet_id"))})
     parcels = tracklets.where("parcel_id IS NOT NULL").select("parcel_id", F.col("tracklet_id").alias("current_id"))
     return hypotheses, tracklets, parcels, fx.edges(spark)
