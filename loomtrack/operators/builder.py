@@ -26,22 +26,24 @@ def dataset_items(obs: DataFrame, tracklets: DataFrame, hashes: DataFrame, expli
     rated (DQ1), grouped (DQ2), thinned (ST9, in order of session and time); a session's split is given or filled in (DQ3). Columns of items:
     item_id, session_id, sample_group_id, split, source_id, stream_epoch, frame_index, timestamp_global, reasons, group_score, n_observations, tracklet_ids, hash, image_sha256, annotation_status.
     """
-    sessions = obs.select("session_id").distinct()
+    frames = written(obs.groupBy(*FRAME).agg(F.max("timestamp_global").alias("timestamp_global")), "dataset-times")
+    sessions = frames.select("session_id").distinct()
     given = explicit if explicit is not None else sessions.limit(0).withColumn("split", F.lit(""))
     splits = written(assign_splits(sessions, given), "dataset-splits")
-    frames = obs.groupBy(*FRAME).agg(F.max("timestamp_global").alias("timestamp_global"))
-    picked = written(sample_groups(frame_signals(obs), frames), "dataset-picked")
+    picked = written(sample_groups(written(frame_signals(obs), "dataset-signals"), frames), "dataset-picked")
     # a group names a frame by source and index; of several epochs the one nearest to the anchor is meant
     placed = picked.join(frames.hint("merge"), ["session_id", "source_id", "frame_index"])
     nearest = F.min_by(F.struct("stream_epoch", "timestamp_global"), F.struct(F.abs(F.col("timestamp_global") - F.col("anchor_time")), "stream_epoch"))
     placed = placed.groupBy(*picked.columns).agg(nearest.alias("f")).select("*", "f.stream_epoch", "f.timestamp_global").drop("f")
-    known = placed.join(hashes.select(*FRAME, "hash", "image_sha256").hint("merge"), list(FRAME)).join(collect_frames(obs, tracklets).select(*FRAME, "n_observations", "tracklet_ids").hint("merge"), list(FRAME), "left")
+    known = placed.join(hashes.select(*FRAME, "hash", "image_sha256").hint("merge"), list(FRAME))
     group = F.concat_ws(":", "session_id", F.col("bucket").cast("long"))
     rows = known.join(dimension(splits), "session_id").withColumn("sample_group_id", group)
     rows = rows.withColumns({"item_id": F.sha2(F.concat_ws("/", "sample_group_id", "source_id", "stream_epoch", "frame_index"), 256), "session_order": F.col("session_id"), "group_order": F.col("anchor_time")})
     rows = written(rows, "dataset-frames")
     groups = written(greedy_dedup(rows), "dataset-groups")
-    kept = rows.join(groups.where("kept").select("sample_group_id").hint("merge"), "sample_group_id", "left_semi")
+    kept = written(rows.join(groups.where("kept").select("sample_group_id").hint("merge"), "sample_group_id", "left_semi"), "dataset-kept")
+    seen = obs.join(dimension(kept.select(*FRAME).distinct()), list(FRAME), "left_semi")  # what was seen is collected for the frames that stay
+    kept = kept.join(collect_frames(seen, tracklets).select(*FRAME, "n_observations", "tracklet_ids").hint("merge"), list(FRAME), "left")
     columns = ["item_id", "session_id", "sample_group_id", "split", "source_id", "stream_epoch", "frame_index", "timestamp_global", "reasons", "group_score", "n_observations", "tracklet_ids", "hash", "image_sha256"]
     return kept.select(*columns, F.lit("NEEDS_REVIEW").alias("annotation_status")), groups
 

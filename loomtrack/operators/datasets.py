@@ -293,10 +293,15 @@ def greedy_dedup(items: DataFrame) -> DataFrame:
     A group goes if a frame is near a kept frame of another split, or if all its frames are
     near frames kept before it. All is done on classes of equal hashes, so copies are never paired: a group whose
     hashes are its own and near to no other stays without further work; the others are folded in order within
-    each connected set of groups and hashes, whose state is the splits of each hash.
+    each connected set of groups and hashes, whose state is the splits of each hash. Of groups with the same hashes and splits, and no frame
+    without a hash, only the first is looked at: the others go, since what it was near to, or its own frames, were kept before them.
     """
     order = ["session_order", "group_order", "sample_group_id"]
-    groups = items.groupBy("sample_group_id").agg(F.min(F.struct("session_order", "group_order")).alias("place"), F.count("*").alias("frames"))
+    same = F.when(F.count("hash") == F.count("*"), F.array_sort(F.collect_set(F.struct("hash", "split"))))
+    every = written(items.groupBy("sample_group_id").agg(F.min(F.struct("session_order", "group_order")).alias("place"), F.count("*").alias("frames"), same.alias("same")), "dedup-groups")
+    first = every.where("same IS NOT NULL").groupBy("same").agg(F.min_by(F.struct("sample_group_id", "place", "frames"), F.struct("place", "sample_group_id")).alias("g")).select("g.*")
+    groups = written(first.unionByName(every.where("same IS NULL").drop("same")), "dedup-first")
+    items = items.join(groups.select("sample_group_id").hint("merge"), "sample_group_id", "left_semi")
     held = written(items.where("hash IS NOT NULL").groupBy("sample_group_id", "split", "hash").agg(F.count("*").alias("n")), "dedup-classes")
     near = written(near_classes(held), "dedup-near")
     both = near.unionByName(near.select(F.col("hash2").alias("hash"), F.col("hash").alias("hash2")))
@@ -309,7 +314,8 @@ def greedy_dedup(items: DataFrame) -> DataFrame:
     rows = contested.withColumn("id", name("g", "sample_group_id")).join(parts.hint("merge"), "id").join(neighbours.hint("merge"), "hash", "left").join(groups.hint("merge"), "sample_group_id")
     rows = rows.select("component", "place.session_order", "place.group_order", "sample_group_id", "frames", "split", "hash", "n", "near")
     judged = fold_frames(rows, ["component"], order, ["frames", "split", "hash", "n", "near"], _Kept, "kept boolean").select("sample_group_id", "kept")
-    return groups.select("sample_group_id").join(judged.hint("merge"), "sample_group_id", "left").select("sample_group_id", F.coalesce("kept", F.lit(True)).alias("kept"))
+    stay = groups.select("sample_group_id").join(judged.hint("merge"), "sample_group_id", "left").select("sample_group_id", F.coalesce("kept", F.lit(True)).alias("kept"))
+    return every.select("sample_group_id").join(stay.hint("merge"), "sample_group_id", "left").select("sample_group_id", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
 def finalize_dataset(items: DataFrame) -> DataFrame:

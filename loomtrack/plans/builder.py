@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomtrack.functions.geometry import FRAME
+from loomtrack.functions.shared import written
 from loomtrack.operators import builder, datasets
 from loomtrack.plans.datasets import _I, _items
 from loomtrack.plans.frames import _flagged
@@ -13,7 +14,7 @@ from loomtrack.sources import fixtures as fx
 
 def _inputs(spark, sf):
     """All track observations; each frame's image is one of the embeddings' hashes, some frames were not archived, and one session is for testing."""
-    obs = _flagged(spark, sf)
+    obs = written(_flagged(spark, sf), "builder-observations")  # read several times
     hashed = fx.vectors(spark, sf).select("vec_id", datasets.mean_threshold_hash("embedding").alias("hash"))
     frames = obs.select(*FRAME).distinct().where("frame_index % 29 <> 0").withColumn("vec_id", (F.col("frame_index") * 7 + F.crc32(F.concat("session_id", "source_id").cast("binary"))) % F.lit(hashed.count()))
     hashes = frames.join(hashed, "vec_id").select(*FRAME, "hash", F.sha2(F.col("hash").cast("string"), 256).alias("image_sha256"))
