@@ -43,10 +43,11 @@ def filter_by_pipeline(dets: DataFrame, parcel_roles: list[str], pose_roles: lis
 
 def frame_overlap(obs: DataFrame) -> DataFrame:
     """(frame, max_overlap): the largest IoU of two different tracks in a frame; 0 for a lone track."""
-    return obs.select(*FRAME).distinct().join(_overlaps(obs), list(FRAME), "left").select(*FRAME, F.coalesce("max_overlap", F.lit(0.0)).alias("max_overlap"))
+    return obs.select(*FRAME).distinct().join(overlaps(obs), list(FRAME), "left").select(*FRAME, F.coalesce("max_overlap", F.lit(0.0)).alias("max_overlap"))
 
 
-def _overlaps(obs: DataFrame) -> DataFrame:
+def overlaps(obs: DataFrame) -> DataFrame:
+    """As ``frame_overlap``, without frames of a lone track."""
     side = lambda p: obs.select(*FRAME, F.col("local_track_id").alias(f"{p}id"), *(F.col(c).alias(f"{p}{c}") for c in ("x1", "y1", "x2", "y2")))
     return side("a_").join(side("b_"), list(FRAME)).where("a_id < b_id").groupBy(*FRAME).agg(F.max(iou("a_", "b_")).alias("max_overlap"))
 
@@ -69,10 +70,11 @@ def frame_counts(obs: DataFrame) -> DataFrame:
     ``count_change`` is against the source's frame before (0 for its first); every 12th frame
     of a source, from the first, is a control frame.
     """
-    return _changes(obs.groupBy(*FRAME).agg(F.max("timestamp_global").alias("timestamp_global"), F.count("*").alias("n_instances")))
+    return changes(obs.groupBy(*FRAME).agg(F.max("timestamp_global").alias("timestamp_global"), F.count("*").alias("n_instances")))
 
 
-def _changes(frames: DataFrame) -> DataFrame:
+def changes(frames: DataFrame) -> DataFrame:
+    """``frames`` with ``n_instances``, and with ``count_change`` and ``is_control``."""
     w = Window.partitionBy("session_id", "source_id").orderBy("stream_epoch", "frame_index")
     return frames.withColumn("count_change", F.coalesce(F.abs(F.col("n_instances") - F.lag("n_instances").over(w)), F.lit(0))).withColumn("is_control", (F.row_number().over(w) - 1) % 12 == 0)
 
@@ -191,7 +193,7 @@ def frame_signals(obs: DataFrame) -> DataFrame:
     ``obs`` has ``is_ambiguous`` and ``is_endpoint``. Frames without a reason are left out.
     """
     each = obs.groupBy(*FRAME).agg(F.max("timestamp_global").alias("timestamp_global"), F.count("*").alias("n_instances"), F.bool_or("is_ambiguous").alias("ambiguous"), F.min("confidence").alias("least"), F.bool_or("is_endpoint").alias("endpoint"))
-    joined = _changes(each).join(_overlaps(obs).hint("merge"), list(FRAME), "left").withColumn("max_overlap", F.coalesce("max_overlap", F.lit(0.0)))
+    joined = changes(each).join(overlaps(obs).hint("merge"), list(FRAME), "left").withColumn("max_overlap", F.coalesce("max_overlap", F.lit(0.0)))
     rules = (
         ("ambiguous_identity", F.col("ambiguous"), F.lit(1.0)),
         ("low_confidence", F.col("least") < 0.65, 1 - F.col("least")),

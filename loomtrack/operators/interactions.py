@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtrack.functions.geometry import FRAME, iou
+from loomtrack.functions.shared import written
+from loomtrack.operators.frames import changes, overlaps
 
 
 def person_wrists(obs: DataFrame, width: float = 640.0, height: float = 360.0) -> DataFrame:
@@ -32,12 +34,32 @@ def parcel_person_pairs(parcels: DataFrame, persons: DataFrame, wrists: DataFram
 
 def temporal_matches(obs: DataFrame) -> DataFrame:
     """(frame, matched, total): detections that overlap one of their class in the source's frame before by IoU 0.2 (JN11)."""
-    order = obs.select(*FRAME).distinct().withColumn("n", F.row_number().over(Window.partitionBy("session_id", "source_id", "stream_epoch").orderBy("frame_index")))
-    rows = obs.join(order, list(FRAME))
-    keep = lambda p, n: rows.select("session_id", "source_id", "stream_epoch", n.alias("n"), *(F.col(c).alias(f"{p}{c}") for c in ("frame_index", "local_track_id", "class_name", "x1", "y1", "x2", "y2")))
-    pairs = keep("a_", F.col("n")).join(keep("b_", F.col("n") + 1), ["session_id", "source_id", "stream_epoch", "n"]).where((F.col("a_class_name") == F.col("b_class_name")) & (iou("a_", "b_") >= 0.2))
-    hit = pairs.select("session_id", "source_id", "stream_epoch", F.col("a_frame_index").alias("frame_index"), "a_local_track_id").distinct().groupBy(*FRAME).agg(F.count("*").alias("matched"))
-    return obs.groupBy(*FRAME).agg(F.count("*").alias("total")).join(hit, list(FRAME), "left").select(*FRAME, F.coalesce("matched", F.lit(0)).alias("matched"), "total")
+    total = obs.groupBy(*FRAME).agg(F.count("*").alias("total"))
+    return total.join(_matched(obs, total).hint("merge"), list(FRAME), "left").select(*FRAME, F.coalesce("matched", F.lit(0)).alias("matched"), "total")
+
+
+def _matched(obs: DataFrame, each: DataFrame) -> DataFrame:
+    """(frame, matched) where any match; ``each`` has a row for each frame. A detection is sent to the frame after its own, so that only one side of the pairs needs the order of frames."""
+    after = each.select(*FRAME, F.lead("frame_index").over(Window.partitionBy("session_id", "source_id", "stream_epoch").orderBy("frame_index")).alias("after")).where("after IS NOT NULL")
+    box = ("class_name", "x1", "y1", "x2", "y2")
+    side = lambda rows, p, *more: rows.select(*FRAME, *(F.col(c).alias(f"{p}{c}") for c in (*more, *box)))
+    before = obs.join(after.hint("merge"), list(FRAME)).withColumn("frame_index", F.col("after"))
+    pairs = side(obs, "a_", "local_track_id").join(side(before, "b_").hint("merge"), list(FRAME)).where((F.col("a_class_name") == F.col("b_class_name")) & (iou("a_", "b_") >= 0.2))
+    return pairs.select(*FRAME, "a_local_track_id").distinct().groupBy(*FRAME).agg(F.count("*").alias("matched"))
+
+
+def frame_quality(obs: DataFrame, width: float = 640.0, height: float = 360.0) -> DataFrame:
+    """(frame, n_detections, mean_conf, min_conf, least_area, most_area, count_change, max_overlap, temporal_stability): what DQ8 takes from observations.
+
+    Observations and frames are written once and read by all parts; areas are shares of the image.
+    """
+    obs = written(obs.select(*FRAME, "local_track_id", "class_name", "confidence", "x1", "y1", "x2", "y2"), "quality-observations")
+    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) / (width * height)
+    frames = obs.groupBy(*FRAME).agg(F.count("*").alias("n_instances"), F.avg("confidence").alias("mean_conf"), F.min("confidence").alias("min_conf"), F.min(area).alias("least_area"), F.max(area).alias("most_area"))
+    each = written(changes(frames).dropna(subset=list(FRAME)), "quality-frames")
+    joined = each.join(overlaps(obs).hint("merge"), list(FRAME), "left").join(_matched(obs, each).hint("merge"), list(FRAME), "left")
+    stable = F.coalesce("matched", F.lit(0)) / F.col("n_instances")
+    return joined.select(*FRAME, F.col("n_instances").alias("n_detections"), "mean_conf", "min_conf", "least_area", "most_area", "count_change", F.coalesce("max_overlap", F.lit(0.0)).alias("max_overlap"), stable.alias("temporal_stability"))
 
 
 def quality_gate(items: DataFrame) -> DataFrame:

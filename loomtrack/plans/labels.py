@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomtrack.functions.geometry import FRAME, TRACK
-from loomtrack.operators import folds, frames, interactions
+from loomtrack.operators import folds, interactions
 from loomtrack.plans.frames import COUNTS, FR, IOU, KEYS, OVERLAP
 from loomtrack.sources import fixtures as fx
 from loomtrack.sources import labels
@@ -75,10 +75,7 @@ def jn11_temporal_matches(spark, sf):
 
 
 def dq8_quality_gate(spark, sf):
-    obs = _obs(spark, sf)
-    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")) / (640 * 360)
-    each = obs.groupBy(*FRAME).agg(F.count("*").alias("n_detections"), F.avg("confidence").alias("mean_conf"), F.min("confidence").alias("min_conf"), F.min(area).alias("least_area"), F.max(area).alias("most_area"))
-    signals = each.join(frames.frame_counts(obs).select(*FRAME, "count_change"), list(FRAME)).join(frames.frame_overlap(obs), list(FRAME)).join(interactions.temporal_matches(obs).select(*FRAME, (F.col("matched") / F.col("total")).alias("temporal_stability")), list(FRAME))
+    signals = interactions.frame_quality(_obs(spark, sf))
     fixed = {"tracker_consistency": F.lit(0.9), "plausible_ratio": F.lit(1.0), "truncated_ratio": F.lit(0.0), "pose_errors": F.when(F.col("frame_index") % 50 == 0, 1)}
     return interactions.quality_gate(signals.withColumns(fixed)).select(*FRAME, "verdict")
 
