@@ -24,6 +24,10 @@ class Fold:
         return []
 
 
+#: Parts for each core where a key is a whole source, of which there are few.
+SPREAD = 32
+
+
 def _plain(column: pa.Array) -> list:
     """Python values of a column, by numpy where it can: ``to_pylist`` makes an object for each value on the way."""
     kind = column.type
@@ -53,16 +57,17 @@ def _values(column: pa.Array) -> list:
     return _plain(column)
 
 
-def fold_frames(rows: DataFrame, keys: list[str], step: list[str], columns: list[str], make: Callable[[], Fold], schema: str) -> DataFrame:
+def fold_frames(rows: DataFrame, keys: list[str], step: list[str], columns: list[str], make: Callable[[], Fold], schema: str, spread: int = 4) -> DataFrame:
     """One fold per key over ``columns``, a call for all rows that share the columns ``step``, in their order.
 
     Rows of a step come sorted by ``columns``. The result has the key, the step and what the
     fold gives; ``schema`` names the latter. A key of any length streams: no group is held
-    whole. Empty tables give empty results; null keys are keys of their own.
+    whole. Empty tables give empty results; null keys are keys of their own. ``spread``: the parts
+    for each core; many, where keys are few and long, so that hardly two of them meet in a task.
     """
     used = list(dict.fromkeys([*keys, *step, *columns]))
     session = rows.sparkSession
-    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), 4 * session.sparkContext.defaultParallelism)  # a number keeps AQE from laying few, long keys into one task
+    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), spread * session.sparkContext.defaultParallelism)  # a number keeps AQE from laying few, long keys into one task
     ordered = rows.select(*used).repartition(parts, *keys).sortWithinPartitions(*keys, *step, *[c for c in columns if c not in step])
     place = {c: k for k, c in enumerate(used)}
     at = [place[c] for c in columns]
