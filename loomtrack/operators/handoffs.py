@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import inf
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -125,10 +127,50 @@ def overflow(pending: DataFrame, most: int, group: str = "session_id", order: st
     return pending.withColumn("rank", F.row_number().over(w)).where(F.col("rank") > most).drop("rank")
 
 
+#: Left and right nodes up to which lists are faster than arrays.
+SMALL = 100
+
+
+def _solve_small(gain: list[list[float]], n: int, m: int) -> list[tuple[int, int]]:
+    """``_solve`` step by step, without arrays: the same pairs, ties included."""
+    size = n + m
+    cost = [[-g if g > 0 else 1e6 for g in row] + [0.0] * n for row in gain] + [[0.0] * size] * m
+    u, v, match = [0.0] * (size + 1), [0.0] * (size + 1), [0] * (size + 1)
+    for row in range(1, size + 1):
+        match[0], column = row, 0
+        least, way, used, free = [inf] * (size + 1), [0] * (size + 1), [0], list(range(1, size + 1))
+        while True:
+            costs, up = cost[match[column] - 1], u[match[column]]
+            nxt, delta = free[0], inf
+            for j in free:
+                slack = costs[j - 1] - up - v[j]
+                if slack < least[j]:
+                    least[j], way[j] = slack, column
+                if least[j] < delta:
+                    nxt, delta = j, least[j]
+            if delta:
+                for j in used:
+                    u[match[j]] += delta
+                    v[j] -= delta
+                for j in free:
+                    least[j] -= delta
+            column = nxt
+            if match[column] == 0:
+                break
+            used.append(column)
+            free.remove(column)
+        while column:
+            match[column] = match[way[column]]
+            column = way[column]
+    return [(match[j] - 1, j - 1) for j in range(1, m + 1) if match[j] - 1 < n and gain[match[j] - 1][j - 1] > 0]
+
+
 def _solve(gain: np.ndarray) -> list[tuple[int, int]]:
     """One-to-one pairs of largest total gain, only pairs of positive gain; shortest augmenting paths."""
     n, m = gain.shape
     size = n + m  # everyone may stay alone at gain 0
+    if size <= SMALL:
+        return _solve_small(gain.tolist(), n, m)
     cost = np.zeros((size, size))
     cost[:n, :m] = np.where(gain > 0, -gain, 1e6)
     u, v, match = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1, np.int64)

@@ -25,7 +25,7 @@ class Fold:
 
 
 #: Parts for each core where a key is a whole source, of which there are few.
-SPREAD = 32
+SPREAD = 16
 
 
 def _plain(column: pa.Array) -> list:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import hypot, inf
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from loomtrack.functions.shared import written
 from loomtrack.operators.frames import person_motion, tag_zones, track_velocity, zone_kind
 from loomtrack.operators.handoffs import _solve
 from loomtrack.operators.interactions import parcel_person_pairs
-from loomtrack.operators.keyed import Fold, fold_frames
+from loomtrack.operators.keyed import SPREAD, Fold, fold_frames
 
 # Fixed values of the rules.
 CONTACT, CANDIDATE, UNCLEAR, SWITCH, FORGET = 0.08, 0.28, 0.08, 0.18, 3.0
@@ -146,7 +148,73 @@ def interaction_matches(rows: DataFrame) -> DataFrame:
     Each source is folded in the order of its frames; only the pairs of the last seconds are
     held. ``rows`` come from ``match_input``.
     """
-    return fold_frames(rows, ["session_id", "source_id"], ["stream_epoch", "frame_index"], MATCH_INPUT, Matching, MATCHES)
+    return fold_frames(rows, ["session_id", "source_id"], ["stream_epoch", "frame_index"], MATCH_INPUT, Matching, MATCHES, SPREAD)
+
+
+PARCEL, PERSON, HAND = range(3)
+SCENE_INPUT = ["kind", "number", "timestamp_global", "x1", "y1", "x2", "y2", "vx", "vy", "step", "pick", "doubt"]
+
+
+def _beyond(low: float, v: float | None, high: float) -> float:
+    """How far ``v`` lies outside of low to high; null is no distance."""
+    if v is None or low <= v <= high:
+        return 0.0
+    return max(0.0, low - v, v - high)
+
+
+class Scene(Matching):
+    """As ``Matching``, over the boxes and wrists of a frame: their pairs are made here, by the rules of ``match_input``."""
+
+    def __init__(self, diagonal: float):
+        super().__init__()
+        self.diagonal = diagonal
+
+    def frame(self, rows: list[tuple]) -> list[tuple]:
+        """``rows``: as ``SCENE_INPUT`` says; a wrist has its person's number and its place as x1 and y1."""
+        parcels, persons, hands, now = [], [], {}, inf
+        for kind, number, at, x1, y1, x2, y2, *more in rows:
+            if kind == HAND:
+                hands.setdefault(number, []).append((x1, y1))
+                continue
+            if at < now:
+                now = at
+            if number is not None:
+                if x1 is None or y1 is None or x2 is None or y2 is None:  # a corner that is not known bounds nothing
+                    area, x1, y1, x2, y2 = 1.0, -inf if x1 is None else x1, -inf if y1 is None else y1, inf if x2 is None else x2, inf if y2 is None else y2
+                else:
+                    area = max(1.0, (x2 - x1) * (y2 - y1))
+                (parcels if kind == PARCEL else persons).append((number, x1, y1, x2, y2, area, *more))
+        if now == inf:
+            return []  # wrists alone are no frame
+        pairs = []
+        near = [(*p, hands.get(p[0], ())) for p in persons]
+        for parcel, left, top, right, bottom, area, vx, vy, _, pick, doubt in parcels:
+            for person, x1, y1, x2, y2, other, person_vx, person_vy, step, _, _, of_person in near:
+                reach = min([hypot(_beyond(left, x, right), _beyond(top, y, bottom)) for x, y in of_person], default=None)
+                w, h = (right if right < x2 else x2) - (left if left > x1 else x1), (bottom if bottom < y2 else y2) - (top if top > y1 else y1)
+                overlap = 0 < w < inf and 0 < h < inf and area + other - w * h + 1e-6 > 0
+                if step is None or step <= 1e-6 or step > 2.0:
+                    motion = 0.5
+                else:
+                    motion = 0.0 if person_vx is None or person_vy is None else max(0.0, 1 - hypot(vx - person_vx, vy - person_vy) / self.diagonal / 0.35)
+                pairs.append((now, parcel, person, 10.0 if reach is None else reach / self.diagonal, overlap, motion, pick, doubt))
+        return super().frame(pairs or [(now, None, None, None, None, None, None, None)])
+
+
+def scene_matches(obs: DataFrame, wrists: DataFrame, zones: DataFrame, width: float = 640.0, height: float = 360.0) -> DataFrame:
+    """``interaction_matches`` of ``match_input``, for tables: boxes and wrists are shuffled once each to their source, their pairs never.
+
+    Zones are looked up before velocities, so that a shuffle carries no more than the fold reads.
+    """
+    box = [*FRAME, "timestamp_global", "local_track_id", "x1", "y1", "x2", "y2"]
+    flags = {"pick": F.coalesce(F.col("zone_kind") == "pick", F.lit(False)), "doubt": F.col("identity_status") == "AMBIGUOUS"}
+    parcels = track_velocity(zone_kind(tag_zones(obs.where("class_name = 'parcel'"), zones), zones).withColumns(flags).select(*box, *flags))
+    persons = person_motion(obs.where("class_name = 'person'").select(*box)).withColumn("step", F.col("timestamp_global") - F.lag("timestamp_global").over(Window.partitionBy(*TRACK).orderBy("frame_index")))
+    hands = wrists.select(*FRAME, F.col("person_id").alias("local_track_id"), F.col("wx").alias("x1"), F.col("wy").alias("y1"))
+    kind = lambda rows, k: rows.withColumn("kind", F.lit(k))
+    rows = kind(parcels, PARCEL).unionByName(kind(persons, PERSON), True).unionByName(kind(hands, HAND), True).dropna(subset=list(FRAME)).withColumnRenamed("local_track_id", "number")
+    diagonal = float(np.hypot(width, height))
+    return fold_frames(rows, ["session_id", "source_id"], ["stream_epoch", "frame_index"], SCENE_INPUT, lambda: Scene(diagonal), MATCHES, SPREAD)
 
 
 #: Per clock, in the order in which a frame is judged: the state, whether the clock must run (for so many seconds) or stand still, the next state, and what is told.
