@@ -330,9 +330,11 @@ def parcel_state_machine(obs: DataFrame, matches: DataFrame, zones: DataFrame, w
     calendar = obs.groupBy(*FRAME).agg(F.max("timestamp_global").alias("timestamp_global"))
     order = Window.partitionBy(*source).orderBy("stream_epoch", "frame_index")
     after = calendar.select(*FRAME, *(F.lead(c).over(order).alias(f"next_{c}") for c in ("stream_epoch", "frame_index", "timestamp_global")))
-    parcels = zone_kind(tag_zones(track_velocity(obs.where("class_name = 'parcel'")), zones), zones).withColumnRenamed("local_track_id", "parcel_id")
-    found = matches.select(*FRAME, "parcel_id", "person_id", "score", "reliable", "ambiguous", "distance", "contact", "separation_s", "motion")
-    seen = parcels.select(*FRAME, "timestamp_global", "parcel_id", F.lit(True).alias("visible"), "zone_id", "zone_kind", (F.col("identity_status") == "AMBIGUOUS").alias("doubt"), F.hypot(F.col("vx") / width, F.col("vy") / height).alias("speed")).join(found.hint("merge"), [*FRAME, "parcel_id"], "left")
+    tagged = zone_kind(tag_zones(obs.where("class_name = 'parcel'"), zones), zones).select(*FRAME, "timestamp_global", "local_track_id", "x1", "y1", "x2", "y2", "zone_id", "zone_kind", (F.col("identity_status") == "AMBIGUOUS").alias("doubt"), F.lit(True).alias("visible"))
+    found = matches.select(*FRAME, F.col("parcel_id").alias("local_track_id"), F.struct("person_id", "score", "reliable", "ambiguous", "distance", "contact", "separation_s", "motion").alias("m"))
+    near = tagged.unionByName(found, True).repartition(*source, "local_track_id")  # one shuffle by parcel serves the match, the velocity and the life
+    met = near.withColumn("m", F.max("m").over(Window.partitionBy(*FRAME, "local_track_id"))).where("visible")
+    seen = track_velocity(met).select(*FRAME, "timestamp_global", F.col("local_track_id").alias("parcel_id"), "visible", "zone_id", "zone_kind", "doubt", F.hypot(F.col("vx") / width, F.col("vy") / height).alias("speed"), "m.*")
     own = Window.partitionBy(*source, "parcel_id").orderBy("stream_epoch", "frame_index")
     life = life_flags(seen).select(*FRAME, "parcel_id", *LIFE_INPUT).withColumn("says", F.col("sure") | F.col("rest"))
     beside = {"own_epoch": F.lead("stream_epoch").over(own), "own_frame": F.lead("frame_index").over(own), "dull": ~F.col("says") & (F.lag("frozen").over(own) == F.col("frozen")) & ~F.lag("says").over(own)}
