@@ -9,7 +9,7 @@ from operator import itemgetter
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -57,6 +57,11 @@ def _values(column: pa.Array) -> list:
     return _plain(column)
 
 
+def parts_of(session: SparkSession, spread: int) -> int:
+    """Parts of a shuffle: ``spread`` for each core, and no fewer than Spark's setting. A number keeps AQE from laying few, long keys into one task."""
+    return max(int(session.conf.get("spark.sql.shuffle.partitions")), spread * session.sparkContext.defaultParallelism)
+
+
 def fold_frames(rows: DataFrame, keys: list[str], step: list[str], columns: list[str], make: Callable[[], Fold], schema: str, spread: int = 4) -> DataFrame:
     """One fold per key over ``columns``, a call for all rows that share the columns ``step``, in their order.
 
@@ -66,9 +71,7 @@ def fold_frames(rows: DataFrame, keys: list[str], step: list[str], columns: list
     for each core; many, where keys are few and long, so that hardly two of them meet in a task.
     """
     used = list(dict.fromkeys([*keys, *step, *columns]))
-    session = rows.sparkSession
-    parts = max(int(session.conf.get("spark.sql.shuffle.partitions")), spread * session.sparkContext.defaultParallelism)  # a number keeps AQE from laying few, long keys into one task
-    ordered = rows.select(*used).repartition(parts, *keys).sortWithinPartitions(*keys, *step, *[c for c in columns if c not in step])
+    ordered = rows.select(*used).repartition(parts_of(rows.sparkSession, spread), *keys).sortWithinPartitions(*keys, *step, *[c for c in columns if c not in step])
     place = {c: k for k, c in enumerate(used)}
     at = [place[c] for c in columns]
     typed = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (*keys, *step))

@@ -13,7 +13,7 @@ from loomtrack.functions.shared import written
 from loomtrack.operators.frames import person_motion, tag_zones, track_velocity, zone_kind
 from loomtrack.operators.handoffs import _solve
 from loomtrack.operators.interactions import parcel_person_pairs
-from loomtrack.operators.keyed import SPREAD, Fold, fold_frames
+from loomtrack.operators.keyed import SPREAD, Fold, fold_frames, parts_of
 
 # Fixed values of the rules.
 CONTACT, CANDIDATE, UNCLEAR, SWITCH, FORGET = 0.08, 0.28, 0.08, 0.18, 3.0
@@ -332,7 +332,7 @@ def parcel_state_machine(obs: DataFrame, matches: DataFrame, zones: DataFrame, w
     after = calendar.select(*FRAME, *(F.lead(c).over(order).alias(f"next_{c}") for c in ("stream_epoch", "frame_index", "timestamp_global")))
     tagged = zone_kind(tag_zones(obs.where("class_name = 'parcel'"), zones), zones).select(*FRAME, "timestamp_global", "local_track_id", "x1", "y1", "x2", "y2", "zone_id", "zone_kind", (F.col("identity_status") == "AMBIGUOUS").alias("doubt"), F.lit(True).alias("visible"))
     found = matches.select(*FRAME, F.col("parcel_id").alias("local_track_id"), F.struct("person_id", "score", "reliable", "ambiguous", "distance", "contact", "separation_s", "motion").alias("m"))
-    near = tagged.unionByName(found, True).repartition(*source, "local_track_id")  # one shuffle by parcel serves the match, the velocity and the life
+    near = tagged.unionByName(found, True).repartition(parts_of(obs.sparkSession, SPREAD), *source, "local_track_id")  # one shuffle by parcel serves the match, the velocity and the life
     met = near.withColumn("m", F.max("m").over(Window.partitionBy(*FRAME, "local_track_id"))).where("visible")
     seen = track_velocity(met).select(*FRAME, "timestamp_global", F.col("local_track_id").alias("parcel_id"), "visible", "zone_id", "zone_kind", "doubt", F.hypot(F.col("vx") / width, F.col("vy") / height).alias("speed"), "m.*")
     own = Window.partitionBy(*source, "parcel_id").orderBy("stream_epoch", "frame_index")
